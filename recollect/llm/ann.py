@@ -34,13 +34,15 @@ def usable(vector: Column) -> Column:
 
 
 def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
-    """Distinct unit vectors from a bounded sample by a hash of the id, of the dimension that its first has."""
+    """Distinct unit vectors from a bounded sample by a hash of the id, of its most frequent dimension (the largest of equals)."""
     rows = vectors.select("i", "v").orderBy(F.xxhash64("i"), "i").limit(4 * pivots).collect()
     found: dict[bytes, np.ndarray] = {}
+    sizes = [len(r.v) for r in rows]
+    dim = max(sizes, key=lambda n: (sizes.count(n), n), default=0)
     for r in rows:
-        v = np.array(r.v, float)
-        v = v / np.linalg.norm(v)
-        if not found or len(v) == len(next(iter(found.values()))):
+        if len(r.v) == dim:
+            v = np.array(r.v, float)
+            v = v / np.linalg.norm(v)
             found.setdefault(v.tobytes(), v)
     return np.array(list(found.values())[:pivots])
 

@@ -191,10 +191,12 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, trie
                 moved = True
             bins[b] = [i for _, i in full]
         bins[giver] = [i for _, i in spare]
+        if moved:
+            stuck.clear()
+        else:
+            stuck.add(giver)
         if not spare:
             count -= 1
-        elif not moved:
-            stuck.add(giver)
     return [b for b in bins if b]
 
 

@@ -27,11 +27,13 @@ SUPPORT = 3
 #: Part of the texts with the word that must be toxic.
 PRECISION = 0.8
 THRESHOLD = 0.7
+#: Part of the corpus's trigrams that each word of the lexicon counts for in the character model.
+WORD_SHARE = 1e-3
 
 # The letters that signs stand for.
 SIGNS = {"4": "a", "@": "a", "^": "a", "8": "b", "(": "c", "<": "c", "3": "e", "€": "e", "6": "g", "9": "g", "#": "h", "1": "il", "!": "il", "|": "il", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "2": "z"}
-#: Costs (negative log probabilities) of the channel: a sign for a letter, a sign that was put in, a sign that ends a word, one more of a letter.
-SWAP, INSERTED, BREAK, REPEAT = 1.0, 0.7, 0.5, 0.3
+#: Costs (negative log probabilities) of the channel: a sign for a letter, a sign put in, a sign that ends a word, more of a letter; and what a sign that looks like a letter costs besides if it is none.
+SWAP, INSERTED, BREAK, REPEAT, NO_LETTER = 0.8, 0.7, 0.5, 0.3, 1.0
 
 _SYMBOLS = 27
 _WORD = re.compile(r"[^\W\d_]+")
@@ -62,10 +64,19 @@ def symbol(c: str) -> int:
 
 @dataclass
 class Model:
-    trigrams: np.ndarray  # -log P(c | a, b), 27 x 27 x 27
+    counts: np.ndarray  # of trigrams in the corpus, 27 x 27 x 27
     lexicon: dict[str, float] = field(default_factory=dict)  # word: probability that it makes a text toxic
     leak: float = 0.0  # probability that a text without such words is toxic
 
+    def __post_init__(self) -> None:
+        """-log P(c | a, b), with add-half smoothing. The lexicon's words, rare in any corpus, count WORD_SHARE of it each, so that their disguises can be read."""
+        table = self.counts + 0.5
+        for word in self.lexicon:
+            s = [0, 0, *(symbol(c) for c in word), 0]
+            for a, b, c in zip(s, s[1:], s[2:], strict=False):
+                table[a, b, c] += WORD_SHARE * float(self.counts.sum())
+        self.trigrams = -np.log(table / table.sum(axis=2, keepdims=True))
+
     def decode(self, token: str) -> str:
         """The likeliest reading of a lower-cased token: letters and spaces."""
         token = _RUN.sub(lambda m: m[1] * 3, token)
@@ -79,8 +90,9 @@ class Model:
                 else:
                     options, i = [(c, 0.0)], i + 1
             else:
-                options, i = [("", INSERTED), (" ", BREAK)], i + 1
-                options += [(x, SWAP) for x in SIGNS.get(c, "")]
+                looks = SIGNS.get(c, "")
+                more = NO_LETTER if looks else 0.0
+                options, i = [("", INSERTED + more), (" ", BREAK + more), *((x, SWAP) for x in looks)], i + 1
             after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, path) in beam.items():
                 for text, price in options:
@@ -148,7 +160,7 @@ class Model:
 
 
 def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """-log P(c | a, b) over a to z (accents dropped) and the space, from all texts, with add-half smoothing."""
+    """Counts of trigrams over a to z (accents dropped) and the space, from all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_SYMBOLS**3, np.int64)
@@ -164,11 +176,10 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["c", "n"])
 
     counts = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n"))
-    table = np.full(_SYMBOLS**3, 0.5)
+    table = np.zeros(_SYMBOLS**3)
     for r in counts.collect():  # at most 27 cubed rows
         table[r.c] += r.n
-    table = table.reshape(_SYMBOLS, _SYMBOLS, _SYMBOLS)
-    return -np.log(table / table.sum(axis=2, keepdims=True))
+    return table.reshape(_SYMBOLS, _SYMBOLS, _SYMBOLS)
 
 
 def learn_lexicon(rows: list[tuple[bool, list[str]]], bad: dict[str, int], good: dict[str, int], support: int = SUPPORT, precision: float = PRECISION) -> dict[str, float]:
@@ -199,12 +210,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Null labels and ids do not teach; of several labels of one id the largest counts; equal texts count once.
     """
-    trigrams = character_model(docs, text_col)
+    model = Model(character_model(docs, text_col))
     known = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).filter("i IS NOT NULL AND y IS NOT NULL").filter(fold_of(F.col("i")) != 1)
     known = known.groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(sample)
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(known), "i")  # `sample` rows at most
     texts = texts.withColumn("h", F.xxhash64("t")).dropDuplicates(["h"]).select("y", "t")
-    model = Model(trigrams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[str]] = {}
@@ -219,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     bad, good = {r.w: r.bad for r in counts}, {r.w: r.good for r in counts}
     mine = F.array_intersect("w", F.array(*[F.lit(w) for w in bad]).cast("array<string>"))
     toxic = [(True, r.w) for r in bags.filter("y = 1").select(mine.alias("w")).collect()]
-    model.lexicon = learn_lexicon(toxic, bad, good)
+    model = Model(model.counts, learn_lexicon(toxic, bad, good))
     inside = F.size(F.array_intersect("w", F.array(*[F.lit(w) for w in model.lexicon]).cast("array<string>"))) > 0
     rest = bags.filter(~inside).agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("bad")).first()
     model.leak = min(0.5, (rest.bad + 0.5) / (rest.n + 1))
