@@ -33,7 +33,7 @@ WORD_SHARE = 1e-3
 # The letters that signs stand for.
 SIGNS = {"4": "a", "@": "a", "^": "a", "8": "b", "(": "c", "<": "c", "3": "e", "€": "e", "6": "g", "9": "g", "#": "h", "1": "il", "!": "il", "|": "il", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "2": "z"}
 #: Costs (negative log probabilities) of the channel: a sign for a letter, a sign put in, a sign that ends a word, more of a letter; and what a sign that looks like a letter costs besides if it is none.
-SWAP, INSERTED, BREAK, REPEAT, NO_LETTER = 0.8, 0.7, 0.5, 0.3, 1.0
+SWAP, INSERTED, BREAK, REPEAT, NO_LETTER = 0.8, 0.7, 0.5, 0.3, 2.5
 
 _SYMBOLS = 27
 _WORD = re.compile(r"[^\W\d_]+")
