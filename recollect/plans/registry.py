@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,8 @@ class Entry:
     sql: str | None = None
 
 
+MODULES = ("listings", "joins", "aggregates", "scalars", "search", "upkeep")
+
 _entries: dict[str, Entry] = {}
 
 
@@ -32,6 +35,9 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> dict[str, Entry]:
+    """Importing a plan module registers its queries."""
+    for name in MODULES:
+        import_module(f"recollect.plans.{name}")
     return _entries
 
 
