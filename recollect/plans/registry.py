@@ -17,7 +17,7 @@ class Entry:
     sql: str | None = None
 
 
-MODULES = ("listings", "joins", "aggregates", "scalars", "search", "upkeep")
+MODULES = ("listings", "joins", "aggregates", "scalars", "search", "upkeep", "ingest")
 
 _entries: dict[str, Entry] = {}
 

@@ -335,7 +335,7 @@ def h44(spark: SparkSession, d: str) -> DataFrame:
     return role(spark, d, "visits").select("id", T.search_query(ref).alias("query"))
 
 
-@register("h45_page_text", r"SELECT page_id AS id, least(length(t), 51200) AS n, substring(t, 1, 60) AS head FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script\s*>', ' ', 'gis'), '<style\b.*?</style\s*>', ' ', 'gis'), '<nav\b.*?</nav\s*>', ' ', 'gis'), '<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM pages) q".replace("'\"\"'", "'\"'"))
+@register("h45_page_text", r"SELECT page_id AS id, least(length(t), 51200) AS n, substring(t, 1, 60) AS head FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script\s*>', ' ', 'gis'), '<style\b.*?</style\s*>', ' ', 'gis'), '<nav\b.*?</nav\s*>', ' ', 'gis'), '<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM pages) q")
 def h45(spark: SparkSession, d: str) -> DataFrame:
     from recollect.sources.catalog import load
 
