@@ -8,7 +8,9 @@ lexicon, learnt from labelled rows, scores the restored words.
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,6 +28,10 @@ SAMPLE = 12_000
 SUPPORT = 3
 #: Part of the texts with the word that must be toxic.
 PRECISION = 0.8
+#: Chance that a lexicon learnt from unrelated labels has any word by the test of significance.
+CHANCE = 0.01
+#: Lengths of word beginnings that may stand for all words with them.
+STEMS = (4, 5, 6)
 THRESHOLD = 0.7
 #: Part of the corpus's trigrams that each word of the lexicon counts for in the character model.
 WORD_SHARE = 1e-3
@@ -72,6 +78,8 @@ class Model:
         """-log P(c | a, b), with add-half smoothing. The lexicon's words, rare in any corpus, count WORD_SHARE of it each, so that their disguises can be read."""
         table = self.counts + 0.5
         for word in self.lexicon:
+            if word[-1] == "*":
+                continue
             s = [0, 0, *(symbol(c) for c in word), 0]
             for a, b, c in zip(s, s[1:], s[2:], strict=False):
                 table[a, b, c] += WORD_SHARE * float(self.counts.sum())
@@ -136,6 +144,10 @@ class Model:
             words.update(self.decode(m[0]).split())
         return words
 
+    def known_by(self, word: str) -> list[str]:
+        """The entries of the lexicon that a word meets: itself, and beginnings, which end in a star."""
+        return [f for f in forms(word) if f in self.lexicon]
+
     def score(self, text: str | None, known: dict[str, tuple[str, ...]] | None = None) -> float:
         hits = self.hits(text or "", {} if known is None else known)
         miss = 1 - self.leak
@@ -149,13 +161,13 @@ class Model:
         for token in set(low.split()):
             got = known.get(token)
             if got is None:
-                got = tuple({w for w in self.words_of(token) if w in self.lexicon})
+                got = tuple({f for w in self.words_of(token) for f in self.known_by(w)})
                 if len(token) <= 40:
                     known[token] = got
             if got:
                 found.update(got)
         for m in _SPACED.finditer(low):
-            found.update(w for w in self.decode(m[0]).split() if w in self.lexicon)
+            found.update(f for w in self.decode(m[0]).split() for f in self.known_by(w))
         return found
 
 
@@ -182,27 +194,46 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return table.reshape(_SYMBOLS, _SYMBOLS, _SYMBOLS)
 
 
-def learn_lexicon(rows: list[tuple[bool, list[str]]], bad: dict[str, int], good: dict[str, int], support: int = SUPPORT, precision: float = PRECISION) -> dict[str, float]:
-    """Greedy cover: the word in most unexplained toxic texts joins, and explains them, so words that merely stand beside others, as in copies, stay out. Ties go to the first word."""
+def forms(word: str) -> list[str]:
+    """A word and its beginnings, which end in a star."""
+    return [word, *(word[:n] + "*" for n in STEMS if len(word) > n)]
+
+
+def significant(bad: int, good: int, rate: float, words: int) -> bool:
+    """Whether a word is toxic more often than `rate` explains, by the Chernoff bound, among so many words."""
+    n = bad + good
+    p = min(bad / n, 1 - 1e-12)
+    if p <= rate:
+        return False
+    gain = p * math.log(p / rate) + (1 - p) * math.log((1 - p) / (1 - rate))
+    return n * gain >= math.log(max(words, 1) / CHANCE)
+
+
+def learn_lexicon(rows: list[list[str]], bad: dict[str, int], good: dict[str, int], rate: float, words: int, support: int = SUPPORT, precision: float = PRECISION) -> dict[str, float]:
+    """Entries with the probability that they make a text toxic, from the forms in each toxic text.
+
+    bad and good count families of texts, so copies and near copies count little. Significant words join at once. Then the form in most
+    texts not yet explained joins, and explains them, so what merely stands beside other words stays out. Ties go to the shorter, then the first.
+    """
+    fit = {w for w in bad if bad[w] >= precision * (bad[w] + good.get(w, 0))}
+    sure = {w for w in fit if w[-1] != "*" and significant(bad[w], good.get(w, 0), rate, words)}
     holders: dict[str, set[int]] = defaultdict(set)
-    for i, (toxic, words) in enumerate(rows):
-        if toxic:
-            for w in set(words):
-                if bad[w] >= precision * (bad[w] + good.get(w, 0)):
-                    holders[w].add(i)
-    lexicon: dict[str, float] = {}
+    for i, ws in enumerate(rows):
+        if not sure.intersection(ws):
+            for w in fit.intersection(ws):
+                holders[w].add(i)
+    chosen = sorted(sure)
     while holders:
-        word = min(holders, key=lambda w: (-len(holders[w]), w))
+        word = min(holders, key=lambda w: (-len(holders[w]), len(w), w))
         covered = holders.pop(word)
         if len(covered) < support:
             break
-        a, b = bad[word], good.get(word, 0)
-        lexicon[word] = (a + 0.5) / (a + b + 1)
+        chosen.append(word)
         for w in list(holders):
             holders[w] -= covered
             if len(holders[w]) < support:
                 del holders[w]
-    return lexicon
+    return {w: (bad[w] + 0.5) / (bad[w] + good.get(w, 0) + 1) for w in chosen}
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -220,20 +251,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         seen: dict[str, list[str]] = {}
         for whole in batches:
             for batch in slices(whole, 1):
-                words = [sorted(model.restored(x.decode("utf-8", "replace"), seen)) for x in as_bytes(batch.column(1))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(words, pa.list_(pa.string()))], ["y", "w"])
-
-    bags = texts.mapInArrow(run, "y bigint, w array<string>").persist()
-    counts = bags.select("y", F.explode("w").alias("w")).groupBy("w").agg(F.count_if(F.col("y") == 1).alias("bad"), F.count_if(F.col("y") == 0).alias("good"))
-    counts = counts.filter((F.col("bad") >= SUPPORT) & (F.col("bad") >= PRECISION * (F.col("bad") + F.col("good")))).collect()
-    bad, good = {r.w: r.bad for r in counts}, {r.w: r.good for r in counts}
-    mine = F.array_intersect("w", F.array(*[F.lit(w) for w in bad]).cast("array<string>"))
-    toxic = [(True, r.w) for r in bags.filter("y = 1").select(mine.alias("w")).collect()]
-    model = Model(model.counts, learn_lexicon(toxic, bad, good))
+                words = [model.restored(x.decode("utf-8", "replace"), seen) for x in as_bytes(batch.column(1))]
+                family = [min((zlib.crc32(w.encode()) for w in ws), default=0) for ws in words]
+                shown = [sorted({f for w in ws for f in forms(w)}) for ws in words]
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(family, pa.int64()), pa.array(shown, pa.list_(pa.string()))], ["y", "f", "w"])
+
+    bags = texts.mapInArrow(run, "y bigint, f bigint, w array<string>").persist()
+    families = bags.select("y", "f", F.explode("w").alias("w")).distinct()  # near copies mostly share their word of least hash
+    counts = families.groupBy("w").agg(F.count_if(F.col("y") == 1).alias("bad"), F.count_if(F.col("y") == 0).alias("good")).filter("bad > 0").persist()
+    words = counts.filter(~F.col("w").endswith("*")).count()
+    n = bags.groupBy("y").agg(F.count_distinct("f").alias("n")).collect()
+    toxic, clean = (sum(r.n for r in n if r.y == y) for y in (1, 0))
+    likely = counts.filter((F.col("bad") >= SUPPORT) & (F.col("bad") >= PRECISION * (F.col("bad") + F.col("good"))))
+    kept = likely.collect()  # bounded by the sample
+    bad, good = {r.w: r.bad for r in kept}, {r.w: r.good for r in kept}
+    known_forms = docs.sparkSession.createDataFrame([(w,) for w in bad], "w string")
+    numbered = bags.filter("y = 1").withColumn("i", F.monotonically_increasing_id())
+    mine = numbered.select("i", F.explode("w").alias("w")).join(F.broadcast(known_forms), "w", "left_semi")  # bounded by the sample
+    rows = [r.w for r in mine.groupBy("i").agg(F.collect_list("w").alias("w")).collect()]
+    model = Model(model.counts, learn_lexicon(rows, bad, good, max(toxic, 1) / max(toxic + clean, 1), words))
     inside = F.size(F.array_intersect("w", F.array(*[F.lit(w) for w in model.lexicon]).cast("array<string>"))) > 0
     rest = bags.filter(~inside).agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("bad")).first()
     model.leak = min(0.5, (rest.bad + 0.5) / (rest.n + 1))
     bags.unpersist()
+    counts.unpersist()
     return model
 
 

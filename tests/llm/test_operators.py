@@ -266,10 +266,16 @@ def test_trigrams_count_all_texts(spark):
     assert math.isclose(np.exp(-toxicity.Model(counts).trigrams[0, 1, 2]), 2.5 / (2 + 27 / 2))
 
 
-def test_greedy_lexicon_leaves_bystanders_out():
-    rows = [(True, ["bad", "aside"])] * 5 + [(True, ["bad"])] * 5 + [(True, ["worse"])] * 4
-    got = toxicity.learn_lexicon(rows, {"bad": 10, "aside": 5, "worse": 4}, {"worse": 0})
-    assert set(got) == {"bad", "worse"}
+def test_lexicon_leaves_bystanders_out():
+    rows = [["bad", "aside"]] * 5 + [["bad"]] * 5 + [["worse"]] * 4 + [["foulx", "foul*"], ["fouly", "foul*"], ["foulz", "foul*"]]
+    bad = {"bad": 10, "aside": 5, "worse": 4, "foul*": 3, "foulx": 1, "fouly": 1, "foulz": 1}
+    got = toxicity.learn_lexicon(rows, bad, {"worse": 0}, 0.1, 50)
+    assert set(got) == {"bad", "worse", "foul*"} | ({"aside"} if toxicity.significant(5, 0, 0.1, 50) else set())
+    assert not toxicity.significant(3, 0, 0.1, 10_000) and toxicity.significant(8, 0, 0.1, 10_000) and not toxicity.significant(8, 8, 0.5, 100)
+
+
+def test_beginnings_of_words():
+    assert toxicity.forms("moron") == ["moron", "moro*"] and toxicity.forms("abc") == ["abc"]
 
 
 def test_toxicity_learns_from_labels(spark, odd):
@@ -284,7 +290,7 @@ def test_toxicity_learns_from_labels(spark, odd):
     df = frame(spark, rows)
     lab = spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int")
     m = toxicity.fit(df, lab)
-    assert list(m.lexicon) == ["zarguk"]
+    assert "zarguk" in m.lexicon and all("zarguk".startswith(w.rstrip("*")) for w in m.lexicon)
     out = {r.doc_id: r for r in toxicity.score(df, m).collect()}
     assert all(out[i].predicted == y for i, y in labels)
     assert len(toxicity.score(odd[0], m).collect()) == len(odd[1])
