@@ -59,8 +59,8 @@ def backfill(rows: DataFrame, mapping: DataFrame, key: str, column: str) -> Data
 
 def merge_health(rows: DataFrame) -> DataFrame:
     """One row for each source from legacy and canonical rows: largest times, probe fields of the later run (ties to the canonical row), message of the later error."""
-    run = F.struct(F.coalesce("probe_last_run_ts", F.lit(-1)), "canonical")
-    err = F.struct(F.coalesce("last_error_ts", F.lit(-1)), "canonical")
+    run = F.struct(F.coalesce("probe_last_run_ts", F.lit(-1)), "canonical", F.coalesce("probe_lag_ms", F.lit(-1)))  # the last key settles ties
+    err = F.struct(F.coalesce("last_error_ts", F.lit(-1)), "canonical", F.coalesce("last_error_msg", F.lit("")))
     return rows.groupBy("source").agg(
         F.max("last_event_ts").alias("last_event_ts"),
         F.max("last_error_ts").alias("last_error_ts"),

@@ -91,14 +91,14 @@ def health_rows(spark: SparkSession, d: str) -> DataFrame:
     return role(spark, d, "alarms").selectExpr("source", "invariant_id LIKE '%1%' AS canonical", "raised_at AS last_event_ts", "resolved_at AS last_error_ts", "CAST(id % 2 AS INT) AS probe_ok", "id AS probe_lag_ms", "raised_at + id % 7 * 1000000 AS probe_last_run_ts", "concat('m', CAST(id AS STRING)) AS last_error_msg")
 
 
-@register("j12_health_merge", with_roles("alarms", f"WITH h AS ({_HEALTH_ROWS}) SELECT source, max(last_event_ts) AS last_event_ts, max(last_error_ts) AS last_error_ts, arg_max(probe_ok, (probe_last_run_ts, canonical)) AS probe_ok, arg_max(probe_lag_ms, (probe_last_run_ts, canonical)) AS probe_lag_ms, max(probe_last_run_ts) AS probe_last_run_ts, arg_max(last_error_msg, (coalesce(last_error_ts, -1), canonical)) AS last_error_msg FROM h GROUP BY source"))
+@register("j12_health_merge", with_roles("alarms", f"WITH h AS ({_HEALTH_ROWS}) SELECT source, max(last_event_ts) AS last_event_ts, max(last_error_ts) AS last_error_ts, arg_max(probe_ok, (probe_last_run_ts, canonical, probe_lag_ms)) AS probe_ok, arg_max(probe_lag_ms, (probe_last_run_ts, canonical, probe_lag_ms)) AS probe_lag_ms, max(probe_last_run_ts) AS probe_last_run_ts, arg_max(last_error_msg, (coalesce(last_error_ts, -1), canonical, last_error_msg)) AS last_error_msg FROM h GROUP BY source"))
 def j12(spark: SparkSession, d: str) -> DataFrame:
     return M.merge_health(health_rows(spark, d))
 
 
-@register("j13_rename_detection", with_roles("memdocs", "WITH p AS (SELECT repository, md5(content) AS h, count(*) AS n, min(source_path) AS new_path FROM memdocs WHERE id % 2 = 0 GROUP BY 1, 2 HAVING count(*) = 1) SELECT m.repository, m.source_path AS old_path, p.new_path FROM memdocs m JOIN p ON p.repository = m.repository AND p.h = md5(m.content) WHERE m.id % 2 = 1"))
+@register("j13_rename_detection", with_roles("memdocs", "WITH p AS (SELECT repository, md5(substring(content, 1, 7)) AS h, count(*) AS n, min(source_path) AS new_path FROM memdocs WHERE id % 2 = 0 GROUP BY 1, 2 HAVING count(*) = 1) SELECT m.repository, m.source_path AS old_path, p.new_path FROM memdocs m JOIN p ON p.repository = m.repository AND p.h = md5(substring(m.content, 1, 7)) WHERE m.id % 2 = 1"))
 def j13(spark: SparkSession, d: str) -> DataFrame:
-    m = role(spark, d, "memdocs").select("id", "repository", F.col("source_path").alias("path"), F.sha2(F.col("content").cast("binary"), 256).alias("hash"))
+    m = role(spark, d, "memdocs").select("id", "repository", F.col("source_path").alias("path"), F.md5(F.substring("content", 1, 7).cast("binary")).alias("hash"))
     return M.detect_renames(m.filter("id % 2 = 1"), m.filter("id % 2 = 0"))
 
 
@@ -288,9 +288,11 @@ def k23(spark: SparkSession, d: str) -> DataFrame:
     return e.select("last_real", (age <= 600_000).alias("active"), (age >= 86_400_000).alias("backstop"))
 
 
-@register("k22_paused_claims", with_roles("queue", "SELECT id FROM queue WHERE false"))
+@register("k22_paused_claims", with_roles("queue", f"SELECT false AS paused, count(*) AS claimed FROM (SELECT id FROM queue WHERE source = 'shell' AND ({_CLAIM}) LIMIT 50) UNION ALL SELECT true, 0"))
 def k22(spark: SparkSession, d: str) -> DataFrame:
-    return paused(k1(spark, d).select("id"), True)
+    c = k1(spark, d).select("id")
+    parts = [paused(c, p).agg(F.count("*").alias("claimed")).select(F.lit(p).alias("paused"), "claimed") for p in (False, True)]
+    return parts[0].unionByName(parts[1])
 
 
 def paused(claims: DataFrame, pause: bool) -> DataFrame:
