@@ -96,10 +96,10 @@ def j12(spark: SparkSession, d: str) -> DataFrame:
     return M.merge_health(health_rows(spark, d))
 
 
-@register("j13_rename_detection", with_roles("memdocs", "WITH p AS (SELECT repository, md5(substring(content, 1, 7)) AS h, count(*) AS n, min(source_path) AS new_path FROM memdocs WHERE id % 2 = 0 GROUP BY 1, 2 HAVING count(*) = 1) SELECT m.repository, m.source_path AS old_path, p.new_path FROM memdocs m JOIN p ON p.repository = m.repository AND p.h = md5(substring(m.content, 1, 7)) WHERE m.id % 2 = 1"))
+@register("j13_rename_detection", with_roles("memdocs", "WITH p AS (SELECT repository, md5(substring(content, 1, 7)) AS h, count(*) AS n, min(source_path) AS new_path FROM memdocs WHERE id // 4 % 2 = 0 GROUP BY 1, 2 HAVING count(*) = 1) SELECT m.repository, m.source_path AS old_path, p.new_path FROM memdocs m JOIN p ON p.repository = m.repository AND p.h = md5(substring(m.content, 1, 7)) WHERE m.id // 4 % 2 = 1"))
 def j13(spark: SparkSession, d: str) -> DataFrame:
     m = role(spark, d, "memdocs").select("id", "repository", F.col("source_path").alias("path"), F.md5(F.substring("content", 1, 7).cast("binary")).alias("hash"))
-    return M.detect_renames(m.filter("id % 2 = 1"), m.filter("id % 2 = 0"))
+    return M.detect_renames(m.filter("id div 4 % 2 = 1"), m.filter("id div 4 % 2 = 0"))
 
 
 @register("j14_memory_ingest", with_roles("memdocs", "SELECT repository, source_path AS path, CASE WHEN id % 7 = 0 THEN 'absent' WHEN id % 5 = 0 THEN 'new_document' WHEN id % 3 = 0 THEN 'new_revision' ELSE 'unchanged' END AS action, CASE WHEN id % 7 = 0 THEN id % 4 WHEN id % 5 = 0 THEN 1 WHEN id % 3 = 0 THEN id % 4 + 1 ELSE id % 4 END AS revision_number FROM memdocs WHERE NOT (id % 7 = 0 AND id % 5 = 0)"))
