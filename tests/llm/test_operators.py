@@ -473,3 +473,13 @@ def test_pipeline(spark, sf):
     assert all(tops[i] == i for i in secretless)
     assert not any(base_spans(t) for t in texts.values())
     assert cp.ORACLE_SQL is None
+
+
+def test_native_operators_run_no_python(spark, sf):
+    """Plans of the native operators hold no Python, and only columns they use are read."""
+    df = load(spark, sf, "documents")
+    for made in (sharding.shard(df), secret_scan.scan(df)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "InPandas" not in plan
+    plan = sharding.shard(df)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
