@@ -119,6 +119,7 @@ _HYDRATE = f"""{_FUSED}, h AS (SELECT query_id, id, score FROM (SELECT *, row_nu
 
 def hydrate(hits: DataFrame, spark: SparkSession, d: str) -> DataFrame:
     """Details of hits that are cut already: one aggregate for each family, over links of the hits alone."""
+    hits = hits.persist()  # a few rows for each query, read once for each family
     ids = hits.select(F.col("id").alias("node_id")).distinct()
     near = lambda name: role(spark, d, name).join(F.broadcast(ids), "node_id", "left_semi")  # noqa: E731  a few rows for each query
     ev = near("node_events").join(role(spark, d, "ev_user").select(F.col("id").alias("event_id"), "timestamp"), "event_id").groupBy("node_id").agg(F.count_distinct("event_id").alias("shell"), F.max("timestamp").alias("last_event"))
