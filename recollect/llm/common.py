@@ -42,6 +42,14 @@ def stage_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with the session's Arrow batches at most so many rows: texts are long, and a batch stands several times in memory."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) > rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def fold_of(id_col: Column) -> Column:
     """crc32 of the id as text, modulo 3; fold 1 is held out. A null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(3))
@@ -67,7 +75,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 class UnitCache:
     """What an encoder gives for units that recur, such as words: a worker keeps it over batches and tasks, at most `limit` entries."""
 
-    def __init__(self, encode: Callable[[list[bytes]], Iterable], limit: int = 600_000):
+    def __init__(self, encode: Callable[[list[bytes]], Iterable], limit: int = 500_000):
         self.encode, self.limit, self.known = encode, limit, {}
 
     def prepare(self, units: Iterable[bytes]) -> dict:

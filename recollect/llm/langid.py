@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fold_of, slices
+from .common import as_bytes, bound_batches, fold_of, slices
 
 N = 4
 #: Labelled documents that each language's n-grams are learnt from, about: rows are taken by a hash of the id.
@@ -142,5 +142,5 @@ def identify(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in said], pa.string()), pa.array([min(1.0, x) for _, x in said], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), (fold_of(F.col(id_col)) == 1).alias("held_out"), F.col(text_col).alias("t"))
+    rows = bound_batches(docs).select(F.col(id_col).alias("doc_id"), (fold_of(F.col(id_col)) == 1).alias("held_out"), F.col(text_col).alias("t"))
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnitCache, as_bytes, materialize, slices
+from .common import UnitCache, as_bytes, bound_batches, materialize, slices
 
 CAPACITY = 4096
 #: Pieces that one task packs; the number of groups follows the input.
@@ -56,22 +56,22 @@ def _word_cache(tokenizer_file: str) -> UnitCache:
                     at = e + 1
             return out
 
-        stem_known: dict[bytes, bytes] = {}
         tail = dict(zip((b".", b","), ask([b".", b","]), strict=True))
 
         def encode(chunks: list[bytes]) -> list[bytes]:
-            """ASCII case and one closing stop or comma after a letter do not change the ids of what stands before, so such chunks share an entry."""
-            if len(stem_known) > 600_000:
-                stem_known.clear()
+            """ASCII case and one closing stop or comma after a letter do not change the ids of what stands before, so such chunks share their stem's ids."""
+            known = cache.known
             stems = []
             for c in chunks:
                 low = c.lower()
                 stems.append((low[:-1], tail[low[-1:]]) if low[-1:] in tail and 97 <= (low[-2:-1] or b"\0")[0] <= 122 else (low, b""))
-            new = [s for s in {s for s, _ in stems} if s not in stem_known]
-            stem_known.update(zip(new, ask(new), strict=True))
-            return [stem_known[s] + t for s, t in stems]
+            new = list({s for s, _ in stems if s not in known})
+            found = dict(zip(new, ask(new), strict=True))
+            known.update(found)
+            return [known[s] + t for s, t in stems]
 
-        _caches[tokenizer_file] = UnitCache(encode)
+        cache = UnitCache(encode)
+        _caches[tokenizer_file] = cache
     return _caches[tokenizer_file]
 
 
@@ -95,7 +95,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return bound_batches(docs).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fold_of, slices
+from .common import as_bytes, bound_batches, fold_of, slices
 
 #: Labelled rows, by a hash of the id, that the lexicon is learnt from at most.
 SAMPLE = 12_000
@@ -187,7 +187,7 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["c", "n"])
 
-    counts = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n"))
+    counts = bound_batches(docs).select(F.col(text_col).alias("t")).mapInArrow(run, "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n"))
     table = np.zeros(_SYMBOLS**3)
     for r in counts.collect():  # at most 27 cubed rows
         table[r.c] += r.n
@@ -284,22 +284,23 @@ def score_rows(docs: DataFrame, model: Model, text_col: str = "text", keep: list
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by `sample`
     kept = [docs.schema[c] for c in keep]
     names = [f"c{i}" for i in range(len(keep))]
+    at = keep.index(text_col) if text_col in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         known: dict[str, tuple[str, ...]] = {}
         for whole in batches:
-            for batch in slices(whole, len(names)):
-                if len(known) > 600_000:
+            for batch in slices(whole, at):
+                if len(known) > 200_000:
                     known.clear()
-                scores = pa.array([m.score(x.decode("utf-8", "replace"), known) for x in as_bytes(batch.column(len(names)))], pa.float64())
+                scores = pa.array([m.score(x.decode("utf-8", "replace"), known) for x in as_bytes(batch.column(at))], pa.float64())
                 out = pa.RecordBatch.from_arrays([*batch.columns[: len(names)], scores], [*names, "_score"])
                 if below is not None:
                     out = out.filter(pa.array(np.asarray(scores) < below))
                 yield out
 
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kept, strict=True))
-    rows = docs.select(*[F.col(c).alias(n) for n, c in zip(names, keep, strict=True)], F.col(text_col).alias("t"))
+    rows = bound_batches(docs).select(*[F.col(c).alias(n) for n, c in zip(names, keep, strict=True)], *([] if at < len(keep) else [F.col(text_col).alias("t")]))
     out = rows.mapInArrow(run, f"{schema}{', ' if schema else ''}_score double")
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "_score")
 
