@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnitCache, as_bytes, slices
+from .common import UnitCache, as_bytes, bound_batches, slices
 
 MARK = "▁".encode()
 #: Taken off the least score for a character that no piece covers, as in the public tokenizer.
@@ -91,19 +91,19 @@ def double_array(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         kids = sorted(children[node].items())
         if not kids:
             continue
-        while not free[low]:
-            low += 1
+        while np.count_nonzero(free[low : low + 1024]) < 32:  # nearly full: not searched again
+            low += 1024
         first = kids[0][0]
         at = max(low, first + 1)
         while True:
-            window = np.flatnonzero(free[at : at + 2048]) + at - first
+            window = np.flatnonzero(free[at : at + 1024]) + at - first
             good = np.ones(len(window), bool)
             for c, _ in kids[1:]:
                 good &= free[np.minimum(window + c, room - 1)]
             if good.any():
                 b = int(window[good.argmax()])
                 break
-            at += 2048
+            at += 1024
         s = state[node]
         base[s] = b
         for c, kid in kids:
@@ -331,7 +331,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_ids", "ids_crc32", "round_trip", "ids"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, n_ids bigint, ids_crc32 bigint, round_trip boolean{', ids array<int>' if ids else ''}")
+    return bound_batches(docs).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, n_ids bigint, ids_crc32 bigint, round_trip boolean{', ids array<int>' if ids else ''}")
 
 
 def decode(coded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -359,4 +359,4 @@ def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sum(map(known.__getitem__, us)) for us in split], pa.int64())], ["doc_id", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint")
+    return bound_batches(docs).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint")
