@@ -70,7 +70,7 @@ def _word_cache(tokenizer_file: str) -> UnitCache:
             known.update(found)
             return [known[s] + t for s, t in stems]
 
-        cache = UnitCache(encode)
+        cache = UnitCache(encode, 900_000)
         _caches[tokenizer_file] = cache
     return _caches[tokenizer_file]
 
