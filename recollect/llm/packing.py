@@ -159,45 +159,94 @@ def _improve(full: list[tuple[int, int]], spare: list[tuple[int, int]], gap: int
     return found
 
 
-def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, tries: int = 20_000) -> list[list[int]]:
+#: Bins of more items are always tried; for the rest a scan tells first whether an exchange exists.
+_FEW = 8
+_NONE = 1 << 40
+
+
+class _Bins:
+    """Bins by number, with the lengths of bins of few items in a matrix, so that many are scanned at once."""
+
+    def __init__(self, lengths: np.ndarray, bins: list[list[int]]):
+        self.items = [sorted((int(lengths[i]), i) for i in b) for b in bins]
+        self.fill = np.array([sum(n for n, _ in b) for b in self.items], np.int64)
+        self.one = np.full((len(bins), _FEW + 1), _NONE, np.int64)
+        self.one[:, 0] = 0  # nothing is given for what is taken
+        self.two = np.full((len(bins), _FEW * (_FEW - 1) // 2), _NONE, np.int64)
+        self.many = np.zeros(len(bins), bool)
+        for b in range(len(bins)):
+            self.note(b)
+
+    def note(self, b: int) -> None:
+        n = [x for x, _ in self.items[b]]
+        self.many[b] = len(n) > _FEW
+        if not self.many[b]:
+            self.one[b, 1:] = n + [_NONE] * (_FEW - len(n))
+            pairs = [x + y for k, x in enumerate(n) for y in n[:k]]
+            self.two[b] = pairs + [_NONE] * (self.two.shape[1] - len(pairs))
+
+    def can_take(self, at: np.ndarray, spare: list[tuple[int, int]], capacity: int) -> np.ndarray:
+        """Which of the bins `at` an exchange with `spare` may fill better: exact for bins of few items."""
+        n = np.array([x for x, _ in spare], np.int64)
+        if len(n) > 64:
+            return np.ones(len(at), bool)
+        pairs = (n[:, None] + n[None, :])[np.triu_indices(len(n), 1)]
+        gap = (capacity - self.fill[at])[:, None]
+        out = self.many[at]
+        for given, taken in ((self.one[at], np.unique(np.concatenate([n, pairs]))), (self.two[at], np.unique(n))):
+            taken = np.append(taken, 4 * _NONE)
+            out = out | (taken[np.searchsorted(taken, given, "right")] - given <= gap).any(axis=1)
+        return out
+
+
+def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Exchange documents between underfull bins while squared fill grows, until bins empty or nothing improves.
 
-    The emptiest bin gives to the others, fullest first. Each step moves fill from a bin to one at least as full, so the sum of squares grows and the search ends; it also ends when the number of bins is the least possible.
+    In each round every bin, emptiest first, gives to those at least as full, fullest first. Each step moves fill from a bin to one at least as full, so the sum of squares grows and the search ends: when the number of bins is the least possible, or a round moves nothing. A giver looks only at bins that changed since it last found nothing.
     """
     least = -(-int(lengths.sum()) // capacity)
-    fill = [int(sum(lengths[i] for i in b)) for b in bins]
     count = len(bins)
-    open_bins = [b for b in range(len(bins)) if fill[b] < capacity]
-    stuck: set[int] = set()
-    while count > least and tries > 0:
-        live = sorted((b for b in open_bins if bins[b] and fill[b] < capacity and b not in stuck), key=lambda b: -fill[b])
-        if len(live) < 2:
-            break
-        giver = live[-1]
-        spare = sorted((int(lengths[i]), i) for i in bins[giver])
+    if count <= least:
+        return [b for b in bins if b]
+    now = _Bins(lengths, bins)
+    fill = now.fill
+    clock, changed, looked = 1, np.ones(len(bins), np.int64), np.zeros(len(bins), np.int64)
+    moved = True
+    while moved and count > least:
         moved = False
-        for b in live[:-1]:
-            tries -= 1
-            if tries <= 0 or not spare:
-                break
-            full = sorted((int(lengths[i]), i) for i in bins[b])
-            while spare and fill[b] < capacity and (found := _improve(full, spare, capacity - fill[b])):
-                take, give = found
-                gain = int(sum(lengths[i] for i in take) - sum(lengths[i] for i in give))
-                full = sorted([x for x in full if x[1] not in give] + [(int(lengths[i]), i) for i in take])
-                spare = sorted([x for x in spare if x[1] not in take] + [(int(lengths[i]), i) for i in give])
-                fill[b] += gain
-                fill[giver] -= gain
+        for giver in np.argsort(fill, kind="stable").tolist():
+            while 0 < fill[giver] < capacity and count > least:
+                since = looked[giver] if changed[giver] <= looked[giver] else 0
+                others = np.flatnonzero((fill >= fill[giver]) & (fill < capacity) & (changed > since))
+                others = others[others != giver]
+                others = others[np.argsort(-fill[others], kind="stable")]
+                spare, gave, at, step = now.items[giver], False, 0, 128
+                while at < len(others) and spare:
+                    hit = np.flatnonzero(now.can_take(others[at : at + step], spare, capacity))
+                    if not len(hit):
+                        at, step = at + step, min(2 * step, 4096)
+                        continue
+                    b = int(others[at + hit[0]])
+                    at, step = at + int(hit[0]) + 1, 128
+                    full, before = now.items[b], spare
+                    while spare and fill[b] < capacity and (found := _improve(full, spare, int(capacity - fill[b]))):
+                        take, give = found
+                        gain = int(sum(lengths[i] for i in take) - sum(lengths[i] for i in give))
+                        full = sorted([x for x in full if x[1] not in give] + [(int(lengths[i]), i) for i in take])
+                        spare = sorted([x for x in spare if x[1] not in take] + [(int(lengths[i]), i) for i in give])
+                        fill[b] += gain
+                        fill[giver] -= gain
+                    if spare is not before:
+                        gave, clock = True, clock + 1
+                        now.items[b], now.items[giver] = full, spare
+                        changed[b] = changed[giver] = clock
+                        now.note(b), now.note(giver)
+                if not gave:
+                    looked[giver] = clock
+                    break
                 moved = True
-            bins[b] = [i for _, i in full]
-        bins[giver] = [i for _, i in spare]
-        if moved:
-            stuck.clear()
-        else:
-            stuck.add(giver)
-        if not spare:
-            count -= 1
-    return [b for b in bins if b]
+                count -= not spare
+    return [[i for _, i in b] for b in now.items if b]
 
 
 def pack_group(lengths: np.ndarray, capacity: int) -> list[list[int]]:
