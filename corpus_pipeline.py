@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import exact_dedup, packing, secret_scan, simhash, toxicity
+from recollect.llm import exact_dedup, packing, secret_scan, shingle_join, toxicity
 from recollect.llm.common import load, stage_table
 from recollect.llm.queries import tokenizer_path
 
@@ -25,8 +25,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each component of near copies stays: five-word shingles of similarity 0.8 or more."""
+    return shingle_join.drop_near_copies(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
