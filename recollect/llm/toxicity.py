@@ -33,6 +33,8 @@ CHANCE = 0.01
 #: Lengths of word beginnings that may stand for all words with them.
 STEMS = (4, 5, 6)
 THRESHOLD = 0.7
+#: Tokens whose readings a task remembers, about; that only saves work.
+REMEMBERED = 100_000
 #: Part of the corpus's trigrams that each word of the lexicon counts for in the character model.
 WORD_SHARE = 1e-3
 
@@ -52,7 +54,7 @@ def _fold_table() -> np.ndarray:
     """Latin-1 bytes to 0 (no letter) or 1 to 26."""
     import unicodedata
 
-    table = np.zeros(256, np.int64)
+    table = np.zeros(256, np.int32)
     for i in range(256):
         c = unicodedata.normalize("NFD", chr(i).lower())[0]
         if "a" <= c <= "z":
@@ -177,7 +179,7 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_SYMBOLS**3, np.int64)
         for whole in batches:
-            for batch in slices(whole, 0):
+            for batch in slices(whole, 0, 1 << 20):
                 text = " ".join(x.decode("utf-8", "replace") for x in as_bytes(batch.column(0))).lower()
                 s = _FOLD[np.frombuffer(f"  {text} ".encode("latin-1", "replace"), np.uint8)]
                 keep = np.ones(len(s), bool)
@@ -239,18 +241,20 @@ def learn_lexicon(rows: list[list[str]], bad: dict[str, int], good: dict[str, in
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Character model from all texts of docs; lexicon from at most `sample` labelled rows of the folds 0 and 2.
 
-    Null labels and ids do not teach; of several labels of one id the largest counts; equal texts count once.
+    Null labels and ids do not teach; of several labels of one id, or of equal texts, the largest counts; equal texts count once.
     """
     model = Model(character_model(docs, text_col))
     known = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).filter("i IS NOT NULL AND y IS NOT NULL").filter(fold_of(F.col("i")) != 1)
     known = known.groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(sample)
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(known), "i")  # `sample` rows at most
-    texts = texts.withColumn("h", F.xxhash64("t")).dropDuplicates(["h"]).select("y", "t")
+    texts = texts.groupBy(F.sha2(F.col("t").cast("binary"), 256).alias("h")).agg(F.max("y").alias("y"), F.min("t").alias("t")).select("y", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[str]] = {}
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, 1 << 18):
+                if len(seen) > REMEMBERED:
+                    seen.clear()
                 words = [model.restored(x.decode("utf-8", "replace"), seen) for x in as_bytes(batch.column(1))]
                 family = [min((zlib.crc32(w.encode()) for w in ws), default=0) for ws in words]
                 shown = [sorted({f for w in ws for f in forms(w)}) for ws in words]
@@ -279,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score_rows(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, below: float | None = None) -> DataFrame:
-    """The columns `keep` of docs (all, if None) and `_score`; with `below`, only rows whose score is less. A null text counts as empty."""
+    """The columns `keep` of docs (all, if None) and `_score`; with `below`, only rows whose score is less, and no score. A null text counts as empty."""
     keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by `sample`
     kept = [docs.schema[c] for c in keep]
@@ -290,8 +294,8 @@ def score_rows(docs: DataFrame, model: Model, text_col: str = "text", keep: list
         m = shared.value
         known: dict[str, tuple[str, ...]] = {}
         for whole in batches:
-            for batch in slices(whole, at):
-                if len(known) > 200_000:
+            for batch in slices(whole, at, 1 << 20):
+                if len(known) > REMEMBERED:
                     known.clear()
                 scores = pa.array([m.score(x.decode("utf-8", "replace"), known) for x in as_bytes(batch.column(at))], pa.float64())
                 out = pa.RecordBatch.from_arrays([*batch.columns[: len(names)], scores], [*names, "_score"])
@@ -302,7 +306,7 @@ def score_rows(docs: DataFrame, model: Model, text_col: str = "text", keep: list
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kept, strict=True))
     rows = bound_batches(docs).select(*[F.col(c).alias(n) for n, c in zip(names, keep, strict=True)], *([] if at < len(keep) else [F.col(text_col).alias("t")]))
     out = rows.mapInArrow(run, f"{schema}{', ' if schema else ''}_score double")
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "_score")
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *(["_score"] if below is None else []))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -313,5 +317,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with all their columns."""
-    return score_rows(docs, fit(docs, labels), below=threshold).drop("_score")
+    """The rows of docs that are not predicted toxic, with all their columns, whatever their names."""
+    return score_rows(docs, fit(docs, labels), below=threshold)
