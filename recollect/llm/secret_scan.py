@@ -1,15 +1,20 @@
 """Secret scans with a randomness test battery, with DataFrame functions only.
 
-Patterns find assignments, access keys and long hexadecimal runs. Other tokens of an
-encoding's characters go through three tests of whether their symbols are drawn at
+Patterns find assignments, access keys and long hexadecimal runs. What else stands in runs of an
+encoding's characters goes through three tests of whether its symbols are drawn at
 random: chi-squared uniformity over the inferred alphabet, runs about its middle and
-serial correlation. Fisher's method joins the three; tokens whose randomness is rejected are
-text. Rejections are controlled for false discoveries in strata of encoding and
-length, and a token must be long enough for its encoding that text would have been rejected.
+serial correlation. Fisher's method joins the three into one p-value, which is uniform for random symbols
+and near zero for text. So in each stratum of encoding and length the flat part of the p-values tells
+how many tokens are random, and the cut is the least p-value down to which all but RATE of the
+reported tokens are: the false discoveries that are controlled are texts reported as secrets.
+
+The work on a text grows with its length, times the root of its number of spans.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,36 +25,81 @@ from .common import materialize
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # 20 characters or more; a shorter run cannot hold a longer match
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
-#: Alphabets by encoding: characters in order, what maps other spellings into it, and the least length at which the battery has power.
+#: Encodings in the order in which they are tried: the form of a token, its alphabet (lower case for either case), and the least length at which the battery tells text from random symbols.
 ENCODINGS = {
-    "hex": ("0123456789abcdef", 24),
-    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 24),
-    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 20),
+    "decimal": ("^[0-9]+$", "0123456789", 24),
+    "hex": ("^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 24),
+    "letters": ("^([a-z]+|[A-Z]+)$", "abcdefghijklmnopqrstuvwxyz", 48),
+    "base32": ("^[A-Z2-7]+=*$", "abcdefghijklmnopqrstuvwxyz234567", 24),
+    "base36": ("^([a-z0-9]+|[A-Z0-9]+)$", "0123456789abcdefghijklmnopqrstuvwxyz", 24),
+    "base64": ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 20),
 }
-#: False-discovery rate of the rejections, and bins of -ln p.
-RATE, BIN, BINS = 0.05, 0.125, 400
+#: Part of the reported tokens that may be text, the part of random tokens that may be lost to the tests, bins of -ln p, and the bins (p over a half, about) that only random tokens fill.
+RATE, LOST, BIN, BINS, FLAT = 0.05, 0.01, 0.125, 400, 5
+
+_SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: inside lambdas Spark computes an expression at each use."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda t, v: t + v)
+
+
+def running(numbers: Column) -> Column:
+    """Sums of all numbers before each one, by way of sums of blocks of about the root of their count."""
+
+    def within(block: Column, head: Column) -> Column:
+        return F.transform(block, lambda v, i: head + _sum(F.slice(block, 1, i)))
+
+    def over(blocks: Column) -> Column:
+        return _let(F.transform(blocks, _sum), lambda sums: F.flatten(F.transform(blocks, lambda b, k: _let(_sum(F.slice(sums, 1, k)), lambda head: within(b, head)))))
+
+    def cut(a: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(a).cast("double"))).cast("int"), F.lit(1))
+        return _let(width, lambda w: F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / w).cast("int") - 1), lambda k: F.slice(a, k * w + 1, w)))
 
+    return F.when(F.size(numbers) > 0, _let(numbers, lambda a: _let(cut(a), over))).otherwise(F.array().cast("array<int>"))
 
-def spans(text: Column, pattern: str, kind: str, group: int | None = None, least: int = 1) -> Column:
-    """Array of (start, rank, kind, end) in code points of the non-overlapping matches, leftmost first; with `group`, of those whose group has `least` characters."""
-    rank = KINDS.index(kind)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
+
+def pieces(text: Column, pattern: str, group: int | None = None, least: int = 1) -> Column:
+    """What a pattern matches, leftmost and non-overlapping, in a text: `found`, the parts `between` (one more), and `good`, whether the group has `least` characters. Null if nothing matches."""
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group or 0))
-    total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + F.length(x))
+    made = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"),
+        F.split(text, pattern, -1).alias("between"),
+        F.transform(inner, lambda x: F.length(x) >= least).alias("good"),
+    )
+    return F.when(F.rlike(text, F.lit(pattern)), made)
+
+
+def located(cut: Column, make: Callable[[Column, Column, Column], Column], kind: str) -> Column:
+    """make(start, end, token) of the good matches; an array of that type (`kind`), empty for null."""
+    none = F.array().cast(kind)
+    steps = F.zip_with(F.slice(cut["between"], 1, F.size(cut["found"])), cut["found"], lambda b, f: F.length(b) + F.length(f))
+
+    def spans(s: Column) -> Column:
+        every = F.transform(s["found"], lambda f, i: F.struct((s["at"][i] + F.length(s["between"][i])).alias("start"), f.alias("token"), s["good"][i].alias("good")))
+        return F.transform(F.filter(every, lambda x: x["good"]), lambda x: make(x["start"], x["start"] + F.length(x["token"]), x["token"]))
+
+    bound = F.struct(cut["found"].alias("found"), cut["between"].alias("between"), cut["good"].alias("good"), running(steps).alias("at"))
+    return F.when(cut.isNull(), none).otherwise(_let(bound, spans).cast(kind))
+
 
-    def one(whole: Column, i: Column) -> Column:
-        start = total(between, i + 1) + total(found, i)
-        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (start + F.length(whole)).alias("end"))
+def _span(kind: str) -> Callable[[Column, Column, Column], Column]:
+    return lambda start, end, token: F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
 
-    made = F.filter(F.transform(found, one), lambda s: s["start"].isNotNull())
-    if group is not None:
-        long = F.transform(inner, lambda x: F.length(x) >= least)
-        made = F.transform(F.filter(F.arrays_zip(made.alias("s"), long.alias("ok")), lambda z: z["ok"]), lambda z: z["s"])
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    return F.when(F.rlike(text, F.lit(pattern)), made).otherwise(none)
+
+def masked(text: Column, cut: Column) -> Column:
+    """The text with spaces for the good matches."""
+    hidden = F.zip_with(cut["found"], cut["good"], lambda f, g: F.when(g, F.repeat(F.lit(" "), F.length(f))).otherwise(f))
+    joined = F.array_join(F.zip_with(cut["between"], hidden, lambda b, f: F.concat(b, F.coalesce(f, F.lit("")))), "")
+    return F.when(cut.isNull(), text).otherwise(joined)
 
 
 def _normal_tail(z: Column) -> Column:
@@ -58,12 +108,11 @@ def _normal_tail(z: Column) -> Column:
 
 
 def _p_value(token: Column, encoding: Column) -> Column:
-    """Fisher's combination of the three tests' p-values; small if the token's symbols are not drawn at random."""
-    symbols = F.split(F.regexp_replace(F.translate(token, "-_", "+/"), "=+$", ""), "")
-    alphabet = F.element_at(F.create_map(*[F.lit(v) for k, (a, _) in ENCODINGS.items() for v in (k, a)]), encoding)
-    size = F.length(alphabet).cast("double")
-    hexed = F.when(encoding == "hex", F.transform(symbols, F.lower)).otherwise(symbols)
-    state = F.struct(F.transform(F.filter(hexed, lambda c: c != ""), lambda c: F.instr(alphabet, c).cast("double") - 1.0).alias("x"), size.alias("a"))
+    """Fisher's combination of the three tests' p-values; small if the token's symbols are not drawn at random. Null if it has no symbols."""
+    symbols = F.split(F.regexp_replace(F.translate(F.when(encoding == "base64", token).otherwise(F.lower(token)), "-_", "+/"), "=+$", ""), "")
+    alphabet = F.element_at(F.create_map(*[F.lit(v) for k, (_, a, _) in ENCODINGS.items() for v in (k, a)]), encoding)
+    place = _let(alphabet, lambda a: F.transform(F.filter(symbols, lambda c: c != ""), lambda c: F.instr(a, c).cast("double") - 1.0))
+    state = F.struct(place.alias("x"), F.length(alphabet).cast("double").alias("a"))
 
     def chi(s: Column) -> Column:
         n = F.size(s["x"]).cast("double")
@@ -90,56 +139,86 @@ def _p_value(token: Column, encoding: Column) -> Column:
 
     def joined(s: Column) -> Column:
         half = F.aggregate(F.array(chi(s), runs(s), serial(s)), F.lit(0.0), lambda t, p: t - F.ln(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-100))))
-        return F.transform(F.array(half), lambda h: F.exp(-h) * (1 + h + h * h / 2))[0]
+        return F.when(F.size(s["x"]) > 0, _let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2)))
 
-    return F.transform(F.array(state), joined)[0]
+    return _let(state, joined)
 
 
-def _tested(text: Column, base: Column) -> Column:
-    """Array of (start, rank, kind, end, encoding, stratum, bin) of candidates that touch no base span."""
-    free = F.filter(spans(text, CANDIDATE, "random"), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+_TESTED = "array<struct<start:int,rank:int,kind:string,end:int,encoding:string,stratum:int,bin:int>>"
 
-    def one(s: Column) -> Column:
-        token = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        encoding = F.when(F.rlike(token, F.lit("^([0-9a-f]+|[0-9A-F]+)$")), "hex").when(F.rlike(token, F.lit("^[A-Z2-7]+=*$")), "base32").otherwise("base64")
-        return F.transform(
-            F.array(F.struct(token.alias("t"), encoding.alias("e"))),
-            lambda x: F.struct(
-                *[s[c].alias(c) for c in ("start", "rank", "kind", "end")],
-                x["e"].alias("encoding"),
-                F.least(F.floor(F.log2(F.length(x["t"]).cast("double")) * 2), F.lit(40)).cast("int").alias("stratum"),
-                F.least(F.floor(-F.ln(F.greatest(_p_value(x["t"], x["e"]), F.lit(1e-60))) / BIN), F.lit(BINS)).cast("int").alias("bin"),
-            ),
-        )[0]
 
-    return F.transform(free, one)
+def _test(start: Column, end: Column, token: Column) -> Column:
+    """A candidate's encoding, stratum of length (two for each doubling) and bin of -ln p."""
+    encoding = F.lit("base64")
+    for name, (form, _, _) in reversed([*ENCODINGS.items()][:-1]):
+        encoding = F.when(F.rlike(token, F.lit(form)), name).otherwise(encoding)
 
+    def one(x: Column) -> Column:
+        p = F.coalesce(_p_value(x["t"], x["e"]), F.lit(0.0))
+        return F.struct(
+            start.alias("start"),
+            F.lit(KINDS.index("random")).alias("rank"),
+            F.lit("random").alias("kind"),
+            end.alias("end"),
+            x["e"].alias("encoding"),
+            F.least(F.floor(F.log2(F.length(x["t"]).cast("double")) * 2), F.lit(40)).cast("int").alias("stratum"),
+            F.least(F.floor(-F.ln(F.greatest(p, F.lit(1e-60))) / BIN), F.lit(BINS)).cast("int").alias("bin"),
+        )
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, rate: float = RATE) -> DataFrame:
-    """doc_id, base and found (arrays of (start, rank, kind, end), by start, then kind) of every row, and `carry` columns in a struct of that name. A null text counts as empty.
+    return _let(F.struct(token.alias("t"), encoding.alias("e")), one)
 
-    Found are base spans and tokens that pass the battery; the thresholds come from counts over all rows' tokens, one number for each stratum.
-    """
+
+def _scanned(rows: DataFrame) -> DataFrame:
+    """rows (with `text`) and their base spans and tested candidates, which are looked for outside base spans."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")).alias("carry"))
-    base = F.array_sort(F.concat(spans(text, ASSIGN, "assign", 2, 6), spans(text, ACCESS, "access"), spans(text, HEX, "hex")))
-    held = materialize(rows.withColumn("base", base).select("doc_id", "carry", "base", _tested(text, F.col("base")).alias("tested")))
-    bins = held.filter(F.size("tested") > 0).select(F.explode("tested").alias("x")).groupBy("x.encoding", "x.stratum", "x.bin").count()
+    names = rows.columns
+    cut = rows.withColumns({"_a": pieces(text, ASSIGN, 2, 6), "_b": pieces(text, ACCESS), "_h": pieces(text, HEX)})
+    cut = cut.withColumn("_m", masked(text, F.col("_a")))
+    cut = cut.withColumn("_o", pieces(F.col("_m"), f"{ACCESS}|{HEX}"))
+    cut = cut.withColumn("_m", masked(F.col("_m"), F.col("_o")))
+    cut = cut.withColumn("_c", pieces(F.col("_m"), CANDIDATE))
+    base = F.array_sort(F.concat(*[located(F.col(c), _span(k), _SPAN) for c, k in (("_a", "assign"), ("_b", "access"), ("_h", "hex"))]))
+    return cut.select(*names, base.alias("base"), located(F.col("_c"), _test, _TESTED).alias("tested"))
+
+
+def thresholds(bins: DataFrame, rate: float = RATE, lost: float = LOST) -> dict[tuple[str, int], int]:
+    """The last bin that is reported, by encoding and stratum, from counts of bins.
+
+    Random tokens, of which `FLAT` bins hold a known part, fill the bins evenly in p. A bin is in if what lies up to it has at most `rate` more tokens than
+    that explains, and its p-value is `lost` or more.
+    """
     stratum = Window.partitionBy("encoding", "stratum")
-    ranked = bins.withColumn("m", F.sum("count").over(stratum)).withColumn("k", F.sum("count").over(stratum.orderBy(F.desc("bin"))))
-    rejected = ranked.filter(F.exp(-F.col("bin") * BIN) <= rate * F.col("k") / F.col("m"))
-    cut = {(r.encoding, r.stratum): r.bin for r in rejected.groupBy("encoding", "stratum").agg(F.min("bin").alias("bin")).collect()}  # at most encodings times 41
-    limits = F.create_map(*[F.lit(v) for (e, s), b in cut.items() for v in (f"{e}:{s}", b)]) if cut else None
-    least = F.create_map(*[F.lit(v) for e, (_, n) in ENCODINGS.items() for v in (e, n)])
+    held = bins.filter(F.exp(-F.col("bin") * BIN) >= lost)
+    told = held.withColumn("random", (F.sum(F.when(F.col("bin") < FLAT, F.col("count")).otherwise(0)).over(stratum) + 1) / (1 - F.exp(F.lit(-FLAT * BIN)))).withColumn("all", F.sum("count").over(stratum.orderBy("bin")))
+    fit = told.filter(F.col("all") - F.col("random") * (1 - F.exp(-(F.col("bin") + 1) * BIN)) <= rate * F.col("all"))
+    return {(r.encoding, r.stratum): r.bin for r in fit.groupBy("encoding", "stratum").agg(F.max("bin").alias("bin")).collect()}  # at most encodings times 41
+
+
+def _counted(tested: DataFrame) -> DataFrame:
+    return tested.filter(F.size("tested") > 0).select(F.explode("tested").alias("x")).groupBy("x.encoding", "x.stratum", "x.bin").count()
+
+
+def _found(cuts: dict[tuple[str, int], int]) -> Column:
+    """Base spans and the candidates within the thresholds, by start, then kind."""
+    limits = F.create_map(*[F.lit(v) for (e, s), b in cuts.items() for v in (f"{e}:{s}", b)]) if cuts else F.create_map(F.lit(""), F.lit(-1))
+    least = F.create_map(*[F.lit(v) for e, (_, _, n) in ENCODINGS.items() for v in (e, n)])
 
     def random(x: Column) -> Column:
-        long = x["end"] - x["start"] >= F.element_at(least, x["encoding"])
-        if limits is None:
-            return long
-        return long & (x["bin"] < F.coalesce(F.try_element_at(limits, F.concat_ws(":", x["encoding"], x["stratum"].cast("string"))), F.lit(BINS + 1)))
+        limit = F.coalesce(F.try_element_at(limits, F.concat_ws(":", x["encoding"], x["stratum"].cast("string"))), F.lit(-1))
+        return (x["end"] - x["start"] >= F.element_at(least, x["encoding"])) & (x["bin"] <= limit)
 
     more = F.transform(F.filter("tested", random), lambda x: F.struct(*[x[c].alias(c) for c in ("start", "rank", "kind", "end")]))
-    return held.select("doc_id", "base", F.array_sort(F.concat("base", more)).alias("found"), *(["carry"] if carry else []))
+    return F.array_sort(F.concat("base", more))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
+    """doc_id, base and found (arrays of (start, rank, kind, end), by start, then kind) of every row. A null text counts as empty; other columns are left out.
+
+    Found are base spans and tokens that pass the battery; the thresholds come from counts over all rows' tokens, one number for each stratum.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    held = materialize(_scanned(rows).drop("text"))
+    return held.select("doc_id", "base", _found(thresholds(_counted(held), rate)).alias("found"))
 
 
 def listed(found: Column) -> Column:
@@ -152,29 +231,58 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return scan(docs, id_col, text_col).select("doc_id", *[number(k) for k in KINDS[:3]], F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
+def _replaced(text: Column, found: Column, mark: str) -> Column:
+    """The text with `mark` for each run of overlapping spans. Spans are cut in blocks, and a text into the blocks' parts, so that few cuts start from its beginning."""
+    reach = lambda block: F.array_max(F.transform(block, lambda s: s["end"]))
+
+    def blocks(a: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(a).cast("double"))).cast("int"), F.lit(1))
+        return _let(width, lambda w: F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / w).cast("int") - 1), lambda k: F.slice(a, k * w + 1, w)))
+
+    def part(block: Column, before: Column, until: Column) -> Column:
+        """From the block's first start to the next block's; `before` is how far earlier spans reach."""
+        begin = block[0]["start"]
+
+        def piece(body: Column, s: Column, i: Column) -> Column:
+            # running reach of the spans so far is at most a block's length of work
+            covered = F.greatest(before, F.coalesce(reach(F.slice(block, 1, i)), F.lit(0)))
+            after = F.greatest(covered, s["end"])
+            following = F.when(i + 1 < F.size(block), F.get(block, i + 1)["start"]).otherwise(until)
+            gap = F.substring(body, after - begin + 1, F.greatest(following - after, F.lit(0)))
+            return F.concat(F.when((s["start"] >= covered) | (covered == 0), F.lit(mark)).otherwise(F.lit("")), gap)
+
+        return _let(F.substring(text, begin + 1, until - begin), lambda body: F.array_join(F.transform(block, lambda s, i: piece(body, s, i)), ""))
+
+    def whole(bs: Column) -> Column:
+        reaches = F.transform(bs, reach)
+
+        def made(s: Column) -> Column:
+            ends = lambda k: F.coalesce(F.array_max(F.slice(s["r"], 1, k)), F.lit(0))
+            until = lambda k: F.when(k + 1 < F.size(bs), F.get(bs, k + 1)[0]["start"]).otherwise(s["n"])
+            return F.concat(F.substring(text, F.lit(1), bs[0][0]["start"]), F.array_join(F.transform(bs, lambda b, k: part(b, ends(k), until(k))), ""))
+
+        return _let(F.struct(reaches.alias("r"), F.length(text).alias("n")), made)
+
+    return F.when(F.size(found) > 0, _let(found, lambda a: _let(blocks(a), whole))).otherwise(text)
+
+
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every found span replaced by `mark`, overlapping ones together, and n_chars, if there, set anew. No row is dropped; a null text stays null."""
+    """docs with every found span replaced by `mark`, overlapping ones together, and n_chars, if there, set anew. No row is dropped; a null text stays null.
+
+    The rows are scanned twice, for the thresholds and for the texts, and never stored.
+    """
+    cuts = thresholds(_counted(_scanned(docs.select(F.col(text_col).alias("text"))).select("tested")))
     names = docs.columns
     packed = [f"c{i}" for i in range(len(names))]
-    rows = docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*[F.col(c).alias(p) for c, p in zip(names, packed, strict=True)]).alias("row"))
-    out = scan(rows, carry=["row"])
-    text = F.col(f"carry.row.{packed[names.index(text_col)]}")
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-
-    def step(s: Column, x: Column) -> Column:
-        joint = (x["start"] < s["at"]) & (s["at"] > 0)
-        gap = F.substring(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(joint, s["text"]).otherwise(F.concat(s["text"], gap, F.lit(mark))).alias("text"))
-
-    whole = F.aggregate("found", begin, step, lambda s: F.concat(s["text"], F.substring(text, s["at"] + 1, F.length(text))))
-    clean = F.when(F.size("found") > 0, whole).otherwise(text)
+    rows = docs.select(F.col(text_col).alias("text"), F.struct(*[F.col(c).alias(p) for c, p in zip(names, packed, strict=True)]).alias("row"))
+    clean = _scanned(rows).select("row", "text", _found(cuts).alias("found")).select("row", _replaced(F.col("text"), F.col("found"), mark).alias("clean"))
     kinds = {f.name: f.dataType for f in docs.schema}
 
     def column(i: int, name: str) -> Column:
         if name == text_col:
-            return clean.alias(name)
+            return F.col("clean").alias(name)
         if name == "n_chars":
-            return F.coalesce(F.length(clean), F.col(f"carry.row.{packed[i]}")).cast(kinds[name]).alias(name)
-        return F.col(f"carry.row.{packed[i]}").alias(name)
+            return F.coalesce(F.length("clean"), F.col(f"row.{packed[i]}")).cast(kinds[name]).alias(name)
+        return F.col(f"row.{packed[i]}").alias(name)
 
-    return out.select(*[column(i, n) for i, n in enumerate(names)])
+    return clean.select(*[column(i, n) for i, n in enumerate(names)])
