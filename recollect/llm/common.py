@@ -73,16 +73,28 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 
 class UnitCache:
-    """What an encoder gives for units that recur, such as words: a worker keeps it over batches and tasks, at most `limit` entries."""
+    """What an encoder gives for units that recur, such as words: a worker keeps it over batches and tasks.
 
-    def __init__(self, encode: Callable[[list[bytes]], Iterable], limit: int = 500_000):
-        self.encode, self.limit, self.known = encode, limit, {}
+    It holds about `limit` bytes; units over `longest` bytes are never kept.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], Iterable[bytes]], limit: int = 32 << 20, longest: int = 64):
+        self.encode, self.limit, self.longest, self.known, self.size = encode, limit, longest, {}, 0
+
+    def of(self, units: list[bytes]) -> list:
+        """The encoding of each unit."""
+        return [*map(self.prepare(units).__getitem__, units)]
 
     def prepare(self, units: Iterable[bytes]) -> dict:
         """A table that holds every one of these units."""
-        if len(self.known) > self.limit:
-            self.known = {}
-        new = [u for u in set(units) if u not in self.known]
-        if new:
-            self.known.update(zip(new, self.encode(new), strict=True))
-        return self.known
+        if self.size > self.limit:
+            self.known, self.size = {}, 0
+        distinct = set(units)
+        new = [u for u in distinct if u not in self.known]
+        made = [*self.encode(new)] if new else []
+        kept = {u: x for u, x in zip(new, made, strict=True) if len(u) <= self.longest}
+        self.known.update(kept)
+        self.size += sum(250 + len(u) + (len(x) if isinstance(x, bytes) else 0) for u, x in kept.items())  # with the table's own part
+        if len(kept) == len(new):
+            return self.known
+        return {u: self.known[u] for u in distinct if u in self.known} | dict(zip(new, made, strict=True))

@@ -1,7 +1,7 @@
 """Best-fit packing of token sequences, improved by swap-based local search.
 
 Only lengths move: documents are tokenised where they are read, and groups of
-about GROUP pieces, dealt by a hash of (document, piece), are packed apart from
+about GROUP pieces, dealt by a hash of document, piece and place, are packed apart from
 each other. A group's loss is at most about one sequence, so a corpus of any size packs
 as tightly as one group does, and no task grows with the input.
 """
@@ -18,92 +18,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnitCache, as_bytes, bound_batches, materialize, slices
+from .common import bound_batches, materialize, slices
+from .word_bpe import text_ids
 
 CAPACITY = 4096
 #: Pieces that one task packs; the number of groups follows the input.
 GROUP = 16_384
 END_ID = 1
 
-_caches: dict[str, UnitCache] = {}
-
-
-def _word_cache(tokenizer_file: str) -> UnitCache:
-    """Token ids (little-endian unsigned 32-bit) of chunks between ASCII white space.
-
-    The tokenizer never joins text over white space, so a document's ids are those of its chunks in order.
-    """
-    if tokenizer_file not in _caches:
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(tokenizer_file)
-        mark = "<|startoftext|>"
-        mark_id = tok.token_to_id(mark)
-
-        def ask(chunks: list[bytes]) -> list[bytes]:
-            out: list[bytes] = []
-            for i in range(0, len(chunks), 4000):
-                part = [c.decode("utf-8", "replace") for c in chunks[i : i + 4000]]
-                if any("<|" in c for c in part) or mark_id is None:
-                    out += [np.array(tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in part]
-                    continue
-                ids = np.array(tok.encode(mark.join(part), add_special_tokens=False).ids, "<u4")
-                cut = np.flatnonzero(ids == mark_id)
-                ends = np.append(cut, len(ids)).tolist()
-                at = 0
-                for e in ends:
-                    out.append(ids[at:e].tobytes())
-                    at = e + 1
-            return out
-
-        tail = dict(zip((b".", b","), ask([b".", b","]), strict=True))
-
-        def encode(chunks: list[bytes]) -> list[bytes]:
-            """ASCII case and one closing stop or comma after a letter do not change the ids of what stands before, so such chunks share their stem's ids."""
-            known = cache.known
-            stems = []
-            for c in chunks:
-                low = c.lower()
-                stems.append((low[:-1], tail[low[-1:]]) if low[-1:] in tail and 97 <= (low[-2:-1] or b"\0")[0] <= 122 else (low, b""))
-            new = list({s for s, _ in stems if s not in known})
-            found = dict(zip(new, ask(new), strict=True))
-            known.update(found)
-            return [known[s] + t for s, t in stems]
-
-        cache = UnitCache(encode, 900_000)
-        _caches[tokenizer_file] = cache
-    return _caches[tokenizer_file]
-
-
 def token_pieces(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids with END_ID behind, cut every `capacity` ids. A null text is an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _word_cache(tokenizer_file)
-        end = np.array([END_ID], "<u4").tobytes()
-        step = 4 * capacity
+        encoder = text_ids(tokenizer_file)
         for whole in batches:
             for batch in slices(whole, 1):
-                texts = [t.split() for t in as_bytes(batch.column(1))]
-                known = cache.prepare(w for t in texts for w in t)
-                rows, piece, start, length, crc = [], [], [], [], []
-                for i, words in enumerate(texts):
-                    ids = b"".join([*map(known.__getitem__, words), end])
-                    for k, at in enumerate(range(0, len(ids), step)):
-                        cut = ids[at : at + step]
-                        rows.append(i), piece.append(k), start.append(at // 4), length.append(len(cut) // 4), crc.append(zlib.crc32(cut))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                ids, edges = encoder.ids(batch.column(1), END_ID)
+                size = np.diff(edges)
+                parts = -(-size // capacity)
+                row = np.repeat(np.arange(len(size)), parts)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+                start = piece * capacity
+                length = np.minimum(size[row] - start, capacity)
+                at = 4 * (edges[row] + start)
+                raw = memoryview(ids.astype("<u4", copy=False).tobytes())
+                crc = [zlib.crc32(raw[b : b + n]) for b, n in zip(at.tolist(), (4 * length).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return bound_batches(docs).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return bound_batches(docs).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Best fit, longest first: each item goes to the fullest bin that holds it."""
+def best_fit(lengths: np.ndarray, capacity: int, order: np.ndarray | None = None) -> list[list[int]]:
+    """Best fit: each item, in `order` (longest first, if None), goes to the fullest bin that holds it."""
     bins: list[list[int]] = []
     free: list[list[int]] = [[] for _ in range(capacity + 1)]  # bins by what is left
     left: list[int] = []  # the values of free that hold bins, sorted
-    for i in np.argsort(-lengths, kind="stable").tolist():
+    for i in (np.argsort(-lengths, kind="stable") if order is None else order).tolist():
         n = int(lengths[i])
         k = bisect_left(left, n)
         if k < len(left):
@@ -250,13 +201,20 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> l
 
 
 def pack_group(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    return local_search(lengths, best_fit(lengths, capacity), capacity)
+    """Bins of items: best fit as the items come leaves slack, which the local search gathers until bins empty.
+
+    If it ends above the least possible number, it searches again from best fit with the longest first, and the fewer bins are taken, the first of equals.
+    """
+    bins = local_search(lengths, best_fit(lengths, capacity, np.arange(len(lengths))), capacity)
+    if len(bins) > -(-int(lengths.sum()) // capacity):
+        bins = min(bins, local_search(lengths, best_fit(lengths, capacity), capacity), key=len)
+    return bins
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to rows that have doc_id, piece and length (1 to `capacity`).
 
-    Repeated rows are packed as they come; an empty table gives an empty one. The rows are read twice, so they should be stored.
+    Repeated rows are packed as they come; an empty table gives an empty one. The rows are read twice and numbered as they lie, so they must be stored.
     """
     groups = max(1, -(-pieces.count() // group))
     schema = pieces.schema.simpleString()[len("struct<") : -1].replace(":", " ")
@@ -271,7 +229,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
             off[items] = np.cumsum(lengths[items]) - lengths[items]
         return pdf[names].assign(sequence_id=seq, offset=off)
 
-    dealt = pieces.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))  # repeated rows are dealt apart
     return dealt.groupBy("_g").applyInPandas(run, f"{schema}, sequence_id bigint, offset bigint")
 
 

@@ -15,8 +15,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from recollect.llm import ann, exact_dedup, langid, packing, secret_scan, sharding, simhash, toxicity, unigram
-from recollect.llm.common import load
+from recollect.llm import ann, exact_dedup, langid, packing, secret_scan, sharding, simhash, toxicity, unigram, word_bpe
+from recollect.llm.common import load, stage_table
 from recollect.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, fp int, k int, shard int, _g int"
@@ -30,7 +30,7 @@ def frame(spark, rows):
 def odd(spark):
     rng = np.random.default_rng(5)
     long = " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(6000))
-    rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "two words"), (6, "A b  c"), (7, "a B\tc"), (7, "a B\tc"), (8, long), (9, long + " end"), (10, long), (None, "one"), (11, "é ü 漢字 😀 ▁x"), (12, "x" * 700), (13, "password=abcdef1 token: zz")]
+    rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "two words"), (6, "A b  c"), (7, "a B\tc"), (7, "a B\tc"), (8, long), (9, long + " end"), (10, long), (None, "one"), (11, "é ü 漢字 😀 ▁x"), (12, "x" * 700), (13, "password=abcdef1 token: zz"), (14, "<|STARTOFTEXT|> x"), (15, "a<|EndOfText|>b Big"), (16, "<|endoftext|>y Z <| |>"), (17, "don't we'LL É ﬁ ß. İ ΟΔΟΣ a,b U.S.A. é \x7f\x1c \x85 3.14%%,")]
     return frame(spark, rows), rows
 
 
@@ -198,6 +198,28 @@ def test_packing(docs, odd):
         assert len(bins) <= least + (len(rows) // group) + 1
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("abehnstAÉéß.,' \n1<|>\u0301İſ"), st.characters(codec="utf-8", exclude_categories=["Cs"])), max_size=40), min_size=1, max_size=5))
+def test_text_ids_are_the_tokenizers(texts):
+    import pyarrow as pa
+
+    encoder = word_bpe.text_ids(tokenizer_path("word_bpe_49k.json"))
+    ids, at = encoder.ids(pa.array(texts), 1)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [[*encoder.tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_exchanges_empty_bins_on_the_registered_path(docs):
+    import pyarrow as pa
+
+    encoder = word_bpe.text_ids(tokenizer_path("word_bpe_49k.json"))
+    _, at = encoder.ids(pa.array(list(docs[1].values())), 1)
+    lengths = np.minimum(np.diff(at), 900)
+    start = packing.best_fit(lengths, 900, np.arange(len(lengths)))
+    done = packing.local_search(lengths, start, 900)
+    squares = [sum(int(lengths[b].sum()) ** 2 for b in bins) for bins in (start, done)]
+    assert len(done) < len(start) and squares[1] > squares[0] and len(packing.pack_group(lengths, 900)) <= len(done)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=60))
 def test_local_search_keeps_items_and_never_adds_bins(lengths):
@@ -310,9 +332,28 @@ def brute(x, ids, q, k=5):
     return [int(ids[j]) for j in np.lexsort((ids, -s))[:k]]
 
 
-def test_ann_recall(spark):
+@pytest.mark.parametrize("rows", [500, 2000, 16_384, 50_000])
+def test_ann_recall(rows):
+    """With the production parameters, over vectors without structure, in one block or several, as `nearest` deals them."""
+    rng = np.random.default_rng(rows)
+    x, ids = rng.normal(size=(rows, 64)), np.arange(rows)
+    pivots = x[rng.choice(rows, min(rows, ann.PIVOTS), replace=False)]
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    order = np.argsort(-(x @ pivots.T) / np.linalg.norm(x, axis=1, keepdims=True), axis=1, kind="stable")[:, : ann.DEPTH]
+    asked = ids[ids % 50 == 0][:100]
+    found = collections.defaultdict(list)
+    blocks = -(-rows // ann.BLOCK)
+    for b in range(blocks):
+        own = ids[ids % blocks == b]
+        for q, i, score in ann.search_block(own, x[own], order[own], asked, x[asked], order[asked], len(pivots), 5):
+            found[q].append((-score, i))
+    hits = sum(len({i for _, i in sorted(found[q])[:5]} & set(brute(x, ids, q))) for q in asked.tolist())
+    assert hits >= 0.93 * 5 * len(asked)
+
+
+def test_ann_query_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    out = ann.nearest(df, F.col("vec_id") % 50 == 0, block=700).toPandas()
+    out = ann.nearest(df, F.col("vec_id") % 50 == 0).toPandas()
     pdf = df.toPandas()
     x, ids = np.stack(pdf.embedding).astype(float), pdf.vec_id.to_numpy()
     asked = [i for i in ids if i % 50 == 0]
@@ -320,6 +361,13 @@ def test_ann_recall(spark):
     assert hits >= 0.9 * 5 * len(asked) and len(out) == 5 * len(asked)
 
 
+def test_ann_repeated_rows_large_components_and_clashing_columns(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 9.0]), (1, [1e200, 1e200]), (1, [1e200, 1e200]), (2, [0.0, 3e-200]), (3, [-1e300, 1e-300])]
+    df = spark.createDataFrame([(i, v, 7, 8, 9, "x") for i, v in rows], "vec_id long, embedding array<double>, v int, i int, _b int, order string")
+    got = [(r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 2, 1.0), (0, 2, 1, 0.707107), (0, 3, 3, 0.0)]  # the least of the vectors with id 0 is [0, 9]
+
+
 def test_ann_odd_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [None, 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (50, [2.0, 2.0])]
@@ -456,13 +504,13 @@ def test_empty_tables(spark):
 def test_pipeline(spark, sf):
     import corpus_pipeline as cp
 
-    docs = load(spark, sf, "documents").cache()
+    docs = load(spark, sf, "documents")
     assert [n for n, _ in cp.STAGES] == ["toxicity", "exact_dedup", "simhash", "secret_scan", "packing"]
     now = docs
     for name, stage in cp.STAGES[:-1]:
         after = stage(spark, now, sf)
         assert after.columns == docs.columns and after.count() <= now.count()
-        now = after.cache()
+        now = stage_table(after)
     ids = {r.doc_id for r in now.select("doc_id").collect()}
     assert {r.doc_id for r in cp.run(spark, sf).select("doc_id").collect()} == ids
     texts = {r.doc_id: r.text for r in now.collect()}
