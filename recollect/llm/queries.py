@@ -40,7 +40,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unigram.encode(load(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ids=False)
+    return unigram.encode(load(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -307,7 +307,7 @@ def encoder(model_file: str) -> Encoder:
 def _cache(model_file: str, kind: str) -> UnitCache:
     if (model_file, kind) not in _caches:
         work = encoder(model_file).encode_units if kind == "ids" else Counter(Vocabulary.load(model_file)).count_units
-        _caches[model_file, kind] = UnitCache(lambda units: work([marked(u) for u in units]))
+        _caches[model_file, kind] = UnitCache(lambda units: work([marked(u) for u in units]), 128 << 20)
     return _caches[model_file, kind]
 
 
@@ -327,7 +327,8 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
                 coded = [b"".join(map(known.__getitem__, us)) for us in split]
                 columns = [batch.column(0), pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array([zlib.crc32(c) for c in coded], pa.int64()), pa.array([decode(c) == t.replace(MARK, b" ") for c, t in zip(coded, texts, strict=True)], pa.bool_())]
                 if ids:
-                    columns.append(pa.array([np.frombuffer(c, "<i4") for c in coded], pa.list_(pa.int32())))
+                    edges = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(coded), "<i4").astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_ids", "ids_crc32", "round_trip", "ids"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
