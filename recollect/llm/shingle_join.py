@@ -1,9 +1,12 @@
-"""Near copies by exact Jaccard similarity of word shingles: every pair at or above 0.8 is found.
+"""Near copies: texts whose sets of five-word shingles have Jaccard similarity 0.8 or more.
 
-Two sets that similar share one of the first fifth of their shingles under any common
-order (prefix filter). So each text posts that prefix, an equality join of the postings
-proposes pairs, and the whole sets decide. Shingles common in a sample of the texts
-come last in the order; that only saves work. Texts with the same set are one node.
+Two searches propose pairs, and the whole sets decide. SimHash (`simhash.links`) proposes texts
+whose fingerprints differ by two bits at most; sets of similarity 0.8 differ by ten on average, so
+it finds the nearest only. Bands of minima find the rest: a text is posted under BANDS keys, each of
+ROWS minima of its shingle hashes, and a pair at the threshold shares a key but for one in twenty million.
+
+Only what joins components counts, so no group is compared all against all: its texts
+meet a few centres first, then only those that are still apart meet each other. Texts with the same set are one node.
 """
 
 from __future__ import annotations
@@ -13,29 +16,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, bound_batches, materialize, slices, stage_table
-from .simhash import _LOWER, _SPACE, SEED, components, hash_spans
+from .simhash import _LOWER, _SPACE, SEED, components, fingerprint_texts, hash_spans, links
 
 WORDS = 5
-#: Nodes that share a shingle beyond which only neighbours in size are compared at first; then those of different components.
-CROWD = 16
-#: Texts whose shingles are counted to find the common ones, in how many of them one is common, and how many are remembered.
-SAMPLE, COMMON, MOST = 4096, 4, 200_000
-
+#: Of a pair at 0.8 a band's minima agree with chance 0.8 ** ROWS; that all bands miss it has chance 5e-8.
+BANDS, ROWS = 32, 4
+#: Texts of a group that all its texts are compared with first, and how many they must be for more than one of them.
+CENTRES, CROWD = 4, 16
 #: Bits of the fixed filter that picks texts before their sets are made again.
 SLOTS = 1 << 21
 
 # similar: |A & B| / |A | B| >= 4/5, so 9 |A & B| >= 4 (|A| + |B|)
 _SIZES = "5 * least(sa, sb) >= 4 * greatest(sa, sb)"
-# of the set whose prefix ends first only what stands behind the prefix can be common beyond the c shared places
-_MAY = "9 * (c + greatest((4 * sa + 4) div 5, (4 * sb + 4) div 5) - 1) >= 4 * (sa + sb)"
 
 
-def shingle_sets(texts: list[bytes], common: np.ndarray, words: int = WORDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of each text, common ones behind, and where each text's begin and end. A text of fewer words is one shingle; one of none has none."""
+def shingle_sets(texts: list[bytes], words: int = WORDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text, sorted, and where each text's begin and end. A text of fewer words is one shingle; one of none has none."""
     none = np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
     if not texts:
         return none
@@ -59,10 +59,7 @@ def shingle_sets(texts: list[bytes], common: np.ndarray, words: int = WORDS, see
     begin, last = np.concatenate([head, first[few]]), np.concatenate([head + w, first[few] + count[few] - 1])
     h = hash_spans(flat, at[begin], at[last] + size[last] - at[begin], seed).view(np.int64)
     doc = of[begin]
-    late = np.zeros(len(h), bool)
-    if len(common):
-        late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
-    order = np.lexsort((h, late, doc))
+    order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
@@ -70,93 +67,121 @@ def shingle_sets(texts: list[bytes], common: np.ndarray, words: int = WORDS, see
     return h, np.searchsorted(doc, np.arange(len(texts) + 1))
 
 
+def band_keys(h: np.ndarray, at: np.ndarray, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> np.ndarray:
+    """The key of each band of each set; sets without shingles have zeros. Each minimum is over a permutation of all 64-bit hashes."""
+    made = np.random.default_rng(seed).integers(0, 2**64, (2, bands * rows + 1), np.uint64)
+    mask, times = made[0], made[1] | np.uint64(1)
+    some = np.flatnonzero(np.diff(at))
+    out = np.zeros((len(at) - 1, bands), np.uint64)
+    if not len(some):
+        return out.view(np.int64)
+    raw, begin = h.view(np.uint64), at[:-1][some]
+    for b in range(bands):
+        key = np.full(len(some), b, np.uint64)
+        for j in range(b * rows, b * rows + rows):
+            least = np.minimum.reduceat((raw ^ mask[j]) * times[j], begin)
+            key = (key ^ least) * times[-1]
+            key ^= key >> np.uint64(31)
+        out[some, b] = key
+    return out.view(np.int64)
+
+
 def _slot(id_col: str) -> Column:
     return F.pmod(F.xxhash64(id_col), F.lit(SLOTS))
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, common: np.ndarray, whole: bool, picked: np.ndarray | None = None) -> DataFrame:
-    """doc_id, node (digest of the set), size, and the shingles: all or the prefix. `picked` tells which slots of ids are wanted."""
+def _digest(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(h[b:e].tobytes(), SEED) if e > b else 0 for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.uint64).view(np.int64)
+
+
+def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, node (digest of the set), size, fp (the SimHash fingerprint of five-word shingles), and the keys of the bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for large in batches:
-            if picked is not None:
-                large = large.filter(pa.array(picked[large.column(2).to_numpy()]))
             for batch in slices(large, 1, 1 << 20):
-                h, at = shingle_sets(as_bytes(batch.column(1)), common)
-                size = np.diff(at)
-                node = np.array([xxhash.xxh64_intdigest(h[b:e].tobytes(), SEED) if e > b else 0 for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.uint64).view(np.int64)
-                if whole:
-                    cut = at
-                else:
-                    kept = np.where(size > 0, size - (4 * size + 4) // 5 + 1, 0)
-                    h = h[np.arange(len(h)) - np.repeat(at[:-1], size) < np.repeat(kept, size)]
-                    cut = np.concatenate([[0], np.cumsum(kept)])
-                shingles = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h, pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(size, pa.int64()), shingles], ["doc_id", "node", "size", "shingles"])
+                texts = as_bytes(batch.column(1))
+                h, at = shingle_sets(texts)
+                keys = band_keys(h, at)
+                posts = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
+                fp = fingerprint_texts(texts, WORDS).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_digest(h, at)), pa.array(np.diff(at), pa.int64()), pa.array(fp), posts], ["doc_id", "node", "size", "fp", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return bound_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), _slot(id_col).alias("slot")).mapInArrow(run, f"doc_id {kind}, node bigint, size bigint, shingles array<bigint>")
-
+    return bound_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, node bigint, size bigint, fp bigint, keys array<bigint>")
 
-def _common(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Hashes of shingles that recur in a sample of the texts, the most frequent MOST of them, sorted."""
-    share = max(1, docs.count() // SAMPLE)
-    some = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(share)) == 0)
-    found = _sets(some, id_col, text_col, np.zeros(0, np.int64), True).select(F.explode("shingles").alias("h")).groupBy("h").count().filter(F.col("count") >= COMMON)
-    return np.array(sorted(r.h for r in found.orderBy(F.desc("count"), "h").limit(MOST).collect()), np.int64)
 
+def _sets(docs: DataFrame, id_col: str, text_col: str, picked: np.ndarray) -> DataFrame:
+    """node, size and shingles of the rows whose id is in a slot that is `picked`."""
 
-def _pairs(rows: DataFrame, differ: str = "true", unseen: str = "0") -> DataFrame:
-    """Pairs (a, b), a < b, that share shingles and may be similar by their sizes and how many they share, of which `unseen` at most are not in rows."""
-    left, right = (rows.select("h", F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("label").alias(f"l{x}"), F.col("hot").alias(f"h{x}")) for x in "ab")
-    shared = left.join(right, "h").filter(f"a < b AND {differ} AND {_SIZES}").groupBy("a", "b", "sa", "sb", "ha", "hb").agg(F.count("*").alias("c"))
-    return shared.withColumn("c", F.expr(f"c + {unseen}")).filter(_MAY).select("a", "b")
-
-
-def similar_links(docs: DataFrame, prints: DataFrame, common: np.ndarray, id_col: str, text_col: str, crowd: int = CROWD) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for large in batches:
+            large = large.filter(pa.array(picked[large.column(1).to_numpy()]))
+            for batch in slices(large, 0, 1 << 20):
+                h, at = shingle_sets(as_bytes(batch.column(0)))
+                yield pa.RecordBatch.from_arrays([pa.array(_digest(h, at)), pa.array(np.diff(at), pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h, pa.int64()))], ["node", "size", "shingles"])
+
+    return bound_batches(docs).select(F.col(text_col).alias("t"), _slot(id_col).alias("slot")).mapInArrow(run, "node bigint, size bigint, shingles array<bigint>")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets are similar. Only texts of those nodes are read into sets again."""
+    wanted = pairs.selectExpr("explode(array(a, b)) AS node").distinct()
+    ids = materialize(nodes.select("node", "least").join(wanted, "node"))
+    picked = np.zeros(SLOTS, bool)
+    bits = ids.select(_slot("least").alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("bits"))
+    for r in bits.collect():  # SLOTS bits at most
+        own = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
+        at = np.flatnonzero(own) + (r.n - 1) * len(own) + 1  # buckets count from one, and begin at one
+        picked[at[(at >= 0) & (at < SLOTS)]] = True
+        picked[0] = True
+    found = _sets(docs, id_col, text_col, picked).join(ids, "node", "left_semi").dropDuplicates(["node"])
+    sets = stage_table(found)
+    x = sets.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("shingles").alias("y"))
+    return materialize(pairs.join(x, "a").join(y, "b").filter("9 * size(array_intersect(x, y)) >= 4 * (sa + sb)").select("a", "b"))
+
+
+def _near_fingerprints(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes by SimHash: those of one fingerprint with its first, and the first ones of fingerprints within two bits."""
+    firsts = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    one = nodes.select("fp", "node").join(firsts, "fp").selectExpr("first AS a", "node AS b")
+    near = links(firsts.select("fp"))
+    x, y = firsts.selectExpr("fp AS a", "first AS x"), firsts.selectExpr("fp AS b", "first AS y")
+    return one.unionByName(near.join(x, "a").join(y, "b").selectExpr("x AS a", "y AS b"))
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, id_col: str, text_col: str, centres: int = CENTRES, crowd: int = CROWD) -> DataFrame:
     """Links (a, b), a < b, between nodes of similarity 0.8 or more. They connect all that such pairs connect."""
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs)
-        nodes = pairs.selectExpr("explode(array(a, b)) AS node").distinct()
-        ids = materialize(prints.select("doc_id", "node").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("least")))
-        picked = np.zeros(SLOTS, bool)
-        bits = ids.select(_slot("least").alias("s")).groupBy(F.expr("bitmap_bucket_number(s)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(s))").alias("bits"))
-        for r in bits.collect():
-            own = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
-            at = np.flatnonzero(own) + (r.n - 1) * len(own) + 1  # buckets count from one, and begin at one
-            picked[at[(at >= 0) & (at < SLOTS)]] = True
-            picked[0] = True
-        found = _sets(docs, id_col, text_col, common, True, picked).drop("doc_id")
-        sets = stage_table(found.join(nodes, "node", "left_semi"))
-        x = sets.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("shingles").alias("x"))
-        y = sets.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("shingles").alias("y"))
-        return materialize(pairs.join(x, "a").join(y, "b").filter("9 * size(array_intersect(x, y)) >= 4 * (sa + sb)").select("a", "b").distinct())
-
-    posted = prints.filter("size > 0").select("node", "size", F.explode("shingles").alias("h"))
-    shared = materialize(posted.withColumn("n", F.count("*").over(Window.partitionBy("h"))).filter("n > 1").dropDuplicates(["h", "node"]))
-    hot = shared.filter(F.col("n") > crowd)
-    if hot.isEmpty():
-        return similar(_pairs(shared.selectExpr("h", "node", "size", "node AS label", "0L AS hot")))
-    marks = hot.groupBy("node").agg(F.count("*").alias("hot"))
-    calm = shared.filter(F.col("n") <= crowd).join(marks, "node", "left").selectExpr("h", "node", "size", "node AS label", "coalesce(hot, 0L) AS hot")
-    by_size = Window.partitionBy("h").orderBy("size", "node")
-    beside = hot.select(F.col("node").alias("x"), "size", F.lag("node").over(by_size).alias("y")).filter("y IS NOT NULL").groupBy("x", "y", "size").count().filter("20 * count >= size").selectExpr("least(x, y) AS a", "greatest(x, y) AS b")
-    near = similar(_pairs(calm, unseen="least(ha, hb)").unionByName(beside).distinct())
+    posted = prints.join(nodes.select(F.col("node").alias("own"), "least"), F.col("node").eqNullSafe(F.col("own")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "size", F.explode("keys").alias("k"))
+    order = lambda j: F.expr(f"min_by(struct(node, size), xxhash64(node, {j}))")
+    middle = posted.groupBy("k").agg(F.count("*").alias("n"), *[order(j).alias(f"c{j}") for j in range(centres)]).filter("n > 1")
+    middle = middle.select("k", F.expr(f"IF(n > {crowd}, array({', '.join(f'c{j}' for j in range(centres))}), array(c0)) AS centres"))
+    shared = materialize(posted.join(middle, "k"))
+    least = ["least(a, b) AS a", "greatest(a, b) AS b"]
+    first = shared.selectExpr("node AS a", "size AS sa", "explode(centres) AS c").selectExpr("a", "c.node AS b", "sa", "c.size AS sb").filter(_SIZES).select("a", "b")
+    tried = materialize(first.unionByName(_near_fingerprints(nodes)).filter("a <> b").selectExpr(*least).distinct())
+    near = _verified(tried, nodes, docs, id_col, text_col)
     labels = components(near)
-    told = materialize(shared.join(labels, "node", "left").selectExpr("h", "node", "size", "coalesce(label, node) AS label", "0L AS hot"))
-    mixed = told.groupBy("h").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m").select("h")
-    return near.unionByName(similar(_pairs(told.join(mixed, "h", "left_semi"), "la <> lb"))).distinct()
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+    told = shared.select("k", "node", "size").join(labels, "node", "left").selectExpr("k", "node", "size", "coalesce(label, node) AS label")
+    apart = told.groupBy("k").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m").select("k")
+    rest = materialize(told.join(apart, "k", "left_semi"))
+    left, right = (rest.select("k", F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
+    more = left.join(right, "k").filter(f"a < b AND la <> lb AND {_SIZES}").select("a", "b").distinct()
+    more = materialize(more.join(tried, ["a", "b"], "left_anti"))
+    if more.isEmpty():
+        return near
+    return near.unionByName(_verified(more, nodes, docs, id_col, text_col)).distinct()
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", centres: int = CENTRES, crowd: int = CROWD) -> DataFrame:
     """The rows of docs of which each component of similar texts keeps its smallest id; rows that share an id are one document, and rows without id stay.
 
     The text is read several times, so docs should be stored. Null and texts without words are alike.
     """
-    common = _common(docs, id_col, text_col)
-    prints = stage_table(_sets(docs, id_col, text_col, common, False))
-    labels = components(similar_links(docs, prints, common, id_col, text_col, crowd))
+    prints = stage_table(_prints(docs, id_col, text_col))
+    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("fp").alias("fp")).filter("size > 0"))
+    labels = components(similar_links(docs, prints, nodes, id_col, text_col, centres, crowd))
     told = prints.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
     tops = told.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     gone = told.join(tops, "label").filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()

@@ -51,13 +51,36 @@ def edited():
     return rows
 
 
-@pytest.mark.parametrize("crowd", [16, 2])
-def test_near_copies_as_by_brute_force(spark, edited, crowd, monkeypatch):
+@pytest.mark.parametrize(("centres", "crowd"), [(4, 16), (1, 16), (2, 2)])
+def test_near_copies_as_by_brute_force(spark, edited, centres, crowd):
     want = survivors(edited)
     assert 10 < len(want) < len(edited) - 10
-    for common in (8, 10**9):
-        monkeypatch.setattr(shingle_join, "COMMON", common)
-        assert {r.doc_id for r in shingle_join.drop_near_copies(frame(spark, edited), crowd=crowd).collect()} == want
+    assert {r.doc_id for r in shingle_join.drop_near_copies(frame(spark, edited), centres=centres, crowd=crowd).collect()} == want
+
+
+def test_crowds_whose_texts_are_near_but_not_to_every_centre(spark):
+    """Each of 80 texts differs from a base by a tenth of its words: some pairs are at 0.8, most are not."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(80):
+        words = list(base)
+        at = int(rng.integers(0, 180))
+        words[at : at + 14] = [f"v{i}x{k}" for k in range(14)]
+        rows.append((i, " ".join(words)))
+    for centres in (1, 4):
+        assert {r.doc_id for r in shingle_join.drop_near_copies(frame(spark, rows), centres=centres).collect()} == survivors(rows)
+
+
+def test_bands_meet_at_the_threshold():
+    rng = np.random.default_rng(11)
+    missed = 0
+    for _ in range(300):
+        both, one, other = (np.unique(rng.integers(-(2**63), 2**63, n)) for n in (160, 20, 20))
+        x, y = np.sort(np.concatenate([both, one])), np.sort(np.concatenate([both, other]))
+        keys = shingle_join.band_keys(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))
+        missed += not (keys[0] == keys[1]).any()
+    assert missed == 0
 
 
 def test_stage_drops_copies_that_differ_by_many_bits(spark, edited):
