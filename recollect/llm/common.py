@@ -22,6 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="recollect-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)

@@ -14,6 +14,8 @@ The work on a text grows with its length, times the root of its number of spans.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,13 +27,13 @@ from .common import materialize
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # 20 characters or more; a shorter run cannot hold a longer match
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 #: Encodings in the order in which they are tried: the form of a token, its alphabet (lower case for either case), and the least length at which the battery tells text from random symbols.
 ENCODINGS = {
     "decimal": ("^[0-9]+$", "0123456789", 24),
     "hex": ("^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 24),
-    "letters": ("^([a-z]+|[A-Z]+)$", "abcdefghijklmnopqrstuvwxyz", 48),
+    "letters": ("^([A-Z]?[a-z]+|[A-Z]+)$", "abcdefghijklmnopqrstuvwxyz", 48),
     "base32": ("^[A-Z2-7]+=*$", "abcdefghijklmnopqrstuvwxyz234567", 24),
     "base36": ("^([a-z0-9]+|[A-Z0-9]+)$", "0123456789abcdefghijklmnopqrstuvwxyz", 24),
     "base64": ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 20),
@@ -39,6 +41,9 @@ ENCODINGS = {
 #: Part of the reported tokens that may be text, the part of random tokens that may be lost to the tests, bins of -ln p, and the bins (p over a half, about) that only random tokens fill.
 RATE, LOST, BIN, BINS, FLAT = 0.05, 0.01, 0.125, 400, 5
 
+#: Tokens that are as long as their encoding needs.
+_WORTH = "^(?!(?:[A-Z]?[a-z]{1,47}|[A-Z]{1,47}|[a-z0-9]{1,23}|[A-Z0-9]{1,23}=*)$)"
+
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -68,12 +73,11 @@ def running(numbers: Column) -> Column:
 
 
 def pieces(text: Column, pattern: str, group: int | None = None, least: int = 1) -> Column:
-    """What a pattern matches, leftmost and non-overlapping, in a text: `found`, the parts `between` (one more), and `good`, whether the group has `least` characters. Null if nothing matches."""
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group or 0))
+    """What a pattern matches, leftmost and non-overlapping, in a text: `found`, the parts `between` (one more), and, with a group, `good`, whether that has `least` characters. Null if nothing matches."""
     made = F.struct(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"),
         F.split(text, pattern, -1).alias("between"),
-        F.transform(inner, lambda x: F.length(x) >= least).alias("good"),
+        (F.lit(None).cast("array<boolean>") if group is None else F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.length(x) >= least)).alias("good"),
     )
     return F.when(F.rlike(text, F.lit(pattern)), made)
 
@@ -84,7 +88,7 @@ def located(cut: Column, make: Callable[[Column, Column, Column], Column], kind:
     steps = F.zip_with(F.slice(cut["between"], 1, F.size(cut["found"])), cut["found"], lambda b, f: F.length(b) + F.length(f))
 
     def spans(s: Column) -> Column:
-        every = F.transform(s["found"], lambda f, i: F.struct((s["at"][i] + F.length(s["between"][i])).alias("start"), f.alias("token"), s["good"][i].alias("good")))
+        every = F.transform(s["found"], lambda f, i: F.struct((s["at"][i] + F.length(s["between"][i])).alias("start"), f.alias("token"), F.coalesce(F.get(s["good"], i), F.lit(True)).alias("good")))
         return F.transform(F.filter(every, lambda x: x["good"]), lambda x: make(x["start"], x["start"] + F.length(x["token"]), x["token"]))
 
     bound = F.struct(cut["found"].alias("found"), cut["between"].alias("between"), cut["good"].alias("good"), running(steps).alias("at"))
@@ -97,7 +101,8 @@ def _span(kind: str) -> Callable[[Column, Column, Column], Column]:
 
 def masked(text: Column, cut: Column) -> Column:
     """The text with spaces for the good matches."""
-    hidden = F.zip_with(cut["found"], cut["good"], lambda f, g: F.when(g, F.repeat(F.lit(" "), F.length(f))).otherwise(f))
+    good = F.coalesce(cut["good"], F.array().cast("array<boolean>"))
+    hidden = F.zip_with(cut["found"], good, lambda f, g: F.when(F.coalesce(g, F.lit(True)), F.repeat(F.lit(" "), F.length(f))).otherwise(f))
     joined = F.array_join(F.zip_with(cut["between"], hidden, lambda b, f: F.concat(b, F.coalesce(f, F.lit("")))), "")
     return F.when(cut.isNull(), text).otherwise(joined)
 
@@ -172,11 +177,12 @@ def _scanned(rows: DataFrame) -> DataFrame:
     """rows (with `text`) and their base spans and tested candidates, which are looked for outside base spans."""
     text = F.coalesce(F.col("text"), F.lit(""))
     names = rows.columns
-    cut = rows.withColumns({"_a": pieces(text, ASSIGN, 2, 6), "_b": pieces(text, ACCESS), "_h": pieces(text, HEX)})
+    named = reduce(or_, [F.contains(F.lower(text), F.lit(w)) for w in ("password", "passwd", "secret", "token", "apikey", "api_key")])  # a plain search is faster than the pattern, which decides
+    cut = rows.withColumns({"_a": F.when(named, pieces(text, ASSIGN, 2, 6)), "_b": pieces(text, ACCESS), "_h": pieces(text, HEX)})
     cut = cut.withColumn("_m", masked(text, F.col("_a")))
-    cut = cut.withColumn("_o", pieces(F.col("_m"), f"{ACCESS}|{HEX}"))
+    cut = cut.withColumn("_o", F.when(F.col("_b").isNotNull() | F.col("_h").isNotNull(), pieces(F.col("_m"), f"{ACCESS}|{HEX}")))
     cut = cut.withColumn("_m", masked(F.col("_m"), F.col("_o")))
-    cut = cut.withColumn("_c", pieces(F.col("_m"), CANDIDATE))
+    cut = cut.withColumn("_c", pieces(F.col("_m"), CANDIDATE)).withColumn("_c", F.when(F.col("_c").isNotNull(), F.col("_c").withField("good", F.transform(F.col("_c.found"), lambda x: F.rlike(x, F.lit(_WORTH))))))
     base = F.array_sort(F.concat(*[located(F.col(c), _span(k), _SPAN) for c, k in (("_a", "assign"), ("_b", "access"), ("_h", "hex"))]))
     return cut.select(*names, base.alias("base"), located(F.col("_c"), _test, _TESTED).alias("tested"))
 
