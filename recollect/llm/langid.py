@@ -20,6 +20,8 @@ from .common import as_bytes, bound_batches, fold_of, slices
 N = 4
 #: Labelled documents that each language's n-grams are learnt from, about: rows are taken by a hash of the id.
 SAMPLE = 3000
+#: Languages that are told apart at most: those with most labelled rows, the first names of equals.
+LANGUAGES = 256
 #: An n-gram enters a language's filter if it makes up this share of the language's n-grams, and this part of its largest share in any language.
 LEAST_SHARE, LEAST_PART = 2e-6, 0.25
 SLOT_BITS, HASHES = 20, 2
@@ -84,7 +86,7 @@ class LanguageFilter:
         return np.array([np.count_nonzero(mask[:, i // 64] & np.uint64(1 << (i % 64))) for i in range(len(self.languages))], float)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The language with the largest corrected count and its part of all; `und` without a letter. Ties go to the first name."""
+        """The language with the largest corrected count and its part of all; `und` without a letter. Ties go to the first name, also where no language holds any n-gram: then each has the same part."""
         if not text or not self.languages or not any(c.isalpha() for c in text):
             return "und", 0.0
         code = _grams(text)
@@ -98,12 +100,13 @@ class LanguageFilter:
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> LanguageFilter:
     """Learn from rows with text and language; of each language about `sample` rows, by a hash of the id.
 
-    What comes to the driver is bounded: at most 1 / LEAST_SHARE n-grams of a language.
+    What comes to the driver is bounded: at most 1 / LEAST_SHARE n-grams of each of LANGUAGES languages.
     """
     rows = train.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter("t IS NOT NULL AND l IS NOT NULL")
-    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
     if not sizes:
         return LanguageFilter.build({})
+    rows = rows.filter(F.col("l").isin(*sizes))
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))]), F.col("l"))
     taken = rows.filter(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share * (1 << 20)).select("l", "t")
 

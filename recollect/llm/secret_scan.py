@@ -47,29 +47,27 @@ _WORTH = "^(?!(?:[A-Z]?[a-z]{1,47}|[A-Z]{1,47}|[a-z0-9]{1,23}|[A-Z0-9]{1,23}=*)$
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once: inside lambdas Spark computes an expression at each use."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _sum(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda t, v: t + v)
 
 
-def running(numbers: Column) -> Column:
-    """Sums of all numbers before each one, by way of sums of blocks of about the root of their count."""
+def _blocks(array: Column, width: Column) -> Column:
+    """Slices of `width`, in order."""
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(array) / width).cast("int") - 1), lambda k: F.slice(array, k * width + 1, width))
 
-    def within(block: Column, head: Column) -> Column:
-        return F.transform(block, lambda v, i: head + _sum(F.slice(block, 1, i)))
 
-    def over(blocks: Column) -> Column:
-        return _let(F.transform(blocks, _sum), lambda sums: F.flatten(F.transform(blocks, lambda b, k: _let(_sum(F.slice(sums, 1, k)), lambda head: within(b, head)))))
+def _root(array: Column) -> Column:
+    return F.greatest(F.ceil(F.sqrt(F.size(array).cast("double"))).cast("int"), F.lit(1))
 
-    def cut(a: Column) -> Column:
-        width = F.greatest(F.ceil(F.sqrt(F.size(a).cast("double"))).cast("int"), F.lit(1))
-        return _let(width, lambda w: F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / w).cast("int") - 1), lambda k: F.slice(a, k * w + 1, w)))
 
-    return F.when(F.size(numbers) > 0, _let(numbers, lambda a: _let(cut(a), over))).otherwise(F.array().cast("array<int>"))
+def _stages(df: DataFrame, *steps: dict[str, Column]) -> DataFrame:
+    """df with the columns of each step, which may use those of the steps before. Inside one expression Spark would compute what lambdas share at each use, and nested lambdas make planning slow.
+
+    The optimizer puts a column's expression where the column is used once, be it in a lambda; so lambdas take arrays as their arguments, or a column is used twice.
+    """
+    for step in steps:
+        df = df.withColumns(step)
+    return df
 
 
 def pieces(text: Column, pattern: str, group: int | None = None, least: int = 1) -> Column:
@@ -82,21 +80,30 @@ def pieces(text: Column, pattern: str, group: int | None = None, least: int = 1)
     return F.when(F.rlike(text, F.lit(pattern)), made)
 
 
-def located(cut: Column, make: Callable[[Column, Column, Column], Column], kind: str) -> Column:
-    """make(start, end, token) of the good matches; an array of that type (`kind`), empty for null."""
-    none = F.array().cast(kind)
-    steps = F.zip_with(F.slice(cut["between"], 1, F.size(cut["found"])), cut["found"], lambda b, f: F.length(b) + F.length(f))
-
-    def spans(s: Column) -> Column:
-        every = F.transform(s["found"], lambda f, i: F.struct((s["at"][i] + F.length(s["between"][i])).alias("start"), f.alias("token"), F.coalesce(F.get(s["good"], i), F.lit(True)).alias("good")))
-        return F.transform(F.filter(every, lambda x: x["good"]), lambda x: make(x["start"], x["start"] + F.length(x["token"]), x["token"]))
-
-    bound = F.struct(cut["found"].alias("found"), cut["between"].alias("between"), cut["good"].alias("good"), running(steps).alias("at"))
-    return F.when(cut.isNull(), none).otherwise(_let(bound, spans).cast(kind))
+def located(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with a column `{name}_t` for each column of pieces: (start, end, token) of the good ones, null for null.
 
+    A start is the sum of all lengths before it, by way of sums of blocks of about the root of their number.
+    """
 
-def _span(kind: str) -> Callable[[Column, Column, Column], Column]:
-    return lambda start, end, token: F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
+    def each(make: Callable[[Callable[[str], Column]], Column], to: str) -> dict[str, Column]:
+        return {f"{n}{to}": make(lambda c, n=n: F.col(f"{n}{c}")) for n in names}
+
+    def spans(c: Callable[[str], Column]) -> Column:
+        found, between, good, at = c(".found"), c(".between"), c(".good"), c("_at")
+        every = F.transform(found, lambda f, i: F.struct((at[i] + F.length(between[i])).alias("start"), (at[i] + F.length(between[i]) + F.length(f)).alias("end"), f.alias("token"), F.coalesce(F.get(good, i), F.lit(True)).alias("good")))
+        return F.filter(every, lambda x: x["good"])
+
+    return _stages(
+        df,
+        each(lambda c: F.zip_with(F.slice(c(".between"), 1, F.size(c(".found"))), c(".found"), lambda b, f: F.length(b) + F.length(f)), "_n"),
+        each(lambda c: _root(c("_n")), "_w"),
+        each(lambda c: F.when(c("_n").isNotNull(), _blocks(c("_n"), c("_w"))), "_k"),
+        each(lambda c: F.transform(c("_k"), _sum), "_s"),
+        each(lambda c: F.transform(c("_s"), lambda _, i: _sum(F.slice(c("_s"), 1, i))), "_h"),
+        each(lambda c: F.flatten(F.zip_with(c("_k"), c("_h"), lambda b, h: F.transform(b, lambda _, j: h + _sum(F.slice(b, 1, j))))), "_at"),
+        each(spans, "_t"),
+    )
 
 
 def masked(text: Column, cut: Column) -> Column:
@@ -112,65 +119,72 @@ def _normal_tail(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(F.least(F.lit(600.0), 1.5976 * z + 0.070565992 * z * z * z)))
 
 
-def _p_value(token: Column, encoding: Column) -> Column:
-    """Fisher's combination of the three tests' p-values; small if the token's symbols are not drawn at random. Null if it has no symbols."""
-    symbols = F.split(F.regexp_replace(F.translate(F.when(encoding == "base64", token).otherwise(F.lower(token)), "-_", "+/"), "=+$", ""), "")
-    alphabet = F.element_at(F.create_map(*[F.lit(v) for k, (_, a, _) in ENCODINGS.items() for v in (k, a)]), encoding)
-    place = _let(alphabet, lambda a: F.transform(F.filter(symbols, lambda c: c != ""), lambda c: F.instr(a, c).cast("double") - 1.0))
-    state = F.struct(place.alias("x"), F.length(alphabet).cast("double").alias("a"))
+def _encoding(token: Column) -> Column:
+    out = F.lit("base64")
+    for name, (form, _, _) in reversed([*ENCODINGS.items()][:-1]):
+        out = F.when(F.rlike(token, F.lit(form)), name).otherwise(out)
+    return out
 
-    def chi(s: Column) -> Column:
-        n = F.size(s["x"]).cast("double")
-        squares = F.aggregate(F.array_distinct(s["x"]), F.lit(0.0), lambda t, v: t + F.pow(F.size(F.filter(s["x"], lambda y: y == v)).cast("double"), F.lit(2.0)))
-        return _normal_tail((s["a"] / n * squares - n - (s["a"] - 1)) / F.sqrt(2 * (s["a"] - 1) * (n - 1) / n))
 
-    def runs(s: Column) -> Column:
-        n = F.size(s["x"]).cast("double")
-        up = F.transform(s["x"], lambda v: v >= s["a"] / 2)
-        n1 = F.size(F.filter(up, lambda v: v)).cast("double")
-        n2 = n - n1
-        seen = F.aggregate(up, F.struct(F.lit(0.0).alias("r"), F.lit(None).cast("boolean").alias("last")), lambda t, v: F.struct((t["r"] + F.when(t["last"].eqNullSafe(v), 0.0).otherwise(1.0)).alias("r"), v.alias("last")), lambda t: t["r"])
-        mean, both = 2 * n1 * n2 / n + 1, 2 * n1 * n2
-        var = both * (both - n) / (n * n * (n - 1))
-        return F.when((n1 > 0) & (n2 > 0) & (var > 0), 2 * _normal_tail(F.abs(seen - mean) / F.sqrt(var))).otherwise(F.pow(F.lit(0.5), n - 1))
+def _chi(x: Column, a: Column) -> Column:
+    """The p-value of the symbols' counts."""
+    n = F.size(x).cast("double")
+    squares = F.aggregate(F.array_distinct(x), F.lit(0.0), lambda t, v: t + F.pow(F.size(F.filter(x, lambda y: y == v)).cast("double"), F.lit(2.0)))
+    return _normal_tail((a / n * squares - n - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n))
 
-    def serial(s: Column) -> Column:
-        n = F.size(s["x"]).cast("double")
-        mean = F.aggregate(s["x"], F.lit(0.0), lambda t, v: t + v) / n
-        centred = F.transform(s["x"], lambda v: v - mean)
-        power = F.aggregate(centred, F.lit(0.0), lambda t, v: t + v * v)
-        lag = F.aggregate(F.zip_with(F.slice(centred, 1, F.size(centred) - 1), F.slice(centred, 2, F.size(centred) - 1), lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
-        return F.when(power > 0, 2 * _normal_tail(F.abs(lag / power) * F.sqrt(n))).otherwise(0.0)
 
-    def joined(s: Column) -> Column:
-        half = F.aggregate(F.array(chi(s), runs(s), serial(s)), F.lit(0.0), lambda t, p: t - F.ln(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-100))))
-        return F.when(F.size(s["x"]) > 0, _let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2)))
+def _runs(up: Column) -> Column:
+    """The p-value of the number of runs above and below the middle."""
+    n = F.size(up).cast("double")
+    n1 = F.size(F.filter(up, lambda v: v)).cast("double")
+    changes = F.size(F.filter(F.zip_with(F.slice(up, 1, F.size(up) - 1), F.slice(up, 2, F.size(up) - 1), lambda p, q: p != q), lambda v: v))
+    both = 2 * n1 * (n - n1)
+    var = both * (both - n) / (n * n * (n - 1))
+    return F.when((n1 > 0) & (n1 < n) & (var > 0), 2 * _normal_tail(F.abs(1 + changes - both / n - 1) / F.sqrt(var))).otherwise(F.pow(F.lit(0.5), n - 1))
 
-    return _let(state, joined)
 
+def _serial(centred: Column) -> Column:
+    """The p-value of the correlation of neighbours."""
+    n = F.size(centred)
+    add = lambda v: F.aggregate(v, F.lit(0.0), lambda t, x: t + x)
+    power = add(F.transform(centred, lambda v: v * v))
+    lag = add(F.zip_with(F.slice(centred, 1, n - 1), F.slice(centred, 2, n - 1), lambda p, q: p * q))
+    return F.when(power > 0, 2 * _normal_tail(F.abs(lag / power) * F.sqrt(n.cast("double")))).otherwise(0.0)
 
-_TESTED = "array<struct<start:int,rank:int,kind:string,end:int,encoding:string,stratum:int,bin:int>>"
 
+_TESTED = "array<struct<start:int,rank:int,kind:string,end:int,encoding:string,stratum:int,bin:int>>"
 
-def _test(start: Column, end: Column, token: Column) -> Column:
-    """A candidate's encoding, stratum of length (two for each doubling) and bin of -ln p."""
-    encoding = F.lit("base64")
-    for name, (form, _, _) in reversed([*ENCODINGS.items()][:-1]):
-        encoding = F.when(F.rlike(token, F.lit(form)), name).otherwise(encoding)
 
-    def one(x: Column) -> Column:
-        p = F.coalesce(_p_value(x["t"], x["e"]), F.lit(0.0))
-        return F.struct(
-            start.alias("start"),
+def tested(df: DataFrame, tokens: str) -> DataFrame:
+    """df with `tested`: encoding, stratum of length (two for each doubling) and bin of -ln p of each of `tokens` (start, end, token). A token without symbols has the last bin."""
+    alphabets = F.create_map(*[F.lit(v) for k, (_, a, _) in ENCODINGS.items() for v in (k, a)])
+    keep = lambda x, *names: [x[n].alias(n) for n in ("start", "end", *names)]
+    symbols = lambda x: F.split(F.regexp_replace(F.translate(F.when(x["e"] == "base64", x["token"]).otherwise(F.lower(x["token"])), "-_", "+/"), "=+$", ""), "")
+    half = lambda x: -(F.ln(F.greatest(F.least(x["c"], F.lit(1.0)), F.lit(1e-100))) + F.ln(F.greatest(F.least(x["r"], F.lit(1.0)), F.lit(1e-100))) + F.ln(F.greatest(F.least(x["s"], F.lit(1.0)), F.lit(1e-100))))
+    out = _stages(
+        df,
+        {"_1": F.transform(tokens, lambda x: F.struct(*keep(x, "token"), _encoding(x["token"]).alias("e")))},
+        {"_2": F.transform("_1", lambda x: F.struct(*keep(x, "e"), F.length(x["token"]).alias("n"), F.filter(symbols(x), lambda c: c != "").alias("y"), F.element_at(alphabets, x["e"]).alias("a")))},
+        {"_3": F.transform("_2", lambda x: F.struct(*keep(x, "e", "n"), F.transform(x["y"], lambda c: F.instr(x["a"], c).cast("double") - 1.0).alias("x"), F.length(x["a"]).cast("double").alias("a")))},
+        {"_4": F.transform("_3", lambda x: F.struct(*keep(x, "e", "n", "x", "a"), (F.aggregate(x["x"], F.lit(0.0), lambda t, v: t + v) / F.size(x["x"])).alias("m")))},
+        {"_5": F.transform("_4", lambda x: F.struct(*keep(x, "e", "n", "x", "a"), F.transform(x["x"], lambda v: v >= x["a"] / 2).alias("up"), F.transform(x["x"], lambda v: v - x["m"]).alias("centred")))},
+        {"_6": F.transform("_5", lambda x: F.struct(*keep(x, "e", "n"), (F.size(x["x"]) > 0).alias("some"), _chi(x["x"], x["a"]).alias("c"), _runs(x["up"]).alias("r"), _serial(x["centred"]).alias("s")))},
+        {"_7": F.transform("_6", lambda x: F.struct(*keep(x, "e", "n", "some"), half(x).alias("h")))},  # Fisher's method
+        {"_8": F.transform("_7", lambda x: F.struct(*keep(x, "e", "n"), F.when(x["some"], F.exp(-x["h"]) * (1 + x["h"] + x["h"] * x["h"] / 2)).otherwise(0.0).alias("p")))},
+    )
+    made = F.transform(
+        "_8",
+        lambda x: F.struct(
+            x["start"].alias("start"),
             F.lit(KINDS.index("random")).alias("rank"),
             F.lit("random").alias("kind"),
-            end.alias("end"),
+            x["end"].alias("end"),
             x["e"].alias("encoding"),
-            F.least(F.floor(F.log2(F.length(x["t"]).cast("double")) * 2), F.lit(40)).cast("int").alias("stratum"),
-            F.least(F.floor(-F.ln(F.greatest(p, F.lit(1e-60))) / BIN), F.lit(BINS)).cast("int").alias("bin"),
-        )
-
-    return _let(F.struct(token.alias("t"), encoding.alias("e")), one)
+            F.least(F.floor(F.log2(x["n"].cast("double")) * 2), F.lit(40)).cast("int").alias("stratum"),
+            F.least(F.floor(-F.ln(F.greatest(x["p"], F.lit(1e-60))) / BIN), F.lit(BINS)).cast("int").alias("bin"),
+        ),
+    )
+    return out.withColumn("tested", F.coalesce(made.cast(_TESTED), F.array().cast(_TESTED)))
 
 
 def _scanned(rows: DataFrame) -> DataFrame:
@@ -178,13 +192,19 @@ def _scanned(rows: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     names = rows.columns
     named = reduce(or_, [F.contains(F.lower(text), F.lit(w)) for w in ("password", "passwd", "secret", "token", "apikey", "api_key")])  # a plain search is faster than the pattern, which decides
-    cut = rows.withColumns({"_a": F.when(named, pieces(text, ASSIGN, 2, 6)), "_b": pieces(text, ACCESS), "_h": pieces(text, HEX)})
-    cut = cut.withColumn("_m", masked(text, F.col("_a")))
-    cut = cut.withColumn("_o", F.when(F.col("_b").isNotNull() | F.col("_h").isNotNull(), pieces(F.col("_m"), f"{ACCESS}|{HEX}")))
-    cut = cut.withColumn("_m", masked(F.col("_m"), F.col("_o")))
-    cut = cut.withColumn("_c", pieces(F.col("_m"), CANDIDATE)).withColumn("_c", F.when(F.col("_c").isNotNull(), F.col("_c").withField("good", F.transform(F.col("_c.found"), lambda x: F.rlike(x, F.lit(_WORTH))))))
-    base = F.array_sort(F.concat(*[located(F.col(c), _span(k), _SPAN) for c, k in (("_a", "assign"), ("_b", "access"), ("_h", "hex"))]))
-    return cut.select(*names, base.alias("base"), located(F.col("_c"), _test, _TESTED).alias("tested"))
+    cut = _stages(
+        rows,
+        {"_a": F.when(named, pieces(text, ASSIGN, 2, 6)), "_b": pieces(text, ACCESS), "_h": pieces(text, HEX)},
+        {"_m": masked(text, F.col("_a"))},
+        {"_o": F.when(F.col("_b").isNotNull() | F.col("_h").isNotNull(), pieces(F.col("_m"), f"{ACCESS}|{HEX}"))},
+        {"_m": masked(F.col("_m"), F.col("_o"))},
+        {"_c": pieces(F.col("_m"), CANDIDATE)},
+        {"_c": F.when(F.col("_c").isNotNull(), F.col("_c").withField("good", F.transform(F.col("_c.found"), lambda x: F.rlike(x, F.lit(_WORTH)))))},
+    )
+    cut = tested(located(cut.select(*names, "_a", "_b", "_h", "_c"), ["_a", "_b", "_h", "_c"]), "_c_t")
+    kind = lambda c, k: F.coalesce(F.transform(c, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(k)).alias("rank"), F.lit(k).alias("kind"), x["end"].alias("end"))).cast(_SPAN), F.array().cast(_SPAN))
+    base = F.array_sort(F.concat(kind("_a_t", "assign"), kind("_b_t", "access"), kind("_h_t", "hex")))
+    return cut.select(*names, base.alias("base"), "tested")
 
 
 def thresholds(bins: DataFrame, rate: float = RATE, lost: float = LOST) -> dict[tuple[str, int], int]:
@@ -237,39 +257,35 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return scan(docs, id_col, text_col).select("doc_id", *[number(k) for k in KINDS[:3]], F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
-def _replaced(text: Column, found: Column, mark: str) -> Column:
-    """The text with `mark` for each run of overlapping spans. Spans are cut in blocks, and a text into the blocks' parts, so that few cuts start from its beginning."""
-    reach = lambda block: F.array_max(F.transform(block, lambda s: s["end"]))
-
-    def blocks(a: Column) -> Column:
-        width = F.greatest(F.ceil(F.sqrt(F.size(a).cast("double"))).cast("int"), F.lit(1))
-        return _let(width, lambda w: F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / w).cast("int") - 1), lambda k: F.slice(a, k * w + 1, w)))
-
-    def part(block: Column, before: Column, until: Column) -> Column:
-        """From the block's first start to the next block's; `before` is how far earlier spans reach."""
-        begin = block[0]["start"]
+#: Behind the end of any text.
+_END = 1 << 30
 
-        def piece(body: Column, s: Column, i: Column) -> Column:
-            # running reach of the spans so far is at most a block's length of work
-            covered = F.greatest(before, F.coalesce(reach(F.slice(block, 1, i)), F.lit(0)))
-            after = F.greatest(covered, s["end"])
-            following = F.when(i + 1 < F.size(block), F.get(block, i + 1)["start"]).otherwise(until)
-            gap = F.substring(body, after - begin + 1, F.greatest(following - after, F.lit(0)))
-            return F.concat(F.when((s["start"] >= covered) | (covered == 0), F.lit(mark)).otherwise(F.lit("")), gap)
 
-        return _let(F.substring(text, begin + 1, until - begin), lambda body: F.array_join(F.transform(block, lambda s, i: piece(body, s, i)), ""))
+def _replaced(rows: DataFrame, mark: str) -> DataFrame:
+    """rows (text, found) with `clean`: the text with `mark` for each run of overlapping spans. Spans are cut in blocks, and a text into the blocks' parts, so that few cuts start from its beginning."""
 
-    def whole(bs: Column) -> Column:
-        reaches = F.transform(bs, reach)
+    def items(p: Column) -> Column:
+        """The spans of a part: how far those before reach, and where the next one starts."""
+        reach = lambda i: F.greatest(p["before"], F.coalesce(F.array_max(F.transform(F.slice(p["b"], 1, i), lambda s: s["end"])), F.lit(0)))
+        return F.transform(p["b"], lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), reach(i).alias("covered"), F.coalesce(F.get(p["b"], i + 1)["start"], p["until"]).alias("next")))
 
-        def made(s: Column) -> Column:
-            ends = lambda k: F.coalesce(F.array_max(F.slice(s["r"], 1, k)), F.lit(0))
-            until = lambda k: F.when(k + 1 < F.size(bs), F.get(bs, k + 1)[0]["start"]).otherwise(s["n"])
-            return F.concat(F.substring(text, F.lit(1), bs[0][0]["start"]), F.array_join(F.transform(bs, lambda b, k: part(b, ends(k), until(k))), ""))
+    def text_of(q: Column, s: Column) -> Column:
+        after = F.greatest(s["covered"], s["end"])
+        return F.concat(F.when(s["start"] >= s["covered"], F.lit(mark)).otherwise(F.lit("")), F.substring(q["body"], after - q["begin"] + 1, F.greatest(s["next"] - after, F.lit(0))))
 
-        return _let(F.struct(reaches.alias("r"), F.length(text).alias("n")), made)
-
-    return F.when(F.size(found) > 0, _let(found, lambda a: _let(blocks(a), whole))).otherwise(text)
+    some = _stages(
+        rows,
+        {"_f": F.when(F.size("found") > 0, F.col("found"))},
+        {"_w": _root(F.col("_f"))},
+        {"_b": F.when(F.col("_f").isNotNull(), _blocks(F.col("_f"), F.col("_w")))},
+        {"_r": F.transform("_b", lambda b: F.array_max(F.transform(b, lambda s: s["end"])))},
+        {"_e": F.transform("_r", lambda _, i: F.coalesce(F.array_max(F.slice("_r", 1, i)), F.lit(0))), "_u": F.transform("_b", lambda _, i: F.coalesce(F.get("_b", i + 1)[0]["start"], F.lit(_END)))},
+        {"_p": F.transform(F.arrays_zip("_b", "_e", "_u"), lambda z: F.struct(z["_b"].alias("b"), z["_e"].alias("before"), z["_u"].alias("until")))},
+        {"_q": F.transform("_p", lambda p: F.struct(F.substring(F.col("text"), p["b"][0]["start"] + 1, p["until"] - p["b"][0]["start"]).alias("body"), p["b"][0]["start"].alias("begin"), items(p).alias("items")))},
+        {"_t": F.transform("_q", lambda q: F.array_join(F.transform(q["items"], lambda s: text_of(q, s)), ""))},
+    )
+    whole = F.concat(F.substring(F.col("text"), F.lit(1), F.col("_f")[0]["start"]), F.array_join("_t", ""))
+    return some.select(*rows.columns, F.when(F.col("_f").isNull(), F.col("text")).otherwise(whole).alias("clean"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -277,11 +293,11 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
 
     The rows are scanned twice, for the thresholds and for the texts, and never stored.
     """
-    cuts = thresholds(_counted(_scanned(docs.select(F.col(text_col).alias("text"))).select("tested")))
+    cuts = thresholds(_counted(materialize(_scanned(docs.select(F.col(text_col).alias("text"))).select("tested"))))  # stored, since a filter on it would be pushed down to the texts, with all its expression
     names = docs.columns
     packed = [f"c{i}" for i in range(len(names))]
     rows = docs.select(F.col(text_col).alias("text"), F.struct(*[F.col(c).alias(p) for c, p in zip(names, packed, strict=True)]).alias("row"))
-    clean = _scanned(rows).select("row", "text", _found(cuts).alias("found")).select("row", _replaced(F.col("text"), F.col("found"), mark).alias("clean"))
+    clean = _replaced(_scanned(rows).select("row", "text", _found(cuts).alias("found")), mark).select("row", "clean")
     kinds = {f.name: f.dataType for f in docs.schema}
 
     def column(i: int, name: str) -> Column:

@@ -174,8 +174,10 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     else:
         posted = posted.selectExpr("fp", "k", "one", "false AS hot")
     zero, one = posted.filter("NOT one").selectExpr("k", "fp AS a", "hot AS ha"), posted.filter("one").selectExpr("k", "fp AS b", "hot AS hb")
-    near = zero.join(one, "k").filter("bit_count(a ^ b) <= 2 AND NOT (ha AND hb)").select("a", "b")
-    found = same.unionByName(near)
+    pairs = zero.filter("NOT ha").join(one, "k")
+    if packed:  # members of two crowds meet by their two-bit keys below, never all with all
+        pairs = pairs.unionByName(zero.filter("ha").join(one.filter("NOT hb"), "k"))
+    found = same.unionByName(pairs.filter("bit_count(a ^ b) <= 2").select("a", "b"))
     if packed:
         other = f"IF(seg >= 4294967296L, {low}, {high})"
         two = crowded.selectExpr("fp", "seg", f"{other} AS o", "explode(sequence(0, 30)) AS p").selectExpr("fp", "seg", "o", "p", "explode(sequence(p + 1, 31)) AS q")

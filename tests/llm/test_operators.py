@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import time
@@ -157,6 +158,16 @@ def test_links_in_crowds(spark, crowd):
     assert {x: labels.get(x, x) for x in signed} == want
 
 
+def test_two_crowds_one_bit_apart(spark):
+    """Fingerprints of two crowds whose low halves differ in one bit: links are as by brute force, and no join gives all pairs."""
+    rng = np.random.default_rng(4)
+    high = sorted({int(x) for x in rng.integers(0, 2**31, 300)})
+    fps = [(h << 32) | low for low in (0x1234567, 0x1234566) for h in high] + [(high[0] ^ 1) << 32 | 0x1234567, (high[5] ^ 6) << 32 | 0x1234566]
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    labels = {r.node: r.label for r in simhash.components(simhash.links(df, 100)).collect()}
+    assert {x: labels.get(x, x) for x in fps} == components({x: x for x in fps})
+
+
 def test_long_chains_of_links(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200)], "a long, b long")
     got = {r.node: r.label for r in simhash.components(edges).collect()}
@@ -263,9 +274,78 @@ def test_bloom_counts_include_every_learnt_gram():
     assert model.predict("the quick fox")[0] == "a" and model.predict("schnelle fuchs")[0] == "b" and model.predict("12 !?")[0] == "und"
 
 
+def test_filter_agrees_with_exact_sets(docs):
+    """Corrected counts stand near those by exact sets of n-grams, raw ones never below them, and the prediction is that of the sets."""
+    texts = [(r.lang, r.text) for r in docs[0].filter("lang IS NOT NULL AND text IS NOT NULL").collect()]
+    grams = {}
+    for i, (lang, text) in enumerate(texts):
+        if i % 2:
+            grams.setdefault(lang, set()).update(langid._grams(text).tolist())
+    filters = langid.LanguageFilter.build({k: np.array(sorted(v), np.uint64) for k, v in grams.items()})
+    agree = total = 0
+    for lang, text in texts[::2]:
+        code = langid._grams(text)
+        exact = np.array([sum(c in grams[name] for c in code.tolist()) for name in filters.languages])
+        raw = filters.counts(code)
+        assert (raw >= exact).all()
+        fixed = (raw - len(code) * filters.false_rate) / (1 - filters.false_rate)
+        assert (abs(fixed - exact) <= 6 * np.sqrt(len(code) * filters.false_rate) + 3).all()
+        top = np.sort(exact)
+        if len(code) and top[-1] - top[-2] > 6:
+            total += 1
+            agree += filters.predict(text)[0] == filters.languages[int(exact.argmax())]
+    assert total > 50 and agree >= 0.99 * total
+
+
 # toxicity
 
 
+def readings(model, token):
+    """Every reading of a token that the channel allows, with its cost."""
+    if not token:
+        yield "", 0.0
+        return
+    steps, i = [], 0
+    while i < len(token):
+        c = token[i]
+        if c.isalpha():
+            run = token[i : i + 3] == c * 3
+            steps.append([(c, toxicity.REPEAT), (c + c, toxicity.REPEAT)] if run else [(c, 0.0)])
+            i += 3 if run else 1
+        else:
+            looks = toxicity.SIGNS.get(c, "")
+            more = toxicity.NO_LETTER if looks else 0.0
+            steps.append([("", toxicity.INSERTED + more), (" ", toxicity.BREAK + more), *((x, toxicity.SWAP) for x in looks)])
+            i += 1
+    for way in itertools.product(*steps):
+        text, cost = "".join(t for t, _ in way), sum(p for _, p in way)
+        s = [0, 0]
+        for ch in text:
+            z = toxicity.symbol(ch)
+            if z or s[-1]:
+                cost += float(model.trigrams[s[-2], s[-1], z])
+                s.append(z)
+        yield re.sub(" +", " ", text).strip(), cost + (float(model.trigrams[s[-2], s[-1], 0]) if s[-1] else 0.0)
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.text(alphabet="aeinstz0134@$!.-+ ", max_size=7))
+def test_decoding_is_the_cheapest_of_all_readings(model, token):
+    every = [*readings(model, re.sub(r"(.)\1{2,}", lambda m: m[1] * 3, token))]
+    least = min(cost for _, cost in every)
+    assert model.decode(token) in {text for text, cost in every if cost < least + 1e-9}
+
+
+def test_labels_of_equal_texts_and_clashing_columns(spark):
+    rows = [(i, "zarguk here" if i % 2 else "fine words") for i in range(120)]
+    lab = spark.createDataFrame([(i, int(i % 2 and i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    df = frame(spark, rows).withColumn("_score", F.lit(7)).withColumn("c0", F.lit("y"))
+    models = [toxicity.fit(df.repartition(n), lab) for n in (1, 7)]
+    assert models[0].lexicon == models[1].lexicon
+    kept = toxicity.reject_toxic(df, lab)
+    assert kept.columns == df.columns and {(r["_score"], r["c0"]) for r in kept.collect()} == {(7, "y")}
+
+
 @pytest.fixture(scope="module")
 def model(docs):
     df, texts = docs
