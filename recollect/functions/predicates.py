@@ -90,6 +90,7 @@ def truncated(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n - 1), F.lit("…"))).otherwise(text)
 
 
+# The messages.
 def enrichment_reason(source: Column) -> Column:
     """Why a row is not worth enriching; null if it is. Columns: command, output_chars, duration_ms, message_count, tool_count, change_count, dwell_ms."""
     command, took = F.trim(F.coalesce("command", F.lit(""))), F.coalesce("duration_ms", F.lit(0))

@@ -66,19 +66,23 @@ def dedup_id(url: Column, ms: Column, window_minutes: int) -> Column:
 PATH_TYPES = ("file", "directory", "path", "project")
 
 
-def canonicalize(kind: Column, value: Column, home: str, roots: list[str], passes: int = 4) -> Column:
-    """Entity key: home expanded, trimmed, lower case, single spaces, no slash at the end; paths lose worktree segments (again until none is left) and the project root; a project is its root's name only at exactly the root."""
-    v = F.trim(F.lower(F.regexp_replace(F.trim(value), r"^~(?=/|$)", home)))
-    v = F.regexp_replace(v, r"\s+", " ")
-    v = F.regexp_replace(v, "/+$", "")
-    path = v
-    for _ in range(passes):
-        path = F.regexp_replace(path, r"(^|/)\.claude/worktrees/[^/]+(?:/|$)", "$1")
-    plain = path
-    for root in sorted(roots, key=len, reverse=True):
-        r = root.lower().rstrip("/")
-        name = r.rsplit("/", 1)[-1]
-        path = F.when(plain == r, F.lit(name)).when((kind != "project") & plain.startswith(r + "/"), F.substring(plain, len(r) + 2, 1 << 20)).otherwise(path)
+# Fixed value: what stands before a worktree's name.
+_WORKTREES = ".claude/worktrees/"
+
+
+def canonicalize(kind: Column, value: Column, home: str, roots: list[str]) -> Column:
+    """Entity key: home expanded, trimmed, lower case, single spaces, no slash at the end; paths lose worktree segments until none is left, then the first of the roots, in their order, that they lie in. A project is its root's name at exactly the root, and keeps its path below."""
+    v = F.regexp_replace(F.regexp_replace(value, r"^~(?=/|$)", home), r"(?U)^\s+|\s+$", "")
+    v = F.regexp_replace(F.regexp_replace(F.lower(v), "/+$", ""), r"(?U)\s+", " ")
+    found = F.floor((F.length(v) - F.length(F.replace(v, F.lit(_WORKTREES), F.lit("")))) / len(_WORKTREES)).cast("int")
+    # one pass more than segments, as one may come to be where another goes; one at the end goes with the slash before it
+    passes = F.when(found > 0, F.sequence(F.lit(0), found)).otherwise(F.array().cast("array<int>"))
+    name = re.escape(_WORKTREES) + "[^/]+"
+    plain = F.aggregate(passes, v, lambda s, _: F.regexp_replace(F.regexp_replace(s, rf"(^|/){name}$", ""), rf"(^|/){name}/", "$1"))
+    path = plain
+    for root in reversed(roots):
+        r = re.sub("^~(?=/|$)", home, root).lower().rstrip("/")
+        path = F.when(plain == r, F.lit(r.rsplit("/", 1)[-1])).when((kind != "project") & plain.startswith(r + "/"), F.substring(plain, len(r) + 2, 1 << 30)).otherwise(path)
     return F.when(kind.isin(*PATH_TYPES), path).otherwise(v)
 
 
@@ -94,6 +98,7 @@ def repository_identity(remote: Column, folder: Column) -> Column:
     return F.coalesce(F.nullif(r, F.lit("")), F.concat(F.lit("local:"), folder))
 
 
+# Fixed patterns: how tools write their rules.
 def parse_annotation(job: Column, message: Column) -> Column:
     """Struct (tool, rule_id) of a CI message: cargo by the message alone; then ruff, type checkers and test runners where the job's name speaks for them."""
     name = F.lower(job)
@@ -116,6 +121,7 @@ STOPWORDS = """a an and are as at be but by did do does for from had has have ho
 that the their there these they this to was we were what when where which who why will with you your""".split()
 
 
+# Fixed patterns: what a query's tokens are.
 def query_tokens(text: Column, most: int = 16) -> Column:
     """Distinct words of two characters and more that are no stop words, in order of appearance and in their own case, at most 16."""
     words = F.filter(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_][A-Za-z0-9_./@:-]*"), F.lit(0)), lambda w: (F.length(w) >= 2) & ~F.lower(w).isin(*STOPWORDS))
@@ -139,14 +145,22 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-# How refusals read.
-REFUSALS = r"(?i)\bI'?m sorry\b|\bI (?:cannot|can't|cant|won't|wont)\b|\bas an AI\b|\bI'?m unable to\b|\bI don'?t have the ability\b|\bI'?m not able to\b"
+# How refusals read, in either case.
+REFUSALS = (
+    r"\bI'?m sorry\b",
+    r"\bI (?:cannot|can'?t|won'?t)\b",
+    r"\bas an AI\b",
+    r"\bI'?m unable to\b",
+    r"\bI don'?t have the ability\b",
+    r"\bI'?m not able to\b",
+)
 
 
 def is_refusal(text: Column) -> Column:
-    return F.rlike(text, F.lit(REFUSALS))
+    return F.rlike(text, F.lit("(?i)" + "|".join(REFUSALS)))
 
 
+# Fixed patterns: how names look.
 def entity_sanity(kind: Column, name: Column) -> Column:
     """Whether a name looks like its kind: files like paths of 200 characters at most, tools of three words and 40 characters without an end stop, projects of 80 characters without spaces."""
     return (
@@ -238,24 +252,28 @@ def main_text(html: Column, most: int = 51_200) -> Column:
 # Python, where no expression will do
 
 
+# Fixed pattern: what may open, close or hide a brace.
+_JSON_MARKS = re.compile(r'\\.|["{}]', re.S)
+
+
 def first_json_object(text: str | None) -> str | None:
-    """The first balanced {...}, aware of strings and escapes."""
-    start = (text or "").find("{")
-    while start >= 0:
-        depth, quoted, skip = 0, False, False
-        for i in range(start, len(text)):
-            c = text[i]
-            if skip:
-                skip = False
-            elif quoted:
-                skip, quoted = c == "\\", c != '"'
-            elif c == '"':
-                quoted = True
-            elif c in "{}":
-                depth += 1 if c == "{" else -1
-                if not depth:
-                    return text[start : i + 1]
-        start = text.find("{", start + 1)
+    """The first balanced {...}. Quotes hide braces, before it too, and a backslash hides what follows inside quotes only. Null if a brace closes before one opens, or the first one never closes."""
+    start, depth, quoted, at = -1, 0, False, 0
+    text = text or ""
+    while m := _JSON_MARKS.search(text, at):
+        at, sign = m.end(), m[0]
+        if len(sign) == 2:
+            at = m.end() if quoted else m.start() + 1
+        elif sign == '"':
+            quoted = not quoted
+        elif not quoted:
+            if sign == "{" and not depth:
+                start = m.start()
+            depth += 1 if sign == "{" else -1
+            if depth < 0:
+                return None
+            if not depth:
+                return text[start:at]
     return None
 
 
@@ -272,38 +290,52 @@ def repair_json(text: str | None) -> str | None:
     return None
 
 
+# Fixed pattern: a heading; its title may stand on a later line.
+_HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$", re.M)
+
+
 def heading_chunks(text: str | None) -> list[tuple[int, str, str, int, int]]:
-    """(ordinal, heading path, content, start, end) of Markdown sections. Text before the first heading is left out if there is a heading; without one the whole text is a chunk."""
+    """(ordinal, heading path, content, start, end) of Markdown sections, each with its heading line. A heading of level n stands under n - 1 titles at most. Text before the first heading is left out; without a heading the whole text is a chunk."""
     text = text or ""
-    heads = list(re.finditer(r"^(#{1,6})[ \t]+(.+?)[ \t]*$", text, re.M))
+    heads = [(m.start(), len(m[1]), m[2].strip()) for m in _HEADING.finditer(text)]
     if not heads:
-        return [(0, "", text, 0, len(text))] if text.strip() else []
-    out, stack = [], []
-    for i, m in enumerate(heads):
-        level = len(m[1])
-        stack = [s for s in stack if s[0] < level] + [(level, m[2])]
-        end = heads[i + 1].start() if i + 1 < len(heads) else len(text)
-        body = text[m.end() : end].strip()
-        out.append((i, " > ".join(s[1] for s in stack), body or m[0], m.start(), end))
+        return [(0, "", text.strip(), 0, len(text))] if text.strip() else []
+    out, above = [], []
+    for (start, level, title), end in zip(heads, [h[0] for h in heads[1:]] + [len(text)], strict=True):
+        above = [*above[: level - 1], title]
+        out.append((len(out), " > ".join(above), text[start:end].strip(), start, end))
     return out
 
 
-def diff_summary(old: str | None, new: str | None, most: int = 4000) -> tuple[int, int, str]:
-    """Added and removed lines, and the unified diff cut to `most` characters."""
-    lines = list(difflib.unified_diff((old or "").splitlines(), (new or "").splitlines(), lineterm=""))
-    body = [x for x in lines if not x.startswith(("+++", "---"))]
-    return sum(x.startswith("+") for x in body), sum(x.startswith("-") for x in body), "\n".join(lines)[:most]
+# Names of the two sides, the limit, and what stands for the rest.
+DIFF_SIDES, DIFF_MOST, DIFF_TAIL = ("previous", "current"), 16_384, "\n… (diff truncated)\n"
+
+
+def diff_summary(old: str | None, new: str | None, most: int = DIFF_MOST) -> tuple[str, str]:
+    """A sentence with the numbers of lines, and the unified diff, cut to `most` characters. Lines keep their ends; the diff's own lines have none."""
+    lines = list(difflib.unified_diff((old or "").splitlines(True), (new or "").splitlines(True), *DIFF_SIDES, lineterm=""))
+    number = {sign: sum(x[0] == sign and x[:3] != 3 * sign for x in lines) for sign in "+-"}
+    text = "".join(lines)
+    return f"{number['+']} line(s) added, {number['-']} line(s) removed", text if len(text) <= most else text[:most] + DIFF_TAIL
 
 
 def allocate_caps(lengths: list[int], budget: int) -> list[int]:
-    """Parts of a character budget in proportion to lengths: floors of at least one, the rest to the longest."""
-    total = sum(lengths)
-    if total <= budget:
-        return list(lengths)
-    caps = [max(1, n * budget // total) if n else 0 for n in lengths]
-    rest = budget - sum(caps)
-    if rest > 0:
-        caps[max(range(len(lengths)), key=lambda i: (lengths[i], -i))] += rest
+    """Parts of a character budget in proportion to lengths, also where it is larger than they are: floors, the rest one by one to the longest (the first of equals). If the budget allows, a field with text has one character at least, taken from the longest that can spare it."""
+    sizes = [max(n, 0) for n in lengths]
+    total = sum(sizes)
+    if not total:
+        return [0] * len(sizes)
+    caps = [budget * n // total for n in sizes]
+    longest = sorted((i for i, n in enumerate(sizes) if n), key=lambda i: -sizes[i])
+    for i in longest[: max(budget - sum(caps), 0)]:
+        caps[i] += 1
+    poor = [i for i, n in enumerate(sizes) if n and not caps[i]]
+    if budget >= len(longest):
+        for i in poor:
+            rich = next((j for j in longest if caps[j] > 1), None)
+            if rich is None:
+                break
+            caps[rich], caps[i] = caps[rich] - 1, 1
     return caps
 
 
@@ -334,9 +366,9 @@ def heading_chunks_udf(text: Column) -> Column:
 
 def diff_summary_udf(old: Column, new: Column) -> Column:
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([diff_summary(x, y) for x, y in zip(a, b, strict=True)], columns=["added", "removed", "diff"])
+        return pd.DataFrame([diff_summary(x, y) for x, y in zip(a, b, strict=True)], columns=["summary", "diff"])
 
-    return F.pandas_udf(run, "struct<added:int,removed:int,diff:string>")(old, new)
+    return F.pandas_udf(run, "struct<summary:string,diff:string>")(old, new)
 
 
 def allocate_caps_udf(lengths: Column | str, budget: Column | str) -> Column:

@@ -9,7 +9,7 @@ from recollect.functions import predicates as P
 from recollect.functions import text as T
 from recollect.functions import vectors as V
 from recollect.plans.joins import category_of
-from recollect.sources.catalog import role, with_roles
+from recollect.sources.catalog import load, role, with_roles
 
 from .registry import register
 
@@ -57,7 +57,7 @@ def h5(spark: SparkSession, d: str) -> DataFrame:
         "entities ev",
         r"""WITH x AS (SELECT id, CASE id % 3 WHEN 0 THEN 'file' WHEN 1 THEN 'project' ELSE 'tool' END AS kind, cwd || '/.claude/worktrees/agent-' || CAST(id % 5 AS VARCHAR) || CASE WHEN id % 4 = 0 THEN '' ELSE '/Lib/X.rs/' END AS v FROM ev),
         y AS (SELECT id, kind, regexp_replace(lower(v), '/+$', '') AS v FROM x),
-        z AS (SELECT id, kind, CASE WHEN kind = 'tool' THEN v ELSE regexp_replace(v, '(^|/)\.claude/worktrees/[^/]+(/|$)', '\1', 'g') END AS v FROM y)
+        z AS (SELECT id, kind, CASE WHEN kind = 'tool' THEN v ELSE regexp_replace(regexp_replace(v, '(^|/)\.claude/worktrees/[^/]+$', ''), '(^|/)\.claude/worktrees/[^/]+/', '\1', 'g') END AS v FROM y)
         SELECT id, CASE WHEN kind = 'tool' THEN v WHEN v = '/home/u3/src' THEN 'src' WHEN kind <> 'project' AND starts_with(v, '/home/u3/src/') THEN substr(v, 14) ELSE v END AS canonical FROM z""",
     ),
 )
@@ -113,17 +113,19 @@ def h12(spark: SparkSession, d: str) -> DataFrame:
     return e.select("id", "j.k", "j.missing")
 
 
-@register("h13_json_repair", with_roles("ev", """SELECT id, CASE WHEN id % 3 = 2 THEN NULL ELSE '{"n": ' || CAST(id AS VARCHAR) || ', "s": "a\\\\d"}' END AS fixed FROM ev WHERE id < 300"""))
+@register("h13_json_repair", with_roles("ev", "SELECT id, CASE WHEN id % 3 <> 2 THEN props END AS fixed FROM (SELECT event_id AS id, props FROM events)"))
 def h13(spark: SparkSession, d: str) -> DataFrame:
-    body = F.concat(F.lit('{"s": "a\\d", "n": '), F.col("id").cast("string"), F.lit("}"))
-    reply = F.when(F.col("id") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("id") % 3 == 1, body).otherwise("no json")
-    return role(spark, d, "ev").filter("id < 300").select("id", T.repair_json_udf(reply).alias("fixed"))
+    """Stored JSON texts as replies: in fences, bare, or cut off before their end."""
+    reply = F.when(F.col("id") % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("id") % 3 == 1, F.col("props")).otherwise(F.expr("substring(props, 1, length(props) - 1)"))
+    return load(spark, d, "events").withColumnRenamed("event_id", "id").select("id", T.repair_json_udf(reply).alias("fixed"))
 
 
-@register("h14_first_json_object", with_roles("ev", """SELECT id, '{"a": {"b": "}' || CAST(id AS VARCHAR) || '"}}' AS found FROM ev WHERE id < 300"""))
+@register("h14_first_json_object", with_roles("ev", "SELECT event_id AS id, CASE WHEN event_id % 4 < 2 THEN props END AS found FROM events"))
 def h14(spark: SparkSession, d: str) -> DataFrame:
-    reply = F.concat(F.lit('text {"a": {"b": "}'), F.col("id").cast("string"), F.lit('"}} and {more}'))
-    return role(spark, d, "ev").filter("id < 300").select("id", T.first_json_object_udf(reply).alias("found"))
+    """Stored JSON texts in prose: alone, before another, behind a brace that closes nothing, and behind one that never closes."""
+    n = F.col("event_id") % 4
+    reply = F.concat(F.when(n == 2, "} ").when(n == 3, "{ ").otherwise("said: "), "event_type", F.lit(" "), "props", F.when(n == 1, ' and {"more": 1}').otherwise(" done"))
+    return load(spark, d, "events").select(F.col("event_id").alias("id"), T.first_json_object_udf(reply).alias("found"))
 
 
 _REPLY = "outcome string, summary string, entities map<string, array<string>>"
@@ -209,11 +211,17 @@ def h28(spark: SparkSession, d: str) -> DataFrame:
     return role(spark, d, "ev").select("id", T.human_duration(F.lit(1706659200000) - F.col("timestamp")).alias("age"))
 
 
-@register("h29_heading_chunks", with_roles("nodes", "SELECT id, unnest(CASE WHEN id % 2 = 0 THEN ['Top', 'Top > Sub', 'Next'] ELSE [''] END) AS heading_path FROM nodes WHERE id < 100 AND length(content) > 0"))
+_H29 = r"""WITH t AS (SELECT id, '### ' || source || chr(10) || content || chr(10) AS one, '## ' || node_type || chr(10) || uuid AS two FROM nodes WHERE content IS NOT NULL)
+    SELECT id, 0 AS ordinal, source AS heading_path, regexp_replace(one, '\s+$', '') AS content, 0 AS "start", CAST(length(one) AS INTEGER) AS "end" FROM t JOIN (SELECT id, source FROM nodes) USING (id)
+    UNION ALL SELECT id, 1, source || ' > ' || node_type, two, CAST(length(one) AS INTEGER), CAST(length(one) + length(two) AS INTEGER) FROM t JOIN (SELECT id, source, node_type FROM nodes) USING (id)"""
+
+
+@register("h29_heading_chunks", with_roles("nodes", _H29))
 def h29(spark: SparkSession, d: str) -> DataFrame:
-    doc = F.when(F.col("id") % 2 == 0, F.concat(F.lit("lost\n# Top\n"), F.lit("body\n## Sub\nmore\n# Next\nend"))).otherwise("plain text")
-    n = role(spark, d, "nodes").filter("id < 100 AND length(content) > 0").select("id", F.explode(T.heading_chunks_udf(doc)).alias("c"))
-    return n.select("id", "c.heading_path")
+    """Stored texts under a heading of the third level, then one of the second, which stands under the first title."""
+    doc = F.concat(F.lit("### "), "source", F.lit("\n"), "content", F.lit("\n## "), "node_type", F.lit("\n"), "uuid")
+    n = role(spark, d, "nodes").filter("content IS NOT NULL").select("id", F.explode(T.heading_chunks_udf(doc)).alias("c"))
+    return n.select("id", "c.*")
 
 
 @register("h30_token_windows", with_roles("nodes", r"SELECT id, len(w) AS words, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, CAST(ceil((len(w) - 12) / 36.0) AS BIGINT)) END AS windows, array_to_string(list_slice(w, 37, 84), ' ') AS second FROM (SELECT id, list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '') AS w FROM nodes) WHERE len(w) > 60"))
@@ -250,11 +258,17 @@ def h33(spark: SparkSession, d: str) -> DataFrame:
     return role(spark, d, "memdocs").select("id", category_of(F.col("source_path")).alias("category"))
 
 
-@register("h34_diff_summary", with_roles("memdocs", "SELECT id, 1 AS added, 1 AS removed FROM memdocs WHERE id < 200"))
+_H34 = r"""WITH l AS (SELECT id, string_split(content, chr(10)) AS l FROM memdocs WHERE content IS NOT NULL), k AS (SELECT *, len(l) AS n, least(3, len(l)) AS c FROM l),
+    x AS (SELECT id, '--- previous+++ current@@ -' || (n - c + 1) || ',' || (c + 1) || ' +' || (n - c + 1) || ',' || (c + 2) || ' @@' || array_to_string([' ' || y || chr(10) FOR y IN list_slice(l, n - c + 1, n)], '') || '-old ' || id || '+new ' || id || chr(10) || '+more' AS diff FROM k)
+    SELECT id, '2 line(s) added, 1 line(s) removed' AS summary, CASE WHEN length(diff) > 16384 THEN substring(diff, 1, 16384) || chr(10) || '… (diff truncated)' || chr(10) ELSE diff END AS diff FROM x"""
+
+
+@register("h34_diff_summary", with_roles("memdocs", _H34))
 def h34(spark: SparkSession, d: str) -> DataFrame:
+    """Stored texts with another end: one line goes, two come."""
     n = F.col("id").cast("string")
-    old, new = F.concat(F.lit("a\nb "), n, F.lit("\nc")), F.concat(F.lit("a\nB "), n, F.lit("\nc"))
-    return role(spark, d, "memdocs").filter("id < 200").select("id", T.diff_summary_udf(old, new).alias("s")).select("id", "s.added", "s.removed")
+    old, new = F.concat("content", F.lit("\nold "), n), F.concat("content", F.lit("\nnew "), n, F.lit("\nmore"))
+    return role(spark, d, "memdocs").filter("content IS NOT NULL").select("id", T.diff_summary_udf(old, new).alias("s")).select("id", "s.summary", "s.diff")
 
 
 @register("h35_content_hash", with_roles("nodes", r"SELECT id, sha256(content) AS hash, len(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '')) AS words FROM nodes"))
@@ -262,11 +276,16 @@ def h35(spark: SparkSession, d: str) -> DataFrame:
     return role(spark, d, "nodes").select("id", F.sha2(F.col("content").cast("binary"), 256).alias("hash"), F.size(F.filter(F.split("content", r"\s+"), lambda x: x != "")).cast("bigint").alias("words"))
 
 
-@register("h36_payload_caps", with_roles("ev", "SELECT id, CASE WHEN a + b + c <= 600 THEN a ELSE greatest(1, a * 600 // (a + b + c)) END AS first_cap FROM (SELECT id, 100 + id % 50 AS a, 400 + id % 70 AS b, 500 + id % 90 AS c FROM ev WHERE id < 300)"))
+_H36 = """WITH l AS (SELECT id, unnest([1, 2, 3]) AS i, unnest([length(embed_text), length(content), length(source)]) AS n FROM nodes WHERE content IS NOT NULL), t AS (SELECT *, sum(n) OVER (PARTITION BY id) AS total, row_number() OVER (PARTITION BY id ORDER BY n DESC, i) AS r FROM l),
+    f AS (SELECT *, 600 * n // total AS c FROM t), g AS (SELECT *, c + CAST(r <= 600 - sum(c) OVER (PARTITION BY id) AS INTEGER) AS g FROM f),
+    h AS (SELECT id, i, CASE WHEN g = 0 AND n > 0 THEN 1 WHEN r = 1 THEN g - count(*) FILTER (g = 0 AND n > 0) OVER (PARTITION BY id) ELSE g END AS g FROM g)
+    SELECT id, CAST(max(g) FILTER (i = 1) AS INTEGER) AS embed, CAST(max(g) FILTER (i = 2) AS INTEGER) AS command, CAST(max(g) FILTER (i = 3) AS INTEGER) AS design FROM h GROUP BY id"""
+
+
+@register("h36_payload_caps", with_roles("nodes", _H36))
 def h36(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("id")
-    e = role(spark, d, "ev").filter("id < 300").select("id", F.array(100 + n % 50, 400 + n % 70, 500 + n % 90).cast("array<int>").alias("l"), F.lit(600).alias("b"))
-    return e.select("id", T.allocate_caps_udf("l", "b")[0].cast("bigint").alias("first_cap"))
+    e = role(spark, d, "nodes").filter("content IS NOT NULL").select("id", F.array(F.length("embed_text"), F.length("content"), F.length("source")).alias("l"), F.lit(600).alias("b"))
+    return e.select("id", T.allocate_caps_udf("l", "b").alias("c")).select("id", F.col("c")[0].alias("embed"), F.col("c")[1].alias("command"), F.col("c")[2].alias("design"))
 
 
 def entities_line(names, most: int = 500):
@@ -335,12 +354,12 @@ def h44(spark: SparkSession, d: str) -> DataFrame:
     return role(spark, d, "visits").select("id", T.search_query(ref).alias("query"))
 
 
-@register("h45_page_text", r"SELECT page_id AS id, least(length(t), 51200) AS n, substring(t, 1, 60) AS head FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script\s*>', ' ', 'gis'), '<style\b.*?</style\s*>', ' ', 'gis'), '<nav\b.*?</nav\s*>', ' ', 'gis'), '<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM pages) q")
+@register("h45_page_text", r"SELECT page_id AS id, least(length(t), 51200) AS n, substring(t, 1, 51200) AS body FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script\s*>', ' ', 'gis'), '<style\b.*?</style\s*>', ' ', 'gis'), '<nav\b.*?</nav\s*>', ' ', 'gis'), '<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM pages) q")
 def h45(spark: SparkSession, d: str) -> DataFrame:
     from recollect.sources.catalog import load
 
     p = load(spark, d, "pages").select(F.col("page_id").alias("id"), T.main_text(F.col("html")).alias("t"))
-    return p.select("id", F.length("t").cast("bigint").alias("n"), F.substring("t", 1, 60).alias("head"))
+    return p.select("id", F.length("t").cast("bigint").alias("n"), F.col("t").alias("body"))
 
 
 @register("h46_ordered_hash", with_roles("nodes outcomes", "SELECT id, sha256(concat_ws('|', uuid, node_type, embed_text)) AS hash FROM nodes"))
