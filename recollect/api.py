@@ -44,7 +44,7 @@ class Engine:
         nodes = self.table("nodes")
         if source:
             nodes = PJ.source_filter(self.spark, self.folder, nodes.withColumnRenamed("id", "node_id"), source).withColumnRenamed("node_id", "id")
-        hits = L.bm25(nodes.select("id", "content"), q)
+        hits = L.bm25(PS.text_index(self.spark, self.folder), q).join(nodes.select("id"), "id", "left_semi")
         return R.ranked(hits, [F.desc("bm25"), F.col("id")], P.clamp_limit(limit)).join(nodes.select("id", "uuid"), "id").select("rank", "id", "uuid", "bm25")
 
     def search_hybrid(self, limit: int | None = None, mmr: bool = True) -> DataFrame:

@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Parts of a group's range that are counted before one of them is sorted.
+PARTS = 4096
+
+
 def nearest_rank(df: DataFrame, keys: list[str], value: str, share: float, name: str) -> DataFrame:
-    """The value at index round(share * (n - 1)) of the sorted group, halves to even; exact, not approximated.
+    """The value at index round(share * (n - 1)) of the sorted group, halves to even; exact, not approximated. Null values are left out.
 
-    Null values are left out. Groups are sorted by one window; a group must fit its task's sort, which spills.
+    Rows are counted by value, and a group's counts summed over PARTS equal parts of its range; only the part that holds the index is sorted.
     """
-    rows = df.filter(F.col(value).isNotNull())
-    w = Window.partitionBy(*keys)
-    ranked = rows.withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    range_ = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
+    wide = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v").cast("double") - F.col("_lo").cast("double")) / (F.col("_hi").cast("double") - F.col("_lo").cast("double"))).otherwise(F.lit(0.0))
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
+    placed = counts.alias("c").join(range_.alias("r"), same("c", "r")).select("c.*", "_lo", "_hi", "_n").withColumn("_part", F.floor(wide * PARTS))
     at = F.bround(F.lit(share) * (F.col("_n") - 1), 0).cast("bigint")
-    return ranked.filter(F.col("_r") == at).select(*keys, F.col(value).alias(name))
+    parts = placed.groupBy(*keys, "_part").agg(F.sum("_c").alias("_s"), F.first("_n").alias("_n"))
+    summed = parts.withColumn("_before", F.sum("_s").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_s"))
+    hit = summed.filter((F.col("_before") <= at) & (at < F.col("_before") + F.col("_s"))).select(*keys, "_part", (at - F.col("_before")).alias("_left"))
+    inside = placed.alias("p").join(hit.alias("h"), same("p", "h") & (F.col("p._part") == F.col("h._part"))).select("p.*", "_left")
+    ranked = inside.withColumn("_before", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v")) - F.col("_c"))
+    return ranked.filter((F.col("_before") <= F.col("_left")) & (F.col("_left") < F.col("_before") + F.col("_c"))).select(*keys, F.col("_v").alias(name))
 
 
 def diversity(items: DataFrame, key: str, kind: str, kinds: int, name: str = "diversity") -> DataFrame:

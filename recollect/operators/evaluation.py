@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,3 +66,20 @@ def qa_sample(items: DataFrame, order: str, n: int, seed: int, size: int) -> Dat
     at = F.row_number().over(Window.orderBy(order)) - 1
     wanted = [(seed + i) % size for i in range(min(n, size))]
     return items.withColumn("_i", at).filter(F.col("_i").isin(*wanted)).drop("_i")
+
+
+def ask_sample(items: DataFrame, answer: Callable[[Column], Column], n: int, seed: int) -> DataFrame:
+    """sampled, keyword_hit_rate over the items (qa_id, question, keywords) at (seed + i) modulo their number for i below n, in order of qa_id: an item may be taken more than once.
+
+    A hit is an answer in which any keyword stands, in either case. No items, or n of zero, give a rate of 0.
+    """
+    size = items.count() if n > 0 else 0
+    if not size:
+        return items.sparkSession.createDataFrame([(0, 0.0)], "sampled int, keyword_hit_rate double")
+    at = F.row_number().over(Window.orderBy("qa_id")) - 1  # a small fixture
+    since = F.pmod(at - F.lit(seed), F.lit(size))
+    times = F.when(since < n, F.floor((F.lit(n - 1) - since) / size) + 1).otherwise(0)
+    reply = F.lower(F.coalesce(answer(F.col("question")), F.lit("")))
+    hit = F.exists(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: F.contains(reply, F.lower(k)))
+    taken = items.withColumn("_times", times).filter("_times > 0")
+    return taken.agg(F.lit(n).alias("sampled"), (F.sum(F.when(hit, F.col("_times")).otherwise(0)) / n).alias("keyword_hit_rate"))

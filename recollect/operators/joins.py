@@ -2,33 +2,68 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recollect.sources.store import checkpointed
+
+
+#: How many bins of one level make one of the next. A span is put at the level where it touches FAN + 1 bins at most.
+FAN = 16
+
+
+def _level(start: str, end: str, width: int) -> Column:
+    span = F.greatest((F.col(end) - F.col(start)) / width, F.lit(1.0))
+    return F.greatest(F.ceil(F.log(span) / math.log(FAN)) - 1, F.lit(0)).cast("int")
+
+
+def _bins(start: Column, end: Column, width: int, level: Column) -> Column:
+    w = F.lit(width) * F.pow(F.lit(float(FAN)), level).cast("bigint")
+    return F.sequence(F.floor(start / w), F.floor(end / w))
+
+
+def _levels(spans: DataFrame, start: str, end: str, width: int) -> list[int]:
+    """The levels that spans are at: their number grows with the logarithm of the longest."""
+    return sorted(r[0] for r in spans.filter(F.col(end) >= F.col(start)).select(_level(start, end, width)).distinct().collect())
+
 
 def range_join(left: DataFrame, right: DataFrame, at: str, start: str, end: str, width: int, keys: list[str] | None = None) -> DataFrame:
     """Rows of left whose `at` lies in [start, end] of a row of right, with equal `keys`.
 
-    Both are put in bins of `width`; a right row goes to each bin it touches, so the join is an equality join with a residual condition.
-    Equal keys keep bins small; without them a hot bin is split by adaptive execution.
+    Both are put in bins, so the join is an equality join with a residual condition. Bins have `width` at the lowest level and FAN times more at each next one; a
+    right row goes to the few bins that it touches at the level of its length, a left row to its bin at each level in use. Equal keys keep bins small; without them a hot bin is split by adaptive execution.
     """
     keys = keys or []
-    a = left.withColumn("_bin", F.floor(F.col(at) / width))
-    b = right.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    return a.join(b, [*keys, "_bin"]).filter((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("_bin")
+    levels = _levels(right, start, end, width)
+    places = F.array(*[F.struct(F.lit(n).alias("l"), F.floor(F.col(at) / (width * FAN**n)).alias("b")) for n in levels]).cast("array<struct<l:int,b:bigint>>")
+    a = left.withColumn("_p", F.explode(places)).withColumns({"_l": F.col("_p.l"), "_bin": F.col("_p.b")}).drop("_p")
+    b = right.filter(F.col(end) >= F.col(start)).withColumn("_l", _level(start, end, width)).withColumn("_bin", F.explode(_bins(F.col(start), F.col(end), width, F.col("_l"))))
+    return a.join(b, [*keys, "_l", "_bin"]).filter((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("_l", "_bin")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], width: int, keys: list[str] | None = None) -> DataFrame:
-    """Pairs of rows whose spans overlap, ends included. A pair is taken in the first bin that both touch, so each comes once."""
+    """Pairs of rows whose spans overlap, ends included.
+
+    Two spans meet at the level of the longer one, where both touch few bins: each row goes to the bins of its own level and of the levels above in use. A pair is taken in the first bin that both touch, so each comes once.
+    """
     keys = keys or []
     (ls, le), (rs, re_) = left_span, right_span
-    bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width)))
-    a, b = left.withColumn("_bin", bins(ls, le)), right.withColumn("_bin", bins(rs, re_))
-    first = F.floor(F.greatest(ls, rs) / width)
-    return a.join(b, [*keys, "_bin"]).filter((F.col(ls) <= F.col(re_)) & (F.col(rs) <= F.col(le)) & (F.col("_bin") == first)).drop("_bin")
+    levels = sorted({*_levels(left, ls, le, width), *_levels(right, rs, re_, width)})
+
+    def posted(df: DataFrame, s: str, e: str, own: str) -> DataFrame:
+        made = df.filter(F.col(e) >= F.col(s)).withColumn(own, _level(s, e, width))
+        used = F.filter(F.array(*[F.lit(n) for n in levels]).cast("array<int>"), lambda n: n >= F.col(own))
+        made = made.withColumn("_l", F.explode(used))
+        return made.withColumn("_bin", F.explode(_bins(F.col(s), F.col(e), width, F.col("_l"))))
+
+    both = posted(left, ls, le, "_la").join(posted(right, rs, re_, "_lb"), [*keys, "_l", "_bin"])
+    first = F.floor(F.greatest(ls, rs) / (F.lit(width) * F.pow(F.lit(float(FAN)), F.col("_l")).cast("bigint")))
+    met = (F.col("_l") == F.greatest("_la", "_lb")) & (F.col("_bin") == first)
+    return both.filter(met & (F.col(ls) <= F.col(re_)) & (F.col(rs) <= F.col(le))).drop("_l", "_la", "_lb", "_bin")
 
 
 def cascading_join(left: DataFrame, exact: DataFrame, fallback: DataFrame, key: str, order: list[Column], limit: int) -> DataFrame:
@@ -77,15 +112,14 @@ def newer_than_stored(source: DataFrame, stored: DataFrame, key: str, updated: s
     return joined.join(busy.select(key), key, "left_anti")
 
 
-def reachable(edges: DataFrame, start: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Nodes reachable from `start` (column node) over edges (src, dst): frontier joins until no node is new. Rounds are bounded by the longest path or max_rounds."""
-    seen = start.select("node").distinct()
-    frontier = seen
-    for _ in range(max_rounds):
-        frontier = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").cache()
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Nodes reachable from `start` (column node) over edges (src, dst): frontier joins until no node is new, as many as the longest shortest path has edges. Each round's nodes are stored."""
+    frontier = checkpointed(start.select("node").distinct())
+    seen = frontier
+    while not frontier.isEmpty():
+        news = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        frontier = checkpointed(news.join(seen, "node", "left_anti"))
+        seen = checkpointed(seen.unionByName(frontier).coalesce(max(1, edges.sparkSession.sparkContext.defaultParallelism)))
     return seen
 
 

@@ -1,15 +1,19 @@
-"""BM25 over an inverted index.
+"""BM25 over a stored inverted index.
 
 Tokens are lower-case runs of letters and digits. The index is one row for each term
-and document; only postings of query terms are joined, and queries come as a table, so many are
-answered by one plan.
+and document, with all that a weight needs, so a search reads postings of its terms and nothing else. Queries
+come as a table, so many are answered by one plan.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollect.sources.store import stored
+
 K1, B = 1.2, 0.75
 
 
@@ -17,27 +21,28 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, term, tf."""
-    return docs.select(doc_id, F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("term")).groupBy(doc_id, "term").agg(F.count("*").alias("tf"))
+@dataclass(frozen=True)
+class Index:
+    """`postings` (term, df, and of each document id, tf and dl), in order of terms, and `totals` (n, avgdl), one row. Documents without tokens count in the totals."""
 
+    postings: DataFrame
+    totals: DataFrame
 
-def lengths(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(doc_id, F.size(tokens(F.coalesce(F.col(text), F.lit("")))).cast("bigint").alias("dl"))
 
+def build_index(docs: DataFrame, doc_id: str = "id", text: str = "content") -> Index:
+    """Reads the texts once. A null text has no tokens."""
+    words = docs.select(F.col(doc_id).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    sized = stored(words.select("id", F.size("w").cast("bigint").alias("dl"), "w"), "words")
+    raw = sized.select("id", "dl", F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    df = raw.groupBy("term").agg(F.count("*").alias("df"))
+    postings = stored(raw.join(df, "term").select("term", "id", "tf", "dl", "df"), "postings", "term")
+    return Index(postings, stored(sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "totals"))
 
-def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "id", text: str = "content", query_id: str = "query_id", query: str = "query") -> DataFrame:
-    """query_id, doc_id, bm25 of documents with any of the query's distinct terms; larger is better.
 
-    Documents are filtered by terms before they are counted: what is shuffled follows the matches, not the corpus. Queries are a small table of the caller's.
-    """
+def bm25(index: Index, queries: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
+    """query_id, id, bm25 of documents with any of the query's distinct terms; larger is better. A query of no tokens has no rows."""
     terms = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(query)))).alias("term"))
-    wanted = F.broadcast(terms.select("term").distinct())
-    hits = docs.select(doc_id, F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("term")).join(wanted, "term", "left_semi").groupBy(doc_id, "term").agg(F.count("*").alias("tf"))
-    size = lengths(docs, doc_id, text)
-    totals = size.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    hits = index.postings.join(terms, "term").crossJoin(F.broadcast(index.totals))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(F.broadcast(df), "term").join(size, doc_id).crossJoin(F.broadcast(totals))  # one row
-    return scored.withColumn("w", weight).join(F.broadcast(terms), "term").groupBy(query_id, doc_id).agg(F.sum("w").alias("bm25"))
+    return hits.groupBy(query_id, "id").agg(F.sum(weight).alias("bm25"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,10 +56,21 @@ def settling_sweep(segments: DataFrame, queue: DataFrame, key: str) -> DataFrame
 
 
 def rate_limited(alarms: DataFrame, key: str, at: str, window_ms: int) -> DataFrame:
-    """Raised alarms that are kept: one that comes within window_ms of the last kept one of its key is dropped. A fold over each key's sorted times inside one array expression."""
-    g = alarms.groupBy(key).agg(F.array_sort(F.collect_list(at)).alias("_t"))
-    fold = F.aggregate("_t", F.struct(F.array().cast("array<bigint>").alias("kept"), F.lit(None).cast("bigint").alias("last")), lambda s, x: F.when(s["last"].isNull() | (x - s["last"] >= window_ms), F.struct(F.concat(s["kept"], F.array(x)).alias("kept"), x.alias("last"))).otherwise(s), lambda s: s["kept"])
-    return g.select(key, F.explode(fold).alias(at))
+    """Raised alarms that are kept: one that comes within window_ms of the last kept one of its key is dropped. Rows pass in order of key and time, and a task holds the last kept one only; a null time is dropped."""
+    kinds = {f.name: f.dataType.simpleString() for f in alarms.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, last, begun = None, 0, False
+        for batch in batches:
+            kept = []
+            for i, (k, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if not begun or k != of or t - last >= window_ms:
+                    kept.append(i)
+                    of, last, begun = k, t, True
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    rows = alarms.filter(F.col(at).isNotNull()).select(key, at).repartition(key).sortWithinPartitions(key, at)
+    return rows.mapInArrow(run, f"{key} {kinds[key]}, {at} {kinds[at]}")
 
 
 def auto_resolve(ticks: DataFrame, keys: list[str], tick: str, violated: str, clean: int = 2) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recollect.functions.text import RULES
 from recollect.operators import aggregates as A
 from recollect.operators import sessions as S
 from recollect.sources.catalog import role, with_roles
@@ -70,9 +71,9 @@ def n24(spark: SparkSession, d: str) -> DataFrame:
     return leaderboard(spark, d)
 
 
-@register("d10_orphan_backlog", with_roles("runs node_runs", "SELECT count(*) AS n, min(started_at) AS oldest FROM runs r WHERE NOT EXISTS (SELECT 1 FROM node_runs l WHERE l.run_id = r.id AND l.node_id < 600)"))
+@register("d10_orphan_backlog", with_roles("runs node_runs", "SELECT count(*) AS n, min(started_at) AS oldest FROM runs r WHERE NOT EXISTS (SELECT 1 FROM node_runs l WHERE l.run_id = r.id)"))
 def d10(spark: SparkSession, d: str) -> DataFrame:
-    l = role(spark, d, "node_runs").filter("node_id < 600").select(F.col("run_id").alias("id"))
+    l = role(spark, d, "node_runs").select(F.col("run_id").alias("id"))
     return role(spark, d, "runs").join(l, "id", "left_anti").agg(F.count("*").alias("n"), F.min("started_at").alias("oldest"))
 
 
@@ -137,9 +138,9 @@ def d18(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@register("d19_entities_by_type", with_roles("node_entities entities", "SELECT node_id, type, string_agg(name, '|' ORDER BY name) AS names FROM (SELECT DISTINCT l.node_id, e.type, e.name FROM node_entities l JOIN entities e ON e.id = l.entity_id WHERE l.node_id < 200) GROUP BY node_id, type"))
+@register("d19_entities_by_type", with_roles("node_entities entities", "SELECT node_id, type, string_agg(name, '|' ORDER BY name) AS names FROM (SELECT DISTINCT l.node_id, e.type, e.name FROM node_entities l JOIN entities e ON e.id = l.entity_id) GROUP BY node_id, type"))
 def d19(spark: SparkSession, d: str) -> DataFrame:
-    l = role(spark, d, "node_entities").filter("node_id < 200")
+    l = role(spark, d, "node_entities")
     j = l.join(role(spark, d, "entities").select(F.col("id").alias("entity_id"), "type", "name"), "entity_id")
     return j.groupBy("node_id", "type").agg(F.array_join(F.array_sort(F.collect_set("name")), "|").alias("names"))
 
@@ -154,15 +155,17 @@ def d21(spark: SparkSession, d: str) -> DataFrame:
     return A.diversity(role(spark, d, "ev_user"), "session_id", "source_kind", 5)
 
 
-_PAIRS = "SELECT {0} round(avg(list_cosine_similarity(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[]))), 6) AS mean_cosine FROM vectors a JOIN vectors b ON a.id < b.id {1}"
+# the sum over pairs of unit vectors is half of what the square of their sum has over their number
+_PAIRS = """WITH u AS (SELECT id, label, unnest(range(1, len(vector) + 1)) AS d, unnest(vector)::DOUBLE / sqrt(list_dot_product(vector::DOUBLE[], vector::DOUBLE[])) AS x FROM vectors),
+    s AS (SELECT {0} d, sum(x) AS s, count(*) AS n FROM u GROUP BY {0} d) SELECT {0} round((sum(s * s) - max(n)) / (max(n) * (max(n) - 1)), 6) AS mean_cosine FROM s {1}"""
 
 
-@register("d22_pairwise_cosine", with_roles("vectors", _PAIRS.format("", "AND b.id < 500")))
+@register("d22_pairwise_cosine", with_roles("vectors", _PAIRS.format("", "")))
 def d22(spark: SparkSession, d: str) -> DataFrame:
     return A.mean_pairwise_cosine(role(spark, d, "vectors"), [], "vector", "mean_cosine")
 
 
-@register("d23_cohesion", with_roles("vectors", _PAIRS.format("a.label,", "AND a.label = b.label AND b.id < 500 GROUP BY a.label")))
+@register("d23_cohesion", with_roles("vectors", _PAIRS.format("label,", "GROUP BY label")))
 def d23(spark: SparkSession, d: str) -> DataFrame:
     return A.mean_pairwise_cosine(role(spark, d, "vectors"), ["label"], "vector", "mean_cosine")
 
@@ -240,7 +243,22 @@ def e3(spark: SparkSession, d: str) -> DataFrame:
     return g.groupBy("session_id", "chunk").agg(F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"), F.count("*").alias("n"))
 
 
-@register("e4_transcript_segments")
+def _segments_sql(turns: str, gap: str) -> str:
+    """Segments by recursion over a transcript's turns; `turns` gives conv_id, turn, role, timestamp and n, `gap` the condition on time."""
+    return f"""RECURSIVE WITH base AS ({turns}), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM base),
+    s AS (SELECT conv_id, r, 0 AS segment, n AS total, CASE WHEN role = 'user' THEN timestamp END AS last_user, timestamp, n FROM o WHERE r = 1
+        UNION ALL SELECT conv_id, r, segment + cut, CASE WHEN cut = 1 THEN n ELSE total + n END, CASE WHEN role = 'user' THEN timestamp ELSE last_user END, timestamp, n
+        FROM (SELECT o.conv_id, o.r, o.role, o.timestamp, o.n, s.segment, s.total, s.last_user, CASE WHEN o.role = 'user' AND (s.total > 1500{gap}) THEN 1 ELSE 0 END AS cut FROM s JOIN o ON o.conv_id = s.conv_id AND o.r = s.r + 1))
+    SELECT conv_id, CAST(segment AS INTEGER) AS segment, min(timestamp) AS start_time, max(timestamp) AS end_time, count(*) AS messages, CAST(sum(n) AS BIGINT) AS chars FROM s GROUP BY conv_id, segment"""
+
+
+def _sql_redacted(column: str) -> str:
+    for _, pattern in RULES:
+        column = f"regexp_replace({column}, '{pattern}', '[REDACTED]', 'g')"
+    return f"coalesce(length({column}), 0)"
+
+
+@register("e4_transcript_segments", with_roles("turns", _segments_sql("SELECT conv_id, turn, role, timestamp, coalesce(length(text), 0) AS n FROM turns", " OR coalesce(o.timestamp - s.last_user > 300000, false)")))
 def e4(spark: SparkSession, d: str) -> DataFrame:
     return S.segments(role(spark, d, "turns"), chars=1500)
 
@@ -283,7 +301,10 @@ def e10(spark: SparkSession, d: str) -> DataFrame:
     return S.prune_revisions(r, "document_id", "observed_at", F.col("id") % 9 == 0, 1704067200000 + 40_000_000_000, 38_000_000_000, 30).select("id")
 
 
-@register("e11_rollout_segments")
+_E11 = f"SELECT conv_id, turn, role, timestamp, {_sql_redacted('text')} AS n FROM turns t WHERE role <> 'developer' AND turn >= (SELECT min(turn) FROM turns x WHERE x.conv_id = t.conv_id AND x.role = 'user')"
+
+
+@register("e11_rollout_segments", with_roles("turns", _segments_sql(_E11, " OR coalesce(o.timestamp - s.last_user > 300000, false)")))
 def e11(spark: SparkSession, d: str) -> DataFrame:
     from recollect.functions.text import redact
 
@@ -293,7 +314,7 @@ def e11(spark: SparkSession, d: str) -> DataFrame:
     return S.segments(kept, chars=1500, size=F.length(redact(F.col("text"))))
 
 
-@register("e12_untimed_segments")
+@register("e12_untimed_segments", with_roles("turns", _segments_sql(f"SELECT conv_id, turn, role, timestamp, {_sql_redacted('text')} AS n FROM turns", "")))
 def e12(spark: SparkSession, d: str) -> DataFrame:
     from recollect.functions.text import redact
 

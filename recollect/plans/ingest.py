@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.sources import sinks as K
 from recollect.sources import transcripts as T
 from recollect.sources.catalog import load, role, with_roles
+from recollect.sources.store import new_path
 from recollect.streaming import ingest as S
 
 from .registry import register
@@ -67,11 +66,11 @@ def a7(spark: SparkSession, d: str) -> DataFrame:
     return T.session_context(p, m).select("session_id", F.nullif("texts", F.lit("")).alias("texts"), "tokens")
 
 
-@register("a8_ci_payloads", with_roles("runs jobs", "SELECT r.id AS run_id, r.repo, j.id AS job_id, j.name AS job, CASE WHEN j.id % 2 = 0 THEN j.message END AS message FROM runs r LEFT JOIN (SELECT DISTINCT run_id, id, name, message FROM jobs) j ON j.run_id = r.id WHERE r.id < 400"))
+@register("a8_ci_payloads", with_roles("runs jobs", "SELECT r.id AS run_id, r.repo, j.id AS job_id, j.name AS job, CASE WHEN j.id % 2 = 0 THEN j.message END AS message FROM runs r LEFT JOIN (SELECT DISTINCT run_id, id, name, message FROM jobs) j ON j.run_id = r.id"))
 def a8(spark: SparkSession, d: str) -> DataFrame:
-    j = role(spark, d, "jobs").filter("run_id < 400").select("run_id", "id", "name", "message").distinct()
+    j = role(spark, d, "jobs").select("run_id", "id", "name", "message").distinct()
     nested = j.groupBy("run_id").agg(F.collect_list(F.struct("id", "name", F.when(F.col("id") % 2 == 0, F.array("message")).otherwise(F.array().cast("array<string>")).alias("annotations"))).alias("jobs"))
-    r = role(spark, d, "runs").filter("id < 400").join(nested, F.col("id") == F.col("run_id"), "left")
+    r = role(spark, d, "runs").join(nested, F.col("id") == F.col("run_id"), "left")
     payloads = r.select(F.to_json(F.array(F.struct("id", "repo", "jobs"))).alias("body"))
     return T.ci_rows(payloads, "body")
 
@@ -95,11 +94,11 @@ def a12(spark: SparkSession, d: str) -> DataFrame:
     return role(spark, d, "ev").groupBy(K.utc_day(F.col("timestamp")).alias("day")).agg(F.count("*").alias("n"))
 
 
-@register("a13_training_export", with_roles("nodes outcomes", "SELECT id, CASE WHEN h < 8 THEN 'train' WHEN h = 8 THEN 'valid' ELSE 'test' END AS split FROM (SELECT DISTINCT n.id, CAST('0x' || substr(md5(CAST(n.id AS VARCHAR) || ':0'), 1, 8) AS BIGINT) % 10 AS h FROM nodes n JOIN outcomes o ON o.node_id = n.id)"))
+@register("a13_training_export", with_roles("nodes outcomes", "SELECT id, CAST(to_json({'messages': [{'role': 'system', 'content': 'Summarise the activity.'}, {'role': 'user', 'content': prompt}, {'role': 'assistant', 'content': answer}]}) AS VARCHAR) AS messages, CASE WHEN h < 8 THEN 'train' WHEN h = 8 THEN 'valid' ELSE 'test' END AS split FROM (SELECT n.id, n.embed_text AS prompt, max(o.outcome) AS answer, CAST('0x' || substr(md5(CAST(n.id AS VARCHAR) || ':0'), 1, 8) AS BIGINT) % 10 AS h FROM nodes n JOIN outcomes o ON o.node_id = n.id WHERE n.embed_text IS NOT NULL GROUP BY n.id, n.embed_text)"))
 def a13(spark: SparkSession, d: str) -> DataFrame:
-    n = role(spark, d, "nodes").select("id", F.col("embed_text").alias("prompt"))
+    n = role(spark, d, "nodes").select("id", F.col("embed_text").alias("prompt")).filter("prompt IS NOT NULL")
     o = role(spark, d, "outcomes").groupBy(F.col("node_id").alias("id")).agg(F.max("outcome").alias("answer"))
-    return K.chat_triples(n, o, "id").select("id", "split")
+    return K.chat_triples(n, o, "id")
 
 
 @register("a15_file_integrity", with_roles("nodes", "SELECT uuid AS name, CASE WHEN id % 10 = 0 THEN 'missing' WHEN id % 10 = 1 THEN 'changed' ELSE 'ok' END AS status FROM nodes"))
@@ -144,11 +143,7 @@ def a20(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    from tempfile import mkdtemp
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or mkdtemp(prefix="recollect-stream-")
-    name = f"drained_{uuid.uuid4().hex}"
-    return S.drain(stream, name, f"{folder}/{name}")
+    return S.drain(stream, new_path(spark, "drained"))
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
@@ -175,22 +170,15 @@ def k14(spark: SparkSession, d: str) -> DataFrame:
     return _drained(spark, S.rolling_counts(_stream(spark, d), "24 hours", "24 hours"))
 
 
-@register("k8_micro_batch_flush", with_roles("ev", "SELECT source_kind AS source, count(*) AS n, max(timestamp) AS last FROM ev GROUP BY 1"))
+@register("k8_micro_batch_flush", with_roles("ev", "SELECT source_kind AS source, count(*) AS n, max(timestamp) AS last, count(*) AS health_events, 0 AS failures FROM ev GROUP BY 1"))
 def k8(spark: SparkSession, d: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        from tempfile import mkdtemp
-
-        folder = mkdtemp(prefix="recollect-stream-")
-    base = f"{folder}/flush_{uuid.uuid4().hex}"
-    state = {"health": spark.createDataFrame([], "source string, last_event_ts bigint, events bigint, consecutive_failures int, last_error_msg string")}
+    base = new_path(spark, "flush")
+    health = S.StoredHealth(spark, f"{base}/health")
 
     def store(rows: DataFrame, epoch: int) -> None:
         rows.select("event_id", "source", "timestamp").write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
 
-    def save(h: DataFrame) -> None:
-        h.write.mode("overwrite").parquet(f"{base}/health/{uuid.uuid4().hex}")
-
-    q = S.flush(_stream(spark, d), store, lambda: state["health"], save).option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
+    q = S.flush(_stream(spark, d), store, health.load, health.save).option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out").groupBy("source").agg(F.count("*").alias("n"), F.max("timestamp").alias("last"))
+    stored = spark.read.parquet(f"{base}/out").groupBy("source").agg(F.count("*").alias("n"))
+    return stored.join(health.load(), "source").select("source", "n", F.col("last_event_ts").alias("last"), F.col("events").alias("health_events"), F.col("consecutive_failures").alias("failures"))

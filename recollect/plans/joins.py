@@ -73,9 +73,9 @@ def b13(spark: SparkSession, d: str) -> DataFrame:
     return J.union_of_semi_joins(node_ids(spark, d), "node_id", [role(spark, d, "node_events").join(e, "event_id", "left_semi"), role(spark, d, "node_sessions").join(s, "session_id", "left_semi"), m])
 
 
-@register("b14_branch_filter", with_roles("nodes node_events ev node_sessions sessions", "SELECT id AS node_id FROM nodes WHERE id IN (SELECT node_id FROM node_events JOIN ev ON ev.id = event_id WHERE git_branch = 'dev' AND session_id < 9) OR id IN (SELECT node_id FROM node_sessions JOIN sessions s ON s.id = session_id WHERE git_branch = 'dev')"))
+@register("b14_branch_filter", with_roles("nodes node_events ev node_sessions sessions", "SELECT id AS node_id FROM nodes WHERE id IN (SELECT node_id FROM node_events JOIN ev ON ev.id = event_id WHERE git_branch = 'dev') OR id IN (SELECT node_id FROM node_sessions JOIN sessions s ON s.id = session_id WHERE git_branch = 'dev')"))
 def b14(spark: SparkSession, d: str) -> DataFrame:
-    e = role(spark, d, "ev").filter("git_branch = 'dev' AND session_id < 9").select(F.col("id").alias("event_id"))
+    e = role(spark, d, "ev").filter("git_branch = 'dev'").select(F.col("id").alias("event_id"))
     s = role(spark, d, "sessions").filter("git_branch = 'dev'").select(F.col("id").alias("session_id"))
     return J.union_of_semi_joins(node_ids(spark, d), "node_id", [role(spark, d, "node_events").join(e, "event_id", "left_semi"), role(spark, d, "node_sessions").join(s, "session_id", "left_semi")])
 
@@ -201,16 +201,17 @@ def c9(spark: SparkSession, d: str) -> DataFrame:
     "c10_cascading_join",
     with_roles(
         "runs ev_user",
-        """WITH r AS (SELECT id AS run, id % 500 AS sha, repo FROM runs WHERE id < 300), x AS (SELECT r.run, e.id AS event, e.timestamp FROM r JOIN ev_user e ON e.session_id = r.sha AND e.source_kind = 'purchase'),
-        y AS (SELECT r.run, e.id AS event, e.timestamp FROM r JOIN ev_user e ON e.git_repo = r.repo AND e.source_kind = 'signup' WHERE r.run NOT IN (SELECT run FROM x))
+        """WITH r AS (SELECT id AS run, id % 500 AS sha, repo, 1704067200000 + id * 37 % 2592000 * 1000 AS at FROM runs), x AS (SELECT r.run, e.id AS event, e.timestamp FROM r JOIN ev_user e ON e.session_id = r.sha AND e.source_kind = 'purchase'),
+        y AS (SELECT r.run, e.id AS event, e.timestamp FROM r JOIN ev_user e ON e.git_repo = r.repo AND e.source_kind = 'signup' AND e.timestamp BETWEEN r.at - 3600000 AND r.at WHERE r.run NOT IN (SELECT run FROM x))
         SELECT run, event, exact FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY timestamp, event) AS n FROM (SELECT run, event, timestamp, true AS exact FROM x UNION ALL SELECT run, event, timestamp, false FROM y)) WHERE n <= 20""",
     ),
 )
 def c10(spark: SparkSession, d: str) -> DataFrame:
-    r = role(spark, d, "runs").filter("id < 300").select(F.col("id").alias("run"), (F.col("id") % 500).alias("session_id"), F.col("repo").alias("git_repo"))
+    r = role(spark, d, "runs").select(F.col("id").alias("run"), (F.col("id") % 500).alias("session_id"), F.col("repo").alias("git_repo"), (F.lit(1_704_067_200_000) + F.col("id") * 37 % 2_592_000 * 1000).alias("at"))
     e = role(spark, d, "ev_user").select(F.col("id").alias("event"), "timestamp", "session_id", "git_repo", "source_kind")
-    exact = r.drop("git_repo").join(e.filter("source_kind = 'purchase'").drop("git_repo"), "session_id").select("run", "event", "timestamp")
-    fallback = r.drop("session_id").join(e.filter("source_kind = 'signup'").drop("session_id"), "git_repo").select("run", "event", "timestamp")
+    exact = r.select("run", "session_id").join(e.filter("source_kind = 'purchase'").drop("git_repo"), "session_id").select("run", "event", "timestamp")
+    pushed = r.select("run", "git_repo", (F.col("at") - 3_600_000).alias("since"), "at")
+    fallback = J.range_join(e.filter("source_kind = 'signup'").drop("session_id"), pushed, "timestamp", "since", "at", 3_600_000, ["git_repo"]).select("run", "event", "timestamp")
     return J.cascading_join(r, exact, fallback, "run", [F.col("timestamp"), F.col("event")], 20).select("run", "event", "exact")
 
 
@@ -242,11 +243,11 @@ def c16(spark: SparkSession, d: str) -> DataFrame:
     return role(spark, d, "jobs").join(r, "run_id").groupBy("run_id").agg(F.count("*").alias("jobs"))
 
 
-@register("c17_provenance", with_roles("nodes memdocs node_runs", "SELECT n.id, CASE WHEN m.source_path LIKE '%feedback%' THEN 'feedback' WHEN m.source_path LIKE '%project%' THEN 'project' WHEN m.source_path LIKE '%reference%' THEN 'reference' END AS category, (SELECT string_agg(CAST(run_id AS VARCHAR), ',' ORDER BY run_id) FROM (SELECT DISTINCT run_id FROM node_runs l WHERE l.node_id = n.id)) AS links FROM nodes n JOIN memdocs m ON m.id = n.id WHERE n.id < 200"))
+@register("c17_provenance", with_roles("nodes memdocs node_runs", "SELECT n.id, CASE WHEN m.source_path LIKE '%feedback%' THEN 'feedback' WHEN m.source_path LIKE '%project%' THEN 'project' WHEN m.source_path LIKE '%reference%' THEN 'reference' END AS category, (SELECT string_agg(CAST(run_id AS VARCHAR), ',' ORDER BY run_id) FROM (SELECT DISTINCT run_id FROM node_runs l WHERE l.node_id = n.id)) AS links FROM nodes n JOIN memdocs m ON m.id = n.id"))
 def c17(spark: SparkSession, d: str) -> DataFrame:
-    n = node_ids(spark, d).filter("node_id < 200")
+    n = node_ids(spark, d)
     cats = role(spark, d, "memdocs").select(F.col("id").alias("node_id"), category_of(F.col("source_path")).alias("category"))
-    links = role(spark, d, "node_runs").filter("node_id < 200").groupBy("node_id").agg(F.array_sort(F.collect_set("run_id")).alias("x"))
+    links = role(spark, d, "node_runs").groupBy("node_id").agg(F.array_sort(F.collect_set("run_id")).alias("x"))
     out = n.join(cats, "node_id").join(links, "node_id", "left")
     return out.select(F.col("node_id").alias("id"), "category", F.array_join(F.transform("x", lambda v: v.cast("string")), ",").alias("links"))
 

@@ -111,10 +111,10 @@ def b21(spark: SparkSession, d: str) -> DataFrame:
     return role(spark, d, "nodes").select("id", P.truncated(F.col("content"), 60).alias("excerpt")).orderBy("id").limit(P.clamp_limit(5000))
 
 
-@register("b22_optional_columns", with_roles("ev", "SELECT id, command, git_repo FROM ev WHERE id < 100"))
+@register("b22_optional_columns", with_roles("ev", "SELECT id, command, git_repo FROM ev"))
 def b22(spark: SparkSession, d: str) -> DataFrame:
     e = role(spark, d, "ev")
-    return e.filter("id < 100").select([c for c in ("id", "command", "git_repo", "tool_name") if c in e.columns])
+    return e.select([c for c in ("id", "command", "git_repo", "tool_name") if c in e.columns])
 
 
 @register("b23_shaped_defaults", with_roles("ev", "SELECT id, coalesce(git_repo, '') AS git_repo, coalesce(probe_tag, '') AS probe_tag FROM ev"))
@@ -432,17 +432,16 @@ def n26(spark: SparkSession, d: str) -> DataFrame:
     "n28_qa_worklist",
     with_roles(
         "questions nodes",
-        """SELECT q.id AS qa_id, string_agg(CAST(n.id AS VARCHAR), ',' ORDER BY n.id) AS candidates FROM questions q JOIN nodes n ON starts_with(n.source, 'src' || CAST(q.id % 3 AS VARCHAR)) AND n.id < 60
-        WHERE NOT EXISTS (SELECT 1 FROM nodes x WHERE x.id = q.id * 40) GROUP BY q.id""",
+        """SELECT q.id AS qa_id, n.id AS candidate FROM questions q JOIN nodes n ON starts_with(n.source, 'src' || CAST(q.id % 3 AS VARCHAR))
+        WHERE NOT EXISTS (SELECT 1 FROM nodes x WHERE x.id = q.id * 40)""",
     ),
 )
 def n28(spark: SparkSession, d: str) -> DataFrame:
     n = role(spark, d, "nodes").select(F.col("id").alias("node_id"), "source")
     q = role(spark, d, "questions").select(F.col("id").alias("qa_id"))
     open_ = q.join(n, F.col("qa_id") * 40 == F.col("node_id"), "left_anti").withColumn("prefix", F.concat(F.lit("src"), (F.col("qa_id") % 3).cast("string")))
-    keyed = n.filter("node_id < 60").withColumn("prefix", F.substring("source", 1, 4))  # all prefixes have four characters: an equality join
-    g = open_.join(keyed, "prefix").groupBy("qa_id").agg(F.array_sort(F.collect_list("node_id")).alias("x"))
-    return g.select("qa_id", F.array_join(F.transform("x", lambda v: v.cast("string")), ",").alias("candidates"))
+    keyed = n.withColumn("prefix", F.substring("source", 1, 4))  # all prefixes have four characters: an equality join
+    return open_.join(keyed, "prefix").select("qa_id", F.col("node_id").alias("candidate"))
 
 
 @register(

@@ -11,11 +11,12 @@ from recollect.operators import evaluation as E
 from recollect.operators import lexical as L
 from recollect.operators import retrieval as R
 from recollect.sources.catalog import NOW, role, with_roles
+from recollect.sources.store import checkpointed
 
 from .registry import register
 
 TUNING = R.Tuning()
-_Q = "q AS (SELECT id AS query_id, substring(question, 1, 60) AS query FROM questions WHERE id < 8)"
+_Q = "q AS (SELECT id AS query_id, question AS query FROM questions)"
 _TOK = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 _BM25 = f"""WITH {_Q}, dt AS (SELECT id, {_TOK.format('content')} AS w FROM nodes), dl AS (SELECT id, len(w) AS dl FROM dt), tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
     qt AS (SELECT DISTINCT query_id, unnest({_TOK.format('query')}) AS term FROM q), tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM dt) WHERE term IN (SELECT term FROM qt) GROUP BY id, term),
@@ -26,11 +27,22 @@ _VEC = "qv AS (SELECT q.query_id, v.vector AS q FROM q JOIN vectors v ON v.id =
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    return role(spark, d, "questions").filter("id < 8").select(F.col("id").alias("query_id"), F.substring("question", 1, 60).alias("query"))
+    return role(spark, d, "questions").select(F.col("id").alias("query_id"), F.col("question").alias("query"))
+
+
+_indexes: dict[tuple[str, str], L.Index] = {}
+
+
+def text_index(spark: SparkSession, d: str) -> L.Index:
+    """The inverted index of the nodes, built when an application first searches them and stored."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _indexes:
+        _indexes[key] = L.build_index(role(spark, d, "nodes").select("id", "content"))
+    return _indexes[key]
 
 
 def lexical_arm(spark: SparkSession, d: str, k: int) -> DataFrame:
-    hits = L.bm25(role(spark, d, "nodes").select("id", "content"), questions(spark, d))
+    hits = L.bm25(text_index(spark, d), questions(spark, d))
     return R.ranked(hits, [F.desc(F.round("bm25", 9)), F.col("id")], k)
 
 
@@ -50,7 +62,7 @@ def i2(spark: SparkSession, d: str) -> DataFrame:
     return lexical_arm(spark, d, 25).select("query_id", "id", F.round("bm25", 6).alias("bm25"))
 
 
-@register("i3_alias_expanded_query", with_roles("questions entities", "SELECT q.id AS query_id, substring(q.question, 1, 60) || coalesce(' ' || string_agg(DISTINCT e.canonical, ' ' ORDER BY e.canonical), '') AS query FROM questions q LEFT JOIN entities e ON lower(e.name) = 'small ring' AND q.id % 2 = 0 WHERE q.id < 8 GROUP BY q.id, q.question"))
+@register("i3_alias_expanded_query", with_roles("questions entities", "SELECT q.id AS query_id, q.question || coalesce(' ' || string_agg(DISTINCT e.canonical, ' ' ORDER BY e.canonical), '') AS query FROM questions q LEFT JOIN entities e ON lower(e.name) = 'small ring' AND q.id % 2 = 0 GROUP BY q.id, q.question"))
 def i3(spark: SparkSession, d: str) -> DataFrame:
     q = questions(spark, d).withColumn("alias", F.when(F.col("query_id") % 2 == 0, "small ring"))
     terms = q.join(role(spark, d, "entities").select(F.lower("name").alias("alias"), "canonical"), "alias").groupBy("query_id").agg(F.array_sort(F.collect_set("canonical")).alias("t"))
@@ -79,7 +91,7 @@ def i5(spark: SparkSession, d: str) -> DataFrame:
 
 @register("i6_recent_mode", with_roles("questions nodes", f"{_BM25} SELECT query_id, id FROM (SELECT query_id, bm.id, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, bm.id) AS r FROM bm JOIN nodes n ON n.id = bm.id) WHERE r <= 10"))
 def i6(spark: SparkSession, d: str) -> DataFrame:
-    hits = L.bm25(role(spark, d, "nodes").select("id", "content"), questions(spark, d)).join(created(spark, d), "id")
+    hits = L.bm25(text_index(spark, d), questions(spark, d)).join(created(spark, d), "id")
     return R.ranked(hits, [F.desc("created_at"), F.col("id")], 10).select("query_id", "id")
 
 
@@ -119,9 +131,9 @@ _HYDRATE = f"""{_FUSED}, h AS (SELECT query_id, id, score FROM (SELECT *, row_nu
 
 def hydrate(hits: DataFrame, spark: SparkSession, d: str) -> DataFrame:
     """Details of hits that are cut already: one aggregate for each family, over links of the hits alone."""
-    hits = hits.persist()  # a few rows for each query, read once for each family
+    hits = checkpointed(hits)  # a few rows for each query, read once for each family
     ids = hits.select(F.col("id").alias("node_id")).distinct()
-    near = lambda name: role(spark, d, name).join(F.broadcast(ids), "node_id", "left_semi")  # noqa: E731  a few rows for each query
+    near = lambda name: role(spark, d, name).join(ids, "node_id", "left_semi")
     ev = near("node_events").join(role(spark, d, "ev_user").select(F.col("id").alias("event_id"), "timestamp"), "event_id").groupBy("node_id").agg(F.count_distinct("event_id").alias("shell"), F.max("timestamp").alias("last_event"))
     vi = near("node_visits").groupBy("node_id").agg(F.count_distinct("visit_id").alias("browser"))
     en = near("node_entities").join(role(spark, d, "entities").select(F.col("id").alias("entity_id"), "name"), "entity_id").groupBy("node_id").agg(F.array_join(F.array_sort(F.collect_set("name")), "|").alias("entities"))
@@ -144,11 +156,11 @@ def i11(spark: SparkSession, d: str) -> DataFrame:
     return R.shaped(n).select("id", "score", F.array_join("linked", ",").alias("linked"))
 
 
-@register("i12_freshness_attach", with_roles("node_events ev_user", "SELECT l.node_id, e.source_kind, CASE WHEN 1706659200000 - s.last <= 3600000 THEN 'fresh' ELSE 'stale' END AS freshness FROM (SELECT DISTINCT node_id, event_id FROM node_events WHERE node_id < 20) l JOIN ev_user e ON e.id = l.event_id JOIN (SELECT source_kind, max(timestamp) AS last FROM ev_user GROUP BY 1) s ON s.source_kind = e.source_kind"))
+@register("i12_freshness_attach", with_roles("node_events ev_user", "SELECT l.node_id, e.source_kind, CASE WHEN 1706659200000 - s.last <= 3600000 THEN 'fresh' ELSE 'stale' END AS freshness FROM (SELECT DISTINCT node_id, event_id FROM node_events) l JOIN ev_user e ON e.id = l.event_id JOIN (SELECT source_kind, max(timestamp) AS last FROM ev_user GROUP BY 1) s ON s.source_kind = e.source_kind"))
 def i12(spark: SparkSession, d: str) -> DataFrame:
     e = role(spark, d, "ev_user")
     snap = e.groupBy("source_kind").agg(F.max("timestamp").alias("last"))  # one row for each source
-    l = role(spark, d, "node_events").filter("node_id < 20").distinct().join(e.select(F.col("id").alias("event_id"), "source_kind"), "event_id")
+    l = role(spark, d, "node_events").distinct().join(e.select(F.col("id").alias("event_id"), "source_kind"), "event_id")
     return l.join(F.broadcast(snap), "source_kind").select("node_id", "source_kind", F.when(F.lit(1706659200000) - F.col("last") <= 3_600_000, "fresh").otherwise("stale").alias("freshness"))
 
 
@@ -199,12 +211,17 @@ def i16(spark: SparkSession, d: str) -> DataFrame:
     return R.conflicts(h, "source")
 
 
-@register("i17_rerank_parse", "SELECT i::INTEGER AS id, CASE i % 3 WHEN 0 THEN '3,1,2,4' WHEN 1 THEN '2,1,3,4' ELSE '1,2,3,4' END AS ranking FROM range(30) t(i)")
+_RANKING = r"""WITH r AS (SELECT id, [CAST(x AS INTEGER) FOR x IN regexp_extract_all(regexp_extract('[' || duration_ms || ', ' || id % 6 || ', ' || session_id || '] of ' || command, '\[([^\]]*)\]', 1), '\d+') IF length(x) < 10 AND CAST(x AS BIGINT) BETWEEN 1 AND 5] AS named FROM ev_user),
+    p AS (SELECT id, n, list_position(named, n) AS place FROM r, generate_series(1, 5) t(n))
+    SELECT id, string_agg(n, ',' ORDER BY coalesce(place, 100), n) AS ranking FROM p GROUP BY id"""
+
+
+@register("i17_rerank_parse", with_roles("ev_user", _RANKING))
 def i17(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("id")
-    reply = F.when(i % 3 == 0, "best: [3, 1, 3, 9] or [4]").when(i % 3 == 1, "[2]").otherwise("no list")
-    r = R.parse_ranking(reply, F.lit(4))
-    return spark.range(30).select(F.col("id").cast("int").alias("id")).select("id", F.array_join(F.transform(r, lambda x: x.cast("string")), ",").alias("ranking"))
+    e = role(spark, d, "ev_user")
+    reply = F.concat(F.lit("["), F.concat_ws(", ", F.col("duration_ms").cast("string"), (F.col("id") % 6).cast("string"), F.col("session_id").cast("string")), F.lit("] of "), "command")
+    r = R.parse_ranking(reply, F.lit(5))
+    return e.select("id", F.array_join(F.transform(r, lambda x: x.cast("string")), ",").alias("ranking"))
 
 
 def ask(spark: SparkSession, d: str, answer=None, limit: int = 3) -> DataFrame:
@@ -262,7 +279,7 @@ def i23(spark: SparkSession, d: str) -> DataFrame:
     return meta.groupBy("embed_model").agg(F.count("*").alias("n"))
 
 
-_IR = """gold AS (SELECT query_id, id, CAST(1 + id % 3 AS DOUBLE) AS gain FROM sem WHERE id % 4 = 0 AND query_id % 4 <> 3), res AS (SELECT query_id, id, rank FROM sem WHERE rank <= 10),
+_IR = """gold AS (SELECT query_id, id, CAST(1 + id % 3 AS DOUBLE) AS gain FROM sem WHERE rank <= 60 AND id % 4 = 0 AND query_id % 4 <> 3), res AS (SELECT query_id, id, rank FROM sem WHERE rank <= 10),
     j AS (SELECT r.query_id, count(g.gain) AS found, min(CASE WHEN g.gain IS NOT NULL THEN r.rank END) AS first, sum(coalesce(g.gain, 0) / log2(r.rank + 1)) AS dcg FROM res r LEFT JOIN gold g USING (query_id, id) GROUP BY r.query_id),
     b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, id) AS r FROM gold), ideal AS (SELECT query_id, count(*) AS n, sum(CASE WHEN r <= 10 THEN gain / log2(r + 1) ELSE 0 END) AS i FROM b GROUP BY query_id)
     SELECT query_id, round(found / n, 6) AS recall, CASE WHEN n > 0 THEN round(coalesce(1.0 / first, 0), 6) END AS mrr, round(dcg / i, 6) AS ndcg FROM j LEFT JOIN ideal USING (query_id)"""
@@ -270,9 +287,9 @@ _IR = """gold AS (SELECT query_id, id, CAST(1 + id % 3 AS DOUBLE) AS gain FROM s
 
 @register("i24_ir_metrics", with_roles("questions vectors", f"WITH {_Q}, {_VEC}, {_IR}"))
 def i24(spark: SparkSession, d: str) -> DataFrame:
-    every = semantic_arm(spark, d, 1_000_000_000)
-    gold = every.filter("id % 4 = 0 AND query_id % 4 <> 3").select("query_id", "id", (1 + F.col("id") % 3).cast("double").alias("gain"))
-    return E.ir_metrics(semantic_arm(spark, d, 10), gold, 10)
+    wide = semantic_arm(spark, d, 60)
+    gold = wide.filter("id % 4 = 0 AND query_id % 4 <> 3").select("query_id", "id", (1 + F.col("id") % 3).cast("double").alias("gain"))
+    return E.ir_metrics(wide.filter("rank <= 10"), gold, 10)
 
 
 @register("i25_golden_ranks", with_roles("questions vectors", f"WITH {_Q}, {_VEC} SELECT query_id AS qa_id, min(CASE WHEN id % 50 = query_id * 5 THEN rank END) AS rank FROM sem WHERE rank <= 60 GROUP BY query_id"))
@@ -282,9 +299,16 @@ def i25(spark: SparkSession, d: str) -> DataFrame:
     return E.golden_ranks(res, golden).select("qa_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-@register("i26_qa_sampling", with_roles("questions", "SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM questions WHERE id < 40) WHERE i IN (37, 38, 39, 0, 1)"))
+_I26 = """WITH p AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM questions), t AS (SELECT question, floor((6 - ((i - 37) % n + n) % n) / n) + 1 AS times FROM p WHERE ((i - 37) % n + n) % n < 7)
+    SELECT 7 AS sampled, CAST(sum(CASE WHEN contains(lower(substring(question, 1, 40)), lower(string_split(question, ' ')[3])) OR contains(lower(substring(question, 1, 40)), lower(string_split(question, ' ')[9])) THEN times ELSE 0 END) AS DOUBLE) / 7 AS keyword_hit_rate FROM t"""
+
+
+@register("i26_qa_sampling", with_roles("questions", _I26))
 def i26(spark: SparkSession, d: str) -> DataFrame:
-    return E.qa_sample(role(spark, d, "questions").filter("id < 40").select("id"), "id", 5, 37, 40).select("id")
+    """Two words of a question are the keywords; the answer is how the question begins, in capitals."""
+    words = F.split("question", " ")
+    items = role(spark, d, "questions").select(F.col("id").alias("qa_id"), "question", F.filter(F.array(F.get(words, 2), F.get(words, 8)), lambda w: w.isNotNull()).alias("keywords"))
+    return E.ask_sample(items, lambda q: F.upper(F.substring(q, 1, 40)), 7, 37)
 
 
 @register("i27_qa_fixture_filter", with_roles("questions nodes", "SELECT q.id, (SELECT count(*) FROM questions x WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.id = x.id * 40)) AS dropped FROM questions q WHERE EXISTS (SELECT 1 FROM nodes n WHERE n.id = q.id * 40)"))
@@ -295,9 +319,9 @@ def i27(spark: SparkSession, d: str) -> DataFrame:
     return q.join(n, "golden", "left_semi").select("id").crossJoin(F.broadcast(dropped))  # one row
 
 
-@register("i28_determinism", with_roles("jobs", "WITH m AS (SELECT run_id % 9 AS model, run_id, avg(1.0 / (id % 4 + 1)) AS mrr, avg(CAST(id % 4 = 0 AS INTEGER)) AS hit FROM jobs WHERE run_id < 40 GROUP BY 1, 2) SELECT model, count(*) AS runs, round(max(mrr) - min(mrr), 6) AS mrr_spread, round(max(hit) - min(hit), 6) AS hit_spread, round(max(mrr) - min(mrr), 6) <= 0.4 AND round(max(hit) - min(hit), 6) <= 0.5 AS passed FROM m GROUP BY model HAVING count(*) >= 2"))
+@register("i28_determinism", with_roles("jobs", "WITH m AS (SELECT run_id % 9 AS model, run_id, avg(1.0 / (id % 4 + 1)) AS mrr, avg(CAST(id % 4 = 0 AS INTEGER)) AS hit FROM jobs GROUP BY 1, 2) SELECT model, count(*) AS runs, round(max(mrr) - min(mrr), 6) AS mrr_spread, round(max(hit) - min(hit), 6) AS hit_spread, round(max(mrr) - min(mrr), 6) <= 0.4 AND round(max(hit) - min(hit), 6) <= 0.5 AS passed FROM m GROUP BY model HAVING count(*) >= 2"))
 def i28(spark: SparkSession, d: str) -> DataFrame:
-    m = role(spark, d, "jobs").filter("run_id < 40").groupBy((F.col("run_id") % 9).alias("model"), "run_id").agg(F.avg(1.0 / (F.col("id") % 4 + 1)).alias("mrr"), F.avg((F.col("id") % 4 == 0).cast("int")).alias("hit"))
+    m = role(spark, d, "jobs").groupBy((F.col("run_id") % 9).alias("model"), "run_id").agg(F.avg(1.0 / (F.col("id") % 4 + 1)).alias("mrr"), F.avg((F.col("id") % 4 == 0).cast("int")).alias("hit"))
     return E.determinism(m, "model", {"mrr": 0.4, "hit": 0.5})
 
 

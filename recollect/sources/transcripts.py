@@ -39,11 +39,14 @@ def tolerant_entries(lines: DataFrame, line: str = "line") -> DataFrame:
 
 def rollout_identity(metas: DataFrame, path: str, order: str, value: str) -> DataFrame:
     """path, session_id, parent_id: the first and second distinct id of a file; without any, the file's stem, or its UUID ending."""
-    ids = metas.groupBy(path).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(order, value)))), lambda s: s[value])).alias("_ids"))
+    seen = metas.filter(F.col(value).isNotNull()).groupBy(path, value).agg(F.min(order).alias("_o"))
+    rank = F.row_number().over(Window.partitionBy(path).orderBy("_o", value))
+    nth = lambda n: F.max(F.when(F.col("_n") == n, F.col(value))).alias(f"_{n}")
+    ids = metas.select(path).distinct().join(seen.withColumn("_n", rank).filter("_n <= 2").groupBy(path).agg(nth(1), nth(2)), path, "left")
     stem = F.regexp_extract(path, r"([^/]+?)(?:\.jsonl)?$", 1)
     tail = F.regexp_extract(stem, r"([0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$", 1)
     fallback = F.when(tail != "", tail).otherwise(stem)
-    return ids.select(path, F.coalesce(F.get("_ids", F.lit(0)), fallback).alias("session_id"), F.get("_ids", F.lit(1)).alias("parent_id"))
+    return ids.select(path, F.coalesce("_1", fallback).alias("session_id"), F.col("_2").alias("parent_id"))
 
 
 def recovered_cwd(slug: Column, paths: Column) -> Column:

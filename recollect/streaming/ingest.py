@@ -42,25 +42,47 @@ def rolling_counts(events: DataFrame, length: str = "24 hours", slide: str = "5
     return g.select(F.unix_millis("window.end").alias("window_end"), "source", "n")
 
 
-def flush(events: DataFrame, store: Callable[[DataFrame, int], None], health: Callable[[], DataFrame], save_health: Callable[[DataFrame], None]) -> DataStreamWriter:
-    """Micro-batches go to `store`; health is merged after each. A batch that `store` refuses raises the sources' failure counters, and the query stops with the error, so the checkpoint replays it."""
+def flush(events: DataFrame, store: Callable[[DataFrame, int], None], health: Callable[[int], DataFrame], save_health: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+    """Micro-batches go to `store`; what `health` gives for earlier epochs is merged with each and saved. A batch that `store` refuses raises the sources' failure counters, and the query stops with the error, so the checkpoint replays it."""
 
     def batch(df: DataFrame, epoch: int) -> None:
         rows = df.withColumn("source", F.col("event_type")).persist()
-        news = rows.select("source", "timestamp")
         try:
-            store(rows, epoch)
-        except Exception as e:
-            save_health(update_health(health(), news.limit(0), news.select("source").distinct().withColumn("message", F.lit(str(e)[:512]))))
-            raise
-        save_health(update_health(health(), news))
-        rows.unpersist()
+            news = rows.select("source", "timestamp")
+            try:
+                store(rows, epoch)
+            except Exception as e:
+                save_health(update_health(health(epoch), news.limit(0), news.select("source").distinct().withColumn("message", F.lit(str(e)[:512]))), epoch)
+                raise
+            save_health(update_health(health(epoch), news), epoch)
+        finally:
+            rows.unpersist()
 
     return events.writeStream.foreachBatch(batch)
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that is available, through a memory table: for tests and small batch runs."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, folder: str) -> DataFrame:
+    """All that is available and final, as a Parquet table under `folder`, where the checkpoint lies too."""
+    q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+class StoredHealth:
+    """Health rows under a folder, a table for each epoch; the last epoch's hold. A replayed epoch replaces its own."""
+
+    SCHEMA = "source string, last_event_ts bigint, events bigint, consecutive_failures int, last_error_msg string"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self.save(spark.createDataFrame([], self.SCHEMA), -1)
+
+    def load(self, before: int | None = None) -> DataFrame:
+        rows = self.spark.read.schema(f"{self.SCHEMA}, epoch bigint").parquet(self.folder)
+        if before is not None:
+            rows = rows.filter(F.col("epoch") < before)
+        last = rows.agg(F.max("epoch")).first()[0]
+        return rows.filter(F.col("epoch") == (-1 if last is None else last)).drop("epoch")
+
+    def save(self, health: DataFrame, epoch: int) -> None:
+        health.write.mode("overwrite").parquet(f"{self.folder}/epoch={epoch}")

@@ -26,6 +26,65 @@ def one(spark, column):
     return spark.range(1).select(column.alias("v")).first().v
 
 
+def test_ask_sample_takes_items_round(spark):
+    items = [(f"q{i}", f"text {i}", [f"TEXT {i}"] if i % 2 else ["none"]) for i in range(4)]
+    df = spark.createDataFrame(items, "qa_id string, question string, keywords array<string>")
+    for n, seed in ((3, 42), (10, 42), (4, 1)):
+        picks = [items[(seed + i) % 4] for i in range(n)]
+        want = sum(any(k.lower() in q for k in ks) for _, q, ks in picks) / n
+        r = E.ask_sample(df, lambda q: F.upper(q), n, seed).first()
+        assert (r.sampled, round(r.keyword_hit_rate, 9)) == (n, round(want, 9))
+    assert tuple(E.ask_sample(df.limit(0), lambda q: q, 3, 1).first()) == (0, 0.0) and tuple(E.ask_sample(df, lambda q: q, 0, 1).first()) == (0, 0.0)
+
+
+def test_registered_diversity_equals_the_naive_form(spark, sf):
+    """Over every question and its whole pool."""
+    from recollect.plans import registry
+    from recollect.plans import search as PS
+    from recollect.sources.catalog import role
+
+    vectors = {r.id: r.vector for r in role(spark, sf, "vectors").collect()}
+    pools = {}
+    for r in PS.fused(spark, sf).collect():
+        pools.setdefault(r.query_id, []).append((-r.score, r.id))
+    got = {}
+    for r in registry.queries()["i9_mmr"](spark, sf).orderBy("query_id", "pick").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert set(got) == set(pools)
+    for q, pool in pools.items():
+        pool = sorted(pool)[: R.MMR_POOL]
+        want = naive_mmr([-s for s, _ in pool], [vectors.get(i) for _, i in pool], 10, 0.7)
+        assert got[q] == [pool[k][1] for k in want]
+
+
+# joins on spans, ranks
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(-500, 5000), st.integers(-5, 40_000)), min_size=1, max_size=25), st.lists(st.tuples(st.integers(-500, 5000), st.integers(-5, 300)), max_size=25))
+def test_spans_of_all_lengths_meet_as_by_brute_force(spark, long, short):
+    a = spark.createDataFrame([(i, s, s + n) for i, (s, n) in enumerate(long)], "a long, s long, e long")
+    b = spark.createDataFrame([(i, s, s + n) for i, (s, n) in enumerate(short)], "b long, t long, u long")
+    got = sorted((r.a, r.b) for r in J.overlap_join(a, b, ("s", "e"), ("t", "u"), 7).collect())
+    assert got == [(i, j) for i, (s, n) in enumerate(long) for j, (t, m) in enumerate(short) if n >= 0 and m >= 0 and s <= t + m and t <= s + n]
+    got = sorted((r.a, r.b) for r in J.range_join(b.drop("u"), a, "t", "s", "e", 7).collect())
+    assert got == [(i, j) for i, (s, n) in enumerate(long) for j, (t, _) in enumerate(short) if s <= t <= s + n]
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.integers(-50, 50), st.integers(-(10**12), 10**12))), max_size=60), st.sampled_from([0.0, 0.5, 0.95, 1.0]))
+def test_nearest_ranks_as_by_sorting(spark, rows, share):
+    df = spark.createDataFrame(rows, "k string, v long")
+    got = {(r.k, r.p) for r in A.nearest_rank(df, ["k"], "v", share, "p").collect()}
+    groups = {k: sorted(v for x, v in rows if x == k and v is not None) for k, _ in rows}
+    assert got == {(k, g[round(share * (len(g) - 1))]) for k, g in groups.items() if g}
+
+
+def test_reachable_over_long_chains(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(60, 0), (90, 91)], "src int, dst int")
+    assert {r.node for r in J.reachable(e, spark.createDataFrame([(0,)], "node int")).collect()} == set(range(61))
+
+
 # sessions
 
 
@@ -145,6 +204,10 @@ def test_redaction(spark):
         ("file", "~/Proj/A.rs/", "proj/a.rs"),
         ("file", "/r/app/.claude/worktrees/x/.claude/worktrees/y/src/b.rs", "src/b.rs"),
         ("project", "/r/app", "app"),
+        ("file", "/r/app/.claude/worktrees/x", "app"),
+        ("file", "/" + ".claude/worktrees/w/" * 20 + "x.py", "/x.py"),
+        ("file", ".claude/.claude/worktrees/x/worktrees/y/z.py", "z.py"),
+        ("file", "/home/me/r.py", "r.py"),
         ("project", "/r/app/sub", "/r/app/sub"),
         ("tool", "  Cargo   Test ", "cargo test"),
         ("concept", "see /r/app/.claude/worktrees/x/a", "see /r/app/.claude/worktrees/x/a"),
@@ -179,20 +242,56 @@ def test_query_building(spark):
     assert one(spark, T.fts_query(F.lit('The why of Foo foo "x" bar-baz'))) == '"The why of Foo foo ""x"" bar-baz" OR "Foo" OR "bar-baz"'
 
 
+def test_roots_are_tried_in_their_order(spark):
+    got = lambda roots: one(spark, T.canonicalize(F.lit("file"), F.lit("/a/b/x.py"), "/home/me", roots))
+    assert got(["/a/b", "/a"]) == "x.py" and got(["/a", "/a/b"]) == "b/x.py" and got([]) == "/a/b/x.py"
+
+
 def test_markdown_chunks():
-    assert T.heading_chunks("lost\n# A\nx\n## B\n# C") == [(0, "A", "x", 5, 11), (1, "A > B", "## B", 11, 16), (2, "C", "# C", 16, 19)]
+    assert T.heading_chunks("lost\n# A\nx\n## B\n# C") == [(0, "A", "# A\nx", 5, 11), (1, "A > B", "## B", 11, 16), (2, "C", "# C", 16, 19)]
+    assert [c[1] for c in T.heading_chunks("### A\nx\n## B\n#### C\n# D")] == ["A", "A > B", "A > B > C", "D"]
     assert T.heading_chunks("plain") == [(0, "", "plain", 0, 5)] and T.heading_chunks(None) == []
 
 
+def test_diff_summaries():
+    assert T.diff_summary("a\nb\n", "a\nc\nd\n") == ("2 line(s) added, 1 line(s) removed", "--- previous+++ current@@ -1,2 +1,3 @@ a\n-b\n+c\n+d\n")
+    assert T.diff_summary(None, None) == ("0 line(s) added, 0 line(s) removed", "")
+    assert T.diff_summary("", "x" * 30_000)[1].endswith("x\n… (diff truncated)\n") and len(T.diff_summary("", "x" * 30_000)[1]) == 16_384 + 20
+
+
 def test_json_helpers():
     assert T.first_json_object('a {"x": "}"} b') == '{"x": "}"}' and T.first_json_object("none {") is None
+    assert T.first_json_object('} {"a":1}') is None and T.first_json_object('{ {"a":1}') is None and T.first_json_object('say "{" {"a": "\\"}"}') == '{"a": "\\"}"}'
     assert T.repair_json('```json\n{"a": "b\nc"}\n```') == '{"a": "b\\nc"}' and T.repair_json(r'{"p": "C:\d"}') == r'{"p": "C:\\d"}' and T.repair_json("") is None
 
 
 @given(st.lists(st.integers(0, 500), min_size=1, max_size=8), st.integers(20, 800))
 def test_caps_stay_in_budget(lengths, budget):
     caps = T.allocate_caps(lengths, budget)
-    assert all(0 <= c for c in caps) and (caps == lengths if sum(lengths) <= budget else sum(caps) <= budget + len(lengths))
+    assert sum(caps) == (budget if any(lengths) else 0) and all((c > 0) == (n > 0) for c, n in zip(caps, lengths, strict=True))
+    assert all(abs(c - budget * n / sum(lengths)) <= len(lengths) for c, n in zip(caps, lengths, strict=True) if n)
+
+
+def test_caps_by_example():
+    cases = [([10, 10, 10], 20, [7, 7, 6]), ([1000, 1, 1], 2, [2, 0, 0]), ([5, 5], 20, [10, 10]), ([0, 0], 9, [0, 0]), ([1000, 1, 1], 3, [1, 1, 1]), ([3, -1, 0], 5, [5, 0, 0])]
+    for lengths, budget, want in cases:
+        assert T.allocate_caps(lengths, budget) == want
+
+
+@given(st.text(alphabet='{}"\\ax', max_size=24))
+def test_first_objects_by_enumeration(text):
+    """Signs outside quotes, by a scan that marks each place first; then the first span that balances from the first brace."""
+    inside, quoted, at = [], False, 0
+    while at < len(text):
+        step = 2 if quoted and text[at] == "\\" else 1
+        inside += [quoted or text[at] == '"'] * step
+        quoted ^= step == 1 and text[at] == '"'
+        at += step
+    braces = [(i, 1 if c == "{" else -1) for i, c in enumerate(text) if c in "{}" and not inside[i]]
+    level = np.cumsum([d for _, d in braces]).tolist()
+    ends = [k for k, n in enumerate(level) if n <= 0]
+    want = text[braces[0][0] : braces[ends[0]][0] + 1] if ends and level[ends[0]] == 0 else None
+    assert T.first_json_object(text) == want
 
 
 def test_since_forms():
@@ -385,7 +484,7 @@ def test_streams_equal_batches(spark, sf, tmp_path):
     from recollect.sources.catalog import role
     from recollect.streaming import ingest as I
 
-    got = I.drain(I.closed_sessions(I.event_stream(spark, sf, "events.parquet"), "user_id", "6 hours"), "closed", str(tmp_path / "c"))
+    got = I.drain(I.closed_sessions(I.event_stream(spark, sf, "events.parquet"), "user_id", "6 hours"), str(tmp_path / "c"))
     ev = role(spark, sf, "ev")
     batch = S.gap_sessions(ev, "session_id", "timestamp", 21_600_000).groupBy("session_id", "chunk").agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b"), F.count("*").alias("n"))
     have = {(r.user_id, r.start_time, r.end_time, r.n) for r in got.collect()}
@@ -394,6 +493,38 @@ def test_streams_equal_batches(spark, sf, tmp_path):
     assert have == {x for x in every if x[2] + 21_600_000 <= last - 120_000} and have
 
 
+def test_flush_merges_stored_health_and_replays(spark, sf, tmp_path):
+    from recollect.streaming import ingest as I
+
+    health = I.StoredHealth(spark, str(tmp_path / "health"))
+    for i, n in enumerate((3, 2)):
+        rows = [(10 * i + k, "2024-01-01 00:00:00", 1, "click", 1.0, "{}") for k in range(n)]
+        spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").selectExpr("event_id", "CAST(ts AS timestamp_ntz) AS ts", "user_id", "event_type", "value", "props").coalesce(1).write.parquet(str(tmp_path / f"in/events{i}.parquet"))
+
+    def files():
+        return I.event_stream(spark, str(tmp_path / "in/*"), "*.parquet")
+
+    broken = {"left": 1}
+
+    def store(rows, epoch):
+        if epoch == 1 and broken["left"]:
+            broken["left"] -= 1
+            raise OSError("disk full")
+        rows.write.mode("overwrite").parquet(str(tmp_path / f"out/epoch={epoch}"))
+
+    def run():
+        q = I.flush(files(), store, health.load, health.save).option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    with pytest.raises(Exception, match="disk full"):
+        run()
+    failed = health.load().collect()
+    assert [(r.source, r.consecutive_failures) for r in failed] == [("click", 1)] and "disk full" in failed[0].last_error_msg
+    run()
+    assert [(r.source, r.events, r.consecutive_failures) for r in health.load().collect()] == [("click", 5, 0)]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
 def test_engine(spark, sf):
     from recollect.api import Engine
 
