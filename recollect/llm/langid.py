@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bound_batches, fold_of, slices
+from .common import as_bytes, bound_batches, fold_of, slices, tidy
 
 N = 4
 #: Labelled documents that each language's n-grams are learnt from, about: rows are taken by a hash of the id.
@@ -120,7 +120,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
                     code, n = np.unique(np.concatenate(codes), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code.view(np.int64)), pa.array(n.astype(np.int64))], ["l", "g", "n"])
 
-    grams = taken.mapInArrow(run, "l string, g bigint, n bigint").groupBy("l", "g").agg(F.sum("n").alias("n"))
+    grams = taken.mapInArrow(tidy(run), "l string, g bigint, n bigint").groupBy("l", "g").agg(F.sum("n").alias("n"))
     by_gram = grams.filter("n > 1").groupBy("g").agg(F.collect_list(F.struct("l", "n")).alias("all"))  # as many entries as languages
     total = {r.l: r.n for r in taken.groupBy("l").agg(F.sum(F.length("t")).alias("n")).collect()}
     size = F.create_map(*[F.lit(x) for k, n in total.items() for x in (k, float(max(n or 1, 1)))])
@@ -146,4 +146,4 @@ def identify(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", tex
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = bound_batches(docs).select(F.col(id_col).alias("doc_id"), (fold_of(F.col(id_col)) == 1).alias("held_out"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize, slices
+from .common import bound_batches, materialize, slices, tidy
 from .word_bpe import text_ids
 
 CAPACITY = 4096
@@ -46,7 +46,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return bound_batches(docs).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return bound_batches(docs).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidy(run), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def best_fit(lengths: np.ndarray, capacity: int, order: np.ndarray | None = None) -> list[list[int]]:

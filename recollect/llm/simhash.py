@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bound_batches, materialize, slices
+from .common import as_bytes, bound_batches, materialize, slices, tidy
 
 SEED = 42
 WORDS = 3
@@ -143,7 +143,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return bound_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return bound_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(tidy(run), f"doc_id {kind}, fp bigint")
 
 
 def _stars(keyed: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bound_batches, fold_of, slices
+from .common import as_bytes, bound_batches, fold_of, slices, tidy
 
 #: Labelled rows, by a hash of the id, that the lexicon is learnt from at most.
 SAMPLE = 12_000
@@ -189,7 +189,7 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["c", "n"])
 
-    counts = bound_batches(docs).select(F.col(text_col).alias("t")).mapInArrow(run, "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n"))
+    counts = bound_batches(docs).select(F.col(text_col).alias("t")).mapInArrow(tidy(run), "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n"))
     table = np.zeros(_SYMBOLS**3)
     for r in counts.collect():  # at most 27 cubed rows
         table[r.c] += r.n
@@ -260,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 shown = [sorted({f for w in ws for f in forms(w)}) for ws in words]
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(family, pa.int64()), pa.array(shown, pa.list_(pa.string()))], ["y", "f", "w"])
 
-    bags = texts.mapInArrow(run, "y bigint, f bigint, w array<string>").persist()
+    bags = texts.mapInArrow(tidy(run), "y bigint, f bigint, w array<string>").persist()
     families = bags.select("y", "f", F.explode("w").alias("w")).distinct()  # near copies mostly share their word of least hash
     counts = families.groupBy("w").agg(F.count_if(F.col("y") == 1).alias("bad"), F.count_if(F.col("y") == 0).alias("good")).filter("bad > 0").persist()
     words = counts.filter(~F.col("w").endswith("*")).count()
@@ -305,7 +305,7 @@ def score_rows(docs: DataFrame, model: Model, text_col: str = "text", keep: list
 
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kept, strict=True))
     rows = bound_batches(docs).select(*[F.col(c).alias(n) for n, c in zip(names, keep, strict=True)], *([] if at < len(keep) else [F.col(text_col).alias("t")]))
-    out = rows.mapInArrow(run, f"{schema}{', ' if schema else ''}_score double")
+    out = rows.mapInArrow(tidy(run), f"{schema}{', ' if schema else ''}_score double")
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *(["_score"] if below is None else []))
 
 

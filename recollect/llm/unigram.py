@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnitCache, as_bytes, bound_batches, slices
+from .common import UnitCache, as_bytes, bound_batches, slices, tidy
 
 MARK = "▁".encode()
 #: Taken off the least score for a character that no piece covers, as in the public tokenizer.
@@ -332,7 +332,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_ids", "ids_crc32", "round_trip", "ids"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return bound_batches(docs).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, n_ids bigint, ids_crc32 bigint, round_trip boolean{', ids array<int>' if ids else ''}")
+    return bound_batches(docs).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(tidy(run), f"doc_id {kind}, n_ids bigint, ids_crc32 bigint, round_trip boolean{', ids array<int>' if ids else ''}")
 
 
 def decode(coded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -345,7 +345,7 @@ def decode(coded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     kind = coded.schema[id_col].dataType.simpleString()
-    return coded.select(F.col(id_col).alias("i"), F.col(ids_col).alias("t")).mapInArrow(run, f"doc_id {kind}, text string")
+    return coded.select(F.col(id_col).alias("i"), F.col(ids_col).alias("t")).mapInArrow(tidy(run), f"doc_id {kind}, text string")
 
 
 def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -360,4 +360,4 @@ def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sum(map(known.__getitem__, us)) for us in split], pa.int64())], ["doc_id", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return bound_batches(docs).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint")
+    return bound_batches(docs).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(tidy(run), f"doc_id {kind}, n_tokens bigint")
