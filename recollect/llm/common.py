@@ -38,6 +38,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files and checkpoints that nothing refers to any more: it does so when the driver collects its garbage, which may be long after an iteration has ended."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def stage_table(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, for wide tables: later reads fetch only the columns they use."""
     spark = df.sparkSession

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bound_batches, materialize, slices, tidy
+from .common import as_bytes, bound_batches, materialize, slices, sweep, tidy
 
 SEED = 42
 WORDS = 3
@@ -205,6 +205,7 @@ def components(edges: DataFrame) -> DataFrame:
         kept = least.selectExpr("m AS a", "node AS b")
         moved = large.join(least, F.col("b") == F.col("node")).filter("a <> m").selectExpr("m AS a", "a AS b")
         now = materialize(kept.unionByName(moved).distinct())
+        sweep(now.sparkSession)
     return now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
 
 
