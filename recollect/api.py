@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions import predicates as P
-from recollect.operators import lexical as L
+from recollect.functions import text as T
 from recollect.operators import retrieval as R
 from recollect.plans import joins as PJ
 from recollect.plans import listings as PL
@@ -40,11 +40,11 @@ class Engine:
         return out.orderBy(F.desc("timestamp"), "source", "id").limit(n) if source == "all" else out
 
     def search_knowledge(self, query: str, limit: int | None = None, source: str | None = None) -> DataFrame:
-        q = self.spark.createDataFrame([(0, query)], "query_id int, query string")
+        q = self.spark.createDataFrame([(0, query)], "query_id int, query string").select("query_id", T.fts_query(F.col("query")).alias("match"))
         nodes = self.table("nodes")
         if source:
             nodes = PJ.source_filter(self.spark, self.folder, nodes.withColumnRenamed("id", "node_id"), source).withColumnRenamed("node_id", "id")
-        hits = L.bm25(PS.text_index(self.spark, self.folder), q).join(nodes.select("id"), "id", "left_semi")
+        hits = PS.text_index(self.spark, self.folder).search(q).join(nodes.select("id"), "id", "left_semi")
         return R.ranked(hits, [F.desc("bm25"), F.col("id")], P.clamp_limit(limit)).join(nodes.select("id", "uuid"), "id").select("rank", "id", "uuid", "bm25")
 
     def search_hybrid(self, limit: int | None = None, mmr: bool = True) -> DataFrame:

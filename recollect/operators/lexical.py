@@ -1,48 +1,289 @@
-"""BM25 over a stored inverted index.
+"""Text search over a stored index with positions and fields, which follows its documents.
 
-Tokens are lower-case runs of letters and digits. The index is one row for each term
-and document, with all that a weight needs, so a search reads postings of its terms and nothing else. Queries
-come as a table, so many are answered by one plan.
+The index is a folder of immutable segments. A segment holds its documents, their postings in blocks, and by how much
+it changes each term's document frequency; rows of `gone` end documents of earlier segments. A change writes a segment
+of its own size, a manifest names the segments that hold, and a merge makes one of all.
+
+A block is the postings of one term in one range of documents (about BLOCK of like length), with bounds on their
+impact. So a term of most documents is many blocks, in as many tasks. A search for the best k sums the bounds by range, scores the
+most promising ranges, and reads only the blocks of ranges whose bound reaches the k-th score found there.
+
+Queries come as a table of match strings: quoted phrases joined by OR, each of which counts on its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from recollect.sources.store import stored
+from recollect.functions.analysis import ANALYSERS
+from recollect.sources.store import checkpointed, new_path, stored
 
 K1, B = 1.2, 0.75
+#: The weight of terms that half of the documents or more hold.
+LEAST_IDF = 1e-6
+#: Documents of a range, about, and ranges of a query that are scored first.
+BLOCK, FIRST = 256, 2
+_SEGMENT = 1 << 40
+
+
+def analysed(texts: Column, analyser: str) -> Column:
+    """The terms of a text, as an array. A null text has none."""
+    run = ANALYSERS[analyser]
+
+    @F.pandas_udf("array<string>")
+    def terms(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: run(t) if t else [])
 
+    return terms(texts)
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+def gain(tf: Column, dl: Column, average: float) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(average or 1.0)))
 
 
 @dataclass(frozen=True)
-class Index:
-    """`postings` (term, df, and of each document id, tf and dl), in order of terms, and `totals` (n, avgdl), one row. Documents without tokens count in the totals."""
-
-    postings: DataFrame
-    totals: DataFrame
-
-
-def build_index(docs: DataFrame, doc_id: str = "id", text: str = "content") -> Index:
-    """Reads the texts once. A null text has no tokens."""
-    words = docs.select(F.col(doc_id).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    sized = stored(words.select("id", F.size("w").cast("bigint").alias("dl"), "w"), "words")
-    raw = sized.select("id", "dl", F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = raw.groupBy("term").agg(F.count("*").alias("df"))
-    postings = stored(raw.join(df, "term").select("term", "id", "tf", "dl", "df"), "postings", "term")
-    return Index(postings, stored(sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "totals"))
-
-
-def bm25(index: Index, queries: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
-    """query_id, id, bm25 of documents with any of the query's distinct terms; larger is better. A query of no tokens has no rows."""
-    terms = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(query)))).alias("term"))
-    hits = index.postings.join(terms, "term").crossJoin(F.broadcast(index.totals))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy(query_id, "id").agg(F.sum(weight).alias("bm25"))
+class State:
+    """What a manifest says: its version, the segments that hold, live documents and their terms."""
+
+    version: int
+    segments: list[int]
+    documents: int
+    tokens: int
+
+
+class TextIndex:
+    """An index in a folder that driver and executors share. Documents have a unique id (bigint) and text fields; null fields are empty."""
+
+    def __init__(self, spark: SparkSession, folder: str, fields: list[str], analyser: str = "stemmed"):
+        self.spark, self.folder, self.fields, self.analyser = spark, folder, fields, analyser
+
+    @classmethod
+    def create(cls, docs: DataFrame, fields: list[str], analyser: str = "stemmed", doc_id: str = "id", folder: str | None = None) -> TextIndex:
+        index = cls(docs.sparkSession, folder or new_path(docs.sparkSession, "text-index"), fields, analyser)
+        index._commit(State(0, [], 0, 0))
+        index.apply(docs, doc_id=doc_id)
+        return index
+
+    # what is stored
+
+    def state(self) -> State:
+        rows = self.spark.read.schema("segments array<bigint>, documents bigint, tokens bigint, version bigint").parquet(f"{self.folder}/manifest")
+        r = rows.orderBy(F.desc("version")).first()
+        return State(r.version, [*r.segments], r.documents, r.tokens)
+
+    def _commit(self, s: State) -> None:
+        row = self.spark.createDataFrame([(s.segments, s.documents, s.tokens)], "segments array<bigint>, documents bigint, tokens bigint")
+        row.coalesce(1).write.parquet(f"{self.folder}/manifest/version={s.version}")
+
+    def _table(self, name: str, segments: list[int], schema: str) -> DataFrame:
+        """The rows of the segments; a segment's own folder is read and no other."""
+        if not segments:
+            return self.spark.createDataFrame([], f"{schema}, segment bigint")
+        paths = [f"{self.folder}/{name}/segment={s}" for s in segments]
+        return self.spark.read.schema(f"{schema}, segment bigint").option("basePath", f"{self.folder}/{name}").parquet(*paths)
+
+    def _docs(self, s: State) -> DataFrame:
+        return self._table("docs", s.segments, "id bigint, dl bigint, digest bigint, terms array<string>")
+
+    def _blocks(self, s: State) -> DataFrame:
+        posts = "array<struct<id:bigint,dl:bigint,tf:array<int>>>"
+        return self._table("blocks", s.segments, f"term string, range bigint, n bigint, most array<int>, least_dl bigint, posts {posts}, places array<array<array<int>>>")
+
+    def _gone(self, s: State) -> DataFrame:
+        return self._table("gone", s.segments, "id bigint").select("id", F.col("segment").alias("until"))
+
+    def _live(self, rows: DataFrame, s: State, segment: Column) -> DataFrame:
+        """The rows whose document no later segment has ended. With one segment there is nothing to end."""
+        if len(s.segments) < 2:
+            return rows
+        last = self._gone(s).groupBy("id").agg(F.max("until").alias("until"))
+        return rows.withColumn("_s", segment).join(last.withColumnRenamed("id", "_id"), (F.col("id") == F.col("_id")) & (F.col("until") > F.col("_s")), "left_anti").drop("_s")
+
+    def documents(self, s: State | None = None) -> DataFrame:
+        """id, dl, digest and terms of the live documents."""
+        s = s or self.state()
+        return self._live(self._docs(s), s, F.col("segment"))
+
+    # changes
+
+    def _read(self, docs: DataFrame, doc_id: str) -> DataFrame:
+        """id, digest, dl, and each term with its number and places by field. One pass of Python over the texts."""
+        run, count = ANALYSERS[self.analyser], len(self.fields)
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows: list[tuple] = []
+                for texts in zip(*(batch.column(2 + f).to_pylist() for f in range(count)), strict=True):
+                    held: dict[str, list[list[int]]] = {}
+                    size = 0
+                    for f, text in enumerate(texts):
+                        for place, term in enumerate(run(text) if text else ()):
+                            held.setdefault(term, [[] for _ in range(count)])[f].append(place)
+                            size += 1
+                    rows.append((size, [*held], [[len(p) for p in places] for places in held.values()], [*held.values()]))
+                columns = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.list_(pa.int32())))))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "digest", "dl", "terms", "tfs", "places"])
+
+        source = docs.select(F.col(doc_id).cast("bigint").alias("id"), self._digest(), *[F.coalesce(F.col(f), F.lit("")).alias(f"_f{k}") for k, f in enumerate(self.fields)])
+        return source.mapInArrow(read, "id bigint, digest bigint, dl bigint, terms array<string>, tfs array<array<int>>, places array<array<array<int>>>")
+
+    def _digest(self) -> Column:
+        return F.xxhash64(*[F.coalesce(F.col(f), F.lit("")) for f in self.fields]).alias("digest")
+
+    def _write(self, segment: int, docs: DataFrame, postings: DataFrame) -> None:
+        """docs: id, dl, digest, terms. postings: id, dl, term, tf, places."""
+        path = lambda name: f"{self.folder}/{name}/segment={segment}"
+        docs.select("id", "dl", "digest", "terms").write.parquet(path("docs"))
+        like = lambda d: d.withColumn("like", F.floor(4 * F.log2(F.col("dl") + 1)))  # noqa: E731  documents of like length: at most some 250 kinds
+        shares = like(self.spark.read.schema("dl bigint").parquet(path("docs"))).groupBy("like").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+        dealt = like(postings).join(F.broadcast(shares), "like")
+        dealt = dealt.withColumn("range", F.lit(segment) * _SEGMENT + F.col("like") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("parts")))
+        most = F.array(*[F.max(F.get("tf", F.lit(f))) for f in range(len(self.fields))])
+        row = F.struct(F.struct("id", "dl", "tf").alias("post"), "places")
+        blocks = dealt.groupBy("term", "range").agg(F.count("*").alias("n"), most.alias("most"), F.min("dl").alias("least_dl"), F.collect_list(row).alias("r"))  # BLOCK documents, about
+        blocks = blocks.select("term", "range", "n", "most", "least_dl", F.col("r.post").alias("posts"), F.col("r.places").alias("places"))
+        blocks.repartition("term", "range").sortWithinPartitions("term", "range").write.parquet(path("blocks"))
+
+    def apply(self, changed: DataFrame | None = None, deleted: DataFrame | None = None, doc_id: str = "id") -> None:
+        """Adds or replaces the documents `changed` and ends the ids `deleted` (column id), as one new segment. It writes what the change holds and no more."""
+        s = self.state()
+        segment = max(s.segments, default=0) + 1
+        if changed is None:
+            changed = self.spark.createDataFrame([], ", ".join(["id bigint", *(f"{f} string" for f in self.fields)]))
+            doc_id = "id"
+        new = stored(self._read(changed, doc_id), "texts")
+        ids = new.select("id") if deleted is None else new.select("id").unionByName(deleted.select(F.col("id").cast("bigint")))
+        old = self.documents(s).join(ids.distinct(), "id", "left_semi").select("id", "dl", "terms")
+        old = stored(old, "ended") if s.segments else old.limit(0)
+        old.select("id").write.parquet(f"{self.folder}/gone/segment={segment}")
+        each = new.select(F.explode("terms").alias("term"), F.lit(1).alias("one")).unionByName(old.select(F.explode("terms").alias("term"), F.lit(-1).alias("one")))
+        each.groupBy("term").agg(F.sum("one").alias("df")).filter("df <> 0").write.parquet(f"{self.folder}/dfs/segment={segment}")
+        postings = new.select("id", "dl", F.explode(F.arrays_zip("terms", "tfs", "places")).alias("x")).select("id", "dl", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"), F.col("x.places").alias("places"))
+        self._write(segment, new, postings)
+        total = lambda d: d.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        (more, added), (less, ended) = total(new), total(old)
+        self._commit(State(s.version + 1, [*s.segments, segment], s.documents + more - less, s.tokens + added - ended))
+
+    def sync(self, docs: DataFrame, doc_id: str = "id") -> tuple[int, int]:
+        """Makes the index that of `docs`: digests tell which documents are new, changed or gone. Gives how many changed and how many ended."""
+        held = self.documents().select("id", F.col("digest").alias("_d"))
+        now = docs.withColumn("id", F.col(doc_id).cast("bigint")).select("id", *self.fields, self._digest())
+        changed = stored(now.join(held, "id", "left").filter(F.col("_d").isNull() | (F.col("_d") != F.col("digest"))).select("id", *self.fields), "changed")
+        deleted = checkpointed(held.join(now.select("id"), "id", "left_anti").select("id"))
+        counts = changed.count(), deleted.count()
+        if any(counts):
+            self.apply(changed, deleted)
+        return counts
+
+    def merge(self) -> None:
+        """One segment in place of all, without what is gone. Earlier segments stay for searches that have begun."""
+        s = self.state()
+        segment = max(s.segments, default=0) + 1
+        docs = self.documents(s)
+        posts = self._blocks(s).select("term", "range", F.explode(F.arrays_zip("posts", "places")).alias("x")).select("term", "range", F.col("x.posts.id").alias("id"), F.col("x.posts.dl").alias("dl"), F.col("x.posts.tf").alias("tf"), F.col("x.places").alias("places"))
+        self._write(segment, docs, self._live(posts, s, F.expr(f"range div {_SEGMENT}")))
+        self.spark.createDataFrame([], "id bigint").write.parquet(f"{self.folder}/gone/segment={segment}")
+        self._table("dfs", s.segments, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0").write.parquet(f"{self.folder}/dfs/segment={segment}")
+        self._commit(State(s.version + 1, [segment], s.documents, s.tokens))
+
+    # search
+
+    def _units(self, queries: DataFrame, query_id: str, match: str) -> DataFrame:
+        """query_id, unit, key and terms of every phrase of the match strings; phrases without a term are none."""
+        quoted = F.regexp_extract_all(F.col(match), F.lit(r'"((?:[^"]|"")*)"'), F.lit(1))
+        units = queries.select(F.col(query_id).alias("query_id"), F.posexplode(quoted).alias("unit", "phrase"))
+        units = units.withColumn("terms", analysed(F.regexp_replace("phrase", '""', '"'), self.analyser)).filter(F.size("terms") > 0)
+        return stored(units.select("query_id", "unit", F.array_join("terms", " ").alias("key"), "terms"), "units")
+
+    def _phrases(self, s: State, units: DataFrame, dfs: DataFrame, weights: list[float]) -> DataFrame:
+        """key, id, range, dl and tf of the documents that hold a phrase of two terms or more.
+
+        Its rarest term proposes where it begins; every other term then has to stand in its place there, so no hot term's postings are all read.
+        """
+        long = units.filter(F.size("terms") > 1).select("key", "terms").distinct()
+        terms = checkpointed(long.select("key", F.size("terms").alias("length"), F.posexplode("terms").alias("offset", "term")).join(dfs, "term"))
+        whole = terms.groupBy("key", "length").agg(F.count("*").alias("known"), F.min_by(F.struct("term", "offset"), F.struct("df", "offset")).alias("rare")).filter("known = length")
+        rare = whole.select("key", "length", F.col("rare.term").alias("term"), F.col("rare.offset").alias("offset"))
+        blocks = self._blocks(s).select("term", "range", "posts", "places")
+        opened = lambda d, *keep: d.select(*keep, "range", F.explode(F.arrays_zip("posts", "places")).alias("x")).select(*keep, "range", F.col("x.posts.id").alias("id"), F.col("x.posts.dl").alias("dl"), F.col("x.places").alias("places"))
+        begin = opened(blocks.join(rare, "term"), "key", "length", "offset")
+        begin = begin.select("key", "length", "offset", "range", "id", "dl", F.posexplode("places").alias("field", "p")).select("key", "length", "offset", "range", "id", "dl", "field", F.explode("p").alias("place")).withColumn("start", F.col("place") - F.col("offset")).drop("place")
+        begin = checkpointed(self._live(begin.filter("start >= 0"), s, F.expr(f"range div {_SEGMENT}")))
+        tokens = terms.select("key", "term", F.col("offset").alias("at"))
+        asked = begin.join(tokens, "key").filter("at <> offset").select("key", "length", "range", "id", "dl", "field", "start", "term", "at")
+        near = blocks.join(asked.select("term", "range").distinct(), ["term", "range"], "left_semi")
+        held = opened(near, "term").select("term", F.col("id").alias("_id"), F.col("places").alias("_places"), F.col("range").alias("_range"))
+        good = asked.join(held, (asked.term == held.term) & (F.col("id") == F.col("_id")) & (F.col("range") == F.col("_range"))).filter(F.array_contains(F.get("_places", F.col("field")), F.col("start") + F.col("at")))
+        found = good.groupBy("key", "length", "range", "id", "dl", "field", "start").agg(F.count("*").alias("n")).filter("n = length - 1")
+        weight = F.element_at(F.array(*map(F.lit, weights)), F.col("field") + 1)
+        return checkpointed(found.groupBy("key", "range", "id", "dl").agg(F.sum(weight).alias("tf")))
+
+    def _ready(self, queries: DataFrame, weights: list[float] | None, query_id: str, match: str) -> tuple[State, DataFrame, DataFrame, list[float]]:
+        """The state, single terms (query_id, term, idf) and phrase hits (query_id, range, id, part)."""
+        s, weights = self.state(), weights or [1.0] * len(self.fields)
+        average = s.tokens / s.documents if s.documents else 1.0
+        idf = lambda df: F.greatest(F.log((s.documents - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+        units = self._units(queries, query_id, match)
+        wanted = units.select(F.explode("terms").alias("term")).distinct()
+        dfs = checkpointed(self._table("dfs", s.segments, "term string, df bigint").join(wanted, "term").groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0"))
+        single = units.filter(F.size("terms") == 1).select("query_id", F.col("key").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")).join(dfs, "term")
+        single = checkpointed(single.select("query_id", "term", (F.col("times") * idf(F.col("df"))).alias("idf")))
+        hits = self._phrases(s, units, dfs, weights)
+        held = hits.groupBy("key").agg(F.count("*").alias("df"))
+        asked = units.filter(F.size("terms") > 1).groupBy("query_id", "key").agg(F.count("*").alias("times"))
+        phrase = hits.join(held, "key").join(asked, "key").select("query_id", "range", "id", (F.col("times") * idf(F.col("df")) * gain(F.col("tf"), F.col("dl"), average)).alias("part"))
+        return s, single, phrase, weights
+
+    def _scored(self, s: State, single: DataFrame, phrase: DataFrame, weights: list[float], picked: DataFrame | None) -> DataFrame:
+        """query_id, id and score of the documents in the picked ranges (query_id, range), or in all."""
+        average = s.tokens / s.documents if s.documents else 1.0
+        blocks = self._blocks(s).select("term", "range", "posts")
+        if picked is None:
+            rows = single.join(blocks, "term")
+        else:
+            rows = single.join(picked, "query_id").join(blocks, ["term", "range"])
+            phrase = phrase.join(picked, ["query_id", "range"], "left_semi")
+        rows = rows.select("query_id", "idf", "range", F.explode("posts").alias("p")).select("query_id", "range", F.col("p.id").alias("id"), (F.col("idf") * gain(_weighed("p.tf", weights), F.col("p.dl"), average)).alias("part"))
+        rows = self._live(rows, s, F.expr(f"range div {_SEGMENT}"))
+        return rows.select("query_id", "id", "part").unionByName(phrase.select("query_id", "id", "part")).groupBy("query_id", "id").agg(F.sum("part").alias("bm25"))
+
+    def _picked(self, s: State, single: DataFrame, phrase: DataFrame, weights: list[float], k: int) -> DataFrame:
+        """query_id, range of the ranges that can hold one of a query's k best documents."""
+        average = s.tokens / s.documents if s.documents else 1.0
+        bound = F.col("idf") * gain(_weighed("most", weights), F.col("least_dl"), average)
+        bounds = self._blocks(s).select("term", "range", "most", "least_dl").join(single, "term").select("query_id", "range", bound.alias("b"))
+        bounds = bounds.unionByName(phrase.groupBy("query_id", "range", "id").agg(F.sum("part").alias("b")).groupBy("query_id", "range").agg(F.max("b").alias("b")))
+        bounds = checkpointed(bounds.groupBy("query_id", "range").agg(F.sum("b").alias("b")))
+        first = bounds.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("b"), "range"))).filter(F.col("r") <= FIRST).select("query_id", "range")
+        best = self._scored(s, single, phrase, weights, first).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25"), "id"))).filter(F.col("r") <= k)
+        least = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("bm25")).otherwise(0.0).alias("least"))
+        return bounds.join(least, "query_id", "left").filter(F.col("b") >= F.coalesce("least", F.lit(0.0)) - 1e-7).select("query_id", "range")
+
+    def search(self, queries: DataFrame, k: int | None = None, weights: list[float] | None = None, query_id: str = "query_id", match: str = "match") -> DataFrame:
+        """query_id, id, bm25 (larger is better) of documents that hold any phrase of a query: all of them, or at least each query's k best with their ties. A query of no terms has no rows."""
+        s, single, phrase, weights = self._ready(queries, weights, query_id, match)
+        found = self._scored(s, single, phrase, weights, None if k is None else self._picked(s, single, phrase, weights, k))
+        return found.withColumnRenamed("query_id", query_id)
+
+    def share_read(self, queries: DataFrame, k: int, query_id: str = "query_id", match: str = "match") -> float:
+        """The part of the queries' postings that a search for the best k reads to score."""
+        s, single, phrase, weights = self._ready(queries, None, query_id, match)
+        sizes = self._blocks(s).select("term", "range", "n").join(single, "term")
+        picked = self._picked(s, single, phrase, weights, k).withColumn("in", F.lit(1))
+        r = sizes.join(picked, ["query_id", "range"], "left").agg(F.sum(F.when(F.col("in") == 1, F.col("n")).otherwise(0)), F.sum("n")).first()
+        return (r[0] or 0) / (r[1] or 1)
+
+
+def _weighed(tf: str, weights: list[float]) -> Column:
+    """The weighted sum over a posting's fields."""
+    out = F.lit(0.0)
+    for f, w in enumerate(weights):
+        out = out + w * F.get(tf, F.lit(f))
+    return out

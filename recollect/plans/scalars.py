@@ -100,7 +100,11 @@ _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 _TOKENS = f"""SELECT id, question, list_filter(regexp_extract_all(question, '[A-Za-z0-9_][A-Za-z0-9_./@:-]*'), lambda w: length(w) >= 2 AND lower(w) NOT IN ({_STOP})) AS w FROM questions"""
 
 
-@register("h11_fts_query", with_roles("questions", f"""WITH t AS ({_TOKENS}), f AS (SELECT id, question, list_slice(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_position(list_transform(w, lambda x: lower(x)), lower(w[i])) = i), lambda i: w[i]), 1, 16) AS k FROM t) SELECT id, array_to_string(list_concat(['"' || trim(question) || '"'], list_transform(k, lambda x: '"' || x || '"')), ' OR ') AS fts FROM f"""))
+#: Common table expressions over questions; `phr` has each one's distinct tokens k, which its text is searched with.
+PHRASES = f"""phr_t AS ({_TOKENS}), phr AS (SELECT id, question, list_slice(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_position(list_transform(w, lambda x: lower(x)), lower(w[i])) = i), lambda i: w[i]), 1, 16) AS k FROM phr_t)"""
+
+
+@register("h11_fts_query", with_roles("questions", f"""WITH {PHRASES} SELECT id, array_to_string(list_concat(['"' || trim(question) || '"'], list_transform(k, lambda x: '"' || x || '"')), ' OR ') AS fts FROM phr"""))
 def h11(spark: SparkSession, d: str) -> DataFrame:
     return role(spark, d, "questions").select("id", T.fts_query(F.col("question")).alias("fts"))
 

@@ -6,22 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions import predicates as P
+from recollect.functions import text as T
 from recollect.functions import vectors as V
+from recollect.functions.analysis import stemming_sql
 from recollect.operators import evaluation as E
 from recollect.operators import lexical as L
 from recollect.operators import retrieval as R
-from recollect.sources.catalog import NOW, role, with_roles
+from recollect.sources.catalog import NOW, load, role, with_roles
 from recollect.sources.store import checkpointed
 
 from .registry import register
+from .scalars import PHRASES
 
 TUNING = R.Tuning()
 _Q = "q AS (SELECT id AS query_id, question AS query FROM questions)"
-_TOK = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
-_BM25 = f"""WITH {_Q}, dt AS (SELECT id, {_TOK.format('content')} AS w FROM nodes), dl AS (SELECT id, len(w) AS dl FROM dt), tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-    qt AS (SELECT DISTINCT query_id, unnest({_TOK.format('query')}) AS term FROM q), tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM dt) WHERE term IN (SELECT term FROM qt) GROUP BY id, term),
-    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-    bm AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM tf JOIN df USING (term) JOIN qt USING (term) JOIN dl USING (id), tot GROUP BY query_id, id)"""
+_TOK = r"list_filter(regexp_split_to_array(strip_accents(lower({0})), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+_SUMMARY = "CASE WHEN json_valid(content) THEN json_extract_string(content, '$.summary') END"
+_FIELDS = " UNION ALL ".join(f"SELECT id, {k} AS fd, {_TOK.format(x)} AS w FROM nodes" for k, x in enumerate((_SUMMARY, "embed_text", "content")))
+# kt: the terms of each phrase by place; hit: where a phrase begins in a field
+_BM25 = f"""WITH {_Q}, {PHRASES}, u AS (SELECT DISTINCT id AS query_id, unnest(list_concat([trim(question)], k)) AS phrase FROM phr),
+    uw AS (SELECT query_id, phrase, unnest(w) AS word, generate_subscripts(w, 1) AS off FROM (SELECT query_id, phrase, {_TOK.format('phrase')} AS w FROM u)),
+    dw AS (SELECT id, fd, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM ({_FIELDS})), words AS (SELECT word FROM uw UNION SELECT word FROM dw), {stemming_sql('words')},
+    ut AS (SELECT query_id, phrase, off, term FROM uw JOIN stems USING (word)), up AS (SELECT query_id, phrase, count(*) AS terms, string_agg(term, ' ' ORDER BY off) AS key FROM ut GROUP BY query_id, phrase),
+    kt AS (SELECT DISTINCT key, terms, off, term FROM ut JOIN up USING (query_id, phrase)), post AS (SELECT id, fd, pos, term FROM dw JOIN stems USING (word) WHERE term IN (SELECT term FROM kt)),
+    dl AS (SELECT id, count(*) AS dl FROM dw GROUP BY id), tot AS (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM dw) / (SELECT count(*) FROM nodes) AS avgdl),
+    hit AS (SELECT key, id, fd, pos - off AS start FROM kt JOIN post USING (term) GROUP BY key, id, fd, pos - off, terms HAVING count(*) = terms),
+    tf AS (SELECT key, id, count(*) AS tf FROM hit GROUP BY key, id), df AS (SELECT key, count(*) AS df FROM tf GROUP BY key),
+    bm AS (SELECT query_id, id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM up JOIN tf USING (key) JOIN df USING (key) JOIN dl USING (id), tot GROUP BY query_id, id)"""
 _LEX = f"{_BM25}, lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id) AS rank FROM bm)"
 _VEC = "qv AS (SELECT q.query_id, v.vector AS q FROM q JOIN vectors v ON v.id = q.query_id * 10), vd AS (SELECT qv.query_id, v.id, round(1 - list_cosine_similarity(CAST(v.vector AS DOUBLE[]), CAST(qv.q AS DOUBLE[])), 9) AS distance FROM vectors v, qv), sem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM vd)"
 
@@ -30,20 +41,36 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return role(spark, d, "questions").select(F.col("id").alias("query_id"), F.col("question").alias("query"))
 
 
-_indexes: dict[tuple[str, str], L.Index] = {}
+FIELDS = ["summary", "embed_text", "content"]
+_indexes: dict[tuple[str, str], tuple[int, L.TextIndex]] = {}
 
 
-def text_index(spark: SparkSession, d: str) -> L.Index:
-    """The inverted index of the nodes, built when an application first searches them and stored."""
+def searched_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes' fields: the summary is one of a content that is JSON."""
+    return role(spark, d, "nodes").select("id", F.get_json_object("content", "$.summary").alias("summary"), "embed_text", "content")
+
+
+def text_index(spark: SparkSession, d: str) -> L.TextIndex:
+    """The index of the nodes: built when an application first searches them, and made to follow whenever the table's files are others than at the last search."""
+    files = load(spark, d, "documents").select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("h")).distinct()
+    now = files.agg(F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("s")).first().s
     key = spark.sparkContext.applicationId, d
     if key not in _indexes:
-        _indexes[key] = L.build_index(role(spark, d, "nodes").select("id", "content"))
-    return _indexes[key]
+        _indexes[key] = now, L.TextIndex.create(searched_nodes(spark, d), FIELDS)
+    elif _indexes[key][0] != now:
+        _indexes[key][1].sync(searched_nodes(spark, d))
+        _indexes[key] = now, _indexes[key][1]
+    return _indexes[key][1]
+
+
+def lexical_hits(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
+    """The questions, searched as phrases or any of their tokens."""
+    q = questions(spark, d).select("query_id", T.fts_query(F.col("query")).alias("match"))
+    return text_index(spark, d).search(q, k)
 
 
-def lexical_arm(spark: SparkSession, d: str, k: int) -> DataFrame:
-    hits = L.bm25(text_index(spark, d), questions(spark, d))
-    return R.ranked(hits, [F.desc(F.round("bm25", 9)), F.col("id")], k)
+def lexical_arm(spark: SparkSession, d: str, k: int | None) -> DataFrame:
+    return R.ranked(lexical_hits(spark, d, k), [F.desc(F.round("bm25", 9)), F.col("id")], k or 1_000_000_000)
 
 
 def semantic_arm(spark: SparkSession, d: str, k: int) -> DataFrame:
@@ -91,7 +118,7 @@ def i5(spark: SparkSession, d: str) -> DataFrame:
 
 @register("i6_recent_mode", with_roles("questions nodes", f"{_BM25} SELECT query_id, id FROM (SELECT query_id, bm.id, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, bm.id) AS r FROM bm JOIN nodes n ON n.id = bm.id) WHERE r <= 10"))
 def i6(spark: SparkSession, d: str) -> DataFrame:
-    hits = L.bm25(text_index(spark, d), questions(spark, d)).join(created(spark, d), "id")
+    hits = lexical_hits(spark, d).join(created(spark, d), "id")
     return R.ranked(hits, [F.desc("created_at"), F.col("id")], 10).select("query_id", "id")
 
 
@@ -341,5 +368,5 @@ def n25(spark: SparkSession, d: str) -> DataFrame:
 
 @register("n27_best_chunk_rank", with_roles("questions nodes", f"{_LEX} SELECT query_id, source, min(rank) AS best FROM lex JOIN nodes n ON n.id = lex.id GROUP BY query_id, source"))
 def n27(spark: SparkSession, d: str) -> DataFrame:
-    hits = lexical_arm(spark, d, 1_000_000_000).join(role(spark, d, "nodes").select("id", "source"), "id")
+    hits = lexical_arm(spark, d, None).join(role(spark, d, "nodes").select("id", "source"), "id")
     return hits.groupBy("query_id", "source").agg(F.min("rank").cast("bigint").alias("best"))
