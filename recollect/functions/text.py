@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import difflib
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "[REDACTED]"
@@ -290,57 +292,146 @@ def repair_json(text: str | None) -> str | None:
     return None
 
 
-# Fixed pattern: a heading; its title may stand on a later line.
-_HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$", re.M)
+SECTIONS = "ordinal int, heading_path string, content string, start int, end int"
 
 
-def heading_chunks(text: str | None) -> list[tuple[int, str, str, int, int]]:
-    """(ordinal, heading path, content, start, end) of Markdown sections, each with its heading line. A heading of level n stands under n - 1 titles at most. Text before the first heading is left out; without a heading the whole text is a chunk."""
-    text = text or ""
-    heads = [(m.start(), len(m[1]), m[2].strip()) for m in _HEADING.finditer(text)]
-    if not heads:
-        return [(0, "", text.strip(), 0, len(text))] if text.strip() else []
-    out, above = [], []
-    for (start, level, title), end in zip(heads, [h[0] for h in heads[1:]] + [len(text)], strict=True):
-        above = [*above[: level - 1], title]
-        out.append((len(out), " > ".join(above), text[start:end].strip(), start, end))
-    return out
+def heading_sections(text: str | None) -> Iterator[tuple[int, str, str, int, int]]:
+    """(ordinal, heading path, content, start, end) of Markdown sections, each with its heading line, one after the other as lines are read.
 
-
-# Names of the two sides, the limit, and what stands for the rest.
-DIFF_SIDES, DIFF_MOST, DIFF_TAIL = ("previous", "current"), 16_384, "\n… (diff truncated)\n"
+    A heading is one to six signs, white space and a title, which may stand on a later line. One of level n stands under n - 1 titles at most.
+    Text before the first heading is left out; without a heading the whole text is a section.
+    """
+    text = text or ""
+    paths = [""]  # of the open titles, outermost first
+    number, section, bare = 0, None, None  # bare: level and place of a heading that waits for its title
+    at = 0
+    while at < len(text):
+        end = text.find("\n", at) + 1 or len(text)
+        line = text[at:end]
+        level = len(line) - len(line.lstrip("#"))
+        heads = 1 <= level <= 6 and line[level : level + 1].isspace()
+        if bare and line.strip():
+            (level, place), title, bare = bare, line.strip(), None
+        elif heads and line[level:].strip():
+            place, title = at, line[level:].strip()
+        else:
+            if heads and not bare:
+                bare = level, at
+            at = end
+            continue
+        if section:
+            yield number, paths[-1], text[section[0] : place].strip(), section[0], place
+            number += 1
+        section = place, title
+        depth = min(level, len(paths))
+        paths = [*paths[:depth], f"{paths[depth - 1]} > {title}" if depth > 1 else title]
+        at = end
+    if section:
+        yield number, paths[-1], text[section[0] :].strip(), section[0], len(text)
+    elif text.strip():
+        yield 0, "", text.strip(), 0, len(text)
+
+
+class HeadingSections:
+    """Table function: the sections of a text as rows."""
+
+    def eval(self, text: str) -> Iterator[tuple[int, str, str, int, int]]:
+        yield from heading_sections(text)
+
+
+def sections_of(df: DataFrame, text: str) -> DataFrame:
+    """The rows of df, each once for each section of its text, with the section's columns. Sections stream out of the table function, so no text's sections stand in one array."""
+    return df.lateralJoin(F.udtf(HeadingSections, returnType=SECTIONS)(F.col(text).outer()))
+
+
+# Names of the two sides, lines around a change, the limit, and what stands for the rest.
+DIFF_SIDES, DIFF_AROUND, DIFF_MOST, DIFF_TAIL = ("previous", "current"), 3, 16_384, "\n… (diff truncated)\n"
+
+
+def matched_lines(old: list[str], new: list[str]) -> list[tuple[int, int]]:
+    """Pairs of equal lines, rising on both sides: what both begin and end with, and between them the longest rising row of lines that either side has once; the same again in the gaps.
+
+    Near linear in the lines. Where no line of a gap stands once on both sides, it is told apart as a whole.
+    """
+    out, todo = [], [(0, len(old), 0, len(new))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and old[a] == new[c]:
+            out.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and old[b - 1] == new[d - 1]:
+            b, d = b - 1, d - 1
+            out.append((b, d))
+        if a == b or c == d:
+            continue
+        once = [{x: k for x, k in zip(side[lo:hi], range(lo, hi), strict=True)} for side, lo, hi in ((old, a, b), (new, c, d))]
+        many = [{x for x, n in Counter(side[lo:hi]).items() if n > 1} for side, lo, hi in ((old, a, b), (new, c, d))]
+        common = [(k, once[1][x]) for x, k in once[0].items() if x in once[1] and x not in many[0] and x not in many[1]]
+        tails, places, back = [], [], [-1] * len(common)  # the least end of a rising row of each length
+        for k, (_, y) in enumerate(common):
+            n = bisect_left(tails, y)
+            back[k] = places[n - 1] if n else -1
+            tails[n : n + 1], places[n : n + 1] = [y], [k]
+        k = places[-1] if places else -1
+        after = b, d
+        while k >= 0:
+            x, y = common[k]
+            out.append((x, y))
+            todo.append((x + 1, after[0], y + 1, after[1]))
+            after, k = (x, y), back[k]
+        if places:
+            todo.append((a, after[0], c, after[1]))
+    return sorted(out)
 
 
 def diff_summary(old: str | None, new: str | None, most: int = DIFF_MOST) -> tuple[str, str]:
-    """A sentence with the numbers of lines, and the unified diff, cut to `most` characters. Lines keep their ends; the diff's own lines have none."""
-    lines = list(difflib.unified_diff((old or "").splitlines(True), (new or "").splitlines(True), *DIFF_SIDES, lineterm=""))
-    number = {sign: sum(x[0] == sign and x[:3] != 3 * sign for x in lines) for sign in "+-"}
-    text = "".join(lines)
-    return f"{number['+']} line(s) added, {number['-']} line(s) removed", text if len(text) <= most else text[:most] + DIFF_TAIL
-
-
-def allocate_caps(lengths: list[int], budget: int) -> list[int]:
-    """Parts of a character budget in proportion to lengths, also where it is larger than they are: floors, the rest one by one to the longest (the first of equals). If the budget allows, a field with text has one character at least, taken from the longest that can spare it."""
-    sizes = [max(n, 0) for n in lengths]
-    total = sum(sizes)
-    if not total:
-        return [0] * len(sizes)
-    caps = [budget * n // total for n in sizes]
-    longest = sorted((i for i, n in enumerate(sizes) if n), key=lambda i: -sizes[i])
-    for i in longest[: max(budget - sum(caps), 0)]:
-        caps[i] += 1
-    poor = [i for i, n in enumerate(sizes) if n and not caps[i]]
-    if budget >= len(longest):
-        for i in poor:
-            rich = next((j for j in longest if caps[j] > 1), None)
-            if rich is None:
-                break
-            caps[rich], caps[i] = caps[rich] - 1, 1
-    return caps
-
-
-_CHUNKS = "array<struct<ordinal:int,heading_path:string,content:string,start:int,end:int>>"
-_CHUNK_NAMES = ("ordinal", "heading_path", "content", "start", "end")
+    """A sentence with the numbers of lines, and the unified diff, cut to `most` characters. Lines keep their ends; the diff's own lines have none. Changed lines that begin with two more of their sign are not counted."""
+    before, after = (old or "").splitlines(True), (new or "").splitlines(True)
+    marks, x, y = [], 0, 0  # sign, line, and the lines of both sides that stand before it
+    for i, j in [*matched_lines(before, after), (len(before), len(after))]:
+        marks += [("-", before[k], k, y) for k in range(x, i)] + [("+", after[k], i, k) for k in range(y, j)]
+        if i < len(before) or j < len(after):
+            marks.append((" ", before[i], i, j))
+        x, y = i + 1, j + 1
+    changed = [k for k, m in enumerate(marks) if m[0] != " "]
+    count = {s: sum(marks[k][0] == s and not marks[k][1].startswith(2 * s) for k in changed) for s in "+-"}
+    parts, k = [], 0
+    while k < len(changed):
+        last = k
+        while last + 1 < len(changed) and changed[last + 1] - changed[last] <= 2 * DIFF_AROUND + 1:
+            last += 1
+        hunk = marks[max(0, changed[k] - DIFF_AROUND) : changed[last] + DIFF_AROUND + 1]
+        spans = []
+        for side, begin in (("-", hunk[0][2]), ("+", hunk[0][3])):
+            n = sum(m[0] in (" ", side) for m in hunk)
+            spans.append(f"{side}{begin + (n > 0)}" + (f",{n}" if n != 1 else ""))
+        parts += [f"@@ {' '.join(spans)} @@", *(m[0] + m[1] for m in hunk)]
+        k = last + 1
+    text = "".join([f"--- {DIFF_SIDES[0]}", f"+++ {DIFF_SIDES[1]}", *parts]) if parts else ""
+    return f"{count['+']} line(s) added, {count['-']} line(s) removed", text if len(text) <= most else text[:most] + DIFF_TAIL
+
+
+def payload_caps(lengths: Column, budget: Column) -> Column:
+    """Parts (array of int) of a character budget in proportion to an array of lengths, also where it is larger than they are.
+
+    Parts are rounded down and the rest goes to the longest, one each, the first of equals first. If the budget has one for every field with text, those left without
+    get one, which the longest give as far as each keeps one.
+    """
+    sizes = F.transform(lengths, lambda n: F.greatest(n, F.lit(0)).cast("bigint"))
+    total = F.aggregate(sizes, F.lit(0).cast("bigint"), lambda s, n: s + n)
+    floors = F.transform(sizes, lambda n: F.when(total > 0, F.floor(budget * n / total)).otherwise(0).cast("bigint"))
+    place = F.transform(sizes, lambda n, i: F.size(F.filter(sizes, lambda m, j: (m > n) | ((m == n) & (j < i)))))  # how many fields come before it
+    rest = budget - F.aggregate(floors, F.lit(0).cast("bigint"), lambda s, n: s + n)
+    first = F.transform(F.arrays_zip(floors.alias("f"), place.alias("p"), sizes.alias("n")), lambda x: F.struct((x["f"] + F.when((x["n"] > 0) & (x["p"] < rest), 1).otherwise(0)).alias("c"), x["p"].alias("p"), x["n"].alias("n")))
+    poor = F.size(F.filter(first, lambda x: (x["n"] > 0) & (x["c"] == 0)))
+    lacking = F.when(budget >= F.size(F.filter(sizes, lambda n: n > 0)), poor).otherwise(0)
+    spare = lambda x: F.greatest(x["c"] - 1, F.lit(0))
+
+    def settled(x: Column) -> Column:
+        asked = lacking - F.aggregate(F.filter(first, lambda y: y["p"] < x["p"]), F.lit(0).cast("bigint"), lambda s, y: s + spare(y))  # what those before it could not give
+        return F.when((x["n"] > 0) & (x["c"] == 0) & (lacking > 0), 1).otherwise(x["c"] - F.least(F.greatest(asked, F.lit(0)), spare(x))).cast("int")
+
+    return F.transform(first, settled)
 
 
 def first_json_object_udf(text: Column) -> Column:
@@ -357,22 +448,8 @@ def repair_json_udf(text: Column) -> Column:
     return F.pandas_udf(run, "string")(text)
 
 
-def heading_chunks_udf(text: Column) -> Column:
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [dict(zip(_CHUNK_NAMES, c, strict=True)) for c in heading_chunks(t)])
-
-    return F.pandas_udf(run, _CHUNKS)(text)
-
-
 def diff_summary_udf(old: Column, new: Column) -> Column:
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([diff_summary(x, y) for x, y in zip(a, b, strict=True)], columns=["summary", "diff"])
 
     return F.pandas_udf(run, "struct<summary:string,diff:string>")(old, new)
-
-
-def allocate_caps_udf(lengths: Column | str, budget: Column | str) -> Column:
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([allocate_caps([int(n) for n in x], int(y)) for x, y in zip(a, b, strict=True)])
-
-    return F.pandas_udf(run, "array<int>")(lengths, budget)

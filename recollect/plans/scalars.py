@@ -224,8 +224,8 @@ _H29 = r"""WITH t AS (SELECT id, '### ' || source || chr(10) || content || chr(1
 def h29(spark: SparkSession, d: str) -> DataFrame:
     """Stored texts under a heading of the third level, then one of the second, which stands under the first title."""
     doc = F.concat(F.lit("### "), "source", F.lit("\n"), "content", F.lit("\n## "), "node_type", F.lit("\n"), "uuid")
-    n = role(spark, d, "nodes").filter("content IS NOT NULL").select("id", F.explode(T.heading_chunks_udf(doc)).alias("c"))
-    return n.select("id", "c.*")
+    n = role(spark, d, "nodes").filter("content IS NOT NULL").select("id", doc.alias("doc"))
+    return T.sections_of(n, "doc").drop("doc")
 
 
 @register("h30_token_windows", with_roles("nodes", r"SELECT id, len(w) AS words, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, CAST(ceil((len(w) - 12) / 36.0) AS BIGINT)) END AS windows, array_to_string(list_slice(w, 37, 84), ' ') AS second FROM (SELECT id, list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '') AS w FROM nodes) WHERE len(w) > 60"))
@@ -289,7 +289,7 @@ _H36 = """WITH l AS (SELECT id, unnest([1, 2, 3]) AS i, unnest([length(embed_tex
 @register("h36_payload_caps", with_roles("nodes", _H36))
 def h36(spark: SparkSession, d: str) -> DataFrame:
     e = role(spark, d, "nodes").filter("content IS NOT NULL").select("id", F.array(F.length("embed_text"), F.length("content"), F.length("source")).alias("l"), F.lit(600).alias("b"))
-    return e.select("id", T.allocate_caps_udf("l", "b").alias("c")).select("id", F.col("c")[0].alias("embed"), F.col("c")[1].alias("command"), F.col("c")[2].alias("design"))
+    return e.select("id", T.payload_caps(F.col("l"), F.col("b")).alias("c")).select("id", F.col("c")[0].alias("embed"), F.col("c")[1].alias("command"), F.col("c")[2].alias("design"))
 
 
 def entities_line(names, most: int = 500):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -247,16 +250,41 @@ def test_roots_are_tried_in_their_order(spark):
     assert got(["/a/b", "/a"]) == "x.py" and got(["/a", "/a/b"]) == "b/x.py" and got([]) == "/a/b/x.py"
 
 
-def test_markdown_chunks():
-    assert T.heading_chunks("lost\n# A\nx\n## B\n# C") == [(0, "A", "# A\nx", 5, 11), (1, "A > B", "## B", 11, 16), (2, "C", "# C", 16, 19)]
-    assert [c[1] for c in T.heading_chunks("### A\nx\n## B\n#### C\n# D")] == ["A", "A > B", "A > B > C", "D"]
-    assert T.heading_chunks("plain") == [(0, "", "plain", 0, 5)] and T.heading_chunks(None) == []
+def test_markdown_sections(spark):
+    sections = lambda t: [*T.heading_sections(t)]
+    assert sections("lost\n# A\nx\n## B\n# C") == [(0, "A", "# A\nx", 5, 11), (1, "A > B", "## B", 11, 16), (2, "C", "# C", 16, 19)]
+    assert [c[1] for c in sections("### A\nx\n## B\n#### C\n# D")] == ["A", "A > B", "A > B > C", "D"]
+    assert sections("plain") == [(0, "", "plain", 0, 5)] and sections(None) == [] and sections(" \n") == []
+    assert sections("# \n\n late \nx\n####### no\n#no\n#") == [(0, "late", "# \n\n late \nx\n####### no\n#no\n#", 0, 29)]
+    assert [c[1] for c in sections("#\n# A\n#")] == ["# A"] and [c[1] for c in sections("#\tA \t\r\n## B")] == ["A", "A > B"]
+    df = spark.createDataFrame([(1, "# A\n## B"), (2, None), (3, "x")], "id int, t string")
+    assert sorted((r.id, r.ordinal, r.heading_path) for r in T.sections_of(df, "t").collect()) == [(1, 0, "A"), (1, 1, "A > B"), (3, 0, "")]
+    assert sum(1 for _ in T.heading_sections("# T\n" + ("x" * 40 + "\n## y\n") * 200_000)) == 200_001
 
 
 def test_diff_summaries():
     assert T.diff_summary("a\nb\n", "a\nc\nd\n") == ("2 line(s) added, 1 line(s) removed", "--- previous+++ current@@ -1,2 +1,3 @@ a\n-b\n+c\n+d\n")
     assert T.diff_summary(None, None) == ("0 line(s) added, 0 line(s) removed", "")
     assert T.diff_summary("", "x" * 30_000)[1].endswith("x\n… (diff truncated)\n") and len(T.diff_summary("", "x" * 30_000)[1]) == 16_384 + 20
+    lines = [f"{k}\n" for k in range(30)]
+    changed = [*lines[:5], "new\n", *lines[6:20], *lines[21:], "end"]
+    assert T.diff_summary("".join(lines), "".join(changed)) == ("2 line(s) added, 2 line(s) removed", "--- previous+++ current@@ -3,7 +3,7 @@ 2\n 3\n 4\n-5\n+new\n 6\n 7\n 8\n@@ -18,7 +18,6 @@ 17\n 18\n 19\n-20\n 21\n 22\n 23\n@@ -28,3 +27,4 @@ 27\n 28\n 29\n+end")
+    assert T.diff_summary("-- x\n", "++ y\n")[0] == "0 line(s) added, 0 line(s) removed"
+    assert T.diff_summary("a\n", "")[1] == "--- previous+++ current@@ -1 +0,0 @@-a\n"
+
+
+@given(st.lists(st.sampled_from("abcdefgh"), max_size=14), st.lists(st.sampled_from("abcdefgh"), max_size=14))
+def test_matched_lines_rise_and_are_equal(old, new):
+    pairs = T.matched_lines(old, new)
+    assert all(old[i] == new[j] for i, j in pairs) and all(a[0] < b[0] and a[1] < b[1] for a, b in itertools.pairwise(pairs))
+    inserted = [x for x in new if x not in old]
+    assert len(T.matched_lines(old, [*old, *inserted])) == len(old)
+
+
+def test_long_unlike_texts_are_told_apart_in_time():
+    began = time.time()
+    old, new = ("".join(f"{(k * m) % 99_991} {k % 7}\n" for k in range(100_000)) for m in (7, 11))
+    assert T.diff_summary(old, new)[0].endswith("removed") and time.time() - began < 20
 
 
 def test_json_helpers():
@@ -265,17 +293,18 @@ def test_json_helpers():
     assert T.repair_json('```json\n{"a": "b\nc"}\n```') == '{"a": "b\\nc"}' and T.repair_json(r'{"p": "C:\d"}') == r'{"p": "C:\\d"}' and T.repair_json("") is None
 
 
-@given(st.lists(st.integers(0, 500), min_size=1, max_size=8), st.integers(20, 800))
-def test_caps_stay_in_budget(lengths, budget):
-    caps = T.allocate_caps(lengths, budget)
-    assert sum(caps) == (budget if any(lengths) else 0) and all((c > 0) == (n > 0) for c, n in zip(caps, lengths, strict=True))
-    assert all(abs(c - budget * n / sum(lengths)) <= len(lengths) for c, n in zip(caps, lengths, strict=True) if n)
-
+def test_caps(spark):
+    import random
 
-def test_caps_by_example():
-    cases = [([10, 10, 10], 20, [7, 7, 6]), ([1000, 1, 1], 2, [2, 0, 0]), ([5, 5], 20, [10, 10]), ([0, 0], 9, [0, 0]), ([1000, 1, 1], 3, [1, 1, 1]), ([3, -1, 0], 5, [5, 0, 0])]
-    for lengths, budget, want in cases:
-        assert T.allocate_caps(lengths, budget) == want
+    rng = random.Random(4)
+    cases = [([10, 10, 10], 20, [7, 7, 6]), ([1000, 1, 1], 2, [2, 0, 0]), ([5, 5], 20, [10, 10]), ([0, 0], 9, [0, 0]), ([1000, 1, 1], 3, [1, 1, 1]), ([3, -1, 0], 5, [5, 0, 0]), ([500, 400, 1, 1, 1], 5, [1, 1, 1, 1, 1]), ([500, 400, 1, 1], 6, [2, 2, 1, 1])]
+    made = [([rng.choice((0, 1, 2, rng.randrange(500))) for _ in range(rng.randrange(1, 9))], rng.randrange(9, 800), None) for _ in range(300)]
+    rows = spark.createDataFrame([(l, b, w) for l, b, w in cases + made], "l array<int>, b int, w array<int>").withColumn("c", T.payload_caps(F.col("l"), F.col("b"))).collect()
+    for r in rows:
+        assert r.w is None or [*r.c] == [*r.w]
+        if r.w is None:
+            assert sum(r.c) == (r.b if any(r.l) else 0) and all((c > 0) == (n > 0) for c, n in zip(r.c, r.l, strict=True))
+            assert all(abs(c - r.b * n / sum(r.l)) <= len(r.l) for c, n in zip(r.c, r.l, strict=True) if n)
 
 
 @given(st.text(alphabet='{}"\\ax', max_size=24))
