@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,35 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def sweep(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files and checkpoints that nothing refers to any more: it does so when the driver collects its garbage, which may be long after an iteration has ended."""
-    spark.sparkContext._jvm.System.gc()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffle files go when the action that made them ends. Without, they stay until the driver drops its plans, which adds up over iterations."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+class Rounds:
+    """The states of an iteration as tables in the shared folder. A state is written over the one before the last, so two are there at most."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.number = spark, 0
+        self.path = f"{shared_folder(spark)}/recollect-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.path}-{self.number % 2}"
+        self.number += 1
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 def stage_table(df: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bound_batches, materialize, slices, stage_table, sweep, tidy
+from .common import as_bytes, bound_batches, materialize, short_shuffles, slices, stage_table, tidy
 from .simhash import _LOWER, _SPACE, SEED, components, fingerprint_texts, hash_spans, links
 
 WORDS = 5
@@ -217,9 +217,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, id_col:
     met = members.join(middle, "k").selectExpr("node AS a", "size AS sa", "explode(centres) AS c").selectExpr("a", "c.node AS b", "sa", "c.size AS sb").filter(_SIZES).select("a", "b")
     pairs = met.unionByName(_near_fingerprints(nodes)).filter("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
     tried = materialize(pairs)
-    sweep(docs.sparkSession)
     near = _verified(tried, _whole_sets(tried.selectExpr("explode(array(a, b)) AS node").distinct(), nodes, docs, id_col, text_col))
-    sweep(docs.sparkSession)
     told = members.select("k", "node").join(components(near), "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = told.groupBy("k").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m").select("k")
     rest = materialize(told.join(apart, "k", "left_semi").select("k", "node", "label"))
@@ -234,9 +232,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     The text is read several times, so docs should be stored. Null and texts without words are alike.
     """
-    prints = stage_table(_prints(docs, id_col, text_col))
-    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("fp").alias("fp")).filter("size > 0"))
-    labels = components(similar_links(docs, prints, nodes, id_col, text_col, centres, crowd, chunk))
+    with short_shuffles(docs.sparkSession):
+        prints = stage_table(_prints(docs, id_col, text_col))
+        nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("fp").alias("fp")).filter("size > 0"))
+        labels = components(similar_links(docs, prints, nodes, id_col, text_col, centres, crowd, chunk))
     told = prints.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
     tops = told.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     gone = told.join(tops, "label").filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bound_batches, materialize, slices, sweep, tidy
+from .common import Rounds, as_bytes, bound_batches, materialize, short_shuffles, slices, tidy
 
 SEED = 42
 WORDS = 3
@@ -192,11 +192,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large and small stars: each round links neighbours to the smallest node in reach, until nothing changes; the rounds grow with the logarithm of the nodes.
     """
-    now, seen = materialize(edges), None
+    with short_shuffles(edges.sparkSession):
+        now = _contracted(edges)
+    return now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Links of each node to the smallest of its component."""
+    rounds, seen = Rounds(edges.sparkSession), None
+    now = rounds.keep(edges.select("a", "b"))
     while True:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen or not state[0]:
-            break
+            return now
         seen = state
         both = now.unionByName(now.selectExpr("b AS a", "a AS b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a AS node", "least(a, m) AS m")
@@ -204,9 +212,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "node")
         kept = least.selectExpr("m AS a", "node AS b")
         moved = large.join(least, F.col("b") == F.col("node")).filter("a <> m").selectExpr("m AS a", "a AS b")
-        now = materialize(kept.unionByName(moved).distinct())
-        sweep(now.sparkSession)
-    return now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
+        now = rounds.keep(kept.unionByName(moved).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, crowd: int = CROWD) -> DataFrame:
@@ -214,9 +220,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts have fingerprint zero, linked like any other. Null ids are never a component's id, unless it has no other.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, words))
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = components(links(nodes.select("fp"), crowd))
+    with short_shuffles(docs.sparkSession):
+        prints = materialize(fingerprints(docs, id_col, text_col, words))
+        nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        labels = components(links(nodes.select("fp"), crowd))
     joined = nodes.join(labels, F.col("fp") == F.col("node"), "left")
     loose = joined.filter("label IS NULL").select("fp", F.col("least").alias("component_id"))
     linked = nodes.join(labels.unionByName(labels.selectExpr("label AS node", "label").distinct()), F.col("fp") == F.col("node")).select("fp", "label", "least")
