@@ -1,11 +1,12 @@
-"""Registered sources, sinks and streams. Files that a source reads are stood in for by text columns, so each has an oracle."""
+"""Registered sources, sinks and streams. Transcripts are written as files first, and read as such."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.sources import sinks as K
+from recollect.sources import tail
 from recollect.sources import transcripts as T
 from recollect.sources.catalog import load, role, with_roles
 from recollect.sources.store import new_path
@@ -22,24 +23,65 @@ def a2(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(SETTINGS["spark.sql.session.timeZone"], SCHEMA_VERSION)], "zone string, version int")
 
 
-@register("a3_session_paths", with_roles("turns", "SELECT DISTINCT conv_id, 'proj' || CAST(conv_id % 5 AS VARCHAR) AS project_dir, CASE WHEN conv_id % 3 = 0 THEN 'agent' || CAST(conv_id AS VARCHAR) ELSE 's' || CAST(conv_id AS VARCHAR) END AS session_id, conv_id % 3 = 0 AS is_subagent, CASE WHEN conv_id % 3 = 0 THEN 's' || CAST(conv_id AS VARCHAR) END AS parent FROM turns"))
-def a3(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col("conv_id")
-    n = c.cast("string")
-    folder = F.concat(F.lit("/root/proj"), (c % 5).cast("string"), F.lit("/s"), n)
+def transcript_lines(spark: SparkSession, d: str) -> DataFrame:
+    """file, place and line of agent transcripts: a third of the sessions lie as a subagent's; some lines are noise and some are broken off."""
+    c, n = F.col("conv_id"), F.col("conv_id").cast("string")
+    folder = F.concat(F.lit("proj"), (c % 5).cast("string"), F.lit("/s"), n)
     path = F.when(c % 3 == 0, F.concat(folder, F.lit("/subagents/agent"), n, F.lit(".jsonl"))).otherwise(F.concat(folder, F.lit(".jsonl")))
-    return role(spark, d, "turns").select("conv_id").distinct().select("conv_id", T.session_of_path(path).alias("s")).select("conv_id", "s.*")
+    body = F.to_json(F.struct(F.when(F.col("turn") % 4 == 3, "progress").otherwise(F.col("role")).alias("type"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.struct(F.col("role"), F.col("text").alias("content")).alias("message")))
+    return role(spark, d, "turns").select("conv_id", path.alias("file"), F.col("turn").alias("place"), F.when((c + F.col("turn")) % 10 == 0, F.substring(body, 1, 12)).otherwise(body).alias("line"))
 
 
-def transcript_lines(spark: SparkSession, d: str) -> DataFrame:
-    t = role(spark, d, "turns")
-    body = F.to_json(F.struct(F.when(F.col("turn") % 4 == 3, "progress").otherwise(F.col("role")).alias("type"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.struct(F.col("role"), F.col("text").alias("content")).alias("message")))
-    return t.select("conv_id", "turn", F.when((F.col("conv_id") + F.col("turn")) % 10 == 0, F.substring(body, 1, 12)).otherwise(body).alias("line"))
+_written: dict[tuple[str, str], str] = {}
+
+
+def transcript_folder(spark: SparkSession, d: str) -> str:
+    """The conversations as files of lines in the shared folder, written once in an application."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _written:
+        folder = new_path(spark, "transcripts")
+        tail.write_files(transcript_lines(spark, d), folder).count()
+        _written[key] = folder
+    return _written[key]
+
+
+def _conversation(path: str) -> Column:
+    return F.regexp_extract(path, r"(\d+)\.jsonl$", 1).cast("bigint")
+
+
+@register("a3_session_paths", with_roles("turns", "SELECT DISTINCT conv_id, 'proj' || CAST(conv_id % 5 AS VARCHAR) AS project_dir, CASE WHEN conv_id % 3 = 0 THEN 'agent' || CAST(conv_id AS VARCHAR) ELSE 's' || CAST(conv_id AS VARCHAR) END AS session_id, conv_id % 3 = 0 AS is_subagent, CASE WHEN conv_id % 3 = 0 THEN 's' || CAST(conv_id AS VARCHAR) END AS parent FROM turns"))
+def a3(spark: SparkSession, d: str) -> DataFrame:
+    found = T.discover(spark, transcript_folder(spark, d))
+    return found.select(_conversation("path").alias("conv_id"), T.session_of_path(F.col("path")).alias("s")).select("conv_id", "s.*")
 
 
 @register("a4_tolerant_lines", with_roles("turns", "SELECT conv_id, turn, md5(text) AS digest FROM turns WHERE turn % 4 <> 3 AND (conv_id + turn) % 10 <> 0"))
 def a4(spark: SparkSession, d: str) -> DataFrame:
-    return T.tolerant_entries(transcript_lines(spark, d)).select("conv_id", "turn", F.md5(F.col("entry.message.content").cast("binary")).alias("digest"))
+    """Every file is read as lines; a conversation's turns are its lines, from 0."""
+    entries = T.tolerant_entries(T.read_lines(spark, transcript_folder(spark, d)))
+    return entries.select(_conversation("path").alias("conv_id"), (F.col("line_no") - 1).cast("bigint").alias("turn"), F.md5(F.col("entry.message.content").cast("binary")).alias("digest"))
+
+
+_K9 = "SELECT conv_id AS id, count(*) * CASE WHEN conv_id % 5 = 0 THEN 2 ELSE 1 END AS lines, CAST(sum(length(CAST(turn AS VARCHAR)) + 33) * CASE WHEN conv_id % 5 = 0 THEN 2 ELSE 1 END + CASE WHEN conv_id % 5 = 0 THEN 6 * count(*) ELSE 0 END AS BIGINT) AS chars FROM turns GROUP BY conv_id"
+
+
+@register("k9_offset_tailing", with_roles("turns", _K9))
+def k9(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as growing files: half of their turns, then all, then every fifth file replaced. What the tail has given is counted by conversation."""
+    base = new_path(spark, "tailed")
+    turns = role(spark, d, "turns").select(F.col("conv_id"), F.col("turn").alias("place"), F.concat(F.lit("p/"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("file"), F.concat(F.col("turn").cast("string"), F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("line"))
+    again = turns.filter("conv_id % 5 = 0").withColumn("line", F.concat(F.lit("again "), "line"))
+    spark.dataSource.register(tail.TailSource)
+    for delivered in (turns.filter("place <= 3"), turns, again):
+        tail.write_files(delivered, f"{base}/in").count()
+        stream = spark.readStream.format("line_tail").option("suffix", ".jsonl").load(f"{base}/in")
+        q = stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/checkpoint").start()  # from where the last one stopped
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+    rows = spark.read.schema(tail.SCHEMA).parquet(f"{base}/rows")
+    return rows.groupBy(_conversation("path").alias("id")).agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
 
 
 @register("a5_rollout_identity", with_roles("ev_user", "WITH f AS (SELECT session_id AS u, source_kind, min(timestamp * 100000 + id) AS pos FROM ev_user WHERE source_kind IN ('signup', 'purchase') AND session_id % 4 <> 0 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY pos) AS n FROM f), p AS (SELECT DISTINCT session_id AS u FROM ev_user) SELECT '/x/rollout-' || CAST(p.u AS VARCHAR) || '.jsonl' AS path, coalesce(a.source_kind, 'rollout-' || CAST(p.u AS VARCHAR)) AS session_id, b.source_kind AS parent_id FROM p LEFT JOIN r a ON a.u = p.u AND a.n = 1 LEFT JOIN r b ON b.u = p.u AND b.n = 2"))
@@ -165,9 +207,17 @@ def k13(spark: SparkSession, d: str) -> DataFrame:
     return _drained(spark, S.closed_sessions(_stream(spark, d), "user_id", "6 hours"))
 
 
-@register("k14_rolling_stream", with_roles("ev", "SELECT (timestamp // 86400000 + 1) * 86400000 AS window_end, source_kind AS source, count(*) AS n FROM ev GROUP BY 1, 2 HAVING (timestamp // 86400000 + 1) * 86400000 <= (SELECT max(timestamp) FROM ev) - 120000"))
+_K14 = """b AS (SELECT source_kind AS source, timestamp FROM ev), lim AS (SELECT (max(timestamp) - 120000) // 300000 * 300000 AS until FROM ev),
+    ends AS (SELECT unnest(generate_series((SELECT min(timestamp) // 300000 * 300000 FROM ev), (SELECT until FROM lim), 300000)) AS window_end)
+    SELECT window_end, source, count(*) AS n FROM ends JOIN b ON b.timestamp >= window_end - 86400000 AND b.timestamp < window_end GROUP BY window_end, source"""
+
+
+@register("k14_rolling_stream", with_roles("ev", f"WITH {_K14}"))
 def k14(spark: SparkSession, d: str) -> DataFrame:
-    return _drained(spark, S.rolling_counts(_stream(spark, d), "24 hours", "24 hours"))
+    """Counts of the last 24 hours by source, every five minutes."""
+    panes = _drained(spark, S.pane_counts(_stream(spark, d)))
+    last = role(spark, d, "ev").agg(F.max("timestamp").alias("t")).first().t
+    return S.sliding_counts(panes, (last - 120_000) // 300_000 * 300_000 if last is not None else 0)
 
 
 @register("k8_micro_batch_flush", with_roles("ev", "SELECT source_kind AS source, count(*) AS n, max(timestamp) AS last, count(*) AS health_events, 0 AS failures FROM ev GROUP BY 1"))

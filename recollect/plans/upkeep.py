@@ -188,18 +188,6 @@ def k7(spark: SparkSession, d: str) -> DataFrame:
     return Q.settling_sweep(s, role(spark, d, "queue").filter("id % 5 <> 0"), "id").select("id")
 
 
-@register("k9_offset_tailing", with_roles("sessions", "SELECT id, CASE WHEN id % 5 = 0 THEN 0 WHEN message_count * 100 < id % 7 * 100 THEN 0 ELSE id % 7 * 100 END AS read_from FROM sessions"))
-def k9(spark: SparkSession, d: str) -> DataFrame:
-    s = role(spark, d, "sessions")
-    i = F.col("id")
-    return s.select("id", resume_offset(i % 7 * 100, F.col("message_count") * 100, i % 5 != 0).cast("bigint").alias("read_from"))
-
-
-def resume_offset(stored, size, same_file):
-    """Where to read on: from the start if the file was replaced or cut."""
-    return F.when(~same_file | (size < stored), 0).otherwise(stored)
-
-
 @register("k10_idle_gate", with_roles("sessions", f"SELECT id FROM sessions WHERE end_time <= {1704067200000 + 200 * 3600000} - 120000"))
 def k10(spark: SparkSession, d: str) -> DataFrame:
     return role(spark, d, "sessions").filter(F.col("end_time") <= 1704067200000 + 200 * 3_600_000 - 120_000).select("id")

@@ -10,9 +10,14 @@ NOISE = ("file-history-snapshot", "progress", "queue-operation", "summary")
 ENTRY = "type string, timestamp string, cwd string, gitBranch string, message struct<role:string,content:string>"
 
 
+def discover(spark: SparkSession, folder: str, suffix: str = ".jsonl") -> DataFrame:
+    """path and length of the files under a folder, at any depth. No content is read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line_no, line of JSON-lines files. Line numbers come from one file's own rows: files are read whole lines at a time and numbered by offset order in the file."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"), F.col("value").alias("line"))
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"), F.col("value").alias("line"))
     w = Window.partitionBy("path").orderBy("_b", "_i")
     return lines.withColumn("line_no", F.row_number().over(w)).select("path", "line_no", "line")
 

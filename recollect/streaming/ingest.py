@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.window import Window
 
 from recollect.operators.health import update_health
 from recollect.sources.catalog import epoch_ms
@@ -36,10 +37,24 @@ def closed_sessions(events: DataFrame, key: str, gap: str = "5 minutes", latenes
     return g.select(key, "start_time", "end_time", "n")
 
 
-def rolling_counts(events: DataFrame, length: str = "24 hours", slide: str = "5 minutes", lateness: str = LATENESS) -> DataFrame:
-    """Counts by source in sliding windows."""
-    g = events.withWatermark("time", lateness).groupBy(F.window("time", length, slide), F.col("event_type").alias("source")).agg(F.count("*").alias("n"))
-    return g.select(F.unix_millis("window.end").alias("window_end"), "source", "n")
+def pane_counts(events: DataFrame, slide: str = "5 minutes", lateness: str = LATENESS) -> DataFrame:
+    """source, pane_end, n: counts of tumbling panes, given out once final. An event is counted once."""
+    g = events.withWatermark("time", lateness).groupBy(F.window("time", slide), F.col("event_type").alias("source")).agg(F.count("*").alias("n"))
+    return g.select("source", F.unix_millis("window.end").alias("pane_end"), "n")
+
+
+def sliding_counts(panes: DataFrame, until: int, length_ms: int = 86_400_000, slide_ms: int = 300_000) -> DataFrame:
+    """window_end, source, n of all windows of length_ms that end at most `until` and hold an event, from counts of panes.
+
+    A pane adds its count at its own end and takes it back a length later; running sums over these changes are the counts until the next change.
+    Rows that are shuffled follow the panes, whose number follows time and not events.
+    """
+    changes = panes.select("source", F.explode(F.array(F.struct(F.col("pane_end").alias("at"), F.col("n").alias("d")), F.struct((F.col("pane_end") + length_ms).alias("at"), (-F.col("n")).alias("d")))).alias("c"))
+    changes = changes.groupBy("source", F.col("c.at").alias("at")).agg(F.sum("c.d").alias("d"))
+    w = Window.partitionBy("source").orderBy("at")
+    steps = changes.select("source", "at", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("n"), F.least(F.coalesce(F.lead("at").over(w), F.col("at") + slide_ms) - slide_ms, F.lit(until)).alias("last"))
+    steps = steps.filter((F.col("n") > 0) & (F.col("at") <= F.col("last")))
+    return steps.select(F.explode(F.sequence("at", "last", F.lit(slide_ms))).alias("window_end"), "source", "n")
 
 
 def flush(events: DataFrame, store: Callable[[DataFrame, int], None], health: Callable[[int], DataFrame], save_health: Callable[[DataFrame, int], None]) -> DataStreamWriter:
