@@ -23,6 +23,10 @@ RRF_K = 60
 MMR_POOL = 500
 
 
+#: Least and most of settings that have such.
+BOUNDS = {"mmr_lambda": (0.0, 1.0), "recency_floor": (0.0, 1.0), "pool": (1, 100_000)}
+
+
 @dataclass(frozen=True)
 class Tuning:
     """Weights and caps; `of` clamps what a configuration gives and ignores what it cannot read."""
@@ -37,18 +41,26 @@ class Tuning:
 
     @classmethod
     def of(cls, section: dict) -> Tuning:
-        bounds = {"mmr_lambda": (0.0, 1.0), "recency_floor": (0.0, 1.0), "pool": (1, 100_000)}
         got = {}
         for f in fields(cls):
             try:
                 x = type(f.default)(section[f.name])
             except (KeyError, TypeError, ValueError):
                 continue
-            low, high = bounds.get(f.name, (0.0, float("inf")))
+            low, high = BOUNDS.get(f.name, (0.0, float("inf")))
             got[f.name] = min(max(x, low), high)
         return cls(**got)
 
 
+def tuned(name: str) -> Column:
+    """The setting of this name that a text column of that name gives: clamped, and the default where it cannot be read."""
+    default = next(f.default for f in fields(Tuning) if f.name == name)
+    low, high = BOUNDS.get(name, (0.0, float("inf")))
+    whole = isinstance(default, int)
+    read = F.when(F.rlike(name, F.lit(r"^\s*[-+]?\d+\s*$")), F.expr(f"try_cast({name} AS bigint)")) if whole else F.expr(f"try_cast({name} AS double)")
+    return F.when(read.isNull(), F.lit(default)).otherwise(F.least(F.greatest(read, F.lit(low)), F.lit(high))).cast("bigint" if whole else "double")
+
+
 #: Queries of one call of the exact search, and of one pass over the vectors; distances that a task holds at once.
 MOST_QUERIES, QUERY_BLOCK, HELD = 65_536, 4096, 2_000_000
 

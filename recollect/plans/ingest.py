@@ -15,12 +15,22 @@ from recollect.streaming import ingest as S
 from .registry import register
 
 
-@register("a2_open_session", "SELECT 'UTC' AS zone, 23 AS version")
+#: Foreign keys of the store: table, column, and what they point to.
+FOREIGN = [("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("labels", "doc_id", "documents", "doc_id")]
+
+
+@register("a2_open_session", " UNION ALL ".join(f"SELECT '{t}.{c}' AS foreign_key, count(*) AS rows, count(*) FILTER (NOT EXISTS (SELECT 1 FROM {u} p WHERE p.{k} = {t}.{c}) AND {c} IS NOT NULL) AS orphans FROM {t}" for t, c, u, k in FOREIGN))
 def a2(spark: SparkSession, d: str) -> DataFrame:
-    from recollect.sources.session import SCHEMA_VERSION, SETTINGS, check_schema_version
+    """Opens the store: the version must fit, and each foreign key is checked for rows that point to nothing."""
+    from recollect.sources.session import SCHEMA_VERSION, check_schema_version
 
     check_schema_version(SCHEMA_VERSION)
-    return spark.createDataFrame([(SETTINGS["spark.sql.session.timeZone"], SCHEMA_VERSION)], "zone string, version int")
+    out = None
+    for t, c, u, k in FOREIGN:
+        j = load(spark, d, t).select(F.col(c).alias("_c")).join(load(spark, d, u).select(F.col(k).alias("_k")).distinct(), F.col("_c") == F.col("_k"), "left")
+        one = j.agg(F.lit(f"{t}.{c}").alias("foreign_key"), F.count("*").alias("rows"), F.count_if(F.col("_k").isNull() & F.col("_c").isNotNull()).alias("orphans"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def transcript_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -92,19 +102,29 @@ def a5(spark: SparkSession, d: str) -> DataFrame:
     return T.rollout_identity(e.select(path.alias("path"), (F.col("timestamp") * 100_000 + F.col("id")).alias("at"), value.alias("v")), "path", "at", "v")
 
 
-@register("a6_recovered_cwd", with_roles("visits", "SELECT id, CASE WHEN id % 2 = 0 THEN '/home/my-app' ELSE '/home/my/app' END AS cwd FROM visits"))
+@register("a6_recovered_cwd", with_roles("ev", "SELECT id, CASE WHEN git_repo IS NOT NULL THEN '/home/my-' || source_kind || '/src' ELSE '/home/my/' || replace(source_kind, '-', '/') || '/src' END AS cwd FROM ev"))
 def a6(spark: SparkSession, d: str) -> DataFrame:
-    paths = F.when(F.col("id") % 2 == 0, F.array(F.lit("/tmp/x"), F.lit("/home/my-app/src/a.rs"))).otherwise(F.array(F.lit("/tmp/x")))
-    return role(spark, d, "visits").select("id", T.recovered_cwd(F.lit("home-my-app"), paths).alias("cwd"))
+    """Sessions with a repository name a file in it, whose folder tells which signs of the slug are of names."""
+    e = role(spark, d, "ev")
+    cwd = F.concat(F.lit("/home/my-"), "source_kind", F.lit("/src"))
+    other = F.concat(F.lit("/tmp/"), "command")
+    paths = F.when(F.col("git_repo").isNotNull(), F.array(other, F.concat(cwd, F.lit("/"), "git_repo", F.lit("/a.rs")))).otherwise(F.array(other))
+    return e.select("id", T.recovered_cwd(F.translate(F.substring(cwd, 2, 1000), "/", "-"), paths).alias("cwd"))
+
+
+_A7 = """WITH m AS (SELECT o_orderkey AS message_id, o_custkey AS session_id, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 7 END AS tokens FROM orders),
+    p AS (SELECT DISTINCT m.session_id, l_orderkey AS message_id, l_linenumber AS n, CASE l_linenumber % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'tool' ELSE 'step-finish' END AS kind, l_returnflag AS body, m.tokens FROM lineitem JOIN m ON m.message_id = l_orderkey)
+    SELECT p.session_id, string_agg(body, chr(10) ORDER BY p.message_id, n, body) FILTER (kind = 'text') AS texts, sum(CASE WHEN kind = 'step-finish' AND coalesce(p.tokens, 0) = 0 THEN 3 ELSE 0 END)::BIGINT + max(t.s)::BIGINT AS tokens FROM p LEFT JOIN (SELECT session_id, sum(coalesce(tokens, 0)) AS s FROM m GROUP BY 1) t ON t.session_id = p.session_id GROUP BY p.session_id"""
 
 
-@register("a7_session_context", "WITH p AS (SELECT DISTINCT l_orderkey % 300 AS session_id, l_orderkey AS message_id, l_linenumber AS n, CASE l_linenumber % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'tool' ELSE 'step-finish' END AS kind, 'b' || CAST(l_orderkey % 4 AS VARCHAR) AS body FROM lineitem), m AS (SELECT o_orderkey AS message_id, o_orderkey % 300 AS session_id, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 7 END AS tokens FROM orders) SELECT p.session_id, string_agg(body, chr(10) ORDER BY p.message_id, n) FILTER (kind = 'text') AS texts, sum(CASE WHEN kind = 'step-finish' AND coalesce(m.tokens, 0) = 0 THEN 3 ELSE 0 END)::BIGINT + max(t.s)::BIGINT AS tokens FROM p LEFT JOIN m ON m.message_id = p.message_id LEFT JOIN (SELECT session_id, sum(coalesce(tokens, 0)) AS s FROM m GROUP BY 1) t ON t.session_id = p.session_id GROUP BY p.session_id")
+@register("a7_session_context", _A7)
 def a7(spark: SparkSession, d: str) -> DataFrame:
-    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    """A customer's orders as the messages of a session, their lines as parts."""
+    k, n, o = F.col("l_orderkey"), F.col("l_linenumber"), F.col("o_orderkey")
     kind = F.when(n % 3 == 0, "text").when(n % 3 == 1, "tool").otherwise("step-finish")
-    p = load(spark, d, "lineitem").select((k % 300).alias("session_id"), k.alias("message_id"), k.alias("time"), n.alias("part_id"), kind.alias("kind"), F.concat(F.lit("b"), (k % 4).cast("string")).alias("body"), F.lit(3).cast("bigint").alias("tokens")).distinct()
-    o = F.col("o_orderkey")
-    m = load(spark, d, "orders").select(o.alias("message_id"), (o % 300).alias("session_id"), F.when(o % 5 > 0, o % 7).alias("tokens"))
+    m = load(spark, d, "orders").select(o.alias("message_id"), F.col("o_custkey").alias("session_id"), F.when(o % 5 > 0, o % 7).alias("tokens"))
+    p = load(spark, d, "lineitem").select(k.alias("message_id"), k.alias("time"), n.alias("part_id"), kind.alias("kind"), F.col("l_returnflag").alias("body"), F.lit(3).cast("bigint").alias("tokens")).distinct()
+    p = p.join(m.select("message_id", "session_id"), "message_id")
     return T.session_context(p, m).select("session_id", F.nullif("texts", F.lit("")).alias("texts"), "tokens")
 
 
@@ -143,20 +163,21 @@ def a13(spark: SparkSession, d: str) -> DataFrame:
     return K.chat_triples(n, o, "id")
 
 
-@register("a15_file_integrity", with_roles("nodes", "SELECT uuid AS name, CASE WHEN id % 10 = 0 THEN 'missing' WHEN id % 10 = 1 THEN 'changed' ELSE 'ok' END AS status FROM nodes"))
+@register("a15_file_integrity", with_roles("nodes", r"SELECT uuid AS name, CASE WHEN regexp_matches(content, '^\s*$') THEN 'missing' WHEN trim(regexp_replace(content, '\s+', ' ', 'g')) <> content THEN 'changed' ELSE 'ok' END AS status FROM nodes WHERE content IS NOT NULL"))
 def a15(spark: SparkSession, d: str) -> DataFrame:
-    n = role(spark, d, "nodes")
+    """Files of a store that keeps words alone: texts with other white space than single spaces come back changed, those without a word are missing."""
+    n = role(spark, d, "nodes").filter("content IS NOT NULL")
     manifest = n.select(F.col("uuid").alias("name"), F.sha2(F.col("content").cast("binary"), 256).alias("sha256"))
-    files = n.filter("id % 10 <> 0").select(F.col("uuid").alias("name"), F.when(F.col("id") % 10 == 1, F.concat("content", F.lit("x"))).otherwise(F.col("content")).cast("binary").alias("content"))
+    files = n.filter(~F.rlike("content", F.lit(r"^\s*$"))).select(F.col("uuid").alias("name"), F.trim(F.regexp_replace("content", r"\s+", " ")).cast("binary").alias("content"))
     return K.verify_files(files, manifest)
 
 
-@register("a16_result_ingest", "SELECT event_id % 500 AS item, arg_max(CAST(json_extract_string(props, '$.k') AS BIGINT), event_id) AS k FROM events WHERE event_id % 7 <> 0 GROUP BY 1")
+@register("a16_result_ingest", "SELECT user_id AS item, event_type AS kind, arg_max(CAST(json_extract_string(props, '$.k') AS BIGINT), event_id) AS k FROM events WHERE event_id % 7 <> 0 GROUP BY 1, 2")
 def a16(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "events")
-    i = F.col("event_id")
-    line = F.when(i % 7 == 0, F.lit('{"item":')).otherwise(F.to_json(F.struct((i % 500).alias("item"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))))
-    return K.ingest_results(e.select("event_id", line.alias("line")), "line", "item bigint, k bigint", ["item"], "event_id")
+    whole = F.to_json(F.struct(F.col("user_id").alias("item"), F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").cast("bigint").alias("k")))
+    line = F.when(F.col("event_id") % 7 == 0, F.substring(whole, 1, 8)).otherwise(whole)
+    return K.ingest_results(e.select("event_id", line.alias("line")), "line", "item bigint, kind string, k bigint", ["item", "kind"], "event_id")
 
 
 @register("a17_dashboard_export", with_roles("ev_user", """SELECT source_kind, '{"n":' || CAST(count(*) AS VARCHAR) || ',"last":' || CAST(max(timestamp) AS VARCHAR) || '}' AS json FROM ev_user GROUP BY 1"""))

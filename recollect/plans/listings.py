@@ -35,10 +35,10 @@ def b3(spark: SparkSession, d: str) -> DataFrame:
     return role(spark, d, "entities").filter(P.starts_with_column("small ring of gold", F.col("name"))).select("id", "name")
 
 
-@register("b4_like_escape", r"SELECT table_name FROM (VALUES ('knowledge_node_events'), ('knowledgeXnodeXevents'), ('entities')) t(table_name) WHERE table_name LIKE 'knowledge\_node\_%' ESCAPE '\'")
+@register("b4_like_escape", with_roles("memdocs", r"SELECT id, source_path FROM memdocs WHERE source_path LIKE 'memory/feedback\_%' ESCAPE '\' OR source_path LIKE '%\_1_.md' ESCAPE '\'"))
 def b4(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.createDataFrame([("knowledge_node_events",), ("knowledgeXnodeXevents",), ("entities",)], "table_name string")
-    return t.filter(F.col("table_name").like(r"knowledge\_node\_%"))
+    p = F.col("source_path")
+    return role(spark, d, "memdocs").filter(p.like(r"memory/feedback\_%") | p.like(r"%\_1_.md")).select("id", "source_path")
 
 
 @register("b5_relative_since", with_roles("ev_user", f"SELECT id, timestamp FROM ev_user WHERE timestamp >= {1_706_600_000_000 - 72 * 3600000}"))

@@ -135,12 +135,20 @@ def h14(spark: SparkSession, d: str) -> DataFrame:
 _REPLY = "outcome string, summary string, entities map<string, array<string>>"
 
 
-@register("h15_enrichment_schema", with_roles("ev", "SELECT id, CASE WHEN id % 5 = 0 THEN 'invalid json' WHEN id % 5 = 1 THEN 'bad outcome' WHEN id % 5 = 2 THEN 'empty summary' ELSE 'ok' END AS verdict, CASE WHEN id % 5 >= 3 THEN 2 ELSE 0 END AS files FROM ev"))
+# replies as a model gives them: stored texts put between quotes as they are, so a line end or a quote in one breaks the reply
+_REPLIES = """r AS (SELECT n.id, n.source, '{"outcome": "' || coalesce(o.outcome, n.source) || '", "summary": "' || substring(n.content, 1, 80) || '", "entities": {"files": ' || to_json(list_filter(string_split(substring(n.content, 1, 200), ' '), lambda w: contains(w, '.'))) || '}}' AS reply FROM nodes n LEFT JOIN outcomes o ON o.node_id = n.id WHERE n.content IS NOT NULL),
+    v AS (SELECT *, CASE WHEN NOT json_valid(reply) THEN 'invalid json' WHEN json_extract_string(CASE WHEN json_valid(reply) THEN reply ELSE '{}' END, '$.outcome') NOT IN ('success', 'partial', 'failure', 'unknown') THEN 'bad outcome' WHEN trim(json_extract_string(CASE WHEN json_valid(reply) THEN reply ELSE '{}' END, '$.summary')) = '' THEN 'empty summary' ELSE 'ok' END AS verdict FROM r)"""
+
+
+@register("h15_enrichment_schema", with_roles("nodes outcomes", f"WITH {_REPLIES} SELECT id, verdict, CASE WHEN verdict = 'ok' THEN CAST(json_array_length(reply, '$.entities.files') AS INTEGER) ELSE 0 END AS files FROM v"))
 def h15(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("id")
-    outcome, summary = F.when(n % 5 == 1, "great").otherwise("success"), F.when(n % 5 == 2, " ").otherwise("did it")
-    made = F.concat(F.lit('{"outcome": "'), outcome, F.lit('", "summary": "'), summary, F.lit('", "entities": {"files": ["a.rs", "b.rs"]}}'))
-    return validate_enrichment(role(spark, d, "ev").select("id", F.when(n % 5 == 0, F.substring(made, 1, 20)).otherwise(made).alias("reply")), "reply").select("id", "verdict", "files")
+    return validate_enrichment(replies(spark, d), "reply").select("id", "verdict", "files")
+
+
+def replies(spark: SparkSession, d: str) -> DataFrame:
+    n = role(spark, d, "nodes").filter("content IS NOT NULL").join(role(spark, d, "outcomes").select(F.col("node_id").alias("id"), "outcome"), "id", "left")
+    files = F.filter(F.split(F.substring("content", 1, 200), " "), lambda w: F.contains(w, F.lit(".")))
+    return n.select("id", "source", F.concat(F.lit('{"outcome": "'), F.coalesce("outcome", "source"), F.lit('", "summary": "'), F.substring("content", 1, 80), F.lit('", "entities": {"files": '), F.to_json(files), F.lit("}}")).alias("reply"))
 
 
 def validate_enrichment(df: DataFrame, reply: str) -> DataFrame:
@@ -151,10 +159,9 @@ def validate_enrichment(df: DataFrame, reply: str) -> DataFrame:
     return out.withColumn("verdict", verdict).withColumn("files", F.when(F.col("verdict") == "ok", F.size(F.coalesce(F.col("_j.entities")["files"], F.array().cast("array<string>")))).otherwise(0)).drop("_j")
 
 
-@register("h16_schema_validity_rate", with_roles("ev", "SELECT source_kind AS source, round(avg(CAST(id % 5 >= 3 AS INTEGER)), 6) AS valid FROM ev GROUP BY source_kind"))
+@register("h16_schema_validity_rate", with_roles("nodes outcomes", f"WITH {_REPLIES} SELECT source, round(avg(CAST(verdict = 'ok' AS INTEGER)), 6) AS valid FROM v GROUP BY source"))
 def h16(spark: SparkSession, d: str) -> DataFrame:
-    v = h15(spark, d).join(role(spark, d, "ev").select("id", "source_kind"), "id")
-    return v.groupBy(F.col("source_kind").alias("source")).agg(F.round(F.avg((F.col("verdict") == "ok").cast("int")), 6).alias("valid"))
+    return validate_enrichment(replies(spark, d), "reply").groupBy("source").agg(F.round(F.avg((F.col("verdict") == "ok").cast("int")), 6).alias("valid"))
 
 
 @register("h17_output_pathologies", with_roles("turns", "SELECT conv_id, turn, regexp_matches(x, '(?i)\\bI''?m sorry\\b|\\bas an AI\\b') AS refusal, length(trim(text)) < 4 AS is_trivial FROM (SELECT *, CASE WHEN turn % 3 = 0 THEN 'I''m SORRY, ' || text ELSE text END AS x FROM turns)"))
@@ -186,16 +193,28 @@ def h21(spark: SparkSession, d: str) -> DataFrame:
     return role(spark, d, "nodes").select("id", F.round(V.recency(F.col("created_at"), 1_710_000_000_000, 90, 0.6), 9).alias("multiplier"))
 
 
-@register("h22_source_kind", with_roles("ev", "SELECT id, CASE id % 4 WHEN 0 THEN 'shell' WHEN 1 THEN 'browser' WHEN 2 THEN 'agentic' END AS kind FROM ev"))
+#: Identifiers of all kinds of evidence, and texts that are none.
+_REFS = [("ev", "'shell-'", "id"), ("visits", "'browser-'", "id"), ("turns", "'claude-'", "conv_id"), ("runs", "'workflow-'", "id"), ("memdocs", "'memory-'", "id"), ("turns", "'opencode-'", "turn"), ("ev", "command", None), ("visits", "url", None)]
+_REFS_SQL = "refs AS (" + " UNION ".join(f"SELECT {head}{f' || CAST({i} AS VARCHAR)' if i else ''} AS ref FROM {r}" for r, head, i in _REFS) + ")"
+_REF_ROLES = "ev visits turns runs memdocs"
+
+
+def refs(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for name, head, i in _REFS:
+        one = role(spark, d, name).select(F.concat(F.expr(head), F.col(i).cast("string")).alias("ref") if i else F.col(head).alias("ref"))
+        out = one if out is None else out.unionByName(one)
+    return out.distinct()
+
+
+@register("h22_source_kind", with_roles(_REF_ROLES, f"WITH {_REFS_SQL} SELECT ref, CASE split_part(ref, '-', 1) WHEN 'shell' THEN 'shell' WHEN 'browser' THEN 'browser' WHEN 'workflow' THEN 'workflow' WHEN 'claude' THEN 'agentic' WHEN 'opencode' THEN 'agentic' WHEN 'memory' THEN 'memory' END AS kind FROM refs WHERE ref IS NOT NULL"))
 def h22(spark: SparkSession, d: str) -> DataFrame:
-    ref = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("shell-", "browser-", "claude-", "other-")]), (F.col("id") % 4 + 1).cast("int")), F.col("id").cast("string"))
-    return role(spark, d, "ev").select("id", T.source_kind_of(ref).alias("kind"))
+    return refs(spark, d).filter("ref IS NOT NULL").select("ref", T.source_kind_of(F.col("ref")).alias("kind"))
 
 
-@register("h23_parse_ref", with_roles("ev", "SELECT id, CASE WHEN id % 2 = 0 THEN 'shell' END AS kind, CASE WHEN id % 2 = 0 THEN id END AS ref_id FROM ev"))
+@register("h23_parse_ref", with_roles(_REF_ROLES, f"WITH {_REFS_SQL} SELECT ref, CASE WHEN ok THEN split_part(ref, '-', 1) END AS kind, CASE WHEN ok THEN CAST(split_part(ref, '-', 2) AS BIGINT) END AS ref_id FROM (SELECT ref, regexp_full_match(ref, '(shell|agentic|browser|workflow|memory)-[0-9]+') AS ok FROM refs WHERE ref IS NOT NULL)"))
 def h23(spark: SparkSession, d: str) -> DataFrame:
-    ref = F.concat(F.when(F.col("id") % 2 == 0, "shell-").otherwise("shell:"), F.col("id").cast("string"))
-    return role(spark, d, "ev").select("id", T.parse_ref(ref).alias("r")).select("id", "r.kind", F.col("r.id").alias("ref_id"))
+    return refs(spark, d).filter("ref IS NOT NULL").select("ref", T.parse_ref(F.col("ref")).alias("r")).select("ref", "r.kind", F.col("r.id").alias("ref_id"))
 
 
 def evidence_packets(events: DataFrame, visits: DataFrame) -> DataFrame:
@@ -235,10 +254,17 @@ def h30(spark: SparkSession, d: str) -> DataFrame:
     return x.select("id", "words", F.size("t").cast("bigint").alias("windows"), F.element_at("t", 2).alias("second"))
 
 
-@register("h31_markdown_links", with_roles("nodes", "SELECT id, unnest(['a', 'b c']) AS label, unnest(['x' || CAST(id AS VARCHAR) || '.md', 'https://e.org/']) AS target FROM nodes"))
+_H31 = """WITH t AS (SELECT page_id AS id, regexp_replace(html, '<a href="([^"]*)">([^<]*)</a>', '[\\2](\\1)', 'g') AS md FROM pages)
+    SELECT id, unnest(regexp_extract_all(md, '\\[([^\\]]*)\\]\\(([^)]+)\\)', 1)) AS label, unnest(regexp_extract_all(md, '\\[([^\\]]*)\\]\\(([^)]+)\\)', 2)) AS target FROM t"""
+
+
+@register("h31_markdown_links", _H31)
 def h31(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("see [a](x"), F.col("id").cast("string"), F.lit(".md) and [b c](https://e.org/) [no] (link)"))
-    return role(spark, d, "nodes").select("id", F.explode(T.markdown_links(text)).alias("l")).select("id", "l.label", "l.target")
+    """Stored pages, their anchors written the Markdown way."""
+    from recollect.sources.catalog import load
+
+    md = F.regexp_replace("html", '<a href="([^"]*)">([^<]*)</a>', "[$2]($1)")
+    return load(spark, d, "pages").select(F.col("page_id").alias("id"), F.explode(T.markdown_links(md)).alias("l")).select("id", "l.label", "l.target")
 
 
 def resolve_links(links: DataFrame, docs: DataFrame) -> DataFrame:
@@ -316,11 +342,15 @@ def context_block():
     return F.concat_ws("\n", F.concat(F.lit("## "), "uuid"), F.concat(F.lit("Type: "), "node_type"), F.concat(F.lit("Outcome: "), "outcome"), F.substring("embed_text", 1, 120))
 
 
-@register("h39_tool_call_summary", with_roles("ev", "SELECT id, CASE source_kind WHEN 'click' THEN 'Read: /f' || CAST(id AS VARCHAR) WHEN 'view' THEN 'Bash: ls ' || CAST(id AS VARCHAR) ELSE source_kind END AS summary FROM ev"))
+_H39 = """WITH c AS (SELECT 'Bash' AS name, command AS arg FROM ev UNION SELECT 'Read', url FROM visits UNION SELECT 'Grep', text FROM turns UNION SELECT canonical, name FROM entities) SELECT CASE WHEN arg IS NULL THEN name ELSE name || ': ' || substring(arg, 1, 200) END AS summary, count(*) AS calls FROM c GROUP BY 1"""
+
+
+@register("h39_tool_call_summary", with_roles("ev visits turns entities", _H39))
 def h39(spark: SparkSession, d: str) -> DataFrame:
-    name = F.when(F.col("source_kind") == "click", "Read").when(F.col("source_kind") == "view", "Bash").otherwise(F.col("source_kind"))
-    body = F.to_json(F.struct(name.alias("name"), F.struct(F.when(name == "Read", F.concat(F.lit("/f"), F.col("id").cast("string"))).alias("file_path"), F.when(name == "Bash", F.concat(F.lit("ls "), F.col("id").cast("string"))).alias("command")).alias("input")))
-    return role(spark, d, "ev").select("id", tool_summary(body).alias("summary"))
+    """Calls whose arguments are stored texts, as JSON; how many distinct calls each line stands for."""
+    call = lambda r, name, key, value: role(spark, d, r).select(F.to_json(F.struct(name.alias("name"), F.struct(F.col(value).alias(key)).alias("input"))).alias("call"))
+    calls = call("ev", F.lit("Bash"), "command", "command").unionByName(call("visits", F.lit("Read"), "file_path", "url")).unionByName(call("turns", F.lit("Grep"), "pattern", "text")).unionByName(call("entities", F.col("canonical"), "description", "name"))
+    return calls.distinct().groupBy(tool_summary(F.col("call")).alias("summary")).agg(F.count("*").alias("calls"))
 
 
 def tool_summary(call_json):
@@ -335,10 +365,19 @@ def h40(spark: SparkSession, d: str) -> DataFrame:
     return role(spark, d, "ev").select("id", F.concat(F.lit("user "), F.col("session_id").cast("string"), F.lit(" @ "), "cwd").alias("actor"), F.concat(F.col("duration_ms").cast("string"), F.lit("ms")).alias("detail"))
 
 
-@register("h41_iso_parse", with_roles("ev", "SELECT id, CASE WHEN id % 3 = 0 THEN 0 ELSE (timestamp // 1000) * 1000 END AS ms FROM ev"))
+_H41 = """WITH s AS (SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || CASE WHEN user_id % 2 = 0 THEN 'Z' ELSE '+00:00' END AS s FROM events UNION SELECT event_type FROM events UNION SELECT url FROM pages UNION SELECT substring(text, 1, 24) FROM conversations)
+    SELECT s AS text, coalesce(epoch_ms(try_strptime(replace(s, '+00:00', 'Z'), '%Y-%m-%dT%H:%M:%S.%gZ')), 0) AS ms FROM s WHERE s IS NOT NULL"""
+
+
+@register("h41_iso_parse", _H41)
 def h41(spark: SparkSession, d: str) -> DataFrame:
-    iso = F.concat(F.date_format(F.to_utc_timestamp(F.timestamp_seconds(F.floor(F.col("timestamp") / 1000)), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
-    return role(spark, d, "ev").select("id", T.iso_ms(F.when(F.col("id") % 3 == 0, "bad").otherwise(iso)).alias("ms"))
+    """Times of stored events, written both ways, among texts that are none."""
+    from recollect.sources.catalog import load
+
+    e = load(spark, d, "events")
+    iso = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.when(F.col("user_id") % 2 == 0, "Z").otherwise("+00:00"))
+    texts = e.select(iso.alias("text")).unionByName(e.select(F.col("event_type").alias("text"))).unionByName(load(spark, d, "pages").select(F.col("url").alias("text"))).unionByName(load(spark, d, "conversations").select(F.substring("text", 1, 24).alias("text")))
+    return texts.distinct().filter("text IS NOT NULL").select("text", T.iso_ms(F.col("text")).alias("ms"))
 
 
 @register("h42_retry_state", with_roles("queue", "SELECT id, CASE WHEN retry_count + 1 >= max_retries THEN 'failed' ELSE 'pending' END AS state FROM queue"))
@@ -351,11 +390,12 @@ def h43(spark: SparkSession, d: str) -> DataFrame:
     return role(spark, d, "visits").select("id", P.domain_allowed(F.col("domain"), ["Example.COM"]).alias("allowed"))
 
 
-@register("h44_search_query", with_roles("visits", "SELECT id, CASE id % 4 WHEN 0 THEN 'a b' || CAST(id AS VARCHAR) WHEN 2 THEN 'x' END AS query FROM visits"))
+@register("h44_search_query", with_roles("visits", "SELECT id, CASE WHEN NOT contains(url, '?') AND length(domain) % 4 > 0 THEN nullif(trim(title), '') END AS query FROM visits"))
 def h44(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("id")
-    ref = F.when(n % 4 == 0, F.concat(F.lit("https://www.google.com/search?hl=en&q=a+b"), n.cast("string"))).when(n % 4 == 1, "https://github.com/org?q=no").when(n % 4 == 2, "https://github.com/search?q=%20x%20").otherwise("https://e.org/?q=no")
-    return role(spark, d, "visits").select("id", T.search_query(ref).alias("query"))
+    """Referrers: stored addresses that have a query of their own, and result pages that were asked for a stored title."""
+    engines = F.array(*[F.lit(x) for x in ("https://github.com/org?q=", "https://www.google.com/search?hl=en&q=", "https://duckduckgo.com/?q=", "https://github.com/search?q=")])
+    made = F.concat(F.element_at(engines, F.length("domain") % 4 + 1), F.url_encode("title"))
+    return role(spark, d, "visits").select("id", T.search_query(F.when(F.contains("url", F.lit("?")), F.col("url")).otherwise(made)).alias("query"))
 
 
 @register("h45_page_text", r"SELECT page_id AS id, least(length(t), 51200) AS n, substring(t, 1, 51200) AS body FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script\s*>', ' ', 'gis'), '<style\b.*?</style\s*>', ' ', 'gis'), '<nav\b.*?</nav\s*>', ' ', 'gis'), '<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM pages) q")

@@ -218,10 +218,16 @@ def i13(spark: SparkSession, d: str) -> DataFrame:
     return confident(spark, d).groupBy("level").agg(F.count("*").alias("n"))
 
 
-@register("i14_tuning", "SELECT 1.0::DOUBLE AS mmr_lambda, 0.6::DOUBLE AS recency_floor, 5::BIGINT AS pool")
+_I14 = "SELECT c_custkey AS id, CASE WHEN TRY_CAST(a AS DOUBLE) IS NULL THEN 0.7 ELSE least(greatest(TRY_CAST(a AS DOUBLE), 0), 1) END AS mmr_lambda, CASE WHEN TRY_CAST(b AS DOUBLE) IS NULL THEN 0.6 ELSE least(greatest(TRY_CAST(b AS DOUBLE), 0), 1) END AS recency_floor, CASE WHEN NOT regexp_full_match(c, '[-+]?[0-9]+') THEN 3000 ELSE least(greatest(CAST(c AS BIGINT), 1), 100000) END AS pool FROM (SELECT c_custkey, CAST(c_acctbal / 1000 AS VARCHAR) AS a, CASE WHEN c_nationkey % 2 = 0 THEN c_name ELSE '0.' || CAST(c_nationkey AS VARCHAR) END AS b, CASE WHEN c_nationkey % 3 = 0 THEN c_mktsegment ELSE CAST(c_custkey * 40 - 400 AS VARCHAR) END AS c FROM customer)"
+
+
+@register("i14_tuning", _I14)
 def i14(spark: SparkSession, d: str) -> DataFrame:
-    t = R.Tuning.of({"mmr_lambda": "7", "recency_floor": None, "pool": "5"})
-    return spark.createDataFrame([(t.mmr_lambda, t.recency_floor, t.pool)], "mmr_lambda double, recency_floor double, pool bigint")
+    """Stored values as configurations; what cannot be read leaves the default."""
+    c = load(spark, d, "customer")
+    n = F.col("c_nationkey")
+    read = c.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 1000).cast("string").alias("mmr_lambda"), F.when(n % 2 == 0, F.col("c_name")).otherwise(F.concat(F.lit("0."), n.cast("string"))).alias("recency_floor"), F.when(n % 3 == 0, F.col("c_mktsegment")).otherwise((F.col("c_custkey") * 40 - 400).cast("string")).alias("pool"))
+    return read.select("id", *[R.tuned(name).alias(name) for name in ("mmr_lambda", "recency_floor", "pool")])
 
 
 @register("i15_agent_decisions", with_roles(_ROLES, f"{_FUSED} SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM top) WHERE r <= 30 AND id % 3 = 0) WHERE k <= 10"))

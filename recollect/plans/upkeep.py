@@ -34,17 +34,19 @@ def j3(spark: SparkSession, d: str) -> DataFrame:
     return M.survivors(role(spark, d, "entities"), "id", ["type", F.regexp_replace("canonical", "#", " ")], ["first_seen"])
 
 
-@register("j4_identical_content", with_roles("nodes", "SELECT a.id, min(b.id) AS existing FROM nodes a JOIN nodes b ON md5(a.content) = md5(b.content) AND b.id < 300 AND a.id >= 300 GROUP BY a.id"))
+@register("j4_identical_content", with_roles("nodes", "SELECT id, existing FROM (SELECT id, min(id) OVER (PARTITION BY content) AS existing FROM nodes WHERE content IS NOT NULL) WHERE id > existing"))
 def j4(spark: SparkSession, d: str) -> DataFrame:
-    n = role(spark, d, "nodes").select("id", F.sha2(F.col("content").cast("binary"), 256).alias("h"))
-    known = n.filter("id < 300").groupBy("h").agg(F.min("id").alias("existing"))
-    return n.filter("id >= 300").join(known, "h").select("id", "existing")
+    """Nodes whose content an earlier node has already: a link to that one stands for an insert."""
+    n = role(spark, d, "nodes").filter("content IS NOT NULL").select("id", F.sha2(F.col("content").cast("binary"), 256).alias("h"))
+    known = n.groupBy("h").agg(F.min("id").alias("existing"))
+    return n.join(known, "h").filter("id > existing").select("id", "existing")
 
 
-@register("j5_replace_prior", with_roles("nodes node_visits", "SELECT id AS node_id FROM nodes WHERE id NOT IN (SELECT node_id FROM node_visits GROUP BY node_id HAVING bool_and(visit_id < 100))"))
+@register("j5_replace_prior", with_roles("nodes node_visits visits", "SELECT id AS node_id FROM nodes WHERE id NOT IN (SELECT node_id FROM node_visits l JOIN visits v ON v.id = l.visit_id GROUP BY node_id HAVING bool_and(v.dwell_ms < 2500))"))
 def j5(spark: SparkSession, d: str) -> DataFrame:
-    l = role(spark, d, "node_visits")
-    return M.replace_prior(role(spark, d, "nodes").select(F.col("id").alias("node_id")), l, l.filter("visit_id < 100").select("visit_id"), "node_id", "visit_id")
+    """The given visits are those of a short stay; nodes linked to no others are replaced."""
+    given = role(spark, d, "visits").filter("dwell_ms < 2500").select(F.col("id").alias("visit_id"))
+    return M.replace_prior(role(spark, d, "nodes").select(F.col("id").alias("node_id")), role(spark, d, "node_visits"), given, "node_id", "visit_id")
 
 
 @register("j6_segment_upsert", with_roles("turns", "SELECT conv_id, arg_min(md5(text), turn) AS identity, arg_max(md5(text), turn) AS content, arg_max(timestamp, turn) AS end_time FROM turns GROUP BY conv_id"))
@@ -276,15 +278,27 @@ def k23(spark: SparkSession, d: str) -> DataFrame:
     return e.select("last_real", (age <= 600_000).alias("active"), (age >= 86_400_000).alias("backstop"))
 
 
-@register("k22_paused_claims", with_roles("queue", f"SELECT false AS paused, count(*) AS claimed FROM (SELECT id FROM queue WHERE source = 'shell' AND ({_CLAIM}) LIMIT 50) UNION ALL SELECT true, 0"))
-def k22(spark: SparkSession, d: str) -> DataFrame:
-    c = k1(spark, d).select("id")
-    parts = [paused(c, p).agg(F.count("*").alias("claimed")).select(F.lit(p).alias("paused"), "claimed") for p in (False, True)]
-    return parts[0].unionByName(parts[1])
+#: A pause holds for so long after it was last asked for.
+PAUSE_MS = 1_800_000
+_PAUSES = "p AS (SELECT CASE source WHEN 'AUTOMOBILE' THEN 'shell' WHEN 'BUILDING' THEN 'agentic' WHEN 'FURNITURE' THEN 'browser' WHEN 'MACHINERY' THEN 'workflow' ELSE 'memory' END AS source, max(raised_at) AS asked FROM alarms GROUP BY 1), t AS (SELECT max(raised_at) + 1200000 AS now FROM alarms)"
 
 
-def paused(claims: DataFrame, pause: bool) -> DataFrame:
-    return claims.filter(F.lit(not pause))
+@register("k22_paused_claims", with_roles("queue alarms", f"WITH {_PAUSES} SELECT q.source, coalesce(t.now - p.asked < {PAUSE_MS}, false) AS paused, count(*) FILTER (NOT coalesce(t.now - p.asked < {PAUSE_MS}, false)) AS claimable FROM queue q CROSS JOIN t LEFT JOIN p ON p.source = q.source WHERE q.status = 'pending' GROUP BY 1, 2"))
+def k22(spark: SparkSession, d: str) -> DataFrame:
+    """Pauses as stored rows: the last alarm of each source asks for one. Now is twenty minutes after the last of all."""
+    a = role(spark, d, "alarms")
+    s = F.col("source")
+    of = F.when(s == "AUTOMOBILE", "shell").when(s == "BUILDING", "agentic").when(s == "FURNITURE", "browser").when(s == "MACHINERY", "workflow").otherwise("memory")
+    pauses = a.groupBy(of.alias("source")).agg(F.max("raised_at").alias("asked"))
+    now = a.agg((F.max("raised_at") + 1_200_000).alias("now"))
+    waiting = with_pauses(role(spark, d, "queue").filter("status = 'pending'").crossJoin(F.broadcast(now)), pauses)  # one row
+    return waiting.groupBy("source", "paused").agg(F.count_if(~F.col("paused")).alias("claimable"))
+
+
+def with_pauses(claims: DataFrame, pauses: DataFrame) -> DataFrame:
+    """Adds `paused`: the source's pause (source, asked) is younger than PAUSE_MS at the row's `now`. Pauses run out by themselves, so one that was never lifted blocks nothing for good."""
+    j = claims.join(F.broadcast(pauses), "source", "left")  # a row for each source
+    return j.withColumn("paused", F.coalesce(F.col("now") - F.col("asked") < PAUSE_MS, F.lit(False))).drop("asked")
 
 
 @register("k24_health_update", with_roles("ev", "SELECT source_kind AS source, max(timestamp) AS last_event_ts, count(*) AS events, 0 AS consecutive_failures FROM ev GROUP BY source_kind"))
