@@ -7,7 +7,7 @@ share of a text's n-grams, corrected for the filter's false positives, decides.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,8 +20,6 @@ from .common import as_bytes, bound_batches, fold_of, slices, tidy
 N = 4
 #: Labelled documents that each language's n-grams are learnt from, about: rows are taken by a hash of the id.
 SAMPLE = 3000
-#: Languages that are told apart at most: those with most labelled rows, the first names of equals.
-LANGUAGES = 256
 #: An n-gram enters a language's filter if it makes up this share of the language's n-grams, and this part of its largest share in any language.
 LEAST_SHARE, LEAST_PART = 2e-6, 0.25
 SLOT_BITS, HASHES = 20, 2
@@ -69,21 +67,30 @@ class LanguageFilter:
     false_rate: np.ndarray  # of each language
 
     @classmethod
-    def build(cls, grams: dict[str, np.ndarray]) -> LanguageFilter:
-        names = sorted(grams)
+    def of_bits(cls, bits: Iterable[tuple[str, np.ndarray]], names: list[str]) -> LanguageFilter:
+        """From pairs of a language and slots that its n-grams have; a language may come several times. The masks are as wide as there are names."""
+        place = {name: i for i, name in enumerate(names)}
         table = np.zeros((1 << SLOT_BITS, max(1, -(-len(names) // 64))), np.uint64)
-        for i, name in enumerate(names):
-            for k in range(HASHES):
-                table[_slots(grams[name], k), i // 64] |= np.uint64(1 << (i % 64))
+        for name, slots in bits:
+            table[slots, place[name] // 64] |= np.uint64(1 << (place[name] % 64))
         fill = np.array([((table[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(names))])
         return cls(names, table, fill**HASHES)
 
+    @classmethod
+    def build(cls, grams: dict[str, np.ndarray]) -> LanguageFilter:
+        return cls.of_bits(((name, _slots(codes, k)) for name, codes in grams.items() for k in range(HASHES)), sorted(grams))
+
     def counts(self, code: np.ndarray) -> np.ndarray:
         """How many of the n-grams each language's filter holds."""
         mask = self.table[_slots(code, 0)]
         for k in range(1, HASHES):
             mask = mask & self.table[_slots(code, k)]
-        return np.array([np.count_nonzero(mask[:, i // 64] & np.uint64(1 << (i % 64))) for i in range(len(self.languages))], float)
+        if len(self.languages) <= 32:
+            return np.array([np.count_nonzero(mask[:, i // 64] & np.uint64(1 << (i % 64))) for i in range(len(self.languages))], float)
+        total = np.zeros(64 * mask.shape[1])
+        for at in range(0, len(mask), 4096):
+            total += np.unpackbits(mask[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8 * mask.shape[1]), axis=1, bitorder="little").sum(axis=0)
+        return total[: len(self.languages)]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language with the largest corrected count and its part of all; `und` without a letter. Ties go to the first name, also where no language holds any n-gram: then each has the same part."""
@@ -98,17 +105,16 @@ class LanguageFilter:
 
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> LanguageFilter:
-    """Learn from rows with text and language; of each language about `sample` rows, by a hash of the id.
+    """Learn from rows with text and language; of each language about `sample` rows, by a hash of the id, all if it has fewer.
 
-    What comes to the driver is bounded: at most 1 / LEAST_SHARE n-grams of each of LANGUAGES languages.
+    All languages are learnt, and the masks are as wide as there are. An n-gram that a language has once counts like any other: what enters a filter is decided by its
+    share of the language's text alone. Tables with a row for each language are broadcast, as the filter is, which has as many. The filters' bits are set on
+    the executors, and come to the driver as bitmaps of a fixed size for each language.
     """
     rows = train.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter("t IS NOT NULL AND l IS NOT NULL")
-    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
-    if not sizes:
-        return LanguageFilter.build({})
-    rows = rows.filter(F.col("l").isin(*sizes))
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))]), F.col("l"))
-    taken = rows.filter(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share * (1 << 20)).select("l", "t")
+    sizes = rows.groupBy("l").agg(F.count("*").alias("rows"))
+    share = F.least(F.lit(1.0), sample / F.col("rows"))
+    taken = rows.join(F.broadcast(sizes), "l").filter(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share * (1 << 20)).select("l", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -121,21 +127,31 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code.view(np.int64)), pa.array(n.astype(np.int64))], ["l", "g", "n"])
 
     grams = taken.mapInArrow(tidy(run), "l string, g bigint, n bigint").groupBy("l", "g").agg(F.sum("n").alias("n"))
-    by_gram = grams.filter("n > 1").groupBy("g").agg(F.collect_list(F.struct("l", "n")).alias("all"))  # as many entries as languages
-    total = {r.l: r.n for r in taken.groupBy("l").agg(F.sum(F.length("t")).alias("n")).collect()}
-    size = F.create_map(*[F.lit(x) for k, n in total.items() for x in (k, float(max(n or 1, 1)))])
-    parts = by_gram.select("g", F.transform("all", lambda x: F.struct(x["l"].alias("l"), (x["n"] / F.element_at(size, x["l"])).alias("p"))).alias("all"))
-    parts = parts.select("g", F.explode("all").alias("x"), F.array_max(F.transform("all", lambda x: x["p"])).alias("top"))
-    kept = parts.filter((F.col("x.p") >= LEAST_SHARE) & (F.col("x.p") >= LEAST_PART * F.col("top"))).select("x.l", "g")
-    found: dict[str, list[int]] = {k: [] for k in sizes}
-    for r in kept.toLocalIterator():
-        found[r.l].append(r.g)
-    return LanguageFilter.build({k: np.array(v, np.int64).view(np.uint64) for k, v in found.items()})
+    length = taken.groupBy("l").agg(F.greatest(F.sum(F.length("t")), F.lit(1)).alias("length"))
+    parts = grams.join(F.broadcast(length), "l").select("g", "l", (F.col("n") / F.col("length")).alias("p")).filter(F.col("p") >= LEAST_SHARE)
+    kept = parts.join(parts.groupBy("g").agg(F.max("p").alias("top")), "g").filter(F.col("p") >= LEAST_PART * F.col("top")).select("l", "g")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = batch.column(1).to_numpy().view(np.uint64)
+            for k in range(HASHES):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_slots(code, k).astype(np.int64))], ["l", "slot"])
+
+    slots = kept.mapInArrow(placed, "l string, slot bigint").withColumn("slot", F.col("slot") + 1)  # buckets count from one
+    bitmaps = slots.groupBy("l", F.expr("bitmap_bucket_number(slot)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
+    names = sorted(r.l for r in sizes.select("l").collect())
+
+    def bits() -> Iterator[tuple[str, np.ndarray]]:
+        for r in bitmaps.toLocalIterator():
+            own = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
+            yield r.l, np.flatnonzero(own) + (r.n - 1) * len(own)
+
+    return LanguageFilter.of_bits(bits(), names)
 
 
 def identify(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score (the language's part of all corrected counts) of every row. A null or letterless text is `und` with score 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by SLOT_BITS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by SLOT_BITS and the number of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -266,6 +266,19 @@ def test_language_id(docs, odd):
     assert {r.lang_pred for r in langid.identify(odd[0], langid.fit(odd[0])).collect()} == {"und"}
 
 
+def test_every_language_is_learnt(spark):
+    """300 languages of a few texts each, and one of a single text beside a large one."""
+    rng = np.random.default_rng(4)
+    words = {f"l{k:03}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(12)] for k in range(300)}
+    rows = [(i, " ".join(rng.choice(words[name], 30)), name) for i, name in enumerate(sorted(words) * 3)]
+    rows += [(10_000, "zuba lomi kerit wanxo fupelg", "zz"), (10_001, None, "none"), (10_002, "12 34", "digits")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.languages == sorted({*words, "zz", "digits"}) and model.table.shape[1] == 5
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, model).collect()}
+    assert all(got[i] == name for i, _, name in rows if i < 10_001) and got[10_001] == got[10_002] == "und"
+
+
 def test_bloom_counts_include_every_learnt_gram():
     grams = {name: np.unique(langid._grams(text)) for name, text in (("a", "the quick brown fox"), ("b", "der schnelle braune fuchs"))}
     model = langid.LanguageFilter.build(grams)
