@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,6 +32,8 @@ PRECISION = 0.8
 CHANCE = 0.01
 #: Lengths of word beginnings that may stand for all words with them.
 STEMS = (4, 5, 6)
+#: Letters of the longest word that a lexicon takes.
+LONGEST = 64
 THRESHOLD = 0.7
 #: Tokens whose readings a task remembers, about; that only saves work.
 REMEMBERED = 100_000
@@ -147,30 +149,33 @@ class Model:
         return words
 
     def known_by(self, word: str) -> list[str]:
-        """The entries of the lexicon that a word meets: itself, and beginnings, which end in a star."""
-        return [f for f in forms(word) if f in self.lexicon]
+        """The entries of the lexicon that a word meets: itself, beginnings, which end in a star, and those that need a second word, which end in two."""
+        mine = forms(word)
+        return [f for f in [*mine, *(f + "*" for f in mine[1:])] if f in self.lexicon]
 
-    def score(self, text: str | None, known: dict[str, tuple[str, ...]] | None = None) -> float:
+    def score(self, text: str | None, known: dict[str, tuple[tuple[str, str], ...]] | None = None) -> float:
         hits = self.hits(text or "", {} if known is None else known)
         miss = 1 - self.leak
         for w in hits:
             miss *= 1 - self.lexicon[w]
         return min(1.0, max(0.0, 1 - miss))
 
-    def hits(self, text: str, known: dict[str, tuple[str, ...]]) -> set[str]:
+    def hits(self, text: str, known: dict[str, tuple[tuple[str, str], ...]]) -> set[str]:
         low = text.lower()
-        found: set[str] = set()
+        found: dict[str, set[str]] = {}
         for token in set(low.split()):
             got = known.get(token)
             if got is None:
-                got = tuple({f for w in self.words_of(token) for f in self.known_by(w)})
+                got = tuple({(f, w) for w in self.words_of(token) for f in self.known_by(w)})
                 if len(token) <= 40:
                     known[token] = got
-            if got:
-                found.update(got)
+            for f, w in got:
+                found.setdefault(f, set()).add(w)
         for m in _SPACED.finditer(low):
-            found.update(f for w in self.decode(m[0]).split() for f in self.known_by(w))
-        return found
+            for w in self.decode(m[0]).split():
+                for f in self.known_by(w):
+                    found.setdefault(f, set()).add(w)
+        return {f for f, words in found.items() if len(words) > 1 or f[-2:] != "**"}
 
 
 def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -201,6 +206,12 @@ def forms(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in STEMS if len(word) > n)]
 
 
+def doubled(words: set[str]) -> list[str]:
+    """The beginnings that two or more of the words share, which end in two stars."""
+    count = Counter(f for w in words for f in forms(w)[1:])
+    return [f + "*" for f, n in count.items() if n > 1]
+
+
 def significant(bad: int, good: int, rate: float, words: int) -> bool:
     """Whether a word is toxic more often than `rate` explains, by the Chernoff bound, among so many words."""
     n = bad + good
@@ -211,14 +222,17 @@ def significant(bad: int, good: int, rate: float, words: int) -> bool:
     return n * gain >= math.log(max(words, 1) / CHANCE)
 
 
-def learn_lexicon(rows: list[list[str]], bad: dict[str, int], good: dict[str, int], rate: float, words: int, support: int = SUPPORT, precision: float = PRECISION) -> dict[str, float]:
+def learn_lexicon(rows: list[list[str]], bad: dict[str, int], good: dict[str, int], rate: float, words: int, kin: dict[str, int] | None = None, support: int = SUPPORT, precision: float = PRECISION) -> dict[str, float]:
     """Entries with the probability that they make a text toxic, from the forms in each toxic text.
 
-    bad and good count families of texts, so copies and near copies count little. Significant words join at once. Then the form in most
+    bad and good count families of texts, so copies and near copies count little. Significant words join at once: among all words, or, with a beginning that is
+    itself significant, among the words that share it (kin: how many do). Then the form in most
     texts not yet explained joins, and explains them, so what merely stands beside other words stays out. Ties go to the shorter, then the first.
     """
     fit = {w for w in bad if bad[w] >= precision * (bad[w] + good.get(w, 0))}
-    sure = {w for w in fit if w[-1] != "*" and significant(bad[w], good.get(w, 0), rate, words)}
+    kin = kin or {}
+    among = lambda w: min([words, *(kin[f] for f in forms(w)[1:] if f in kin)])
+    sure = {w for w in fit if w[-1] != "*" and significant(bad[w], good.get(w, 0), rate, among(w))}
     holders: dict[str, set[int]] = defaultdict(set)
     for i, ws in enumerate(rows):
         if not sure.intersection(ws):
@@ -257,23 +271,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     seen.clear()
                 words = [model.restored(x.decode("utf-8", "replace"), seen) for x in as_bytes(batch.column(1))]
                 family = [min((zlib.crc32(w.encode()) for w in ws), default=0) for ws in words]
-                shown = [sorted({f for w in ws for f in forms(w)}) for ws in words]
+                shown = [sorted({f for w in ws for f in forms(w)}.union(doubled(ws))) for ws in words]
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(family, pa.int64()), pa.array(shown, pa.list_(pa.string()))], ["y", "f", "w"])
 
     bags = texts.mapInArrow(tidy(run), "y bigint, f bigint, w array<string>").persist()
     families = bags.select("y", "f", F.explode("w").alias("w")).distinct()  # near copies mostly share their word of least hash
+    families = families.filter(F.length("w") <= LONGEST)
     counts = families.groupBy("w").agg(F.count_if(F.col("y") == 1).alias("bad"), F.count_if(F.col("y") == 0).alias("good")).filter("bad > 0").persist()
     words = counts.filter(~F.col("w").endswith("*")).count()
     n = bags.groupBy("y").agg(F.count_distinct("f").alias("n")).collect()
     toxic, clean = (sum(r.n for r in n if r.y == y) for y in (1, 0))
     likely = counts.filter((F.col("bad") >= SUPPORT) & (F.col("bad") >= PRECISION * (F.col("bad") + F.col("good"))))
-    kept = likely.collect()  # bounded by the sample
+    kept = likely.collect()  # bounded by the sample, and in bytes by LONGEST
+    rate = max(toxic, 1) / max(toxic + clean, 1)
+    starts = counts.filter(F.col("w").endswith("*") & ~F.col("w").endswith("**"))
+    begun = F.array(*[F.when(F.length("w") > n, F.concat(F.substring("w", 1, n), F.lit("*"))) for n in STEMS])
+    shared = counts.filter(~F.col("w").endswith("*")).select(F.explode(F.array_compact(begun)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    number = starts.count()
+    kin = {r.w: r.n for r in starts.filter(F.col("bad") >= SUPPORT).join(shared, "w").collect() if significant(r.bad, r.good, rate, number)}
     bad, good = {r.w: r.bad for r in kept}, {r.w: r.good for r in kept}
     known_forms = docs.sparkSession.createDataFrame([(w,) for w in bad], "w string")
     numbered = bags.filter("y = 1").withColumn("i", F.monotonically_increasing_id())
     mine = numbered.select("i", F.explode("w").alias("w")).join(F.broadcast(known_forms), "w", "left_semi")  # bounded by the sample
     rows = [r.w for r in mine.groupBy("i").agg(F.collect_list("w").alias("w")).collect()]
-    model = Model(model.counts, learn_lexicon(rows, bad, good, max(toxic, 1) / max(toxic + clean, 1), words))
+    model = Model(model.counts, learn_lexicon(rows, bad, good, rate, words, kin))
     inside = F.size(F.array_intersect("w", F.array(*[F.lit(w) for w in model.lexicon]).cast("array<string>"))) > 0
     rest = bags.filter(~inside).agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("bad")).first()
     model.leak = min(0.5, (rest.bad + 0.5) / (rest.n + 1))
@@ -292,7 +313,7 @@ def score_rows(docs: DataFrame, model: Model, text_col: str = "text", keep: list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        known: dict[str, tuple[str, ...]] = {}
+        known: dict[str, tuple[tuple[str, str], ...]] = {}
         for whole in batches:
             for batch in slices(whole, at, 1 << 20):
                 if len(known) > REMEMBERED:

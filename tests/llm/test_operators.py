@@ -313,6 +313,21 @@ def test_filter_agrees_with_exact_sets(docs):
 # toxicity
 
 
+def test_toxicity_held_out(spark):
+    """What is still missed are labelled rows without any such word."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = load(spark, sf, "documents"), load(spark, sf, "labels")
+    rows = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").filter("held_out").groupBy("toxic", "predicted").count().collect()
+    n = {(r.toxic, r.predicted): r["count"] for r in rows}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.01 * n[0, 0]
+
+
+def test_two_words_of_a_beginning_count_where_one_does_not():
+    model = toxicity.Model(np.ones((27, 27, 27)), {"grum**": 0.9, "foul": 0.8})
+    assert model.hits("a grumble and grumbles", {}) == {"grum**"} and model.hits("grumble Grumble", {}) == set() == model.hits("grum grumble", {})
+    assert model.hits("grumpy foul grumm", {}) == {"grum**", "foul"} and sorted(toxicity.doubled({"grumble", "grumpy", "grum"})) == ["grum**"]
+
+
 def readings(model, token):
     """Every reading of a token that the channel allows, with its cost."""
     if not token:
