@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Rounds, as_bytes, bound_batches, materialize, short_shuffles, slices, tidy
 
@@ -23,6 +24,8 @@ SEED = 42
 WORDS = 3
 #: Distinct fingerprints that share a whole segment beyond which their pairs are not enumerated, but found by equality of keys with two bits deleted.
 CROWD = 256
+#: Steps in which a crowd's two-bit keys are compared, so that few of them lie on disk at once.
+PARTS = 8
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))  # fixed values of XXH64
 _LONG = 255
@@ -147,9 +150,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _stars(keyed: DataFrame) -> DataFrame:
-    """Of fingerprints with a key in common, all within two bits by the key's making, links of each to the smallest."""
-    least = keyed.groupBy("k").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").select("k", "a")
-    return keyed.join(least, "k").filter("fp <> a").select("a", F.col("fp").alias("b"))
+    """Of fingerprints with a key in common, links of each to the smallest. A key leaves two bits open, so four share it at most, and one shuffle brings them together. The links are stored, for the rows behind them are many."""
+    least = F.min("fp").over(Window.partitionBy("k"))
+    return materialize(keyed.select("fp", least.alias("a")).filter("fp <> a").select("a", F.col("fp").alias("b")).distinct())
 
 
 def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -182,8 +185,9 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
         other = f"IF(seg >= 4294967296L, {low}, {high})"
         two = crowded.selectExpr("fp", "seg", f"{other} AS o", "explode(sequence(0, 30)) AS p").selectExpr("fp", "seg", "o", "p", "explode(sequence(p + 1, 31)) AS q")
         found = found.unionByName(_stars(two.selectExpr("fp", "struct(seg, p, q, o & ~shiftleft(1L, p) & ~shiftleft(1L, q) AS o) AS k")))
-        hot = posted.filter("hot").selectExpr("fp", "b", "k AS s", f"IF(b < 32, {high}, {low}) AS o", "explode(sequence(0, 31)) AS q")
-        found = found.unionByName(_stars(hot.selectExpr("fp", "struct(s, q, o & ~shiftleft(1L, q) AS o) AS k")))
+        for part in range(PARTS):  # a key has its first bit in it, so keys of different bits never meet
+            hot = posted.filter(f"hot AND b % {PARTS} = {part}").selectExpr("fp", "b", "k AS s", f"IF(b < 32, {high}, {low}) AS o", "explode(sequence(0, 31)) AS q")
+            found = found.unionByName(_stars(hot.selectExpr("fp", "struct(s, q, o & ~shiftleft(1L, q) AS o) AS k")))
     return found.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
 
 
