@@ -5,8 +5,8 @@ it changes each term's document frequency; rows of `gone` end documents of earli
 of its own size, a manifest names the segments that hold, and a merge makes one of all.
 
 A block is the postings of one term in one range of documents (about BLOCK of like length), with bounds on their
-impact. So a term of most documents is many blocks, in as many tasks. A search for the best k sums the bounds by range, scores the
-most promising ranges, and reads only the blocks of ranges whose bound reaches the k-th score found there.
+impact. So a term of most documents is many blocks, in as many tasks. A search for the best k sums the bounds by range and scores the
+most promising ranges; the k-th score found there is a floor for ranges, for terms that propose documents, and for the documents proposed.
 
 Queries come as a table of match strings: quoted phrases joined by OR, each of which counts on its own.
 """
@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions.analysis import ANALYSERS
-from recollect.sources.store import checkpointed, new_path, stored
+from recollect.sources.store import new_path, stored
 
 K1, B = 1.2, 0.75
 #: The weight of terms that half of the documents or more hold.
 LEAST_IDF = 1e-6
 #: Documents of a range, about, and ranges of a query that are scored first.
-BLOCK, FIRST = 256, 2
+BLOCK, FIRST = 128, 4
+#: How many times the ranges must outnumber the documents asked for, before bounds are looked at; with fewer, all hits are scored.
+SPARSE = 4
 _SEGMENT = 1 << 40
 
 
@@ -176,7 +178,7 @@ class TextIndex:
         held = self.documents().select("id", F.col("digest").alias("_d"))
         now = docs.withColumn("id", F.col(doc_id).cast("bigint")).select("id", *self.fields, self._digest())
         changed = stored(now.join(held, "id", "left").filter(F.col("_d").isNull() | (F.col("_d") != F.col("digest"))).select("id", *self.fields), "changed")
-        deleted = checkpointed(held.join(now.select("id"), "id", "left_anti").select("id"))
+        deleted = stored(held.join(now.select("id"), "id", "left_anti").select("id"), "deleted")
         counts = changed.count(), deleted.count()
         if any(counts):
             self.apply(changed, deleted)
@@ -208,14 +210,14 @@ class TextIndex:
         Its rarest term proposes where it begins; every other term then has to stand in its place there, so no hot term's postings are all read.
         """
         long = units.filter(F.size("terms") > 1).select("key", "terms").distinct()
-        terms = checkpointed(long.select("key", F.size("terms").alias("length"), F.posexplode("terms").alias("offset", "term")).join(dfs, "term"))
+        terms = long.select("key", F.size("terms").alias("length"), F.posexplode("terms").alias("offset", "term")).join(dfs, "term")
         whole = terms.groupBy("key", "length").agg(F.count("*").alias("known"), F.min_by(F.struct("term", "offset"), F.struct("df", "offset")).alias("rare")).filter("known = length")
         rare = whole.select("key", "length", F.col("rare.term").alias("term"), F.col("rare.offset").alias("offset"))
         blocks = self._blocks(s).select("term", "range", "posts", "places")
         opened = lambda d, *keep: d.select(*keep, "range", F.explode(F.arrays_zip("posts", "places")).alias("x")).select(*keep, "range", F.col("x.posts.id").alias("id"), F.col("x.posts.dl").alias("dl"), F.col("x.places").alias("places"))
         begin = opened(blocks.join(rare, "term"), "key", "length", "offset")
         begin = begin.select("key", "length", "offset", "range", "id", "dl", F.posexplode("places").alias("field", "p")).select("key", "length", "offset", "range", "id", "dl", "field", F.explode("p").alias("place")).withColumn("start", F.col("place") - F.col("offset")).drop("place")
-        begin = checkpointed(self._live(begin.filter("start >= 0"), s, F.expr(f"range div {_SEGMENT}")))
+        begin = stored(self._live(begin.filter("start >= 0"), s, F.expr(f"range div {_SEGMENT}")), "begins")
         tokens = terms.select("key", "term", F.col("offset").alias("at"))
         asked = begin.join(tokens, "key").filter("at <> offset").select("key", "length", "range", "id", "dl", "field", "start", "term", "at")
         near = blocks.join(asked.select("term", "range").distinct(), ["term", "range"], "left_semi")
@@ -223,7 +225,7 @@ class TextIndex:
         good = asked.join(held, (asked.term == held.term) & (F.col("id") == F.col("_id")) & (F.col("range") == F.col("_range"))).filter(F.array_contains(F.get("_places", F.col("field")), F.col("start") + F.col("at")))
         found = good.groupBy("key", "length", "range", "id", "dl", "field", "start").agg(F.count("*").alias("n")).filter("n = length - 1")
         weight = F.element_at(F.array(*map(F.lit, weights)), F.col("field") + 1)
-        return checkpointed(found.groupBy("key", "range", "id", "dl").agg(F.sum(weight).alias("tf")))
+        return stored(found.groupBy("key", "range", "id", "dl").agg(F.sum(weight).alias("tf")), "phrases")
 
     def _ready(self, queries: DataFrame, weights: list[float] | None, query_id: str, match: str) -> tuple[State, DataFrame, DataFrame, list[float]]:
         """The state, single terms (query_id, term, idf) and phrase hits (query_id, range, id, part)."""
@@ -232,53 +234,80 @@ class TextIndex:
         idf = lambda df: F.greatest(F.log((s.documents - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
         units = self._units(queries, query_id, match)
         wanted = units.select(F.explode("terms").alias("term")).distinct()
-        dfs = checkpointed(self._table("dfs", s.segments, "term string, df bigint").join(wanted, "term").groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0"))
+        dfs = stored(self._table("dfs", s.segments, "term string, df bigint").join(wanted, "term").groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0"), "frequencies")
         single = units.filter(F.size("terms") == 1).select("query_id", F.col("key").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")).join(dfs, "term")
-        single = checkpointed(single.select("query_id", "term", (F.col("times") * idf(F.col("df"))).alias("idf")))
+        single = single.select("query_id", "term", (F.col("times") * idf(F.col("df"))).alias("idf"))
         hits = self._phrases(s, units, dfs, weights)
         held = hits.groupBy("key").agg(F.count("*").alias("df"))
         asked = units.filter(F.size("terms") > 1).groupBy("query_id", "key").agg(F.count("*").alias("times"))
         phrase = hits.join(held, "key").join(asked, "key").select("query_id", "range", "id", (F.col("times") * idf(F.col("df")) * gain(F.col("tf"), F.col("dl"), average)).alias("part"))
         return s, single, phrase, weights
 
-    def _scored(self, s: State, single: DataFrame, phrase: DataFrame, weights: list[float], picked: DataFrame | None) -> DataFrame:
-        """query_id, id and score of the documents in the picked ranges (query_id, range), or in all."""
-        average = s.tokens / s.documents if s.documents else 1.0
+    def _parts(self, s: State, single: DataFrame, phrase: DataFrame, weights: list[float], picked: DataFrame | None) -> DataFrame:
+        """query_id, range, id and score of the documents in the picked ranges (query_id, range), or in all, by these terms and phrases."""
         blocks = self._blocks(s).select("term", "range", "posts")
         if picked is None:
             rows = single.join(blocks, "term")
         else:
             rows = single.join(picked, "query_id").join(blocks, ["term", "range"])
             phrase = phrase.join(picked, ["query_id", "range"], "left_semi")
-        rows = rows.select("query_id", "idf", "range", F.explode("posts").alias("p")).select("query_id", "range", F.col("p.id").alias("id"), (F.col("idf") * gain(_weighed("p.tf", weights), F.col("p.dl"), average)).alias("part"))
+        rows = rows.select("query_id", "idf", "range", F.explode("posts").alias("p")).select("query_id", "range", F.col("p.id").alias("id"), self._part(s, weights, F.col("idf")).alias("part"))
         rows = self._live(rows, s, F.expr(f"range div {_SEGMENT}"))
-        return rows.select("query_id", "id", "part").unionByName(phrase.select("query_id", "id", "part")).groupBy("query_id", "id").agg(F.sum("part").alias("bm25"))
+        return rows.unionByName(phrase.select("query_id", "range", "id", "part")).groupBy("query_id", "range", "id").agg(F.sum("part").alias("part"))
+
+    def _part(self, s: State, weights: list[float], idf: Column) -> Column:
+        return idf * gain(_weighed("p.tf", weights), F.col("p.dl"), s.tokens / s.documents if s.documents else 1.0)
+
+    def _candidates(self, s: State, single: DataFrame, phrase: DataFrame, weights: list[float], k: int) -> tuple[DataFrame, DataFrame]:
+        """Documents that can be among a query's k best, with their score so far, and the terms (query_id, term, idf) that it lacks.
 
-    def _picked(self, s: State, single: DataFrame, phrase: DataFrame, weights: list[float], k: int) -> DataFrame:
-        """query_id, range of the ranges that can hold one of a query's k best documents."""
+        The k-th score in the most promising ranges is a floor. A range whose bounds sum to less is left out. The terms of least bounds that together stay
+        below the floor bring nobody in, so only the others propose; and of those proposed, documents that the rest cannot lift to the floor go.
+        """
         average = s.tokens / s.documents if s.documents else 1.0
         bound = F.col("idf") * gain(_weighed("most", weights), F.col("least_dl"), average)
-        bounds = self._blocks(s).select("term", "range", "most", "least_dl").join(single, "term").select("query_id", "range", bound.alias("b"))
-        bounds = bounds.unionByName(phrase.groupBy("query_id", "range", "id").agg(F.sum("part").alias("b")).groupBy("query_id", "range").agg(F.max("b").alias("b")))
-        bounds = checkpointed(bounds.groupBy("query_id", "range").agg(F.sum("b").alias("b")))
-        first = bounds.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("b"), "range"))).filter(F.col("r") <= FIRST).select("query_id", "range")
-        best = self._scored(s, single, phrase, weights, first).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25"), "id"))).filter(F.col("r") <= k)
-        least = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("bm25")).otherwise(0.0).alias("least"))
-        return bounds.join(least, "query_id", "left").filter(F.col("b") >= F.coalesce("least", F.lit(0.0)) - 1e-7).select("query_id", "range")
+        bounds = stored(self._blocks(s).select("term", "range", "most", "least_dl").join(single, "term").select("query_id", "term", "idf", "range", bound.alias("b")), "bounds")
+        spoken = phrase.groupBy("query_id", "range", "id").agg(F.sum("part").alias("b")).groupBy("query_id", "range").agg(F.max("b").alias("b"))
+        ranges = bounds.select("query_id", "range", "b").unionByName(spoken).groupBy("query_id", "range").agg(F.sum("b").alias("b"))
+        first = ranges.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("b"), "range"))).filter(F.col("r") <= FIRST).select("query_id", "range")
+        best = self._parts(s, single, phrase, weights, first).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("part"), "id"))).filter(F.col("r") <= k)
+        floor = stored(best.groupBy("query_id").agg((F.when(F.count("*") >= k, F.min("part")).otherwise(0.0) - 1e-7).alias("floor")), "floors")
+        terms = bounds.groupBy("query_id", "term", "idf").agg(F.max("b").alias("b")).join(floor, "query_id")  # a query's own terms
+        upto = F.sum("b").over(Window.partitionBy("query_id").orderBy("b", "term").rowsBetween(Window.unboundedPreceding, 0))
+        terms = stored(terms.withColumn("upto", upto).select("query_id", "term", "idf", "upto", (F.col("upto") >= F.col("floor")).alias("proposes")), "terms")
+        picked = ranges.join(floor, "query_id").filter(F.col("b") >= F.col("floor")).select("query_id", "range")
+        found = self._parts(s, terms.filter("proposes").select("query_id", "term", "idf"), phrase, weights, picked)
+        lacking = terms.filter("NOT proposes")
+        most = lacking.groupBy("query_id").agg(F.max("upto").alias("rest"))
+        found = found.join(floor, "query_id").join(most, "query_id", "left").filter(F.col("part") + F.coalesce("rest", F.lit(0.0)) >= F.col("floor"))
+        return stored(found.select("query_id", "range", "id", "part"), "candidates"), lacking.select("query_id", "term", "idf")
+
+    def _opened(self, s: State, found: DataFrame, lacking: DataFrame) -> DataFrame:
+        """The blocks that the candidates need yet: query_id, idf, n, posts, and the candidates' ids (of one range)."""
+        ids = found.groupBy("query_id", "range").agg(F.collect_list("id").alias("ids"))  # documents of a range at most
+        return lacking.join(ids, "query_id").join(self._blocks(s).select("term", "range", "n", "posts"), ["term", "range"])
 
     def search(self, queries: DataFrame, k: int | None = None, weights: list[float] | None = None, query_id: str = "query_id", match: str = "match") -> DataFrame:
         """query_id, id, bm25 (larger is better) of documents that hold any phrase of a query: all of them, or at least each query's k best with their ties. A query of no terms has no rows."""
         s, single, phrase, weights = self._ready(queries, weights, query_id, match)
-        found = self._scored(s, single, phrase, weights, None if k is None else self._picked(s, single, phrase, weights, k))
+        if k is None or s.documents <= SPARSE * k * BLOCK:  # the best may well be in every range
+            parts = self._parts(s, single, phrase, weights, None)
+        else:
+            found, lacking = self._candidates(s, single, phrase, weights, k)
+            more = self._opened(s, found, lacking).select("query_id", "range", "idf", "ids", F.explode("posts").alias("p")).filter(F.array_contains("ids", F.col("p.id")))
+            parts = found.unionByName(more.select("query_id", "range", F.col("p.id").alias("id"), self._part(s, weights, F.col("idf")).alias("part")))
+        found = parts.groupBy("query_id", "id").agg(F.sum("part").alias("bm25"))
         return found.withColumnRenamed("query_id", query_id)
 
     def share_read(self, queries: DataFrame, k: int, query_id: str = "query_id", match: str = "match") -> float:
-        """The part of the queries' postings that a search for the best k reads to score."""
+        """The part of the queries' postings that stand in blocks which a search for the best k opens, those of the first ranges left aside."""
         s, single, phrase, weights = self._ready(queries, None, query_id, match)
-        sizes = self._blocks(s).select("term", "range", "n").join(single, "term")
-        picked = self._picked(s, single, phrase, weights, k).withColumn("in", F.lit(1))
-        r = sizes.join(picked, ["query_id", "range"], "left").agg(F.sum(F.when(F.col("in") == 1, F.col("n")).otherwise(0)), F.sum("n")).first()
-        return (r[0] or 0) / (r[1] or 1)
+        blocks = self._blocks(s).select("term", "range", "n")
+        whole = blocks.join(single, "term").agg(F.sum("n")).first()[0] or 1
+        found, lacking = self._candidates(s, single, phrase, weights, k)
+        later = self._opened(s, found, lacking).agg(F.sum("n")).first()[0] or 0
+        proposing = single.join(lacking, ["query_id", "term"], "left_anti").join(blocks, "term").agg(F.sum("n")).first()[0] or 0
+        return (later + proposing) / whole
 
 
 def _weighed(tf: str, weights: list[float]) -> Column:
