@@ -32,6 +32,8 @@ LEAST_IDF = 1e-6
 BLOCK, FIRST = 128, 4
 #: How many times the ranges must outnumber the documents asked for, before bounds are looked at; with fewer, all hits are scored.
 SPARSE = 4
+#: Documents that a task turns into postings at once.
+ROWS = 256
 _SEGMENT = 1 << 40
 
 
@@ -120,7 +122,7 @@ class TextIndex:
         run, count = ANALYSERS[self.analyser], len(self.fields)
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
                 rows: list[tuple] = []
                 for texts in zip(*(batch.column(2 + f).to_pylist() for f in range(count)), strict=True):
                     held: dict[str, list[list[int]]] = {}
