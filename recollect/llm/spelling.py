@@ -4,6 +4,9 @@ A symmetric-delete join: every word posts itself and its distinct single deletio
 edit apart share a post. A post is a 64-bit hash of the shorter string, made for all places of a word from running
 sums, so that a word of any length posts a few bytes a place; equal hashes propose and the strings decide. A post is
 shared by as many words at most as its places and the alphabet allow, whatever the corpus holds.
+
+Words, posts and pairs grow with the corpus while their files stay small, so every join is a sort-merge join by hint: by
+file sizes Spark would gather and broadcast them, many times as large, through the driver.
 """
 
 from __future__ import annotations
@@ -80,12 +83,16 @@ def _posted(table: DataFrame) -> DataFrame:
     return table.select("id", "word").mapInArrow(run, "key bigint, id bigint")
 
 
+def _merged(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def near_words(table: DataFrame) -> DataFrame:
     """id, other: both directions of all pairs of words (id, word) exactly one edit apart."""
     posted = _posted(table)
-    pairs = posted.select("key", F.col("id").alias("a")).join(posted.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b").distinct()
+    pairs = _merged(posted.select("key", F.col("id").alias("a")), posted.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b").distinct()
     x, y = table.select(F.col("id").alias("a"), F.col("word").alias("x")), table.select(F.col("id").alias("b"), F.col("word").alias("y"))
-    near = materialize(pairs.join(x, "a").join(y, "b").filter(F.levenshtein("x", "y", 1) == 1).select("a", "b"))
+    near = materialize(_merged(_merged(pairs, x, "a"), y, "b").filter(F.levenshtein("x", "y", 1) == 1).select("a", "b"))
     return near.selectExpr("a AS id", "b AS other").unionByName(near.selectExpr("b AS id", "a AS other"))
 
 
@@ -94,7 +101,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = materialize(forms.select("id", F.coalesce("form", "id").alias("root")))
     while True:
         onward = now.filter("id <> root").select(F.col("id").alias("root"), F.col("root").alias("next"))  # only words that go on themselves
-        after = materialize(now.join(onward, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        after = materialize(_merged(now, onward, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         now = after.select("id", "root")
         if after.filter("moved").isEmpty():
             return now
@@ -108,9 +115,9 @@ def group_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     table = stage_table(words(docs, id_col, text_col, length, least).withColumn("id", F.monotonically_increasing_id()))
     other = table.select(F.col("id").alias("other"), F.struct((-F.col("n")).alias("m"), "word", F.col("id").alias("id")).alias("o"))
-    best = near_words(table).join(other, "other").groupBy("id").agg(F.count("*").alias("n_near"), F.min("o").alias("o"))
-    told = table.join(best, "id", "left").select("id", "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(-F.col("o.m") >= ratio * F.col("n"), F.col("o")).alias("o"))
+    best = _merged(near_words(table), other, "other").groupBy("id").agg(F.count("*").alias("n_near"), F.min("o").alias("o"))
+    told = _merged(table, best, "id", "left").select("id", "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(-F.col("o.m") >= ratio * F.col("n"), F.col("o")).alias("o"))
     told = stage_table(told.select("id", "word", "n", "n_near", F.col("o.word").alias("form"), F.col("o.id").alias("form_id"), (-F.col("o.m")).alias("form_n")))
     ends = roots(told.select("id", F.col("form_id").alias("form")))
-    tops = ends.filter("id <> root").join(told.select(F.col("id").alias("root"), F.col("word").alias("top")), "root").select("id", "top")
-    return told.join(tops, "id", "left").select("word", "form", F.coalesce("top", "word").alias("root"), "n", "n_near", "form_n")
+    tops = _merged(ends.filter("id <> root"), told.select(F.col("id").alias("root"), F.col("word").alias("top")), "root").select("id", "top")
+    return _merged(told, tops, "id", "left").select("word", "form", F.coalesce("top", "word").alias("root"), "n", "n_near", "form_n")

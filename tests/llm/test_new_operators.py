@@ -231,6 +231,14 @@ def test_spelling_variants(spark, sf):
     assert spelling.group_variants(docs.limit(0)).count() == 0
 
 
+def test_spelling_broadcasts_nothing(spark, sf, monkeypatch):
+    plans = []
+    for name in ("materialize", "stage_table"):
+        monkeypatch.setattr(spelling, name, lambda df, real=getattr(spelling, name): (plans.append(df), real(df))[1])
+    plans.append(queries.op13_spelling_variants(spark, sf))
+    assert len(plans) > 4 and not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in plans)
+
+
 def test_spelling_sql(spark, sf):
     with duckdb.connect() as con:
         con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
