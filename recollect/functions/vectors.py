@@ -30,9 +30,10 @@ def fit(a: Column, dim: int) -> Column:
     return F.slice(F.concat(a, F.array_repeat(F.lit(0.0).cast("float"), dim)), 1, dim)
 
 
-def recency(created_ms: Column, now_ms: int, half_life_days: float, floor: float) -> Column:
-    """floor + (1 - floor) * 0.5 ** (age / half life); a half life of 0 or a missing time leaves 1, and times to come have age 0."""
+def recency(created_ms: Column, now_ms: int, half_life_days: float, floor: float, ahead: bool = False) -> Column:
+    """floor + (1 - floor) * 0.5 ** (age / half life); a half life of 0 or a missing time leaves 1, and times to come have age 0, or with `ahead` a negative one."""
     if half_life_days <= 0:
         return F.lit(1.0)
-    age = F.greatest(F.lit(now_ms) - created_ms, F.lit(0)) / F.lit(86_400_000.0 * half_life_days)
+    since = F.lit(now_ms) - created_ms
+    age = (since if ahead else F.greatest(since, F.lit(0))) / F.lit(86_400_000.0 * half_life_days)
     return F.coalesce(F.lit(floor) + F.lit(1 - floor) * F.pow(F.lit(0.5), age), F.lit(1.0))

@@ -129,9 +129,9 @@ def fuse(arms: list[tuple[DataFrame, float]], id_col: str = "id", k: int = RRF_K
     return both.groupBy("query_id", id_col).agg(F.sum("_s").alias("score"))
 
 
-def with_recency(scored: DataFrame, created: str, now_ms: int, tuning: Tuning) -> DataFrame:
-    """Scores times recency, then over the query's best, so the best is 1."""
-    aged = scored.withColumn("score", F.col("score") * V.recency(F.col(created), now_ms, tuning.half_life_days, tuning.recency_floor))
+def with_recency(scored: DataFrame, created: str, now_ms: int, tuning: Tuning, ahead: bool = False) -> DataFrame:
+    """Scores times recency, then over the query's best, so the best is 1. With `ahead`, rows of times to come count more than those of now."""
+    aged = scored.withColumn("score", F.col("score") * V.recency(F.col(created), now_ms, tuning.half_life_days, tuning.recency_floor, ahead))
     top = F.max("score").over(Window.partitionBy("query_id"))
     return aged.withColumn("score", F.when(top > 0, F.col("score") / top).otherwise(0.0))
 
