@@ -15,6 +15,7 @@ import os
 import time
 import zlib
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import unquote, urlparse
 
@@ -23,8 +24,10 @@ import pyarrow.fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 SCHEMA = "path string, file_id string, byte bigint, line string"
-#: Bytes of a first line that tell a file, bytes of one read, and bytes of one task's part of a file.
+#: Bytes of a first line that tell a file, bytes of one read, and bytes of one task.
 HEAD, CHUNK, PART = 4096, 1 << 20, 64 << 20
+#: Files of one task, and files that are looked into at once.
+FILES, LOOKS = 1024, 16
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -36,10 +39,7 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
-def identity(fs: pafs.FileSystem, path: str) -> str | None:
-    """Who the file is; None as long as it has no whole line."""
-    with fs.open_input_file(path) as f:
-        head = f.read(HEAD)
+def _who(fs: pafs.FileSystem, path: str, head: bytes) -> str | None:
     line, newline, _ = head.partition(b"\n")
     if not newline and len(head) < HEAD:
         return None
@@ -50,6 +50,22 @@ def identity(fs: pafs.FileSystem, path: str) -> str | None:
     return f"{place}{zlib.crc32(line):08x}"
 
 
+def identity(fs: pafs.FileSystem, path: str) -> str | None:
+    """Who the file is; None as long as it has no whole line."""
+    with fs.open_input_file(path) as f:
+        return _who(fs, path, f.read(HEAD))
+
+
+def looked_into(fs: pafs.FileSystem, path: str, size: int) -> dict | None:
+    """A file's entry of an offset: who it is, and where the last whole line of its first `size` bytes ends. A short file is read once for both."""
+    with fs.open_input_file(path) as f:
+        head = f.read(HEAD)
+    who = _who(fs, path, head)
+    if not who:
+        return None
+    return {"id": who, "byte": head.rfind(b"\n", 0, size) + 1 if size <= len(head) else end_of_lines(fs, path, size)}
+
+
 def end_of_lines(fs: pafs.FileSystem, path: str, size: int) -> int:
     """Where the last whole line of the first `size` bytes ends, read from behind."""
     at = size
@@ -75,6 +91,25 @@ class Part(InputPartition):
     end: int
 
 
+@dataclass
+class Parts(InputPartition):
+    """What one task reads: parts of several files, where files are small."""
+
+    parts: list[Part]
+
+
+def bundled(parts: list[Part], size: int) -> list[Parts]:
+    """The parts in tasks of about `size` bytes, and of FILES parts at most."""
+    out, room, left = [], 0, 0
+    for p in parts:
+        if not left or p.end - p.begin > room:
+            out.append(Parts([]))
+            room, left = size, FILES
+        out[-1].parts.append(p)
+        room, left = room - (p.end - p.begin), left - 1
+    return out
+
+
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.folder = options["path"]
@@ -93,7 +128,7 @@ class TailReader(DataSourceStreamReader):
         """Every file that has whole lines. Files that have not changed since the last call are not opened. A file that changed a moment ago waits,
         but right after a restart, when only its offset in the checkpoint says how far it was read."""
         fs, root = file_system(self.folder)
-        now, out, seen = time.time(), {}, {}
+        now, out, seen, changes = time.time(), {}, {}, []
         for info in fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)):
             if info.type != pafs.FileType.File or not info.path.endswith(self.suffix):
                 continue
@@ -102,17 +137,25 @@ class TailReader(DataSourceStreamReader):
             if (size, before) != (info.size, changed):
                 waits = now - changed / 1e9 < self.idle and (self.fresh or self.asked)
                 if not waits:
-                    try:
-                        who = identity(fs, info.path)
-                        entry = {"id": who, "byte": end_of_lines(fs, info.path, info.size)} if who else None
-                        size, before = info.size, changed
-                    except FileNotFoundError:
-                        continue  # it went between the listing and now
+                    changes.append((info.path, info.size, changed))
+                    continue
             seen[info.path] = size, before, entry
             if entry:
                 out[info.path] = entry
+
+        def look(change: tuple[str, int, int]) -> dict | None:
+            path, size, changed = change
+            try:
+                entry = looked_into(fs, path, size)
+            except FileNotFoundError:
+                return None  # it went between the listing and now
+            seen[path] = size, changed, entry
+            return entry
+
+        with ThreadPoolExecutor(LOOKS) as pool:
+            out |= {change[0]: entry for change, entry in zip(changes, pool.map(look, changes), strict=True) if entry}
         self.seen, self.asked = seen, True
-        return out
+        return dict(sorted(out.items()))  # offsets are compared as texts
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
         parts = []
@@ -125,9 +168,13 @@ class TailReader(DataSourceStreamReader):
                 first = moved.get(now["id"], 0)
                 first = first if first <= now["byte"] else 0
             parts += [Part(path, now["id"], first, b, min(b + self.part, now["byte"])) for b in range(first, now["byte"], self.part)]
-        return parts
+        return bundled(parts, self.part)
+
+    def read(self, bundle: Parts) -> Iterator[pa.RecordBatch]:
+        for part in bundle.parts:
+            yield from self.read_part(part)
 
-    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+    def read_part(self, part: Part) -> Iterator[pa.RecordBatch]:
         """A file that is another one by now has nothing left to give."""
         fs, _ = file_system(self.folder)
         try:
@@ -189,13 +236,15 @@ def write_files(lines, folder: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
-        of, out, done = None, None, []
+        of, out, done, made = None, None, [], set()
         for batch in batches:
             for name, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if name != of:
                     if out:
                         out.close()
-                    fs.create_dir(os.path.dirname(f"{root}/{name}"), recursive=True)
+                    if (folder_of := os.path.dirname(f"{root}/{name}")) not in made:
+                        fs.create_dir(folder_of, recursive=True)
+                        made.add(folder_of)
                     of, out = name, fs.open_output_stream(f"{root}/{name}")
                     done.append([name, 0, 0])
                 data = line.encode() + b"\n"
