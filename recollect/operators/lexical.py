@@ -5,7 +5,9 @@ it changes each term's document frequency; rows of `gone` end documents of earli
 of its own size, a manifest names the segments that hold, and a merge makes one of all.
 
 A block is the postings of one term in one range of documents (about BLOCK of like length), with bounds on their
-impact. So a term of most documents is many blocks, in as many tasks. A search for the best k sums the bounds by range and scores the
+impact. So a term of most documents is many blocks, in as many tasks. The blocks that queries ask for meet by range: there phrases are told by
+their places, and all queries score the range's documents as a matrix, of which a task hands on its best k of each query. So a posting is
+shuffled once, however many queries ask for it. A search for the best k of few postings sums the bounds by range and scores the
 most promising ranges; the k-th score found there is a floor for ranges, for terms that propose documents, and for the documents proposed.
 
 Queries come as a table of match strings: quoted phrases joined by OR, each of which counts on its own.
@@ -16,8 +18,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,6 +36,10 @@ LEAST_IDF = 1e-6
 BLOCK, FIRST = 128, 4
 #: How many times the ranges must outnumber the documents asked for, before bounds are looked at; with fewer, all hits are scored.
 SPARSE = 4
+#: Postings, counted for each query that asks, up to which bounds are looked at: each is a row there.
+PAIRS = 2_000_000
+#: Rows that a task holds before it cuts them to the best k, tokens of a task that makes blocks, and how far scores may differ that count as equal.
+HELD, TOKENS, EQUAL = 1_000_000, 4_000_000, 2e-9
 #: Documents that a task turns into postings at once.
 ROWS = 256
 _SEGMENT = 1 << 40
@@ -94,7 +102,7 @@ class TextIndex:
         return self.spark.read.schema(f"{schema}, segment bigint").option("basePath", f"{self.folder}/{name}").parquet(*paths)
 
     def _docs(self, s: State) -> DataFrame:
-        return self._table("docs", s.segments, "id bigint, dl bigint, digest bigint, terms array<string>")
+        return self._table("docs", s.segments, "id bigint, dl bigint, digest bigint, terms array<string>, range bigint")
 
     def _blocks(self, s: State) -> DataFrame:
         posts = "array<struct<id:bigint,dl:bigint,tf:array<int>>>"
@@ -141,19 +149,20 @@ class TextIndex:
     def _digest(self) -> Column:
         return F.xxhash64(*[F.coalesce(F.col(f), F.lit("")) for f in self.fields]).alias("digest")
 
-    def _write(self, segment: int, docs: DataFrame, postings: DataFrame) -> None:
-        """docs: id, dl, digest, terms. postings: id, dl, term, tf, places."""
+    def _write(self, segment: int, docs: DataFrame) -> None:
+        """docs, a stored table: id, dl, digest, terms, tfs, places. Documents meet by range in one shuffle, and become blocks there."""
         path = lambda name: f"{self.folder}/{name}/segment={segment}"
-        docs.select("id", "dl", "digest", "terms").write.parquet(path("docs"))
-        like = lambda d: d.withColumn("like", F.floor(4 * F.log2(F.col("dl") + 1)))  # noqa: E731  documents of like length: at most some 250 kinds
-        shares = like(self.spark.read.schema("dl bigint").parquet(path("docs"))).groupBy("like").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-        dealt = like(postings).join(F.broadcast(shares), "like")
-        dealt = dealt.withColumn("range", F.lit(segment) * _SEGMENT + F.col("like") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("parts")))
+        docs = docs.withColumn("like", F.floor(4 * F.log2(F.col("dl") + 1)))  # documents of like length: at most some 250 kinds
+        shares = docs.groupBy("like").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+        dealt = docs.join(F.broadcast(shares), "like").withColumn("range", F.lit(segment) * _SEGMENT + F.col("like") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("parts")))
+        dealt.select("id", "dl", "digest", "terms", "range").write.parquet(path("docs"))
+        tasks = (docs.agg(F.sum("dl")).first()[0] or 0) // TOKENS + 1
+        near = dealt.select("range", "id", "dl", "terms", "tfs", "places").repartition(tasks, "range")
+        each = near.select("range", "id", "dl", F.explode(F.arrays_zip("terms", "tfs", "places")).alias("x")).select("range", F.col("x.terms").alias("term"), "id", "dl", F.col("x.tfs").alias("tf"), F.col("x.places").alias("places"))
         most = F.array(*[F.max(F.get("tf", F.lit(f))) for f in range(len(self.fields))])
         row = F.struct(F.struct("id", "dl", "tf").alias("post"), "places")
-        blocks = dealt.groupBy("term", "range").agg(F.count("*").alias("n"), most.alias("most"), F.min("dl").alias("least_dl"), F.collect_list(row).alias("r"))  # BLOCK documents, about
-        blocks = blocks.select("term", "range", "n", "most", "least_dl", F.col("r.post").alias("posts"), F.col("r.places").alias("places"))
-        blocks.repartition("term", "range").sortWithinPartitions("term", "range").write.parquet(path("blocks"))
+        blocks = each.groupBy("range", "term").agg(F.count("*").alias("n"), most.alias("most"), F.min("dl").alias("least_dl"), F.collect_list(row).alias("r"))  # BLOCK documents, about
+        blocks.select("term", "range", "n", "most", "least_dl", F.col("r.post").alias("posts"), F.col("r.places").alias("places")).write.parquet(path("blocks"))
 
     def apply(self, changed: DataFrame | None = None, deleted: DataFrame | None = None, doc_id: str = "id") -> None:
         """Adds or replaces the documents `changed` and ends the ids `deleted` (column id), as one new segment. It writes what the change holds and no more."""
@@ -169,8 +178,7 @@ class TextIndex:
         old.select("id").write.parquet(f"{self.folder}/gone/segment={segment}")
         each = new.select(F.explode("terms").alias("term"), F.lit(1).alias("one")).unionByName(old.select(F.explode("terms").alias("term"), F.lit(-1).alias("one")))
         each.groupBy("term").agg(F.sum("one").alias("df")).filter("df <> 0").write.parquet(f"{self.folder}/dfs/segment={segment}")
-        postings = new.select("id", "dl", F.explode(F.arrays_zip("terms", "tfs", "places")).alias("x")).select("id", "dl", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"), F.col("x.places").alias("places"))
-        self._write(segment, new, postings)
+        self._write(segment, new)
         total = lambda d: d.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         (more, added), (less, ended) = total(new), total(old)
         self._commit(State(s.version + 1, [*s.segments, segment], s.documents + more - less, s.tokens + added - ended))
@@ -190,9 +198,11 @@ class TextIndex:
         """One segment in place of all, without what is gone. Earlier segments stay for searches that have begun."""
         s = self.state()
         segment = max(s.segments, default=0) + 1
-        docs = self.documents(s)
-        posts = self._blocks(s).select("term", "range", F.explode(F.arrays_zip("posts", "places")).alias("x")).select("term", "range", F.col("x.posts.id").alias("id"), F.col("x.posts.dl").alias("dl"), F.col("x.posts.tf").alias("tf"), F.col("x.places").alias("places"))
-        self._write(segment, docs, self._live(posts, s, F.expr(f"range div {_SEGMENT}")))
+        posts = self._blocks(s).select("term", "range", F.explode(F.arrays_zip("posts", "places")).alias("x")).select("term", F.col("range"), F.col("x.posts.id").alias("id"), F.col("x.posts.tf").alias("tf"), F.col("x.places").alias("places"))
+        held = self._live(posts, s, F.expr(f"range div {_SEGMENT}")).groupBy("id").agg(F.collect_list(F.struct("term", "tf", "places")).alias("x"))
+        docs = self.documents(s).select("id", "dl", "digest").join(held, "id", "left")
+        part = lambda name, kind: F.coalesce(F.col(f"x.{name}"), F.array().cast(kind)).alias(f"{name}s".replace("placess", "places"))
+        self._write(segment, stored(docs.select("id", "dl", "digest", part("term", "array<string>"), part("tf", "array<array<int>>"), part("places", "array<array<array<int>>>")), "merged"))
         self.spark.createDataFrame([], "id bigint").write.parquet(f"{self.folder}/gone/segment={segment}")
         self._table("dfs", s.segments, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0").write.parquet(f"{self.folder}/dfs/segment={segment}")
         self._commit(State(s.version + 1, [segment], s.documents, s.tokens))
@@ -207,30 +217,17 @@ class TextIndex:
         return stored(units.select("query_id", "unit", F.array_join("terms", " ").alias("key"), "terms"), "units")
 
     def _phrases(self, s: State, units: DataFrame, dfs: DataFrame, weights: list[float]) -> DataFrame:
-        """key, id, range, dl and tf of the documents that hold a phrase of two terms or more.
-
-        Its rarest term proposes where it begins; every other term then has to stand in its place there, so no hot term's postings are all read.
-        """
+        """key, range, id, dl and tf of the documents that hold a phrase of two terms or more: the blocks of its terms meet by range."""
         long = units.filter(F.size("terms") > 1).select("key", "terms").distinct()
-        terms = long.select("key", F.size("terms").alias("length"), F.posexplode("terms").alias("offset", "term")).join(dfs, "term")
-        whole = terms.groupBy("key", "length").agg(F.count("*").alias("known"), F.min_by(F.struct("term", "offset"), F.struct("df", "offset")).alias("rare")).filter("known = length")
-        rare = whole.select("key", "length", F.col("rare.term").alias("term"), F.col("rare.offset").alias("offset"))
-        blocks = self._blocks(s).select("term", "range", "posts", "places")
-        opened = lambda d, *keep: d.select(*keep, "range", F.explode(F.arrays_zip("posts", "places")).alias("x")).select(*keep, "range", F.col("x.posts.id").alias("id"), F.col("x.posts.dl").alias("dl"), F.col("x.places").alias("places"))
-        begin = opened(blocks.join(rare, "term"), "key", "length", "offset")
-        begin = begin.select("key", "length", "offset", "range", "id", "dl", F.posexplode("places").alias("field", "p")).select("key", "length", "offset", "range", "id", "dl", "field", F.explode("p").alias("place")).withColumn("start", F.col("place") - F.col("offset")).drop("place")
-        begin = stored(self._live(begin.filter("start >= 0"), s, F.expr(f"range div {_SEGMENT}")), "begins")
-        tokens = terms.select("key", "term", F.col("offset").alias("at"))
-        asked = begin.join(tokens, "key").filter("at <> offset").select("key", "length", "range", "id", "dl", "field", "start", "term", "at")
-        near = blocks.join(asked.select("term", "range").distinct(), ["term", "range"], "left_semi")
-        held = opened(near, "term").select("term", F.col("id").alias("_id"), F.col("places").alias("_places"), F.col("range").alias("_range"))
-        good = asked.join(held, (asked.term == held.term) & (F.col("id") == F.col("_id")) & (F.col("range") == F.col("_range"))).filter(F.array_contains(F.get("_places", F.col("field")), F.col("start") + F.col("at")))
-        found = good.groupBy("key", "length", "range", "id", "dl", "field", "start").agg(F.count("*").alias("n")).filter("n = length - 1")
-        weight = F.element_at(F.array(*map(F.lit, weights)), F.col("field") + 1)
-        return stored(found.groupBy("key", "range", "id", "dl").agg(F.sum(weight).alias("tf")), "phrases")
-
-    def _ready(self, queries: DataFrame, weights: list[float] | None, query_id: str, match: str) -> tuple[State, DataFrame, DataFrame, list[float]]:
-        """The state, single terms (query_id, term, idf) and phrase hits (query_id, range, id, part)."""
+        terms = long.select("key", F.size("terms").alias("length"), F.posexplode("terms").alias("offset", "term")).join(dfs.select("term"), "term")
+        whole = terms.groupBy("key").agg(F.count("*").alias("known"), F.first("length").alias("length")).filter("known = length").select("key")
+        uses = stored(terms.join(whole, "key").groupBy("term").agg(F.collect_list("key").alias("keys"), F.collect_list("offset").alias("offsets"), F.collect_list("length").alias("lengths")), "uses")
+        near = self._blocks(s).join(uses, "term").select("range", F.col("posts.id").alias("ids"), F.col("posts.dl").alias("dls"), "places", "keys", "offsets", "lengths")
+        found = near.repartition("range").sortWithinPartitions("range").mapInArrow(_phrase_matcher(weights), "key string, range bigint, id bigint, dl bigint, tf double")
+        return stored(self._live(found, s, F.expr(f"range div {_SEGMENT}")), "phrases")
+
+    def _ready(self, queries: DataFrame, weights: list[float] | None, query_id: str, match: str) -> tuple[State, DataFrame, DataFrame, list[float], int]:
+        """The state, single terms (query_id, term, idf), phrase hits (query_id, range, id, part), and for how many postings the single terms ask."""
         s, weights = self.state(), weights or [1.0] * len(self.fields)
         average = s.tokens / s.documents if s.documents else 1.0
         idf = lambda df: F.greatest(F.log((s.documents - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
@@ -238,21 +235,40 @@ class TextIndex:
         wanted = units.select(F.explode("terms").alias("term")).distinct()
         dfs = stored(self._table("dfs", s.segments, "term string, df bigint").join(wanted, "term").groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0"), "frequencies")
         single = units.filter(F.size("terms") == 1).select("query_id", F.col("key").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")).join(dfs, "term")
-        single = single.select("query_id", "term", (F.col("times") * idf(F.col("df"))).alias("idf"))
+        single = stored(single.select("query_id", "term", "df", (F.col("times") * idf(F.col("df"))).alias("idf")), "terms")
+        pairs = single.agg(F.sum("df")).first()[0] or 0
         hits = self._phrases(s, units, dfs, weights)
         held = hits.groupBy("key").agg(F.count("*").alias("df"))
         asked = units.filter(F.size("terms") > 1).groupBy("query_id", "key").agg(F.count("*").alias("times"))
         phrase = hits.join(held, "key").join(asked, "key").select("query_id", "range", "id", (F.col("times") * idf(F.col("df")) * gain(F.col("tf"), F.col("dl"), average)).alias("part"))
-        return s, single, phrase, weights
+        return s, single.drop("df"), phrase, weights, pairs
 
-    def _parts(self, s: State, single: DataFrame, phrase: DataFrame, weights: list[float], picked: DataFrame | None) -> DataFrame:
-        """query_id, range, id and score of the documents in the picked ranges (query_id, range), or in all, by these terms and phrases."""
+    def _scored(self, s: State, single: DataFrame, phrase: DataFrame, weights: list[float], k: int | None, among: DataFrame | None) -> DataFrame:
+        """query_id, id and score of the hits; with k at least each query's k best, by each task's own. `among` as for `search`."""
+        kind = single.schema["query_id"].dataType.simpleString()
+        average = s.tokens / s.documents if s.documents else 1.0
+        none = {"ids": "array<bigint>", "x": "array<double>", "asks": f"array<{kind}>", "w": "array<double>"}
+        side = lambda d, n, **given: d.select("range", F.lit(n).alias("kind"), *[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in none.items()])
+        asks = stored(single.groupBy("term").agg(F.collect_list("query_id").alias("asks"), F.collect_list("idf").alias("w")), "asks")
+        posts = F.transform("posts", lambda p: gain(_weighed(p["tf"], weights), p["dl"], average))
+        rows = side(self._blocks(s).join(asks, "term"), 0, ids=F.col("posts.id"), x=posts, asks=F.col("asks"), w=F.col("w"))
+        spoken = phrase.groupBy("query_id", "range").agg(F.collect_list("id").alias("ids"), F.collect_list("part").alias("x"))  # documents of a range at most, for each phrase
+        rows = rows.unionByName(side(spoken, 1, ids=F.col("ids"), x=F.col("x"), asks=F.array("query_id")))
+        if among is not None:
+            value = F.col("value").cast("double") if "value" in among.columns else F.lit(None).cast("double")
+            of = among.select(F.col("id").cast("bigint").alias("id"), value.alias("v")).groupBy("id").agg(F.max("v").alias("v")).join(self._docs(s).select("id", "range"), "id")
+            rows = rows.unionByName(side(of.groupBy("range").agg(F.collect_list(F.struct("id", F.coalesce("v", F.lit(0.0)).alias("v"))).alias("r")), 2, ids=F.col("r.id"), x=F.col("r.v")))
+        if len(s.segments) > 1:
+            ended = self._docs(s).select("id", "range").join(self._live(self._docs(s), s, F.col("segment")).select("id", "range"), ["id", "range"], "left_anti")
+            rows = rows.unionByName(side(ended.groupBy("range").agg(F.collect_list("id").alias("ids")), 3, ids=F.col("ids")))
+        run = _matrix_scorer(k, among is not None, among is not None and "value" in among.columns)
+        return rows.repartition("range").sortWithinPartitions("range").mapInArrow(run, f"query_id {kind}, id bigint, bm25 double")
+
+    def _parts(self, s: State, single: DataFrame, phrase: DataFrame, weights: list[float], picked: DataFrame) -> DataFrame:
+        """query_id, range, id and score of the documents in the picked ranges (query_id, range), by these terms and phrases."""
         blocks = self._blocks(s).select("term", "range", "posts")
-        if picked is None:
-            rows = single.join(blocks, "term")
-        else:
-            rows = single.join(picked, "query_id").join(blocks, ["term", "range"])
-            phrase = phrase.join(picked, ["query_id", "range"], "left_semi")
+        rows = single.join(picked, "query_id").join(blocks, ["term", "range"])
+        phrase = phrase.join(picked, ["query_id", "range"], "left_semi")
         rows = rows.select("query_id", "idf", "range", F.explode("posts").alias("p")).select("query_id", "range", F.col("p.id").alias("id"), self._part(s, weights, F.col("idf")).alias("part"))
         rows = self._live(rows, s, F.expr(f"range div {_SEGMENT}"))
         return rows.unionByName(phrase.select("query_id", "range", "id", "part")).groupBy("query_id", "range", "id").agg(F.sum("part").alias("part"))
@@ -289,21 +305,21 @@ class TextIndex:
         ids = found.groupBy("query_id", "range").agg(F.collect_list("id").alias("ids"))  # documents of a range at most
         return lacking.join(ids, "query_id").join(self._blocks(s).select("term", "range", "n", "posts"), ["term", "range"])
 
-    def search(self, queries: DataFrame, k: int | None = None, weights: list[float] | None = None, query_id: str = "query_id", match: str = "match") -> DataFrame:
-        """query_id, id, bm25 (larger is better) of documents that hold any phrase of a query: all of them, or at least each query's k best with their ties. A query of no terms has no rows."""
-        s, single, phrase, weights = self._ready(queries, weights, query_id, match)
-        if k is None or s.documents <= SPARSE * k * BLOCK:  # the best may well be in every range
-            parts = self._parts(s, single, phrase, weights, None)
-        else:
-            found, lacking = self._candidates(s, single, phrase, weights, k)
-            more = self._opened(s, found, lacking).select("query_id", "range", "idf", "ids", F.explode("posts").alias("p")).filter(F.array_contains("ids", F.col("p.id")))
-            parts = found.unionByName(more.select("query_id", "range", F.col("p.id").alias("id"), self._part(s, weights, F.col("idf")).alias("part")))
-        found = parts.groupBy("query_id", "id").agg(F.sum("part").alias("bm25"))
-        return found.withColumnRenamed("query_id", query_id)
+    def search(self, queries: DataFrame, k: int | None = None, weights: list[float] | None = None, query_id: str = "query_id", match: str = "match", among: DataFrame | None = None) -> DataFrame:
+        """query_id, id, bm25 (larger is better) of documents that hold any phrase of a query: all of them, or at least each query's k best with their ties. A query of no terms has no rows.
+
+        `among` (id, and value or not) restricts what is given to these documents; with a value, the best are those of the largest value."""
+        s, single, phrase, weights, pairs = self._ready(queries, weights, query_id, match)
+        if k is None or among is not None or pairs > PAIRS or s.documents <= SPARSE * k * BLOCK:  # the best may well be in every range
+            return self._scored(s, single, phrase, weights, k, among).withColumnRenamed("query_id", query_id)
+        found, lacking = self._candidates(s, single, phrase, weights, k)
+        more = self._opened(s, found, lacking).select("query_id", "range", "idf", "ids", F.explode("posts").alias("p")).filter(F.array_contains("ids", F.col("p.id")))
+        parts = found.unionByName(more.select("query_id", "range", F.col("p.id").alias("id"), self._part(s, weights, F.col("idf")).alias("part")))
+        return parts.groupBy("query_id", "id").agg(F.sum("part").alias("bm25")).withColumnRenamed("query_id", query_id)
 
     def share_read(self, queries: DataFrame, k: int, query_id: str = "query_id", match: str = "match") -> float:
         """The part of the queries' postings that stand in blocks which a search for the best k opens, those of the first ranges left aside."""
-        s, single, phrase, weights = self._ready(queries, None, query_id, match)
+        s, single, phrase, weights, _ = self._ready(queries, None, query_id, match)
         blocks = self._blocks(s).select("term", "range", "n")
         whole = blocks.join(single, "term").agg(F.sum("n")).first()[0] or 1
         found, lacking = self._candidates(s, single, phrase, weights, k)
@@ -312,9 +328,159 @@ class TextIndex:
         return (later + proposing) / whole
 
 
-def _weighed(tf: str, weights: list[float]) -> Column:
+def _weighed(tf: str | Column, weights: list[float]) -> Column:
     """The weighted sum over a posting's fields."""
     out = F.lit(0.0)
     for f, w in enumerate(weights):
         out = out + w * F.get(tf, F.lit(f))
     return out
+
+
+def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Each range with its rows, of a table in order of its first column, the range."""
+    of, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ranges = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(ranges[1:] != ranges[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if held and ranges[a] != of:
+                yield of, held
+                held = []
+            of = int(ranges[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield of, held
+
+
+def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and where each row's begin; one place more for the end."""
+    column = batch.column(name)
+    size = np.array([0 if n is None else n for n in pc.list_value_length(column).to_pylist()], np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)])
+
+
+def _phrase_matcher(weights: list[float]):
+    """A batch function: of each range's blocks, the documents in which all terms of a phrase stand in their places. Places are numbers of document, field and place, so a phrase is an intersection."""
+    fields, weight = len(weights), np.array(weights)
+
+    def places(column: pa.Array, docs: np.ndarray) -> np.ndarray:
+        by_field = column.flatten().flatten()
+        size = pc.list_value_length(by_field).to_numpy(zero_copy_only=False).astype(np.int64)
+        return np.repeat((docs[:, None] * fields + np.arange(fields)).ravel() << 32, size) + by_field.flatten().to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for of, rows in _by_range(batches):
+            asked: dict[tuple[str, int], dict[int, tuple[int, int]]] = {}
+            for j, batch in enumerate(rows):
+                for r, (keys, offsets, lengths) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("keys", "offsets", "lengths")), strict=True)):
+                    for key, offset, length in zip(keys, offsets, lengths, strict=True):
+                        asked.setdefault((key, length), {})[offset] = j, r
+            asked = {key: at for key, at in asked.items() if len(at) == key[1]}
+            if not asked:
+                continue
+            ids = np.concatenate([_lists(b, "ids")[0] for b in rows])
+            known, first = np.unique(ids, return_index=True)
+            dls = np.concatenate([_lists(b, "dls")[0] for b in rows])[first]
+            held: dict[tuple[int, int], np.ndarray] = {}
+            out: list[tuple] = []
+            for (key, _), at in asked.items():
+                for j, r in at.values():
+                    if (j, r) not in held:
+                        one = rows[j].slice(r, 1)
+                        held[j, r] = places(one.column("places"), np.searchsorted(known, _lists(one, "ids")[0]))
+                starts = None
+                for offset, place in sorted(at.items(), key=lambda x: len(held[x[1]])):
+                    codes = held[place]
+                    codes = codes[(codes & 0xFFFFFFFF) >= offset] - offset
+                    starts = codes if starts is None else np.intersect1d(starts, codes, assume_unique=True)
+                    if not len(starts):
+                        break
+                if len(starts):
+                    lists = starts >> 32
+                    tf = np.bincount(lists // fields, weight[lists % fields], len(known))
+                    found = np.unique(lists // fields)
+                    out.append((key, found, tf[found]))
+            if out:
+                number = np.repeat(np.arange(len(out)), [len(x[1]) for x in out])
+                docs = np.concatenate([x[1] for x in out])
+                columns = [pa.array([x[0] for x in out]).take(pa.array(number)), pa.array(np.full(len(docs), of)), pa.array(known[docs]), pa.array(dls[docs]), pa.array(np.concatenate([x[2] for x in out]))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "range", "id", "dl", "tf"])
+
+    return run
+
+
+def _matrix_scorer(k: int | None, restricted: bool, valued: bool):
+    """A batch function: of each range's rows the scores of its documents by query, as a matrix. With k a task gives each query's k best and their ties."""
+    margin = 0.0 if valued else EQUAL
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floors: dict = {}
+        held: list[tuple] = []  # queries, ids, scores, and what they are ordered by
+        size = 0
+
+        def given(rows: tuple) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], schema_type), pa.array(rows[1]), pa.array(rows[2])], ["query_id", "id", "bm25"])
+
+        def cut() -> tuple:
+            q, ids, scores, by = (np.concatenate(x) for x in zip(*held, strict=True))
+            names, number = np.unique(q, return_inverse=True)
+            order = np.lexsort((-by, number))
+            begin = np.searchsorted(number[order], np.arange(len(names)))
+            count = np.diff([*begin, len(order)])
+            floor = np.where(count >= k, by[order[np.minimum(begin + k, len(order)) - 1]], -np.inf) - margin
+            floors.update(zip(names.tolist(), floor.tolist(), strict=True))
+            keep = by >= floor[number]
+            return q[keep], ids[keep], scores[keep], by[keep]
+
+        for _, rows in _by_range(batches):
+            schema_type = rows[0].schema.field("asks").type.value_type
+            flat = [(*_lists(b, "ids"), _lists(b, "x")[0], *_lists(b, "asks"), *_lists(b, "w"), b.column("kind").to_numpy()) for b in rows]
+            asks = [f[3] for f in flat if len(f[3])]
+            if not asks:
+                continue
+            known, names = np.unique(np.concatenate([f[0] for f in flat])), np.unique(np.concatenate(asks))
+            scores, hit = np.zeros((len(names), len(known))), np.zeros((len(names), len(known)), bool)
+            allowed, by = np.full(len(known), not restricted), np.zeros(len(known))
+            ended = np.zeros(len(known), bool)
+            for ids, at, x, of, asked, w, weighed, kinds in flat:
+                docs, queries = np.searchsorted(known, ids), np.searchsorted(names, of)
+                valued_at = np.concatenate([[0], np.cumsum(np.where(kinds == 3, 0, np.diff(at)))])  # ended ids have no values
+                for r, kind in enumerate(kinds.tolist()):
+                    d, v = docs[at[r] : at[r + 1]], x[valued_at[r] : valued_at[r + 1]]
+                    if kind == 0:
+                        cells = queries[asked[r] : asked[r + 1], None], d
+                        scores[cells] += w[weighed[r] : weighed[r + 1], None] * v
+                        hit[cells] = True
+                    elif kind == 1:  # several phrases of a query may be in one document
+                        one = queries[asked[r]]
+                        np.add.at(scores[one], d, v)
+                        hit[one, d] = True
+                    elif kind == 2:
+                        allowed[d], by[d] = True, v
+                    else:
+                        ended[d] = True
+            hit &= allowed & ~ended
+            if k is not None:
+                floor = np.array([floors.get(n, -np.inf) for n in names.tolist()])
+                hit &= (by[None, :] if valued else scores) >= floor[:, None]
+            q, d = np.nonzero(hit)
+            if not len(q):
+                continue
+            new = names[q], known[d], scores[q, d], by[d] if valued else scores[q, d]
+            if k is None:
+                yield given(new)
+                continue
+            held.append(new)
+            size += len(q)
+            if size > HELD:
+                held = [cut()]
+                size = len(held[0][0])
+                if 2 * size > HELD:
+                    yield given(held[0])
+                    held, size = [], 0
+        if held:
+            yield given(cut())
+
+    return run
