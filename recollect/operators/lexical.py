@@ -129,18 +129,29 @@ class TextIndex:
         """id, digest, dl, and each term with its number and places by field. One pass of Python over the texts."""
         run, count = ANALYSERS[self.analyser], len(self.fields)
 
+        def lists(size: np.ndarray, values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), values)
+
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
-                rows: list[tuple] = []
+                number: dict[str, int] = {}
+                codes, size = [], []
                 for texts in zip(*(batch.column(2 + f).to_pylist() for f in range(count)), strict=True):
-                    held: dict[str, list[list[int]]] = {}
-                    size = 0
-                    for f, text in enumerate(texts):
-                        for place, term in enumerate(run(text) if text else ()):
-                            held.setdefault(term, [[] for _ in range(count)])[f].append(place)
-                            size += 1
-                    rows.append((size, [*held], [[len(p) for p in places] for places in held.values()], [*held.values()]))
-                columns = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.list_(pa.int32())))))]
+                    for text in texts:
+                        before = len(codes)
+                        codes += [number.setdefault(term, len(number)) for term in (run(text) if text else ())]
+                        size.append(len(codes) - before)
+                per_field = np.array(size, np.int64)
+                field = np.repeat(np.arange(len(size)), per_field)  # of all documents' fields
+                place = np.arange(len(codes)) - np.repeat(np.cumsum(per_field) - per_field, per_field)
+                term = (field // count) * max(len(number), 1) + np.array(codes, np.int64)
+                order = np.lexsort((field, term))  # stable, so places rise
+                held, at = np.unique(term, return_inverse=True)
+                tfs = np.bincount(at * count + field % count, minlength=len(held) * count)
+                doc = np.bincount(held // max(len(number), 1), minlength=batch.num_rows)
+                words = pa.array([*number], pa.string()).take(pa.array(held % max(len(number), 1)))
+                each = np.full(len(held), count)
+                columns = [pa.array(per_field.reshape(-1, count).sum(1)), lists(doc, words), lists(doc, lists(each, pa.array(tfs, pa.int32()))), lists(doc, lists(each, lists(tfs, pa.array(place[order], pa.int32()))))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "digest", "dl", "terms", "tfs", "places"])
 
         source = docs.select(F.col(doc_id).cast("bigint").alias("id"), self._digest(), *[F.coalesce(F.col(f), F.lit("")).alias(f"_f{k}") for k, f in enumerate(self.fields)])
