@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from recollect.functions import predicates as P
 from recollect.operators import joins as J
@@ -209,8 +210,11 @@ def c9(spark: SparkSession, d: str) -> DataFrame:
 def c10(spark: SparkSession, d: str) -> DataFrame:
     r = role(spark, d, "runs").select(F.col("id").alias("run"), (F.col("id") % 500).alias("session_id"), F.col("repo").alias("git_repo"), (F.lit(1_704_067_200_000) + F.col("id") * 37 % 2_592_000 * 1000).alias("at"))
     e = role(spark, d, "ev_user").select(F.col("id").alias("event"), "timestamp", "session_id", "git_repo", "source_kind")
-    exact = r.select("run", "session_id").join(e.filter("source_kind = 'purchase'").drop("git_repo"), "session_id").select("run", "event", "timestamp")
-    pushed = r.select("run", "git_repo", (F.col("at") - 3_600_000).alias("since"), "at")
+    bought = e.filter("source_kind = 'purchase'").select("session_id", "event", "timestamp")
+    first = bought.withColumn("_n", F.row_number().over(Window.partitionBy("session_id").orderBy("timestamp", "event"))).filter("_n <= 20").drop("_n")  # no run takes more
+    exact = r.select("run", "session_id").join(first, "session_id").select("run", "event", "timestamp")
+    alone = r.join(first.select("session_id").distinct(), "session_id", "left_anti")  # only these fall back, so only they meet windows of events
+    pushed = alone.select("run", "git_repo", (F.col("at") - 3_600_000).alias("since"), "at")
     fallback = J.range_join(e.filter("source_kind = 'signup'").drop("session_id"), pushed, "timestamp", "since", "at", 3_600_000, ["git_repo"]).select("run", "event", "timestamp")
     return J.cascading_join(r, exact, fallback, "run", [F.col("timestamp"), F.col("event")], 20).select("run", "event", "exact")
 
