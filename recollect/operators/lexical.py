@@ -56,6 +56,14 @@ def analysed(texts: Column, analyser: str) -> Column:
     return terms(texts)
 
 
+def units_of(queries: DataFrame, analyser: str, query_id: str, match: str) -> DataFrame:
+    """query_id, unit, key and terms of every phrase of the match strings; phrases without a term are none."""
+    quoted = F.regexp_extract_all(F.col(match), F.lit(r'"((?:[^"]|"")*)"'), F.lit(1))
+    units = queries.select(F.col(query_id).alias("query_id"), F.posexplode(quoted).alias("unit", "phrase"))
+    units = units.withColumn("terms", analysed(F.regexp_replace("phrase", '""', '"'), analyser)).filter(F.size("terms") > 0)
+    return units.select("query_id", "unit", F.array_join("terms", " ").alias("key"), "terms")
+
+
 def gain(tf: Column, dl: Column, average: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(average or 1.0)))
 
@@ -129,9 +137,6 @@ class TextIndex:
         """id, digest, dl, and each term with its number and places by field. One pass of Python over the texts."""
         run, count = ANALYSERS[self.analyser], len(self.fields)
 
-        def lists(size: np.ndarray, values: pa.Array) -> pa.Array:
-            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), values)
-
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
                 number: dict[str, int] = {}
@@ -220,13 +225,6 @@ class TextIndex:
 
     # search
 
-    def _units(self, queries: DataFrame, query_id: str, match: str) -> DataFrame:
-        """query_id, unit, key and terms of every phrase of the match strings; phrases without a term are none."""
-        quoted = F.regexp_extract_all(F.col(match), F.lit(r'"((?:[^"]|"")*)"'), F.lit(1))
-        units = queries.select(F.col(query_id).alias("query_id"), F.posexplode(quoted).alias("unit", "phrase"))
-        units = units.withColumn("terms", analysed(F.regexp_replace("phrase", '""', '"'), self.analyser)).filter(F.size("terms") > 0)
-        return stored(units.select("query_id", "unit", F.array_join("terms", " ").alias("key"), "terms"), "units")
-
     def _phrases(self, s: State, units: DataFrame, dfs: DataFrame, weights: list[float]) -> DataFrame:
         """key, range, id, dl and tf of the documents that hold a phrase of two terms or more: the blocks of its terms meet by range."""
         long = units.filter(F.size("terms") > 1).select("key", "terms").distinct()
@@ -242,7 +240,7 @@ class TextIndex:
         s, weights = self.state(), weights or [1.0] * len(self.fields)
         average = s.tokens / s.documents if s.documents else 1.0
         idf = lambda df: F.greatest(F.log((s.documents - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
-        units = self._units(queries, query_id, match)
+        units = stored(units_of(queries, self.analyser, query_id, match), "units")
         wanted = units.select(F.explode("terms").alias("term")).distinct()
         dfs = stored(self._table("dfs", s.segments, "term string, df bigint").join(wanted, "term").groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0"), "frequencies")
         single = units.filter(F.size("terms") == 1).select("query_id", F.col("key").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")).join(dfs, "term")
@@ -365,6 +363,11 @@ def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.
         yield of, held
 
 
+def lists(size: np.ndarray, values: pa.Array) -> pa.Array:
+    """A column of lists of these sizes."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), values)
+
+
 def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """The values of a column of lists, and where each row's begin; one place more for the end."""
     column = batch.column(name)
@@ -422,29 +425,55 @@ def _phrase_matcher(weights: list[float]):
     return run
 
 
+class Best:
+    """Each query's k best of the rows that a task has seen, and their ties; all of them where k is None. Rows are columns: queries, ids, scores, and what they are ordered by."""
+
+    def __init__(self, k: int | None, margin: float):
+        self.k, self.margin, self.floors, self.held, self.size = k, margin, {}, [], 0
+
+    def floor(self, names: np.ndarray) -> np.ndarray:
+        """What a row of each query must reach."""
+        return np.array([self.floors.get(n, -np.inf) for n in names.tolist()])
+
+    def add(self, rows: tuple) -> list[tuple]:
+        """Takes rows; what it gives goes on at once."""
+        if self.k is None:
+            return [rows]
+        self.held.append(rows)
+        self.size += len(rows[0])
+        if self.size <= HELD:
+            return []
+        self.held = [self._cut()]
+        self.size = len(self.held[0][0])
+        if 2 * self.size <= HELD:
+            return []
+        out, self.held, self.size = self.held, [], 0
+        return out
+
+    def rest(self) -> list[tuple]:
+        return [self._cut()] if self.held else []
+
+    def _cut(self) -> tuple:
+        q, ids, scores, by = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        names, number = np.unique(q, return_inverse=True)
+        order = np.lexsort((-by, number))
+        begin = np.searchsorted(number[order], np.arange(len(names)))
+        count = np.diff([*begin, len(order)])
+        floor = np.where(count >= self.k, by[order[np.minimum(begin + self.k, len(order)) - 1]], -np.inf) - self.margin
+        self.floors.update(zip(names.tolist(), floor.tolist(), strict=True))
+        keep = by >= floor[number]
+        return q[keep], ids[keep], scores[keep], by[keep]
+
+
 def _matrix_scorer(k: int | None, restricted: bool, valued: bool):
     """A batch function: of each range's rows the scores of its documents by query, as a matrix. With k a task gives each query's k best and their ties."""
-    margin = 0.0 if valued else EQUAL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floors: dict = {}
-        held: list[tuple] = []  # queries, ids, scores, and what they are ordered by
-        size = 0
+        best = Best(k, 0.0 if valued else EQUAL)
 
         def given(rows: tuple) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(rows[0], schema_type), pa.array(rows[1]), pa.array(rows[2])], ["query_id", "id", "bm25"])
 
-        def cut() -> tuple:
-            q, ids, scores, by = (np.concatenate(x) for x in zip(*held, strict=True))
-            names, number = np.unique(q, return_inverse=True)
-            order = np.lexsort((-by, number))
-            begin = np.searchsorted(number[order], np.arange(len(names)))
-            count = np.diff([*begin, len(order)])
-            floor = np.where(count >= k, by[order[np.minimum(begin + k, len(order)) - 1]], -np.inf) - margin
-            floors.update(zip(names.tolist(), floor.tolist(), strict=True))
-            keep = by >= floor[number]
-            return q[keep], ids[keep], scores[keep], by[keep]
-
         for _, rows in _by_range(batches):
             schema_type = rows[0].schema.field("asks").type.value_type
             flat = [(*_lists(b, "ids"), _lists(b, "x")[0], *_lists(b, "asks"), *_lists(b, "w"), b.column("kind").to_numpy()) for b in rows]
@@ -474,24 +503,12 @@ def _matrix_scorer(k: int | None, restricted: bool, valued: bool):
                         ended[d] = True
             hit &= allowed & ~ended
             if k is not None:
-                floor = np.array([floors.get(n, -np.inf) for n in names.tolist()])
-                hit &= (by[None, :] if valued else scores) >= floor[:, None]
+                hit &= (by[None, :] if valued else scores) >= best.floor(names)[:, None]
             q, d = np.nonzero(hit)
             if not len(q):
                 continue
             new = names[q], known[d], scores[q, d], by[d] if valued else scores[q, d]
-            if k is None:
-                yield given(new)
-                continue
-            held.append(new)
-            size += len(q)
-            if size > HELD:
-                held = [cut()]
-                size = len(held[0][0])
-                if 2 * size > HELD:
-                    yield given(held[0])
-                    held, size = [], 0
-        if held:
-            yield given(cut())
+            yield from map(given, best.add(new))
+        yield from map(given, best.rest())
 
     return run
