@@ -6,9 +6,10 @@ import json
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,11 @@ RULES: list[tuple[str, str]] = [
 ]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is computed once, however often it is used; a Column is an expression that each use would compute anew."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def redact(text: Column, rules: list[tuple[str, str]] | None = None) -> Column:
     """All rules in order, each on what the one before left."""
     for _, pattern in RULES if rules is None else rules:
@@ -33,14 +39,24 @@ def redact(text: Column, rules: list[tuple[str, str]] | None = None) -> Column:
 
 def redact_counted(text: Column, rules: list[tuple[str, str]] | None = None) -> Column:
     """Struct (text, count, hits): rules are chosen on the original text and counted on the text that earlier rules left."""
-    original, now, hits = text, text, []
+
+    def rule(name: str, pattern: str) -> Callable[[Column], Column]:
+        def step(state: Column) -> Column:
+            n = F.regexp_count(state["text"], F.lit(pattern)).cast("bigint")
+            hit = F.struct(state["original"].alias("original"), F.regexp_replace(state["text"], pattern, MARK).alias("text"), F.concat(state["hits"], F.array(F.struct(F.lit(name).alias("rule"), n.alias("n")))).alias("hits"))
+            return F.when(F.rlike(state["original"], F.lit(pattern)), hit).otherwise(state)
+
+        return step
+
+    state = F.struct(text.alias("original"), text.alias("text"), F.array().cast("array<struct<rule:string,n:bigint>>").alias("hits"))
     for name, pattern in RULES if rules is None else rules:
-        on = F.rlike(original, F.lit(pattern))
-        n = F.when(on, F.regexp_count(now, F.lit(pattern))).otherwise(0)
-        hits.append(F.struct(F.lit(name).alias("rule"), n.cast("bigint").alias("n")))
-        now = F.when(on, F.regexp_replace(now, pattern, MARK)).otherwise(now)
-    found = F.filter(F.array(*hits), lambda h: h["n"] > 0)
-    return F.struct(now.alias("text"), F.aggregate(found, F.lit(0).cast("bigint"), lambda s, h: s + h["n"]).alias("count"), F.array_join(F.transform(found, lambda h: F.concat(h["rule"], F.lit(":"), h["n"].cast("string"))), ",").alias("hits"))
+        state = bound(state, rule(name, pattern))
+
+    def told(s: Column) -> Column:
+        found = F.filter(s["hits"], lambda h: h["n"] > 0)
+        return F.struct(s["text"].alias("text"), F.aggregate(found, F.lit(0).cast("bigint"), lambda t, h: t + h["n"]).alias("count"), F.array_join(F.transform(found, lambda h: F.concat(h["rule"], F.lit(":"), h["n"].cast("string"))), ",").alias("hits"))
+
+    return bound(state, told)
 
 
 def matching_rules(text: Column) -> Column:
@@ -211,11 +227,15 @@ def stable_hash(pairs: Column) -> Column:
 
 def token_windows(text: Column, size: int = 48, overlap: int = 12) -> Column:
     """Array of windows of words; the last may be shorter, and none starts in the overlap of the one before it at the end."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    step, n = size - overlap, F.size(words)
-    count = F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.ceil((n - overlap) / step)))
-    starts = F.when(count > 0, F.sequence(F.lit(0), count.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda k: F.array_join(F.slice(words, k * step + 1, F.lit(size)), " "))
+    step = size - overlap
+
+    def windows(words: Column) -> Column:
+        n = F.size(words)
+        count = F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.ceil((n - overlap) / step)))
+        starts = F.when(count > 0, F.sequence(F.lit(0), count.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.array_join(F.slice(words, k * step + 1, F.lit(size)), " "))
+
+    return bound(F.filter(F.split(text, r"\s+"), lambda w: w != ""), windows)
 
 
 def markdown_links(text: Column) -> Column:
@@ -448,8 +468,22 @@ def repair_json_udf(text: Column) -> Column:
     return F.pandas_udf(run, "string")(text)
 
 
+_DIFF = pa.struct([("summary", pa.string()), ("diff", pa.string())])
+#: Texts of a batch that are told apart at once.
+DIFF_ROWS = 64
+
+
+def diff_summaries(old: pa.Array, new: pa.Array) -> pa.Array:
+    """Structs of `diff_summary` for two columns of texts. A batch may hold many long ones, so only some stand as Python's at a time."""
+    parts = [pa.array([], _DIFF)]
+    for at in range(0, len(old), DIFF_ROWS):
+        told = [diff_summary(x, y) for x, y in zip(old.slice(at, DIFF_ROWS).to_pylist(), new.slice(at, DIFF_ROWS).to_pylist(), strict=True)]
+        parts.append(pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in zip(*told, strict=True)], ["summary", "diff"]))
+    return pa.concat_arrays(parts)
+
+
 def diff_summary_udf(old: Column, new: Column) -> Column:
-    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([diff_summary(x, y) for x, y in zip(a, b, strict=True)], columns=["summary", "diff"])
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return diff_summaries(a, b)
 
-    return F.pandas_udf(run, "struct<summary:string,diff:string>")(old, new)
+    return F.arrow_udf(run, "struct<summary:string,diff:string>")(old, new)
