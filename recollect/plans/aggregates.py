@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from recollect.functions.text import RULES
 from recollect.operators import aggregates as A
 from recollect.operators import sessions as S
-from recollect.sources.catalog import role, with_roles
+from recollect.sources.catalog import parts, role, with_roles
 
 from .registry import register
 
@@ -223,8 +223,10 @@ def g4(spark: SparkSession, d: str) -> DataFrame:
 
 @register("e1_top_entities", with_roles("node_entities entities", "SELECT node_id, type, substr(name, 1, 200) AS name FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY type, name, id) AS n FROM (SELECT DISTINCT l.node_id, e.type, e.name, e.id FROM node_entities l JOIN entities e ON e.id = l.entity_id)) WHERE n <= 20"))
 def e1(spark: SparkSession, d: str) -> DataFrame:
-    l = role(spark, d, "node_entities").distinct()
-    j = l.join(role(spark, d, "entities").select(F.col("id").alias("entity_id"), "type", "name"), "entity_id")
+    n = parts(spark, d, "lineitem", "part")
+    l = role(spark, d, "node_entities").repartition(n, "entity_id").distinct()  # equal links are in one part, which the join takes as it is
+    e = role(spark, d, "entities").select(F.col("id").alias("entity_id"), "type", "name").repartition(n, "entity_id")
+    j = l.hint("merge").join(e, "entity_id")
     w = Window.partitionBy("node_id").orderBy("type", "name", "entity_id")
     return j.withColumn("n", F.row_number().over(w)).filter("n <= 20").select("node_id", "type", F.substring("name", 1, 200).alias("name"))
 
