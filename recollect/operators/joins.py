@@ -66,6 +66,11 @@ def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
     return both.filter(met & (F.col(ls) <= F.col(re_)) & (F.col(rs) <= F.col(le))).drop("_l", "_la", "_lb", "_bin")
 
 
+def dealt_join(left: DataFrame, right: DataFrame, key: str, parts: int) -> DataFrame:
+    """Inner join of two large tables, both dealt by the key to so many parts and merged in its order. Adaptive execution goes by file sizes and may hand one whole to every task, which then holds it."""
+    return left.repartition(parts, key).hint("merge").join(right.repartition(parts, key), key)
+
+
 def cascading_join(left: DataFrame, exact: DataFrame, fallback: DataFrame, key: str, order: list[Column], limit: int) -> DataFrame:
     """For each key of left the rows of `exact`, or those of `fallback` where there are none; at most `limit` in `order`."""
     found = left.select(key).distinct().join(exact, key)

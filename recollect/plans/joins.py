@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from recollect.functions import predicates as P
 from recollect.operators import joins as J
-from recollect.sources.catalog import role, with_roles
+from recollect.sources.catalog import parts, role, with_roles
 
 from .registry import register
 
@@ -21,16 +21,15 @@ _FAMILY_ROLES = "nodes node_events ev node_sessions sessions node_visits visits
 
 
 def families(spark: SparkSession, d: str) -> list:
-    ev = role(spark, d, "ev").select(F.col("id").alias("event_id"), "probe_tag")
+    """The links of each family with the flag of what they lead to, which is told before they meet."""
     s = role(spark, d, "sessions").withColumnRenamed("id", "session_id")
-    v = role(spark, d, "visits").select(F.col("id").alias("visit_id"), "probe_tag")
-    r = role(spark, d, "runs").select(F.col("id").alias("run_id"), "status", "conclusion")
-    return [
-        (role(spark, d, "node_events").join(ev, "event_id"), P.probe_free()),
-        (role(spark, d, "node_sessions").join(s, "session_id"), P.agentic_eligible(_NOW)),
-        (role(spark, d, "node_visits").join(v, "visit_id"), P.probe_free()),
-        (role(spark, d, "node_runs").join(r, "run_id"), P.workflow_eligible()),
+    known = [
+        ("node_events", "lineitem", "events", role(spark, d, "ev").withColumnRenamed("id", "event_id"), "event_id", P.probe_free()),
+        ("node_sessions", "conversations", "conversations", s, "session_id", P.agentic_eligible(_NOW)),
+        ("node_visits", "pages", "pages", role(spark, d, "visits").withColumnRenamed("id", "visit_id"), "visit_id", P.probe_free()),
+        ("node_runs", "orders", "orders", role(spark, d, "runs").withColumnRenamed("id", "run_id"), "run_id", P.workflow_eligible()),
     ]
+    return [(J.dealt_join(role(spark, d, links), table.select(key, ok.alias("flag")), key, parts(spark, d, *{stored, of})), F.col("flag")) for links, stored, of, table, key, ok in known]
 
 
 def node_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -20,6 +20,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Stored bytes of a table for each task that holds a part of it: some 400,000 narrow rows.
+PART_BYTES = 8 << 20
+
+
+def parts(spark: SparkSession, sf_dir: str, *names: str) -> int:
+    """How many parts the largest of the stored tables should be dealt to, so that there are more tasks and not larger ones where it is larger."""
+    sizes = []
+    for name in names:
+        files = load(spark, sf_dir, name).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).distinct()
+        sizes.append(files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    return max(spark.sparkContext.defaultParallelism, max(sizes) // PART_BYTES + 1)
+
+
 def epoch_ms(ts: str) -> Column:
     """Milliseconds of a timestamp without time zone, whatever the session's zone."""
     return F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
