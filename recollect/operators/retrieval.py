@@ -61,55 +61,69 @@ def tuned(name: str) -> Column:
     return F.when(read.isNull(), F.lit(default)).otherwise(F.least(F.greatest(read, F.lit(low)), F.lit(high))).cast("bigint" if whole else "double")
 
 
-#: Queries of one call of the exact search, and of one pass over the vectors; distances that a task holds at once.
+#: Queries of one call of the exact search, and of one pass over the vectors; distances that a task holds at once, and of its best.
 MOST_QUERIES, QUERY_BLOCK, HELD = 65_536, 4096, 2_000_000
 
 
+def _matrix(rows: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of this dimension, with zeros for the others, and their lengths."""
+    fit = [r is not None and len(r) == dim and all(x is not None for x in r) for r in rows]
+    out = np.zeros((len(rows), dim))
+    out[fit] = np.array([r for r, ok in zip(rows, fit, strict=True) if ok], float).reshape(-1, dim)
+    return out, np.sqrt((out * out).sum(1))
+
+
+def nearest(block: list, k: int, id_col: str = "id"):
+    """A batch function over ids and vectors: what a task has seen that is nearest to each query (query_id, q), k rows a query at most."""
+    dims = sorted({len(r.q) for r in block if r.q is not None}) or [0]
+    names, count = pa.array([r.query_id for r in block]), len(block)
+    sides = [(dim, *_matrix([r.q for r in block], dim)) for dim in dims]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, found, held = max(1, HELD // count), None, np.zeros((count, 0))  # ids and distances by query
+        for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
+            batch = batch.take(pc.array_sort_indices(batch.column(0)))
+            cosine = np.zeros((count, batch.num_rows))
+            rows = batch.column(1).to_pylist()
+            for dim, q, size in sides:
+                v, own = _matrix(rows, dim)
+                both = size[:, None] * own
+                cosine += np.divide(q @ v.T, both, out=np.zeros_like(both), where=both > 0)
+            distance = np.round(1 - cosine, 9) + 0.0  # no negative zero
+            near = np.argsort(distance, axis=1, kind="stable")[:, :k]
+            new, ids = np.take_along_axis(distance, near, 1), batch.column(0).take(pa.array(near.ravel()))
+            if found is None:
+                found, held = ids, new
+                continue
+            ids = pa.concat_arrays([found, ids])
+            place = np.concatenate([np.arange(len(found)).reshape(held.shape), np.arange(len(found), len(ids)).reshape(new.shape)], 1)
+            order = np.empty(len(ids), np.int64)
+            order[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(ids))
+            both = np.concatenate([held, new], 1)
+            best = np.lexsort((order[place], both), axis=1)[:, :k]
+            found, held = ids.take(pa.array(np.take_along_axis(place, best, 1).ravel())), np.take_along_axis(both, best, 1)
+        if found is not None:
+            of = np.repeat(np.arange(count), held.shape[1])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), found, pa.array(held.ravel())], ["query_id", id_col, "distance"])
+
+    return run
+
+
 def knn(vectors: DataFrame, query: DataFrame, k: int, id_col: str = "id", vector: str = "vector") -> DataFrame:
     """query_id, id, distance of each query's k nearest by exact cosine distance, ties by id.
 
-    `query` (query_id, q) has MOST_QUERIES rows at most. Blocks of queries meet batches of vectors as matrices, and a batch gives k rows a query. A vector or query that is missing,
-    zero, of another dimension or has a null component is at distance 1.
+    `query` (query_id, q) has MOST_QUERIES rows at most. Blocks of queries meet batches of vectors as matrices, and a task gives k rows a query, however many batches it reads. A
+    vector or query that is missing, zero, of another dimension or has a null component is at distance 1.
     """
     asked = query.select("query_id", "q").limit(MOST_QUERIES + 1).collect()
     if len(asked) > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} queries: ask in batches, or use an index")
     kinds = {f.name: f.dataType.simpleString() for f in [*query.schema, *vectors.schema]}
     schema = f"query_id {kinds['query_id']}, {id_col} {kinds[id_col]}, distance double"
-
-    def matrix(rows: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
-        fit = [r is not None and len(r) == dim and all(x is not None for x in r) for r in rows]
-        out = np.zeros((len(rows), dim))
-        out[fit] = np.array([r for r, ok in zip(rows, fit, strict=True) if ok], float).reshape(-1, dim)
-        return out, np.sqrt((out * out).sum(1))
-
-    def search(block: list) -> DataFrame:
-        dims = sorted({len(r.q) for r in block if r.q is not None}) or [0]
-        names = pa.array([r.query_id for r in block])
-        sides = [(dim, *matrix([r.q for r in block], dim)) for dim in dims]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            step = max(1, HELD // len(block))
-            for whole in batches:
-                for at in range(0, whole.num_rows, step):
-                    batch = whole.slice(at, step)
-                    batch = batch.take(pc.array_sort_indices(batch.column(0)))
-                    cosine = np.zeros((len(block), batch.num_rows))
-                    rows = batch.column(1).to_pylist()
-                    for dim, q, size in sides:
-                        v, own = matrix(rows, dim)
-                        both = size[:, None] * own
-                        cosine += np.divide(q @ v.T, both, out=np.zeros_like(both), where=both > 0)
-                    distance = np.round(1 - cosine, 9) + 0.0  # no negative zero
-                    near = np.argsort(distance, axis=1, kind="stable")[:, :k]
-                    of = np.repeat(np.arange(len(block)), near.shape[1])
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), batch.column(0).take(pa.array(near.ravel())), pa.array(np.take_along_axis(distance, near, 1).ravel())], ["query_id", id_col, "distance"])
-
-        return vectors.select(id_col, vector).mapInArrow(run, schema)
-
     if not asked:
         return vectors.sparkSession.createDataFrame([], schema)
-    found = reduce(DataFrame.unionByName, [search(asked[i : i + QUERY_BLOCK]) for i in range(0, len(asked), QUERY_BLOCK)])
+    step, v = max(1, min(QUERY_BLOCK, HELD // max(k, 1))), vectors.select(id_col, vector)
+    found = reduce(DataFrame.unionByName, [v.mapInArrow(nearest(asked[i : i + step], k, id_col), schema) for i in range(0, len(asked), step)])
     w = Window.partitionBy("query_id").orderBy("distance", id_col)
     return found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 
