@@ -16,24 +16,25 @@ from .registry import register
 _RULE_SQL = [p for _, p in T.RULES]
 
 
-def _sql_redact(x: str) -> str:
-    for p in _RULE_SQL:
+def _sql_redact(x: str, rules: list[str] = _RULE_SQL) -> str:
+    for p in rules:
         x = f"regexp_replace({x}, '{p}', '[REDACTED]', 'g')"
     return x
 
 
+def _sql_hits(x: str) -> str:
+    return " + ".join(f"len(regexp_extract_all({_sql_redact(x, _RULE_SQL[:k])}, '{p}'))" for k, p in enumerate(_RULE_SQL))
+
+
 @register("h1_redact", with_roles("nodes", f"SELECT id, md5({_sql_redact('content')}) AS digest FROM nodes"))
 def h1(spark: SparkSession, d: str) -> DataFrame:
     return role(spark, d, "nodes").select("id", F.md5(T.redact(F.col("content")).cast("binary")).alias("digest"))
 
 
-@register(
-    "h2_redact_counted",
-    with_roles("nodes", f"SELECT id, md5({_sql_redact('content')}) AS digest, len(regexp_extract_all(content, '{_RULE_SQL[0]}')) + len(regexp_extract_all(regexp_replace(content, '{_RULE_SQL[0]}', '[REDACTED]', 'g'), '{_RULE_SQL[2]}')) AS hits FROM nodes WHERE NOT regexp_matches(content, '(ghp_|github_pat_|eyJ|PRIVATE KEY|[Bb]earer)')"),
-)
+@register("h2_redact_counted", with_roles("nodes", f"SELECT id, md5({_sql_redact('content')}) AS digest, {_sql_hits('content')} AS hits FROM nodes"))
 def h2(spark: SparkSession, d: str) -> DataFrame:
-    n = role(spark, d, "nodes").filter("NOT rlike(content, '(ghp_|github_pat_|eyJ|PRIVATE KEY|[Bb]earer)')").select("id", T.redact_counted(F.col("content")).alias("r"))
-    return n.select("id", F.md5(F.col("r.text").cast("binary")).alias("digest"), F.col("r.count").alias("hits"))
+    n = role(spark, d, "nodes").select("id", T.redact_counted(F.col("content")).alias("r"))
+    return n.select("id", F.md5(F.col("r.text").cast("binary")).alias("digest"), F.when(F.col("r.text").isNotNull(), F.col("r.count")).alias("hits"))
 
 
 @register("h3_matching_rules", with_roles("nodes", "SELECT id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(content, '{p}') THEN '{n}' END" for n, p in T.RULES) + ") AS rules FROM nodes"))
